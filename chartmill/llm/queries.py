@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, urls
+from . import bpe, decontam, simhash, urls
 
 BPE_FILE = "byte_bpe_50k.json"
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -27,6 +27,15 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, public_tokenizers.path(BPE_FILE)).drop("text")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -45,5 +54,27 @@ select page_id, host, path, rule, coalesce(verdict, 'allow') verdict from keys l
 """
 
 
+LOWER_SQL = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS_SQL = f"regexp_extract_all({LOWER_SQL}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP4_SQL = f"""
+with d as (select doc_id, coalesce({WORDS_SQL.format("text")}, []) w from documents),
+b as (select cast(item_id as varchar) item, {WORDS_SQL.format("text")} w from benchmark where item_id is not null and text is not null),
+windows as (
+  select distinct item, least(len(w), 13) n, array_to_string(list_slice(w, k, k + least(len(w), 13) - 1), ' ') s
+  from (select item, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) k from b where len(w) > 0)),
+sizes as (select distinct n from windows),
+places as (
+  select doc_id, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') s
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) k from d, sizes where len(w) >= n)),
+found as (select doc_id, k, places.n n, item from places join windows using (s) where places.n = windows.n),
+hits as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(k, k + n)) p from (select distinct doc_id, k, n from found)) group by doc_id),
+items as (select doc_id, count(*) n_items, sha256(string_agg(item, ',' order by item)) h from (select distinct doc_id, item from found) group by doc_id)
+select doc_id, cast(len(w) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items,
+  coalesce(h, sha256('')) items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) contaminated
+from d left join hits using (doc_id) left join items using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL}
+    return {"op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL}
