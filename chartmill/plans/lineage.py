@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -17,3 +18,23 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chartmill-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(df: DataFrame) -> str:
+    """A new name in the folder that all executors share; a temporary folder only where none is set."""
+    root = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chartmill-")
+    return f"{root.rstrip('/')}/chartmill-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written once as Parquet to the shared folder and read from it, and the path."""
+    path = shared_folder(df)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(df: DataFrame, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
