@@ -5,9 +5,10 @@ that language.  A document is compared with every reference by the Jensen-Shanno
 of both histograms; it is kept if some language is near enough in both.  Documents with fewer words or characters
 than the guards are left to the base rule, as their histograms say little.
 
-The references come from one pass: tasks count words and classes of their rows by language, Spark adds the counts
-up, and the bounded tables (COMMON words and ten classes for each of at most LANGUAGES languages) go to the tasks
-of the second pass.  Documents are never shuffled.
+The references come from two passes: tasks report the frequent words of their chunks, then count those and the
+classes over all rows; Spark adds the counts up.  The bounded tables (COMMON words and nine classes for each of at
+most LANGUAGES languages, those with the most words) go to the tasks of the third pass.  Documents are never
+shuffled.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .columnar import SPACE, as_strings, boolean, double, emit, long, split_words, starts_of, sums, text_buffer, with_columns
 
 COMMON = 100
@@ -28,7 +30,10 @@ MIN_WORDS = 50
 MIN_CHARS = 200
 MAX_CLASS_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.52
-CHUNK = 20 << 20
+#: A candidate common word has this share of the words of a language in some chunk.
+SHARE = 1 / 2000
+#: Stands for all words of a language; no word begins with a space.
+TOTAL = " all"
 SYMBOLS = b"#*$%&|<>"
 IDENTITY = bytes(range(256))
 
@@ -104,43 +109,73 @@ def measure(column: pa.Array) -> tuple[dict[str, np.ndarray], pa.Array]:
     return out, words
 
 
-def references(df: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> dict:
-    """Common words and both histograms of each language, counted over all rows with a language."""
+def by_language(langs: pa.Array, words: pa.Array, counts: np.ndarray) -> tuple[list, pa.Array, np.ndarray]:
+    """Languages of the rows, distinct words, and how often each language (row) has each word (column)."""
+    coded, numbered = langs.dictionary_encode(), words.dictionary_encode()
+    which, width = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(numbered.dictionary)
+    n = len(coded.dictionary)
+    table = np.bincount(np.repeat(which * width, counts) + np.asarray(numbered.indices), minlength=n * width).reshape(n, width)
+    return coded.dictionary.to_pylist(), numbered.dictionary, table
+
+
+def counter(choose: Callable, with_classes: bool) -> Callable:
+    """A kernel that emits (lang, word, n) for the words that choose(language, words, counts) picks by index."""
 
     def kernel():
         def work(part: pa.RecordBatch):
-            langs = part.column(part.schema.get_field_index("lang")).dictionary_encode()
-            column = part.column(part.schema.get_field_index("text"))
-            which, names = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64), langs.dictionary.to_pylist()
+            langs, column = (part.column(part.schema.get_field_index(c)) for c in ("lang", "text"))
             words, counts = split_words(column)
-            coded = words.dictionary_encode()
-            key, n = np.unique(np.repeat(which, counts) * max(1, len(coded.dictionary)) + np.asarray(coded.indices), return_counts=True)
-            word = coded.dictionary.take(pa.array(key % max(1, len(coded.dictionary))))
-            yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(key // max(1, len(coded.dictionary)))), word, pa.array(n)], names=["lang", "word", "n"])
-            classes = class_counts(*text_buffer(column))
-            total = np.stack([classes[which == k].sum(axis=0) for k in range(len(names))]) if names else np.zeros((0, CLASSES), int)
-            keys = [f" {c}" for _ in names for c in range(CLASSES)]  # no word begins with a space
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, object), CLASSES), pa.string()), pa.array(keys, pa.string()), pa.array(total.ravel().astype(np.int64))], names=["lang", "word", "n"])
+            names, distinct, table = by_language(langs, words, counts)
+            offsets, data = text_buffer(column)
+            classes = class_counts(offsets, data) if with_classes else None
+            which = np.asarray(langs.dictionary_encode().indices)
+            for k, name in enumerate(names):
+                at = choose(name, distinct, table[k])
+                keys, n = distinct.take(pa.array(at)).to_pylist() + [TOTAL], [*table[k][at].tolist(), int(table[k].sum())]
+                if with_classes:
+                    keys += [f" {c}" for c in range(CLASSES)]
+                    n += classes[which == k].sum(axis=0).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(keys, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
 
         return work
 
+    return kernel
+
+
+def references(df: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> dict:
+    """Common words and both histograms of each language, counted over all rows with a language.
+
+    A word is a candidate if it makes up a SHARE of the language's words in some chunk, which holds for every word
+    with that share of all; candidates are then counted exactly over all rows.
+    """
     known = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null")
-    counted = emit(known, ["lang", "text"], "text", "lang string, word string, n long", kernel, CHUNK).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    is_class = F.col("word").startswith(" ")
-    order = Window.partitionBy("lang", is_class).orderBy(F.desc("n"), "word")
-    ranked = counted.withColumn("r", F.row_number().over(order)).where(F.col("r") <= common).drop("r")
-    sizes = counted.where(~is_class).groupBy("lang").agg(F.sum("n").alias("total"))
-    rows = ranked.join(F.broadcast(sizes.orderBy(F.desc("total"), "lang").limit(LANGUAGES)), "lang").collect()
-    out: dict = {}
-    for lang_name in sorted({r.lang for r in rows}):
-        mine = [r for r in rows if r.lang == lang_name]
-        classes, words = np.zeros(CLASSES), {}
-        for r in mine:
-            if r.word.startswith(" "):
-                classes[int(r.word)] = r.n
-            else:
-                words[r.word] = r.n
-        out[lang_name] = {"classes": classes / max(1, classes.sum()), "words": {w: n / mine[0].total for w, n in sorted(words.items())}}
+
+    def counted(choose: Callable, with_classes: bool) -> DataFrame:
+        return emit(known, ["lang", "text"], "text", "lang string, word string, n long", counter(choose, with_classes)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+
+    frequent = counted(lambda _, __, n: np.flatnonzero((n >= n.sum() * SHARE) & (n > 0)), False)
+    order = Window.partitionBy("lang").orderBy(F.desc(F.col("word") == TOTAL), F.desc("n"), "word")
+    ranked = cut(frequent.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4 * common + 1))
+    largest = [r.lang for r in ranked.where(F.col("word") == TOTAL).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    found: dict[str, list[str]] = {name: [] for name in largest}
+    for r in ranked.where(F.col("lang").isin(largest) & (F.col("word") != TOTAL)).collect():
+        found[r.lang].append(r.word)
+    sets = {name: pa.array(sorted(words), pa.string()) for name, words in found.items()}
+
+    def candidates(name: str, distinct: pa.Array, n: np.ndarray) -> np.ndarray:
+        if name not in sets:
+            return np.zeros(0, np.int64)
+        return np.flatnonzero(pc.is_in(distinct, value_set=sets[name]).to_numpy(zero_copy_only=False) & (n > 0))
+
+    exact: dict[str, dict[str, int]] = {name: {} for name in largest}
+    for r in counted(candidates, True).where(F.col("lang").isin(largest)).collect():
+        exact[r.lang][r.word] = r.n
+    out = {}
+    for name in sorted(largest):
+        n = exact[name]
+        classes = np.array([n[f" {c}"] for c in range(CLASSES)], float)
+        words = sorted((w for w in n if not w.startswith(" ")), key=lambda w: (-n[w], w))[:common]  # noqa: B023
+        out[name] = {"classes": classes / max(1, classes.sum()), "words": {w: n[w] / max(1, n[TOTAL]) for w in sorted(words)}}
     return out
 
 
