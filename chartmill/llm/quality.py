@@ -29,7 +29,9 @@ LANGUAGES = 200
 MIN_WORDS = 50
 MIN_CHARS = 200
 MAX_CLASS_DISTANCE = 0.32
-MAX_WORD_DISTANCE = 0.52
+MAX_WORD_DISTANCE = 0.50
+#: Added to that limit over the root of the number of words: short texts stray further by chance.
+WORD_SLACK = 0.6
 #: A candidate common word has this share of the words of a language in some chunk.
 SHARE = 1 / 2000
 #: Stands for all words of a language; no word begins with a space.
@@ -213,7 +215,8 @@ def judge(reference: dict, text: str) -> Callable:
             lowered, counts = split_words(column)
             class_far, word_far = divergence(reference, base["classes"], lowered, counts)
             guarded = (base["n_words"] < MIN_WORDS) | (base["word_chars"] < MIN_CHARS)
-            far = ~guarded & ((class_far > MAX_CLASS_DISTANCE) | (word_far > MAX_WORD_DISTANCE)) if reference else np.zeros(len(counts), bool)
+            limit = MAX_WORD_DISTANCE + WORD_SLACK / np.sqrt(np.maximum(1, counts))
+            far = ~guarded & ((class_far > MAX_CLASS_DISTANCE) | (word_far > limit)) if reference else np.zeros(len(counts), bool)
             longs = [pa.array(base[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             return [*longs, pa.array(base["base_failed"]), pa.array(class_far), pa.array(word_far), pa.array(~base["base_failed"] & ~far)]
 
