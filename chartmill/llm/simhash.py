@@ -122,6 +122,17 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return found.union(reach.join(centre, "hub").where("fp <> b").select(F.col("fp").alias("a"), "b")).distinct()
 
 
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET, prints: DataFrame | None = None) -> DataFrame:
+    """(fingerprint, root, component_id) for each distinct fingerprint: root is the class's least fingerprint,
+    component_id the least key of its rows, null if they have none."""
+    rows = with_fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("body")), "body") if prints is None else prints
+    distinct = cut(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("key").alias("least")))
+    joined = components(links(distinct.select("fp"), bucket))
+    roots = distinct.join(joined, distinct.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    groups = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return roots.join(groups, "root").select(F.col("fp").alias("fingerprint"), "root", "component_id")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", bucket: int = BUCKET) -> DataFrame:
     """(key, fingerprint, component_id) for each row of df.
 
@@ -130,10 +141,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", buck
     Repeated rows and keys stay as they are.  Null and empty texts have fingerprint zero and link like any other.
     """
     rows = cut(with_fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("body")), "body").select("key", "fingerprint"))
-    prints = cut(rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("key").alias("least")))
-    joined = components(links(prints.select("fp"), bucket))
-    roots = prints.join(joined, prints.fp == joined.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = roots.join(groups, "root").select(F.col("fp").alias("fingerprint"), "component_id")
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
-    return rows.join(classes, "fingerprint", "left").select(F.col("key").alias(key), hexed, "component_id")
+    return rows.join(classes(df, key, text, bucket, rows), "fingerprint", "left").select(F.col("key").alias(key), hexed, "component_id")
