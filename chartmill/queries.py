@@ -1,4 +1,497 @@
 """Registered queries of the chart operators and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import bands, curation, edit, metrics, score, timing
+from .plans import views
+from .plans.lineage import cut
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: Common table expressions of DuckDB that the oracles share; each may use those before it.
+CTES = {
+    "lg": """select user_id chart_id, event_id line_no, event_type, ts, value, (epoch_us(ts) - epoch_us(timestamp '2024-01-01')) // 86400000 "time",
+      cast(regexp_extract(props, '([0-9]+)', 1) as bigint) k from events""",
+    "e0": """select chart_id, line_no, "time", k, case when line_no % 11 = 0 then 256 else (line_no * 37 + k) % 513 end x, case when line_no % 11 = 0 then 192 else (line_no * 53 + k * 7) % 385 end y,
+      case event_type when 'click' then 1 when 'purchase' then 2 else case when k < 10 then 8 else 1 end end + case when line_no % 4 = 0 then 4 else 0 end "type", (line_no % 8) * 2 hit_sound
+      from lg where event_type in ('click', 'purchase', 'error')""",
+    "ev0": """select *, ("type" & 2) <> 0 sl, case when ("type" & 2) <> 0 then case when k % 2 = 0 then 'B' else 'L' end end curve_type,
+      (x + k) % 513 x1, (y + 2 * k) % 385 y1, (x + 3 * k) % 513 x2, (y + k) % 385 y2,
+      case when ("type" & 2) <> 0 then 1 + line_no % 3 else 1 end slides, case when ("type" & 2) <> 0 then 50.0::double + k else 0 end "length" from e0""",
+    "cp": """select chart_id, line_no, cast("time" as double) "time", cast(case event_type when 'signup' then 300 + 2 * k else -(50 + k) end as double) bl, event_type = 'signup' red,
+      case when event_type = 'signup' then 0 else 1 end kind, line_no % 2 effects, case when event_type = 'signup' then 1.0::double else 100.0::double / (50 + k) end sv from lg where event_type in ('signup', 'view')""",
+    "ch": """select distinct user_id chart_id, user_id // 3 set_id, user_id // 3 audio_id, 'set' || (user_id // 3) folder, 'c' || user_id filename, case when user_id % 10 = 9 then 3 else 0 end "mode",
+      cast(3 + user_id % 4 as double) cs, ((user_id * 37) % 900) / 100.0::double star_rating from events""",
+    "et": """select v.*, coalesce(
+        (select arg_max(bl, row(p."time", p.line_no)) from cp p where p.chart_id = v.chart_id and red and p."time" <= v."time"),
+        (select arg_min(bl, row(p."time", p.line_no)) from cp p where p.chart_id = v.chart_id and red), 500.0::double) beat,
+      coalesce((select arg_max(sv, row(p."time", p.kind, p.line_no)) from cp p where p.chart_id = v.chart_id and p."time" <= v."time"), 1.0::double) sv from ev0 v""",
+    "ev": """select *, case when sl then "length" / (1.4::double * 100 * sv) * beat * slides else 0 end duration,
+      case when ("type" & 8) <> 0 then "time" + 500 when sl then cast(round_even("time" + "length" / (1.4::double * 100 * sv) * beat * slides, 0) as bigint) else "time" end end_time from et""",
+    "pt": """select chart_id, arg_min(bl, row("time", line_no)) beat_length, arg_min("time", row("time", line_no)) offset_ms from cp where red and bl > 0 group by chart_id""",
+    "w": """select *, lead("time") over o - "time" dt, lead("time") over o next_time, sqrt((lead(x) over o - x) ** 2 + (lead(y) over o - y) ** 2) dist, x - lag(x) over o ix, y - lag(y) over o iy, lead(x) over o - x ox, lead(y) over o - y oy,
+      row_number() over o ord, lag(end_time) over o prev_end from ev window o as (partition by chart_id order by "time", line_no)""",
+    "tn": """select *, case when sqrt(ix * ix + iy * iy) >= 1 and sqrt(ox * ox + oy * oy) >= 1 then
+      degrees(acos(greatest(-1.0::double, least(1.0::double, (ix * ox + iy * oy) / (sqrt(ix * ix + iy * iy) * sqrt(ox * ox + oy * oy)))))) end turn from w""",
+    "sg": """select *, sqrt((x2 - x) ** 2 + (y2 - y) ** 2) chord, sqrt((x1 - x) ** 2 + (y1 - y) ** 2) leg1, sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2) leg2 from tn""",
+    "sh": """select *, leg1 + leg2 whole, case when chord < 1e-6 then leg1 else abs((x1 - x) * (y2 - y) - (y1 - y) * (x2 - x)) / chord end sagitta from sg""",
+    "ki": """select chart_id, s "start", coalesce(e, last_end) "end" from (
+        select chart_id, "time" s, on_, lead("time") over (partition by chart_id order by "time", kind, line_no) e from (
+          select *, effects = 1 on_, lag(effects = 1, 1, false) over (partition by chart_id order by "time", kind, line_no) was from cp) where on_ <> was)
+      left join (select chart_id, arg_max(end_time, row("time", line_no)) last_end from ev group by chart_id) using (chart_id) where on_""",
+    "body": """select chart_id, ord, greatest(1.0::double, 54.4::double - 4.48::double * cs) r, q,
+        case when target > leg1 then x1 + p2 * (x2 - x1) else x + p1 * (x1 - x) end px, case when target > leg1 then y1 + p2 * (y2 - y1) else y + p1 * (y1 - y) end py
+      from (select *, least(1.0::double, greatest(0.0::double, target / case when leg1 = 0 then 1 else leg1 end)) p1,
+          least(1.0::double, greatest(0.0::double, (target - leg1) / case when whole - leg1 = 0 then 1 else whole - leg1 end)) p2
+        from (select *, case when whole = 0 then 1 else whole end * q / 12 target from sh, (select unnest(range(0, 13)) q) where sl)) join ch using (chart_id)""",
+    "ov": """select chart_id, count(*) sliders, count_if(hit) overlapping from (
+        select s.chart_id, s.ord, bool_or(coalesce(h.ord is not null, false)) hit from body s left join w h on h.chart_id = s.chart_id and abs(h.ord - s.ord) > 1
+          and sqrt((s.px - h.x) ** 2 + (s.py - h.y) ** 2) <= s.r group by s.chart_id, s.ord) group by chart_id""",
+    "svc": """select chart_id, count_if(abs(sv - p) > 1e-3) n from (select *, lag(sv, 1, 1.0::double) over (partition by chart_id order by "time", kind, line_no) p from cp) group by chart_id""",
+    "a0": """select chart_id, count(*) n_objects, coalesce(nullif((arg_max(end_time, row("time", line_no)) - min("time")) / 1000.0::double, 0), 1.0::double) sec, any_value(round_even(60000.0::double / beat_length, 3)) bpm,
+        avg((("type" & 1) <> 0)::int) c1, avg(sl::int) c2, avg((("type" & 8) <> 0)::int) c3, avg((("type" & 4) <> 0)::int) c4, count_if(sl) ns, count_if(curve_type = 'B') nb_, count_if(sl and sagitta >= 10) nc,
+        count_if(dt > 0) m, avg(dist) filter (dt > 0) md, stddev_pop(dist) filter (dt > 0) sd, count_if(dt > 0 and nb <= .3::double and dist <= 120) st, count_if(dt > 0 and dist >= 200) ju,
+        count_if(dt > 0 and least(abs(nb - round_even(nb * 8, 0) / 8), abs(nb - round_even(nb * 6, 0) / 6)) <= 0.03::double) og, count_if(dt > 0 and dist <= 3) sk,
+        avg(dist) filter (dt > 0 and nb <= .3::double and dist <= 120) ms, stddev_pop(dist) filter (dt > 0 and nb <= .3::double and dist <= 120) ss,
+        avg(turn) mt, count(turn) nt, count_if(turn >= 150) rv, avg(least(200.0::double, leg1, leg2)) filter (sl) sp,
+        avg((hit_sound > 0)::int) h0, avg(((hit_sound & 2) > 0)::int) h2, avg(((hit_sound & 4) > 0)::int) h4, avg(((hit_sound & 8) > 0)::int) h8
+      from (select sh.*, beat_length, dt / (60000.0::double / round_even(60000.0::double / beat_length, 3)) nb from sh left join pt using (chart_id)) group by chart_id""",
+    "a1": """select chart_id, n_objects, v.* from (select a0.*, n, kms, sliders, overlapping from a0 left join svc using (chart_id) left join ov using (chart_id)
+        left join (select chart_id, sum("end" - "start") kms from ki group by chart_id) using (chart_id)) z, lateral (select
+        round_even(sec, 1) duration_s, round_even(n_objects / sec, 2) density_per_s, coalesce(z.bpm, 0.0::double) bpm, round_even(c1, 3) circle_ratio, round_even(c2, 3) slider_ratio, round_even(c3, 3) spinner_ratio, round_even(c4, 3) new_combo_ratio,
+        round_even(h0, 3) hitsound_ratio, round_even(h2, 3) whistle_ratio, round_even(h4, 3) finish_ratio, round_even(h8, 3) clap_ratio,
+        round_even(nb_::double / greatest(1, ns), 3) bezier_slider_ratio, round_even(nc::double / greatest(1, ns), 3) curved_slider_ratio, round_even(coalesce(md, 0), 1) mean_spacing_px, round_even(coalesce(sd, 0), 1) std_spacing_px,
+        round_even(coalesce(st::double / nullif(m, 0), 0), 3) stream_ratio, round_even(coalesce(ju::double / nullif(m, 0), 0), 3) jump_ratio, round_even(coalesce(og::double / nullif(m, 0), 0), 3) on_quarter_grid_ratio,
+        round_even(coalesce(sk::double / nullif(m, 0), 0), 3) stack_ratio, round_even(coalesce(mt, 0), 1) mean_turn_angle_deg, round_even(coalesce(rv::double / nullif(nt, 0), 0), 3) reversal_ratio,
+        round_even(case when ms > 1e-6 then ss / ms else 0 end, 3) stream_spacing_cv, round_even(coalesce(sp, 0), 1) slider_anchor_spread_px, round_even(coalesce(n, 0) / (sec / 60), 2) sv_changes_per_min,
+        round_even(coalesce(kms, 0) / 1000 / sec, 3) kiai_ratio, round_even(coalesce(overlapping::double / nullif(sliders, 0), 0), 3) slider_overlap_ratio) v where n_objects >= 2""",
+    "mb": """select a1.*, star_rating, case when star_rating >= 0 and star_rating < 2 then 'Easy' when star_rating < 2.7::double and star_rating >= 2 then 'Normal' when star_rating < 4 and star_rating >= 2 then 'Hard'
+        when star_rating < 5.3::double and star_rating >= 2 then 'Insane' when star_rating < 6.5::double and star_rating >= 2 then 'Expert' else 'Expert+' end bucket from a1 join ch using (chart_id)""",
+    "ml": "select chart_id, bucket, metric, value from (unpivot (select chart_id, bucket, " + ", ".join(f'{k}::double "{k}"' for k in metrics.KEYS) + " from mb) on " + ", ".join(metrics.KEYS) + " into name metric value value)",
+    "bd": """select bucket, metric, count(*) n, cast(round_even(cast(cast(sum(cast(value as decimal(20, 6))) as double) / count(*) as decimal(30, 12)), 3) as double) mean, round_even(stddev_pop(value), 3) std, round_even(list_sort(list(value))[cast(floor(0.1::double * (count(*) - 1)) as bigint) + 1], 3) p10,
+        round_even(list_sort(list(value))[cast(floor(0.9::double * (count(*) - 1)) as bigint) + 1], 3) p90 from ml group by bucket, metric""",
+    "fw": "select * from (values " + ", ".join(f"('{f}', {i}, {w}::double, '{m}', {v}::double)" for i, (f, (w, ms)) in enumerate(score.FAMILIES.items()) for m, v in ms.items()) + ") t(family, family_ord, family_w, metric, metric_w)",
+    "fs": """select chart_id, family, family_ord, family_w, sum(metric_w * s) / sum(metric_w) score from (
+        select *, greatest(0.0::double, 1 - case when value < p10 then p10 - value when value > p90 then value - p90 else 0 end / greatest((p90 - p10) / 2, 1e-9::double)) s
+        from ml join bd using (bucket, metric) join fw using (metric) where p90 > p10) group by all""",
+    "ql": "select chart_id, sum(family_w * score) / sum(family_w) quality from fs group by chart_id",
+    "pl": """select chart_id, coalesce(count_if(ddt > 0 and sqrt((lx - nx) ** 2 + (ly - ny) ** 2) / ddt > 10)::double / nullif(count_if(ddt > 0), 0), 0) penalty from (
+        select chart_id, case when sl and slides % 2 <> 0 then x2 else x end lx, case when sl and slides % 2 <> 0 then y2 else y end ly, lead(x) over o nx, lead(y) over o ny,
+          lead("time") over o - case when sl then coalesce(nullif(end_time, 0), "time") else "time" end ddt from ev window o as (partition by chart_id order by "time", line_no)) group by chart_id""",
+    "rw": """select chart_id, bucket, round_even((0.65::double * quality + 0.35::double * (1 / (1 + ((star_rating - tgt) / 0.5::double) ** 2))) * least(1.0::double, greatest(0.0::double, 1 - penalty)), 4) reward, round_even(quality, 4) quality,
+        round_even(1 / (1 + ((star_rating - tgt) / 0.5::double) ** 2), 4) sr_closeness, penalty from (select *, floor(star_rating) tgt from mb) join ql using (chart_id) join pl using (chart_id)""",
+    "ca": """select l_orderkey job_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 idx, 1 - 2 * l_discount quality, 1 / (1 + (l_tax / 0.04::double) ** 2) sr_closeness,
+        l_quantity / 6 achieved_sr, l_returnflag flag, round_even(0.65::double * (1 - 2 * l_discount) + 0.35::double * (1 / (1 + (l_tax / 0.04::double) ** 2)), 4) reward from lineitem""",
+    "mf": "select doc_id item_id, md5(coalesce(text, '')) audio_id, substr(coalesce(text, ''), 1, 24) title, n_chars n_objects from documents",
+    "sk": "select item_id, audio_id, case when s = '' then '__item__' || item_id else s end song from (select *, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', ' ', 'g')) s from mf)",
+    "bt": """select chart_id song_id, line_no, cast("time" as double) beat_ms, case event_type when 'click' then 'ref' else 'pred' end kind from lg where event_type in ('click', 'view')""",
+    "tp": """select chart_id song_id, 60000.0::double / beat_length ref_bpm, offset_ms ref_offset, 60000.0::double / beat_length * [1.0::double, 2.0, 0.5, 1.001][chart_id % 4 + 1] pred_bpm, offset_ms + chart_id % 25 pred_offset from pt""",
+}
+
+
+def sql(body: str) -> str:
+    """body with the common table expressions that it needs, directly or through others."""
+    import re
+
+    names, need, text = list(CTES), set(), [body]
+    while text:
+        found = {n for n in names if re.search(rf"\b{n}\b", text[-1])} - need
+        text.pop()
+        need |= found
+        text += [CTES[n] for n in found]
+    return "with recursive " + ",\n".join(f"{n} as ({CTES[n]})" for n in names if n in need) + "\n" + body if need else body
+
+
+def query(name: str, oracle: str | None = None) -> Callable:
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = sql(oracle)
+        return f
+
+    return register
+
+
+def timed(spark: SparkSession, d: str) -> DataFrame:
+    return timing.with_timing(views.events(spark, d), views.control_points(spark, d), views.charts(spark, d))
+
+
+def chart_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics and star rating of each chart, computed once: bands, scores and joins read the one row a chart has."""
+    got = metrics.chart_metrics(timed(spark, d), views.control_points(spark, d), views.charts(spark, d))
+    return cut(got.join(views.charts(spark, d).select("chart_id", "star_rating"), "chart_id").where("n_objects >= 2"))
+
+
+def timing_pred(spark: SparkSession, d: str) -> DataFrame:
+    factor = "element_at(array(1.0D, 2.0D, 0.5D, 1.001D), cast(chart_id % 4 as int) + 1)"
+    return timing.primary_timing(views.control_points(spark, d)).selectExpr("chart_id as song_id", "bpm as ref_bpm", "offset_ms as ref_offset", f"bpm * {factor} as pred_bpm", "offset_ms + chart_id % 25 as pred_offset")
+
+
+@query("J1_ranked_join", """select chart_id, folder, filename from ch where "mode" = 0 and chart_id % 17 <> 0 and chart_id % 8 in (4, 5, 7)""")
+def _(spark, d):
+    return curation.ranked_join(views.charts(spark, d), views.chart_status(spark, d)).select("chart_id", "folder", "filename")
+
+
+@query("J2_J3_J4_timing", "select chart_id, line_no, round_even(beat, 6) beat_length, round_even(sv, 6) sv, round_even(duration, 6) duration, end_time from ev")
+def _(spark, d):
+    return timed(spark, d).select("chart_id", "line_no", *[F.bround(c, 6).alias(c) for c in ("beat_length", "sv", "duration")], "end_time")
+
+
+@query("P1_type_flags", """select chart_id, count_if(("type" & 1) <> 0) circles, count_if(sl) sliders, count_if(("type" & 8) <> 0) spinners, count_if(("type" & 4) <> 0) combos from ev0 group by chart_id""")
+def _(spark, d):
+    names = {"circles": "circle", "sliders": "slider", "spinners": "spinner", "combos": "new_combo"}
+    return metrics.type_flags(views.events(spark, d)).groupBy("chart_id").agg(*[F.count_if(f"is_{v}").alias(k) for k, v in names.items()])
+
+
+@query("P3_W29_primary_timing", "select chart_id, round_even(60000.0::double / beat_length, 3) bpm, offset_ms, beat_length from pt")
+def _(spark, d):
+    return timing.primary_timing(views.control_points(spark, d)).select("chart_id", F.bround("bpm", 3).alias("bpm"), "offset_ms", "beat_length")
+
+
+@query("P4_playable", """select chart_id from ch join (select chart_id, count(*) n from e0 group by chart_id) using (chart_id) where "mode" = 0 and n >= 35""")
+def _(spark, d):
+    return curation.playable(views.charts(spark, d), views.events(spark, d), 35).select("chart_id")
+
+
+GATE = """select chart_id, case when n_objects < 35 then 'too_few' when not star_rating between 1 and 10 then 'star_rating' when not coalesce(kiai, false) then 'no_kiai'
+  when coalesce(reds, 0) > 13 then 'multi_tempo' when hitsound_ratio < 0.1::double then 'few_hitsounds' end reject_reason from mb left join (select chart_id, count_if(red) reds, bool_or(effects = 1) kiai from cp group by chart_id) using (chart_id)"""
+
+
+def gated(spark, d):
+    return curation.gold_gate(chart_metrics(spark, d), views.control_points(spark, d), max_red=13, min_objects=35)
+
+
+QUERIES["P5_gold_gate"], ORACLES["P5_gold_gate"] = gated, sql(GATE)
+
+
+@query("A17_ingest_counters", f"select coalesce(reject_reason, 'kept') outcome, count(*) charts from ({GATE}) group by 1")
+def _(spark, d):
+    return curation.ingest_counters(gated(spark, d))
+
+
+@query("P6_sr_bucket", "select chart_id, bucket from mb")
+def _(spark, d):
+    return chart_metrics(spark, d).select("chart_id", bands.sr_bucket(F.col("star_rating")).alias("bucket"))
+
+
+@query("P7_P8_context", """select chart_id, round_even(least(1.5::double, star_rating / 10), 6) c1, round_even(least(1.5::double, least(10.0::double, 7.75::double + 0.25::double * star_rating) / 10), 6) c2,
+  round_even(least(10.0::double, 4 + 0.7::double * star_rating) / 10, 6) c3, 0.5::double c4, round_even(4.0::double / 7, 6) c5, round_even(least(1.5::double, n_objects / greatest(1e-6::double, duration_s) / 12), 6) c6, 0.5::double c7 from mb""")
+def _(spark, d):
+    items = curation.target_settings(chart_metrics(spark, d), "star_rating").withColumn("aim", F.lit(0.5))
+    return curation.context(items).select("chart_id", *[F.bround(F.col("ctx")[i], 6).alias(f"c{i + 1}") for i in range(7)])
+
+
+@query("P15_song_key", "select item_id, song from sk")
+def _(spark, d):
+    return views.manifest(spark, d).select("item_id", curation.song_key(F.col("title"), F.col("item_id")).alias("song"))
+
+
+@query("J7_slider_overlap", "select chart_id, sliders, overlapping from ov")
+def _(spark, d):
+    return metrics.slider_overlap(views.events(spark, d), views.charts(spark, d))
+
+
+@query("W1_pair_delta", "select chart_id, line_no, dt, round_even(dist, 6) dist from w")
+def _(spark, d):
+    return metrics.pair_delta(views.events(spark, d)).select("chart_id", "line_no", "dt", F.bround("dist", 6).alias("dist"))
+
+
+@query("W2_turn_angle", "select chart_id, line_no, round_even(turn, 4) turn from tn")
+def _(spark, d):
+    return metrics.turn_angle(views.events(spark, d)).select("chart_id", "line_no", F.bround("turn", 4).alias("turn"))
+
+
+@query("W3_sv_changes", "select chart_id, n sv_changes from svc")
+def _(spark, d):
+    return timing.sv_changes(views.control_points(spark, d))
+
+
+@query("W4_kiai_spans", 'select chart_id, "start", cast("end" as double) "end" from ki')
+def _(spark, d):
+    return timing.kiai_spans(views.control_points(spark, d), timing.last_ends(timed(spark, d)))
+
+
+@query("A1_chart_metrics", "select * exclude (bucket) from mb")
+def _(spark, d):
+    return chart_metrics(spark, d)
+
+
+@query("A2_corpus_bands", "select bucket, metric, n, mean, std, p10, p90 from bd")
+def _(spark, d):
+    return bands.corpus_bands(chart_metrics(spark, d))
+
+
+@query("A3_distribution_summary", """select n, round_even(mean, 4) mean, round_even(v[cast(floor(0.5::double * (n - 1)) as bigint) + 1], 4) median, round_even(v[cast(floor(0.1::double * (n - 1)) as bigint) + 1], 4) p10,
+  round_even(v[cast(floor(0.9::double * (n - 1)) as bigint) + 1], 4) p90, round_even(v[1], 4) "min", round_even(v[n], 4) "max" from (select count(*) n, avg(reward) mean, list_sort(list(reward)) v from ca)""")
+def _(spark, d):
+    return bands.distribution_summary(views.candidates(spark, d), "reward")
+
+
+@query("A6_slider_shapes", "select count(*) n, " + ", ".join(f"round_even(avg({v}), 4) {v}_mean, round_even(quantile_cont({v}, 0.5), 4) {v}_median, round_even(quantile_cont({v}, 0.9), 4) {v}_p90" for v in ("chord", "ratio", "sagitta")) + ", "
+       + ", ".join(f"round_even(avg(({v} >= {t}::double)::int), 4) {v}_over_{i}" for v, ts in (("ratio", (1.06, 1.15, 1.3)), ("sagitta", (10, 20, 40))) for i, t in enumerate(ts, 1)) + " from (select chord, case when chord <= 1 then 1 else whole / chord end ratio, sagitta from sh where sl)")
+def _(spark, d):
+    return metrics.slider_shape_summary(views.events(spark, d))
+
+
+@query("A7_sv_structure", """select chart_id, count(*) inherited, count(distinct v) distinct_sv, count_if(v <> p) changes, min(v) min_sv, max(v) max_sv from (
+  select *, lag(v) over (partition by chart_id order by "time", line_no) p from (select *, round_even(sv, 2) v from cp where not red)) group by chart_id""")
+def _(spark, d):
+    return metrics.sv_structure(views.control_points(spark, d))
+
+
+def scored(spark, d):
+    """Quality and playability of each chart, with the whole star below its rating as its target."""
+    m = chart_metrics(spark, d)
+    q = score.quality(m, bands.corpus_bands(m), score.family_weights(spark))
+    joined = q.join(m.select("chart_id", "star_rating"), "chart_id").join(score.playability(timed(spark, d)), "chart_id")
+    return score.reward(joined.withColumns({"achieved_sr": F.col("star_rating"), "target_sr": F.floor("star_rating"), "bucket": bands.sr_bucket(F.col("star_rating"))}))
+
+
+@query("A8_quality", "select chart_id, round_even(quality, 4) quality from ql")
+def _(spark, d):
+    m = chart_metrics(spark, d)
+    return score.quality(m, bands.corpus_bands(m), score.family_weights(spark)).select("chart_id", F.bround("quality", 4).alias("quality"))
+
+
+@query("A8_effective_weights", "select metric, round_even(family_w * metric_w / sum(metric_w) over (partition by family), 6) weight from fw where metric in (select metric from ml)")
+def _(spark, d):
+    used = bands.melt(chart_metrics(spark, d), ["chart_id"]).select("metric").distinct()
+    return score.effective_weights(score.family_weights(spark)).join(used, "metric", "left_semi").select("metric", F.bround("weight", 6).alias("weight"))
+
+
+@query("A9_playability", "select chart_id, round_even(penalty, 6) penalty from pl")
+def _(spark, d):
+    return score.playability(timed(spark, d)).select("chart_id", F.bround("penalty", 6).alias("penalty"))
+
+
+@query("A10_reward", "select chart_id, reward, quality, sr_closeness from rw")
+def _(spark, d):
+    return scored(spark, d).select("chart_id", "reward", "quality", "sr_closeness")
+
+
+@query("A4_calibration", "select case when grouping(bucket) = 1 then 'overall' else 'bucket' end dim, coalesce(bucket, 'all') \"key\", count(*) n, round_even(avg(reward), 4) mean from rw group by grouping sets ((), (bucket))")
+def _(spark, d):
+    return score.calibration(scored(spark, d))
+
+
+@query("T1_bottom_n", "select chart_id, reward, quality from rw order by reward, chart_id limit 20")
+def _(spark, d):
+    return score.bottom_n(scored(spark, d), 20).select("chart_id", "reward", "quality")
+
+
+@query("T2_worst_family", "select chart_id, arg_min(family, row(round_even(score, 9), family_ord)) family from fs group by chart_id")
+def _(spark, d):
+    m = chart_metrics(spark, d)
+    got = score.families(m, bands.corpus_bands(m), score.family_weights(spark), ["chart_id"])
+    return score.worst_family(got.withColumn("score", F.bround("score", 9)), ["chart_id"])
+
+
+@query("A13_sr_sweep", "select chart_id, count_if(value between p10 and p90) in_band, count(*) scored from ml join bd using (bucket, metric) group by chart_id")
+def _(spark, d):
+    m = chart_metrics(spark, d)
+    return score.sr_sweep(m, bands.corpus_bands(m))
+
+
+@query("A18_J5_z_scores", "select chart_id, metric, value, mean, std, round_even((value - mean) / coalesce(nullif(std, 0), 1e-9::double), 2) z, value between p10 and p90 in_range from ml join bd using (bucket, metric)")
+def _(spark, d):
+    m = chart_metrics(spark, d)
+    return bands.z_scores(m, bands.corpus_bands(m))
+
+
+def halves(spark, d):
+    """Bands of the charts with even and with odd ids."""
+    m = chart_metrics(spark, d)
+    return [bands.corpus_bands(m.where(F.col("chart_id") % 2 == r)) for r in (0, 1)]
+
+
+HALVES = "select bucket, metric, chart_id % 2 half, cast(round_even(cast(cast(sum(cast(value as decimal(20, 6))) as double) / count(*) as decimal(30, 12)), 3) as double) mean from ml group by all"
+
+
+@query("A16_drift", f"""with hv as ({HALVES}), both_ as (select a.bucket, a.metric, round_even((b.mean - a.mean) / nullif(abs(a.mean), 0), 4) change from hv a join hv b using (bucket, metric) where a.half = 0 and b.half = 1)
+  select metric, bucket, change, same_sign from both_ join (select metric, count(distinct sign(change)) = 1 same_sign from both_ group by metric) using (metric)""".replace("with hv", ", hv", 1))
+def _(spark, d):
+    return bands.drift(*halves(spark, d))
+
+
+@query("J6_compare", """select coalesce(a.metric, b.metric) metric, l, r from (select metric, round_even(avg(value), 6) l from ml where bucket = 'Easy' group by 1) a full join (select metric, round_even(avg(value), 6) r from ml where bucket = 'Expert+' group by 1) b using (metric)""")
+def _(spark, d):
+    long = bands.melt(chart_metrics(spark, d).withColumn("bucket", bands.sr_bucket(F.col("star_rating"))), ["bucket"])
+    mean = lambda b: long.where(F.col("bucket") == b).groupBy("metric").agg(F.bround(F.avg("value"), 6).alias("value"))
+    return bands.compare(mean("Easy"), mean("Expert+"))
+
+
+@query("A11_aim_intensity", """select audio_id, round_even(case when top > 0 then greatest(0.0::double, least(1.0::double, mean / top / 0.35::double)) else 0 end, 4) aim from (select chart_id // 3 audio_id, avg(value) mean, max(value) top from lg group by 1)""")
+def _(spark, d):
+    return metrics.aim_intensity(views.onset_frames(spark, d))
+
+
+@query("A12_P16_tempo_estimate", """select song_id, round_even(case when raw <= 0 then 0 when raw < 89 then raw * 2.0::double ** ceil(log2(89 / raw)) when raw >= 205 then raw / 2.0::double ** (floor(log2(raw / 205)) + 1) else raw end, 3) bpm,
+  case when n < 2 then 0 else round_even(first, 1) end offset_ms from (select song_id, n, first, case when n < 2 or gap <= 0 then 0 else 60000.0::double / gap end raw from (
+    select song_id, count(*) n, quantile_cont(g, 0.5) gap, min(beat_ms) first from (select *, beat_ms - lag(beat_ms) over (partition by song_id order by beat_ms, line_no) g from bt where kind = 'ref') group by song_id))""")
+def _(spark, d):
+    return timing.tempo_estimate(views.beats(spark, d).where("kind = 'ref'"))
+
+
+EVAL = """select *, exact_ or exists(select 1 from (select unnest([0.25::double, 0.3333333333333333, 0.5, 0.6666666666666666, 1.5, 2.0, 3.0, 4.0]) r) where abs(pred_bpm - ref_bpm * r) <= greatest(0.1::double, 0.02::double * ref_bpm * r)) octave,
+  case when phase_err < 5 then 'excellent' when phase_err < 10 then 'good' when phase_err < 20 then 'playable' else 'off' end bucket from (
+  select *, abs(pred_bpm - ref_bpm) bpm_err, abs(pred_bpm - ref_bpm) <= 0.1::double exact_, least(ph, 60000.0::double / ref_bpm - ph) phase_err from (select *, ((pred_offset - ref_offset) % (60000.0::double / ref_bpm) + 60000.0::double / ref_bpm) % (60000.0::double / ref_bpm) ph from tp))"""
+
+
+@query("A20_tempo_eval", f"select song_id, round_even(bpm_err, 6) bpm_err, exact_ exact, octave, round_even(phase_err, 6) phase_err, bucket from ({EVAL})")
+def _(spark, d):
+    return timing.tempo_eval(timing_pred(spark, d)).select("song_id", F.bround("bpm_err", 6).alias("bpm_err"), "exact", "octave", F.bround("phase_err", 6).alias("phase_err"), "bucket")
+
+
+@query("A5_timing_summary", f"""select count(*) n, round_even(avg(exact_::int), 3) exact_bpm_rate, round_even(avg(octave::int), 3) octave_rate, round_even(avg((bucket = 'excellent')::int), 3) offset_excellent_rate,
+  round_even(avg((bucket <> 'off')::int), 3) offset_playable_rate, round_even(avg((exact_ and bucket = 'excellent')::int), 3) exact_rate from ({EVAL})""")
+def _(spark, d):
+    return timing.timing_summary(timing.tempo_eval(timing_pred(spark, d)))
+
+
+@query("A19_grid_drift", """select song_id, round_even(max(least(m, b - m)), 4) max_drift, round_even(avg(least(m, b - m)), 4) mean_drift from (
+  select song_id, 60000.0::double / pred_bpm b, ((beat_ms - pred_offset) % (60000.0::double / pred_bpm) + 60000.0::double / pred_bpm) % (60000.0::double / pred_bpm) m from bt join tp using (song_id) where kind = 'ref') group by song_id""")
+def _(spark, d):
+    grid = timing_pred(spark, d).select("song_id", F.col("pred_bpm").alias("bpm"), F.col("pred_offset").alias("offset_ms"))
+    return timing.grid_drift(grid, views.beats(spark, d).where("kind = 'ref'").select("song_id", "beat_ms")).select("song_id", F.bround("max_drift", 4).alias("max_drift"), F.bround("mean_drift", 4).alias("mean_drift"))
+
+
+@query("A21_tempo_census", """select count(*) charts, round_even(avg((n > 1)::int), 4) multi_tempo_share from (select chart_id, count(distinct round_even(60000.0::double / bl, 3)) n from cp where red and bl > 0 group by 1)""")
+def _(spark, d):
+    return metrics.tempo_census(views.control_points(spark, d))
+
+
+@query("W28_beat_grid", """select chart_id, round_even(s + k * bl, 6) beat_ms, k % 4 = 0 is_downbeat from (select chart_id, "time" s, bl, unnest(range(0, greatest(0, cast(ceil((coalesce(lead("time") over (partition by chart_id order by "time", line_no), 30000.0::double) - 1e-6::double - "time") / bl) as bigint)))) k from cp where red)""")
+def _(spark, d):
+    durations = views.charts(spark, d).select("chart_id", F.lit(30000.0).alias("duration_ms"))
+    return timing.beat_grid(views.control_points(spark, d), durations).select("chart_id", F.bround("beat_ms", 6).alias("beat_ms"), "is_downbeat")
+
+
+@query("T3_A14_best_of_n", "select job_id, arg_max(idx, row(reward, -idx)) winner, round_even(avg(reward), 9) mean_reward, max(reward) max_reward, count(*) n_completed, round_even(max(reward) - round_even(avg(reward), 9), 9) lift from ca group by job_id")
+def _(spark, d):
+    return score.best_of_n(views.candidates(spark, d))
+
+
+@query("W21_match_attempts", """select job_id, cast(coalesce(min(idx) filter (stopped = 0 and err <= 0.4::double), arg_min(idx, row(err, idx)) filter (stopped = 0), -1) as bigint) chosen from (
+  select *, abs(a - 4.5::double) err, count_if(a is null) over (partition by job_id order by idx rows unbounded preceding) stopped from (select *, case when flag = 'R' and idx = 2 then null else achieved_sr end a from ca)) group by job_id""")
+def _(spark, d):
+    return score.match_attempts(views.attempts(spark, d))
+
+
+@query("W22_monotonic", "select job_id, bool_and(coalesce(achieved_sr <= nx + 0.3::double, true)) monotonic from (select *, lead(achieved_sr) over (partition by job_id order by idx) nx from ca) group by job_id")
+def _(spark, d):
+    return score.monotonic(views.candidates(spark, d))
+
+
+LOG = "select o_custkey % 50 run, row_number() over (partition by o_custkey % 50 order by o_orderdate, o_orderkey) epoch, o_totalprice / 1e6::double val_loss from orders"
+
+
+@query("W25_S10_best_checkpoint", f"select run, epoch, val_loss, coalesce(val_loss < min(val_loss) over (partition by run order by epoch rows between unbounded preceding and 1 preceding), true) best from ({LOG})")
+def _(spark, d):
+    return score.best_checkpoint(views.training_log(spark, d))
+
+
+@query("A26_norm_summary", f"select round_even(avg(val_loss), 4) mean, round_even(quantile_cont(val_loss, 0.5), 4) median, round_even(quantile_cont(val_loss, 0.99), 4) p99, round_even(max(val_loss), 4) \"max\", count_if(val_loss > 0.1::double) over_1, count_if(val_loss > 0.3::double) over_2 from ({LOG})")
+def _(spark, d):
+    return score.norm_summary(views.training_log(spark, d), "val_loss", (0.1, 0.3))
+
+
+@query("A25_ab_compare", "select count_if(x > 0.02::double) wins, count_if(x < -0.02::double) losses, count_if(abs(x) <= 0.02::double) ties, round_even(avg(x), 4) mean_delta from (select b.reward - a.reward x from ca a join ca b using (job_id) where a.idx = 0 and b.idx = 1)")
+def _(spark, d):
+    c = views.candidates(spark, d)
+    return score.ab_compare(c.where("idx = 0"), c.where("idx = 1"), ["job_id"])
+
+
+COMPONENTS = """, edges as (select distinct a, b from (select item_id a, min(item_id) over (partition by song) b from sk union all select item_id, min(item_id) over (partition by audio_id) from sk)),
+  both_ as (select a, b from edges union select b, a from edges), reach(item_id, g) as (select item_id, item_id from sk union select both_.b, g from reach join both_ on both_.a = reach.item_id where both_.b > g),
+  gr as (select item_id, min(g) grp from reach group by item_id)"""
+
+
+@query("J13_components", COMPONENTS + ' select item_id, grp "group" from gr')
+def _(spark, d):
+    return curation.song_groups(views.manifest(spark, d))
+
+
+@query("W24_grouped_split", COMPONENTS + """, sz as (select grp, count(*) n, md5('1234:' || grp) h from gr group by grp)
+  select item_id, grp "group", case when coalesce(before, 0) < greatest(1, round_even((select count(*) from gr) * 0.1::double, 0)) then 'val' else 'train' end side
+  from gr join (select grp, sum(n) over (order by h rows between unbounded preceding and 1 preceding) before from sz) using (grp)""")
+def _(spark, d):
+    return curation.grouped_split(curation.song_groups(views.manifest(spark, d))).select("item_id", "group", "side")
+
+
+@query("J15_leak_check", """, s as (select *, case when item_id % 10 = 0 then 'val' else 'train' end side from sk)
+  select 'song' kind, song "key" from s group by song having count(distinct side) > 1 union all select 'audio', audio_id from s group by audio_id having count(distinct side) > 1""")
+def _(spark, d):
+    m = views.manifest(spark, d)
+    return curation.leaks(m, m.select("item_id", F.expr("case when item_id % 10 = 0 then 'val' else 'train' end").alias("side")))
+
+
+@query("J10_resolve_split", "select item_id, case when item_id % 10 = 0 then 'val' else 'train' end side from mf")
+def _(spark, d):
+    m = views.manifest(spark, d)
+    frozen = m.where("item_id % 10 = 0").select("item_id").union(m.select(-F.col("item_id") - 1))
+    return curation.resolve_split(m, frozen).select("item_id", "side")
+
+
+@query("U5_J9_dedupe_audio", "select audio_id, min(item_id) item_id, count(*) items from mf group by audio_id")
+def _(spark, d):
+    return curation.dedupe_audio(views.manifest(spark, d))
+
+
+@query("T5_seeded_sample", "select item_id from mf order by md5('7:' || item_id), item_id limit 100")
+def _(spark, d):
+    return curation.seeded_sample(views.manifest(spark, d), "item_id", 100, 7).select("item_id")
+
+
+@query("W23_first_per_audio", "select audio_id, min(item_id) item_id from mf group by audio_id order by 2 limit 50")
+def _(spark, d):
+    return curation.first_per_audio(views.manifest(spark, d), 50)
+
+
+@query("W14_breaks", """select chart_id, end_time + 200 "start", next_time - 400 "end" from w where next_time - end_time >= 3500 and next_time - 400 - end_time - 200 >= 800""")
+def _(spark, d):
+    return edit.breaks(timed(spark, d))
+
+
+@query("W15_clamp_length", """select chart_id, line_no, round_even(case when sl and "length" > mx then greatest(10.0::double, mx) else "length" end, 4) "length" from (
+  select *, greatest(1.0::double, coalesce(next_time, "time" + 100000) - "time") * 0.9::double / beat * (140.0::double * sv) / greatest(1, slides) mx from w)""")
+def _(spark, d):
+    return edit.clamp_length(timed(spark, d)).select("chart_id", "line_no", F.bround("length", 4).alias("length"))
+
+
+SNAP = " union all ".join(f"select chart_id, line_no, {i} ord, offset_ms + round_even((\"time\" - offset_ms) / (beat_length / {v}), 0) * (beat_length / {v}) grid from w join pt using (chart_id)" for i, v in enumerate((4, 8, 6)))
+
+
+@query("W16_J12_snap_events", f"""select chart_id, line_no, "time" + s "time", end_time + s end_time from (select w.*, case when abs(grid - "time") > 0 and abs(grid - "time") <= least(60.0::double, 0.5::double * beat_length / 8) then cast(round_even(grid, 0) as bigint) - "time" else 0 end s
+  from w left join pt using (chart_id) left join (select chart_id, line_no, arg_min(grid, row(abs(grid - t), ord)) grid from (select q.*, w."time" t from ({SNAP}) q join w using (chart_id, line_no)) group by 1, 2) using (chart_id, line_no))""")
+def _(spark, d):
+    return edit.snap_events(timed(spark, d), timing.primary_timing(views.control_points(spark, d)), (4, 8, 6)).select("chart_id", "line_no", "time", "end_time")
+
+
+@query("W17_snap_slider_ends", """select chart_id, line_no, round_even(case when sl then greatest(10.0::double, kk * iv / beat * (140.0::double * sv) / greatest(1, slides)) else "length" end, 4) "length", case when sl then cast(round_even("time" + kk * iv, 0) as bigint) else end_time end end_time from (
+  select *, greatest(1.0::double, least(round_even((end_time - "time") / iv, 0), floor(greatest(iv, coalesce(next_time, "time" + 10 * beat) - "time") * 0.88::double / iv))) kk from (select *, beat / 4 iv from w))""")
+def _(spark, d):
+    return edit.snap_slider_ends(timed(spark, d)).select("chart_id", "line_no", F.bround("length", 4).alias("length"), "end_time")
+
+
+@query("W12_W13_trim_ends")
+def _(spark, d):
+    return edit.trim_ends(timed(spark, d)).select("chart_id", "line_no", "time", "end_time")
+
+
+@query("F11_P13_clamp_playfield")
+def _(spark, d):
+    return edit.clamp_playfield(timed(spark, d)).select("chart_id", "line_no", "x", "y", F.bround("length", 4).alias("length"), "end_time")
+
+
+@query("W27_U1_merge_green")
+def _(spark, d):
+    points = views.control_points(spark, d)
+    base = points.where("uninherited").groupBy("chart_id").agg(F.min_by(F.struct("time", "effects"), F.struct("time", "line_no")).alias("p")).select("chart_id", "p.time", "p.effects")
+    sections = points.where("not uninherited").groupBy("chart_id", "time").agg(F.max(F.bround(timing.velocity(), 1)).alias("sv"))
+    return edit.merge_green(base, timing.kiai_spans(points, timing.last_ends(timed(spark, d))), sections)
