@@ -39,8 +39,8 @@ def nearest_rank(values: DataFrame, by: list[str], value: str = "value", at: tup
 
 
 def exact_mean(value: str) -> Column:
-    """Mean of values of at most 6 digits, from their exact sum: the same for any order of the rows."""
-    return F.sum(F.col(value).cast("decimal(20,6)")).cast("double") / F.count(value)
+    """Mean of values of at most 6 digits, from their exact sum, to 12 digits: the same for any order of the rows."""
+    return F.bround(F.sum(F.col(value).cast("decimal(20,6)")).cast("double") / F.count(value), 12)
 
 
 def corpus_bands(metrics: DataFrame) -> DataFrame:
