@@ -27,7 +27,7 @@ from .columnar import SPACE, as_strings, long, ragged, ship, starts_of, string,
 #: Fixed value: the pattern of byte-level pre-tokens.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A task forgets its distinct units when it has more than these; they are then encoded anew.
-UNIT_CACHE = 1_000_000
+UNIT_CACHE = 400_000
 PLAIN = np.array([chr(b).isascii() and chr(b).isalnum() for b in range(256)])
 PUNCTUATION = np.array([33 <= b < 127 and not PLAIN[b] for b in range(256)])
 
@@ -216,10 +216,12 @@ class Encoder:
         return ids, starts_of(lengths)[starts_of(per_text)]
 
 
-def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """df with n_tokens and ids (array of int), the whole text's ids under the byte-level BPE file at path.
+def encode(df: DataFrame, path: str, text: str = "text", keep_ids: bool = True) -> DataFrame:
+    """df with n_tokens, ids (array of int; only with keep_ids), ids_sha256 and decoded_sha256.
 
-    A special token's string in a text becomes its id.  Null and empty texts have no ids.  Columns with a result's
+    The whole text is encoded under the byte-level BPE file at path, and its ids are decoded again.  A special token's
+    string in a text becomes its id.  ids_sha256 is of the ids as little-endian unsigned 32-bit integers, decoded_sha256
+    of the decoded text in UTF-8, both in lowercase hex.  Null and empty texts have no ids.  Columns with a result's
     name are replaced.
     """
 
@@ -228,11 +230,20 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
         def work(part: pa.RecordBatch) -> list[pa.Array]:
             ids, offsets = encoder(part.column(part.schema.get_field_index(text)))
-            return [pa.array(np.diff(offsets)), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
+            vocab = encoder.vocab
+            decoded = vocab.decode(ids)
+            ends = starts_of(vocab.lengths[ids])[offsets].tolist()
+            raw = ids.astype("<u4").tobytes()
+            cuts = (offsets * 4).tolist()
+            hashed = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]
+            told = [hashlib.sha256(decoded[a:b].decode("utf-8", "replace").encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
+            lists = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))] * keep_ids
+            return [pa.array(np.diff(offsets)), *lists, pa.array(hashed, pa.string()), pa.array(told, pa.string())]
 
         return work
 
-    return with_columns(df, text, [long("n_tokens"), T.StructField("ids", T.ArrayType(T.IntegerType()))], kernel)
+    kept = [T.StructField("ids", T.ArrayType(T.IntegerType()))] * keep_ids
+    return with_columns(df, text, [long("n_tokens"), *kept, string("ids_sha256"), string("decoded_sha256")], kernel)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -249,29 +260,3 @@ def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") ->
     kept = [i for i, c in enumerate(df.columns) if c.lower() != into.lower()]
     names = [df.columns[i] for i in kept] + [into]
     return df.mapInArrow(run, T.StructType([df.schema[i] for i in kept] + [string(into)]))
-
-
-def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256: encode and decode in one pass, without moving the ids.
-
-    ids_sha256 is of the ids as little-endian unsigned 32-bit integers, decoded_sha256 of the decoded text in UTF-8,
-    both in lowercase hex.  Null texts count as empty.
-    """
-
-    def kernel():
-        encoder = Encoder(path)
-
-        def work(part: pa.RecordBatch) -> list[pa.Array]:
-            ids, offsets = encoder(part.column(part.schema.get_field_index(text)))
-            vocab = encoder.vocab
-            decoded = vocab.decode(ids)
-            ends = starts_of(vocab.lengths[ids])[offsets].tolist()
-            raw = ids.astype("<u4").tobytes()
-            cuts = (offsets * 4).tolist()
-            hashed = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]
-            told = [hashlib.sha256(decoded[a:b].decode("utf-8", "replace").encode()).hexdigest() for a, b in zip(ends, ends[1:], strict=False)]
-            return [pa.array(np.diff(offsets)), pa.array(hashed, pa.string()), pa.array(told, pa.string())]
-
-        return work
-
-    return with_columns(df, text, [long("n_tokens"), string("ids_sha256"), string("decoded_sha256")], kernel)

@@ -109,6 +109,7 @@ def with_columns(df: DataFrame, text: str, fields: list[T.StructField], kernel:
         for batch in batches:
             for part in chunks(batch, text, limit):
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + list(work(part)), names=names)
+            pa.default_memory_pool().release_unused()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

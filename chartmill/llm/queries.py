@@ -24,7 +24,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.round_trip(docs, public_tokenizers.path(BPE_FILE)).drop("text")
+    return bpe.encode(docs, public_tokenizers.path(BPE_FILE), keep_ids=False).drop("text")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
