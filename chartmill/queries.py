@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import bands, curation, edit, metrics, score, timing
+from .operators import bands, curation, edit, frames, metrics, score, sequences, timing
 from .plans import views
 from .plans.lineage import cut
+from .sources import charts as charts_io
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -495,3 +496,105 @@ def _(spark, d):
     base = points.where("uninherited").groupBy("chart_id").agg(F.min_by(F.struct("time", "effects"), F.struct("time", "line_no")).alias("p")).select("chart_id", "p.time", "p.effects")
     sections = points.where("not uninherited").groupBy("chart_id", "time").agg(F.max(F.bround(timing.velocity(), 1)).alias("sv"))
     return edit.merge_green(base, timing.kiai_spans(points, timing.last_ends(timed(spark, d))), sections)
+
+
+N_FRAMES = 2584
+
+
+def rastered(spark: SparkSession, d: str) -> DataFrame:
+    return frames.rasterise(timed(spark, d), views.control_points(spark, d), views.charts(spark, d), N_FRAMES)
+
+
+FR = f"{frames.MS_PER_FRAME!r}::double"
+CTES["eo"] = f'select *, "time" / {FR} f, row_number() over (partition by chart_id order by "time", line_no) ord from ev where "time" / {FR} < {N_FRAMES}'
+CTES["bump"] = f"""select chart_id, q frame, max(exp(-0.5::double * ((q - f) / 1.2::double) ** 2)) onset, max(case when ("type" & 4) <> 0 then exp(-0.5::double * ((q - f) / 1.2::double) ** 2) end) new_combo,
+  max(case when (hit_sound & 2) <> 0 then exp(-0.5::double * ((q - f) / 1.2::double) ** 2) end) whistle, max(case when (hit_sound & 4) <> 0 then exp(-0.5::double * ((q - f) / 1.2::double) ** 2) end) finish,
+  max(case when (hit_sound & 8) <> 0 then exp(-0.5::double * ((q - f) / 1.2::double) ** 2) end) clap from (
+  select *, unnest(range(greatest(0, floor(f - 4.8::double))::bigint, least({N_FRAMES - 1}, ceil(f + 4.8::double))::bigint + 1)) q from eo) group by all"""
+CTES["hold"] = f"""select chart_id, q frame, max(case when sl then 1 end) slider_hold, max(case when not sl then 1 end) spinner_hold, arg_max(case when sl then (slides - 1) / 3.0::double end, ord) filter (sl) slides,
+  arg_max(least(1.2::double, sag / 80), ord) filter (sl) curve from (
+  select eo.*, s.sagitta sag, unnest(range(round_even(f, 0)::bigint, round_even(least({N_FRAMES - 1}, eo.end_time / {FR}), 0)::bigint + 1)) q from eo left join sh s using (chart_id, line_no) where eo.sl or (eo."type" & 8) <> 0) group by all"""
+CTES["kf"] = f"""select distinct chart_id, unnest(range(greatest(0, round_even("start" / {FR}, 0))::bigint, least({N_FRAMES - 1}, round_even("end" / {FR}, 0))::bigint + 1)) frame from ki"""
+
+
+@query("R1_rasterise", f"""select c.chart_id, round_even(sum(coalesce(onset * 2 - 1, -1)), 3) onset, round_even(sum(coalesce(new_combo * 2 - 1, -1)), 3) new_combo, round_even(sum(coalesce(whistle * 2 - 1, -1)), 3) whistle,
+  round_even(sum(coalesce(finish * 2 - 1, -1)), 3) finish, round_even(sum(coalesce(clap * 2 - 1, -1)), 3) clap, cast(sum(coalesce(slider_hold, -1)) as double) slider_hold, cast(sum(coalesce(spinner_hold, -1)) as double) spinner_hold,
+  cast(sum(case when kf.frame is null then -1 else 1 end) as double) kiai_hold, round_even(sum(coalesce(slides * 2 - 1, -1)), 3) slides, round_even(sum(coalesce(curve, 0)), 3) curve
+  from (select chart_id, unnest(range(0, {N_FRAMES})) frame from ch) c left join bump using (chart_id, frame) left join hold using (chart_id, frame) left join kf using (chart_id, frame) group by all""")
+def _(spark, d):
+    sums = ["onset", "new_combo", "whistle", "finish", "clap", "slider_hold", "spinner_hold", "kiai_hold", "slides", "curve"]
+    return rastered(spark, d).groupBy("chart_id").agg(*[F.bround(F.sum(F.col(c).cast("double")), 3).alias(c) for c in sums])
+
+
+RUNS = "select chart_id, min(frame) \"first\", max(frame) \"last\" from (select chart_id, frame, frame - row_number() over (partition by chart_id order by frame) i from hold where {} = 1) group by chart_id, i"
+
+
+@query("W5_active_runs", RUNS.format("slider_hold"))
+def _(spark, d):
+    return frames.active_runs(rastered(spark, d), "slider_hold").select("chart_id", "first", "last")
+
+
+@query("W5_W6_spinner_spans", f"""select chart_id, min("first") "first", max("last") "last" from (select *, sum(fresh) over (partition by chart_id order by "first") g from (
+  select *, case when "first" - lag("last") over (partition by chart_id order by "first") <= {int(800 / frames.MS_PER_FRAME)} then 0 else 1 end fresh from ({RUNS.format('spinner_hold')}) where "last" - "first" + 1 >= 26)) group by chart_id, g""")
+def _(spark, d):
+    return frames.spinner_spans(rastered(spark, d))
+
+
+@query("W7_J8_peaks")
+def _(spark, d):
+    f = rastered(spark, d)
+    return frames.outside_spans(frames.pick_peaks(f), frames.spinner_spans(f))
+
+
+@query("R3_T4_decode_kiai")
+def _(spark, d):
+    return frames.decode_kiai(rastered(spark, d))
+
+
+@query("W19_R4_span_mean")
+def _(spark, d):
+    f = rastered(spark, d)
+    return frames.span_mean(f, frames.active_runs(f, "slider_hold").select("chart_id", "first", "last"), "spacing").select("chart_id", "first", "last", F.bround("mean", 6).alias("mean"))
+
+
+@query("A15_spacing_ratio")
+def _(spark, d):
+    return frames.spacing_ratio(rastered(spark, d), timed(spark, d)).select("chart_id", *[F.bround(c, 4).alias(c) for c in ("channel_mean", "cursor_mean", "ratio")])
+
+
+@query("R5_training_windows")
+def _(spark, d):
+    return frames.training_windows(rastered(spark, d), 512).groupBy("chart_id").agg(F.count("*").alias("frames"), F.bround(F.sum(F.col("onset").cast("double")), 3).alias("onset"))
+
+
+@query("R6_mirror")
+def _(spark, d):
+    return frames.mirror(rastered(spark, d)).groupBy("chart_id", "flip").agg(F.bround(F.sum(F.col("cursor_x").cast("double")), 3).alias("x"), F.bround(F.sum(F.col("cursor_y").cast("double")), 3).alias("y")).select("chart_id", "flip.fx", "flip.fy", "x", "y")
+
+
+@query("W26_sv_sections")
+def _(spark, d):
+    return sequences.sv_sections(rastered(spark, d))
+
+
+@query("W18_P14_respace")
+def _(spark, d):
+    e = views.events(spark, d)
+    return sequences.respace(e, e.select("chart_id", "line_no", (F.col("line_no") % 300).cast("double").alias("magnitude")))
+
+
+@query("J11_beat_f_measure")
+def _(spark, d):
+    return sequences.beat_f_measure(views.beats(spark, d))
+
+
+@query("W20_J14_early_abort")
+def _(spark, d):
+    return sequences.early_abort(views.trajectories(spark, d))
+
+
+@query("S9_export")
+def _(spark, d):
+    charts = views.charts(spark, d).selectExpr("*", "'a.mp3' as audio_filename", "'t' as title", "'a' as artist", "'c' as creator", "'v' as version", "5.0D as hp", "8.0D as od", "9.0D as ar")
+    e = timed(spark, d)
+    return charts_io.export_text(charts, e, views.control_points(spark, d), edit.breaks(e)).select("chart_id", F.length("text").alias("characters"), F.md5("text").alias("md5"))
