@@ -31,10 +31,10 @@ def nearest_rank(values: DataFrame, by: list[str], value: str = "value", at: tup
 
     Values are counted first, so a group's window holds its distinct values only.
     """
-    counted = values.groupBy(*by, value).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumns({"upto": upto, "n": F.sum("k").over(Window.partitionBy(*by))})
-    picks = [F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("n") - 1)), F.col(value))).alias(f"p{round(100 * q)}") for q in at]
+    counted = values.groupBy(*by, value).agg(F.count("*").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counted.withColumns({"_upto": upto, "_n": F.sum("_k").over(Window.partitionBy(*by))})
+    picks = [F.min(F.when(F.col("_upto") > F.floor(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(f"p{round(100 * q)}") for q in at]
     return ranked.groupBy(*by).agg(*picks)
 
 
