@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +85,27 @@ def resampled(rows: DataFrame, poly: str, n: int) -> DataFrame:
 
 def circle_radius(cs: Column) -> Column:
     return 54.4 - 4.48 * cs
+
+
+@F.pandas_udf("array<struct<x:int,y:int>>")
+def simplify(polygons: pd.Series) -> pd.Series:
+    """Ramer-Douglas-Peucker on each polygon (array of {x, y}): points within 18 px of a chord go.
+
+    The recursion has no column form; polygons have tens of points, and come and go in Arrow batches.
+    """
+    limit = 18.0
+
+    def keep(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        chosen, open_ = {0, len(points) - 1}, [(0, len(points) - 1)]
+        while open_:
+            i, j = open_.pop()
+            (ax, ay), (bx, by) = points[i], points[j]
+            dx, dy = bx - ax, by - ay
+            norm = math.hypot(dx, dy) or 1.0
+            far, at = max(((abs(dy * x - dx * y + bx * ay - by * ax) / norm, -k) for k, (x, y) in enumerate(points[i + 1 : j], i + 1)), default=(0.0, 0))
+            if far > limit:
+                chosen.add(-at)
+                open_ += [(i, -at), (-at, j)]
+        return [points[k] for k in sorted(chosen)]
+
+    return polygons.map(lambda poly: [{"x": x, "y": y} for x, y in keep([(p["x"], p["y"]) for p in poly])] if poly is not None and len(poly) else [])

@@ -117,6 +117,7 @@ def merge_green(base: DataFrame, kiai: DataFrame, sections: DataFrame) -> DataFr
     """
     edges = sections.select(CHART, "time").union(kiai.select(CHART, "start")).union(kiai.select(CHART, "end")).distinct()
     at = edges.join(base.select(CHART, F.col("time").alias("base_time"), F.expr("effects & 1").alias("base_kiai")), CHART).withColumn("gt", F.expr("greatest(cast(time as bigint), cast(base_time as bigint) + 1)"))
+    kiai = kiai.where(F.col("end") > F.col("start"))
     marks = sections.select(CHART, F.col("time").cast("double").alias("gt"), "sv", F.lit(0).alias("step"), F.lit(0).alias("kind")).union(
         kiai.select(CHART, F.col("start").cast("double"), F.lit(None).cast("double"), F.lit(1), F.lit(0))).union(kiai.select(CHART, F.col("end").cast("double"), F.lit(None).cast("double"), F.lit(-1), F.lit(0)))
     rows = at.withColumns({"kind": F.lit(1), "gt": F.col("gt").cast("double"), "row": F.col("time")}).unionByName(marks, allowMissingColumns=True)

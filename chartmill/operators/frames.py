@@ -180,3 +180,54 @@ def spacing_ratio(frames: DataFrame, events: DataFrame) -> DataFrame:
     channel = frames.where("spacing > 0").groupBy(CHART).agg((F.avg(F.col("spacing").cast("double")) * 300).alias("channel_mean"))
     heads = events.withColumns({"nx": F.lead("x").over(in_time()), "ny": F.lead("y").over(in_time())}).groupBy(CHART).agg(F.avg(g.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"))).alias("cursor_mean"))
     return heads.join(channel, CHART, "left").select(CHART, F.coalesce("channel_mean", F.lit(0.0)).alias("channel_mean"), F.coalesce("cursor_mean", F.lit(0.0)).alias("cursor_mean")).withColumn("ratio", F.col("channel_mean") / F.greatest("cursor_mean", F.lit(1.0)))
+
+
+def recover_gaps(peaks: DataFrame, frames: DataFrame, channel: str = "onset", threshold: float = 0.3, min_gap: int = 2, share: float = 0.5, tolerance: float = 0.34, longest: int = 14) -> DataFrame:
+    """peaks with those that a regular run seems to lack: where a gap is about twice the short one before it, the
+    strongest frame around the missing beat, if the channel has at least a share of the threshold there."""
+    w = Window.partitionBy(CHART).orderBy("frame")
+    gaps = peaks.withColumns({"before": F.col("frame") - F.lag("frame").over(w), "after": F.lead("frame").over(w) - F.col("frame")})
+    holes = gaps.where((F.col("before") > 0) & (F.col("before") <= longest) & (F.abs(F.col("after") - 2 * F.col("before")) <= F.col("before") * tolerance))
+    reach = F.greatest(F.lit(1), F.floor(F.col("before") / 3))
+    probes = holes.select(CHART, F.col("frame").alias("peak"), "after", (F.col("frame") + F.col("before") - reach).alias("low"), (F.col("frame") + F.col("before") + reach).alias("high"))
+    cells = covered(probes, F.greatest(F.lit(0), "low"), F.col("high")).drop("low", "high").join(frames.select(CHART, "frame", F.col(channel).alias("value")), [CHART, "frame"])
+    best = cells.groupBy(CHART, "peak", "after").agg(F.max_by(F.struct("frame", "value"), F.struct("value", -F.col("frame"))).alias("p")).select(CHART, "peak", "after", "p.*")
+    found = best.where((F.col("value") >= threshold * share) & (F.col("frame") - F.col("peak") >= min_gap) & (F.col("peak") + F.col("after") - F.col("frame") >= min_gap))
+    return peaks.select(CHART, "frame", "value").union(found.select(CHART, "frame", "value")).dropDuplicates([CHART, "frame"])
+
+
+def decode_events(frames: DataFrame, onset: float = 0.3, min_gap: int = 2, min_slider: int = 4, accent: float = 0.85) -> DataFrame:
+    """Events from frames: spinners from long runs, then a circle or slider at each onset outside them.
+
+    A slider needs a hold within four frames that lasts min_slider frames before the next onset or spinner.  Its body
+    is the straight line to where the cursor is at its end, at least 10 px long.
+    """
+    spans = spinner_spans(frames)
+    peaks = recover_gaps(pick_peaks(frames, "onset", onset, min_gap), frames, "onset", onset, min_gap)
+    n = frames.groupBy(CHART).agg((F.max("frame") + 1).alias("size"))
+    nxt = F.lead("frame").over(Window.partitionBy(CHART).orderBy("frame"))
+    ordered = peaks.select(CHART, "frame", nxt.alias("next_peak")).join(n, CHART).withColumn("next_peak", F.coalesce("next_peak", "size"))
+    shown = outside_spans(ordered, spans)
+    spin = shown.join(spans.select(CHART, F.col("first").alias("spin")), CHART, "left").groupBy(CHART, "frame", "next_peak").agg(F.min(F.when(F.col("spin") > F.col("frame"), F.col("spin"))).alias("spin"))
+    limits = spin.select(CHART, "frame", F.least("next_peak", "spin").alias("until"))
+    # The first frame without a hold at or after each frame, and the strongest hold of four.
+    w = Window.partitionBy(CHART).orderBy("frame")
+    off = F.min(F.when(F.col("slider_hold") <= 0, F.col("frame"))).over(w.rowsBetween(0, Window.unboundedFollowing))
+    probe = frames.withColumns({"off": off, "hold": F.max("slider_hold").over(w.rowsBetween(0, 3))}).join(n, CHART).withColumn("off", F.coalesce("off", "size"))
+    at = limits.join(probe, [CHART, "frame"]).withColumn("end", F.greatest(F.col("frame") + 1, F.least(F.col("off") - 1, F.col("until") - 1)))
+    slider = (F.col("hold") > 0) & (F.col("end") - F.col("frame") >= min_slider)
+    xy = lambda c, size: F.bround((F.col(c).cast("double") + 1) / 2 * size, 0)
+    place = lambda c, size: clip(xy(c, size), 0, size).cast("int")
+    ms = lambda c: F.bround(F.col(c) * MS_PER_FRAME, 0).cast("long")
+    tails = frames.select(CHART, F.col("frame").alias("end"), place("cursor_x", WIDTH).alias("ex"), place("cursor_y", HEIGHT).alias("ey"))
+    sound = sum((F.when(F.col(c) > accent, b).otherwise(0) for c, b in (("whistle", 2), ("finish", 4), ("clap", 8))), F.lit(0))
+    combo = F.when(F.col("new_combo") > 0, 4).otherwise(0)
+    heads = at.join(tails, [CHART, "end"], "left").withColumns({"is": F.coalesce(slider, F.lit(False)), "x": place("cursor_x", WIDTH), "y": place("cursor_y", HEIGHT)})
+    none = F.array().cast("array<struct<x:int,y:int>>")
+    events = heads.select(
+        CHART, F.col("frame").cast("long").alias("line_no"), ms("frame").alias("time"), "x", "y", (F.when(F.col("is"), 2).otherwise(1) + combo).alias("type"), sound.alias("hit_sound"), F.when(F.col("is"), F.lit("L")).alias("curve_type"),
+        F.when(F.col("is"), F.array(F.struct(F.coalesce("ex", "x").alias("x"), F.coalesce("ey", "y").alias("y")))).otherwise(none).alias("curve_points"), F.lit(1).alias("slides"),
+        F.when(F.col("is"), F.greatest(F.lit(10.0), g.distance(F.col("x"), F.col("y"), F.coalesce("ex", "x"), F.coalesce("ey", "y")))).otherwise(0.0).alias("length"), F.when(F.col("is"), ms("end")).otherwise(ms("frame")).alias("end_time"),
+    )
+    spinners = spans.select(CHART, F.col("first").cast("long").alias("line_no"), ms("first").alias("time"), F.lit(256).alias("x"), F.lit(192).alias("y"), F.lit(8).alias("type"), F.lit(0).alias("hit_sound"), F.lit(None).cast("string").alias("curve_type"), none.alias("curve_points"), F.lit(1).alias("slides"), F.lit(0.0).alias("length"), ms("last").alias("end_time"))
+    return events.unionByName(spinners)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import geometry
 from .operators import bands, curation, edit, frames, metrics, score, sequences, timing
 from .plans import views
 from .plans.lineage import cut
@@ -502,7 +503,8 @@ N_FRAMES = 2584
 
 
 def rastered(spark: SparkSession, d: str) -> DataFrame:
-    return frames.rasterise(timed(spark, d), views.control_points(spark, d), views.charts(spark, d), N_FRAMES)
+    """The frame table, stored once: decoding reads it many times."""
+    return cut(frames.rasterise(timed(spark, d), views.control_points(spark, d), views.charts(spark, d), N_FRAMES))
 
 
 FR = f"{frames.MS_PER_FRAME!r}::double"
@@ -598,3 +600,63 @@ def _(spark, d):
     charts = views.charts(spark, d).selectExpr("*", "'a.mp3' as audio_filename", "'t' as title", "'a' as artist", "'c' as creator", "'v' as version", "5.0D as hp", "8.0D as od", "9.0D as ar")
     e = timed(spark, d)
     return charts_io.export_text(charts, e, views.control_points(spark, d), edit.breaks(e)).select("chart_id", F.length("text").alias("characters"), F.md5("text").alias("md5"))
+
+
+@query("W8_U2_recover_gaps")
+def _(spark, d):
+    f = rastered(spark, d)
+    return frames.recover_gaps(frames.pick_peaks(f), f)
+
+
+@query("R2_decode_events")
+def _(spark, d):
+    return frames.decode_events(rastered(spark, d)).select("chart_id", "line_no", "time", "x", "y", "type", "hit_sound", F.bround("length", 4).alias("length"), "end_time")
+
+
+@query("A22_proxy_quality")
+def _(spark, d):
+    """Quality of decoded events at one tempo, without a rating term, against the corpus's bands."""
+    charts = views.charts(spark, d)
+    events = frames.decode_events(rastered(spark, d))
+    tempo = charts.select("chart_id", F.lit(0).cast("long").alias("line_no"), F.lit(0.0).alias("time"), F.lit(400.0).alias("beat_length"), F.lit(4).alias("meter"), F.lit(True).alias("uninherited"), F.lit(0).alias("effects"))
+    m = cut(metrics.chart_metrics(events, tempo, charts).where("n_objects >= 2").join(charts.select("chart_id", "star_rating"), "chart_id"))
+    q = score.quality(m, bands.corpus_bands(chart_metrics(spark, d)), score.family_weights(spark))
+    return charts.select("chart_id").join(q, "chart_id", "left").select("chart_id", F.bround(F.coalesce("quality", F.lit(0.0)), 4).alias("quality"))
+
+
+@query("A23_probe_mean", """select round_even(avg(reward), 6) probe from (select reward, row_number() over (partition by set_id order by chart_id) r from rw join ch using (chart_id)) where r = 1""")
+def _(spark, d):
+    first = views.charts(spark, d).groupBy("audio_id").agg(F.min("chart_id").alias("chart_id"))
+    return scored(spark, d).join(first, "chart_id", "left_semi").agg(F.bround(F.avg("reward"), 6).alias("probe"))
+
+
+@query("A24_lever_sweep", """select chart_id % 4 knob, bucket, round_even(avg(density_per_s), 6) density, round_even(avg(mean_spacing_px), 6) spacing, round_even(avg(jump_ratio), 6) jump, round_even(avg(stream_ratio), 6) stream from mb group by all""")
+def _(spark, d):
+    names = {"density": "density_per_s", "spacing": "mean_spacing_px", "jump": "jump_ratio", "stream": "stream_ratio"}
+    rows = chart_metrics(spark, d).select((F.col("chart_id") % 4).alias("knob"), bands.sr_bucket(F.col("star_rating")).alias("bucket"), *names.values())
+    return rows.groupBy("knob", "bucket").agg(*[F.bround(F.avg(v), 6).alias(k) for k, v in names.items()])
+
+
+@query("F6_simplify")
+def _(spark, d):
+    sliders = metrics.type_flags(views.events(spark, d)).where("is_slider")
+    return sliders.select("chart_id", "line_no", F.size(geometry.simplify(geometry.polygon())).alias("points"))
+
+
+@query("P17_safe_name", """select item_id, coalesce(nullif(trim(substr(trim(regexp_replace(title, '[<>:"/\\\\|?*]', '', 'g')), 1, 120)), ''), 'track') name from mf""")
+def _(spark, d):
+    return views.manifest(spark, d).select("item_id", curation.safe_name(F.col("title")).alias("name"))
+
+
+CTES["ke"] = 'select chart_id, "start" s, "end" e from ki'
+CTES["gb"] = """select chart_id, arg_min("time", row("time", line_no)) bt, arg_min(effects, row("time", line_no)) bk from cp where red group by chart_id"""
+CTES["gs"] = """select chart_id, "time", max(round_even(sv, 1)) sv from cp where not red group by 1, 2"""
+GREEN = """select chart_id, gt "time", bl beat_length, eff effects from (select *, lag(bl, 1, -100.0::double) over w b0, coalesce(lag(eff) over w, bk) e0 from (
+  select chart_id, t, bk, gt, cast((select count(*) from ke where ke.chart_id = z.chart_id and s <= gt and gt < e) > 0 as int) eff,
+    round_even(-100.0::double / greatest(coalesce((select arg_max(sv, "time") from gs where gs.chart_id = z.chart_id and "time" <= gt), 1.0::double), 1e-3::double), 4) bl
+  from (select chart_id, t, bk, greatest(cast(floor(t) as bigint), cast(floor(bt) as bigint) + 1) gt from (select distinct chart_id, t from (select chart_id, "time" t from gs union all select chart_id, s from ke union all select chart_id, e from ke)) join gb using (chart_id)) z)
+  window w as (partition by chart_id order by gt, t)) where bl <> b0 or eff <> e0"""
+ORACLES["W27_U1_merge_green"] = sql(GREEN)
+ORACLES["A15_spacing_ratio"] = sql(f"""select chart_id, round_even(coalesce(cm, 0), 4) channel_mean, round_even(coalesce(m, 0), 4) cursor_mean, round_even(coalesce(cm, 0) / greatest(coalesce(m, 0), 1), 4) ratio
+  from (select chart_id, avg(dist) m from w group by 1) left join (
+    select chart_id, sum(v * n) / sum(n) cm from (select chart_id, cast(least(1.2::double, dist / 300) as float)::double * 300 v, least({N_FRAMES}, round_even(next_time / {FR}, 0)) - round_even("time" / {FR}, 0) n from w where dist > 0 and next_time is not null) where n > 0 group by 1) using (chart_id)""")
