@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..plans.lineage import cut
 from . import timing
 from .metrics import in_time, type_flags
 
@@ -202,8 +203,8 @@ def decode_events(frames: DataFrame, onset: float = 0.3, min_gap: int = 2, min_s
     A slider needs a hold within four frames that lasts min_slider frames before the next onset or spinner.  Its body
     is the straight line to where the cursor is at its end, at least 10 px long.
     """
-    spans = spinner_spans(frames)
-    peaks = recover_gaps(pick_peaks(frames, "onset", onset, min_gap), frames, "onset", onset, min_gap)
+    spans = cut(spinner_spans(frames))  # few rows a chart, read by several branches, as are the peaks
+    peaks = cut(recover_gaps(cut(pick_peaks(frames, "onset", onset, min_gap)), frames, "onset", onset, min_gap))
     n = frames.groupBy(CHART).agg((F.max("frame") + 1).alias("size"))
     nxt = F.lead("frame").over(Window.partitionBy(CHART).orderBy("frame"))
     ordered = peaks.select(CHART, "frame", nxt.alias("next_peak")).join(n, CHART).withColumn("next_peak", F.coalesce("next_peak", "size"))

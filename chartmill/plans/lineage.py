@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+def named_folder(df: DataFrame) -> str | None:
+    """The session's spark.checkpoint.dir, which all executors share; None where it is unset."""
+    return df.sparkSession.conf.get("spark.checkpoint.dir", None)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the reliable checkpoint folder and read from it.
 
@@ -16,13 +21,13 @@ def cut(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chartmill-"))
+        sc.setCheckpointDir(named_folder(df) or tempfile.mkdtemp(prefix="chartmill-"))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(df: DataFrame) -> str:
     """A new name in the folder that all executors share; a temporary folder only where none is set."""
-    root = df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chartmill-")
+    root = named_folder(df) or tempfile.mkdtemp(prefix="chartmill-")
     return f"{root.rstrip('/')}/chartmill-{uuid.uuid4().hex}"
 
 

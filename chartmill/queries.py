@@ -126,7 +126,7 @@ def timed(spark: SparkSession, d: str) -> DataFrame:
 
 def chart_metrics(spark: SparkSession, d: str) -> DataFrame:
     """Metrics and star rating of each chart, computed once: bands, scores and joins read the one row a chart has."""
-    got = metrics.chart_metrics(timed(spark, d), views.control_points(spark, d), views.charts(spark, d))
+    got = metrics.chart_metrics(cut(timed(spark, d)), views.control_points(spark, d), views.charts(spark, d))
     return cut(got.join(views.charts(spark, d).select("chart_id", "star_rating"), "chart_id").where("n_objects >= 2"))
 
 
