@@ -24,11 +24,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id, then the least hash of its text; null
     doc_ids come last; of repeated rows one.  Texts move once, to the keys of the documents that stay."""
     none = F.col("doc_id").isNull()
-    keyed = docs.withColumns({"id0": F.coalesce(F.col("doc_id"), F.lit(0)), "hash": F.xxhash64("text", none)})
-    rows = cut(simhash.with_fingerprint(keyed.select("id0", "hash", "doc_id", "text")).select("id0", "hash", F.col("doc_id").alias("key"), "fingerprint"))
-    best = F.min(F.struct(F.col("key").isNull(), "id0", "hash")).alias("best")
-    stay = rows.join(simhash.classes(docs, prints=rows), "fingerprint").groupBy("root").agg(best).select("best.id0", "best.hash")
-    return keyed.join(stay, ["id0", "hash"], "left_semi").dropDuplicates(["id0", "hash"]).select(docs.columns)
+    keyed = docs.withColumns({"_near_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_near_hash": F.xxhash64("text", none)})
+    rows = cut(simhash.with_fingerprint(keyed.select("_near_id", "_near_hash", "doc_id", "text")).select("_near_id", "_near_hash", F.col("doc_id").alias("key"), "fingerprint"))
+    best = F.min(F.struct(F.col("key").isNull(), "_near_id", "_near_hash")).alias("best")
+    stay = rows.join(simhash.classes(docs, prints=rows), "fingerprint").groupBy("root").agg(best).select("best._near_id", "best._near_hash")
+    return keyed.join(stay, ["_near_id", "_near_hash"], "left_semi").dropDuplicates(["_near_id", "_near_hash"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
