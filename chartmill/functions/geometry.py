@@ -87,13 +87,11 @@ def circle_radius(cs: Column) -> Column:
     return 54.4 - 4.48 * cs
 
 
-@F.pandas_udf("array<struct<x:int,y:int>>")
-def simplify(polygons: pd.Series) -> pd.Series:
-    """Ramer-Douglas-Peucker on each polygon (array of {x, y}): points within 18 px of a chord go.
+def simplify(poly: Column, limit: float = 18.0) -> Column:
+    """Ramer-Douglas-Peucker on each polygon (array of {x, y}): points within limit px of a chord go.
 
     The recursion has no column form; polygons have tens of points, and come and go in Arrow batches.
     """
-    limit = 18.0
 
     def keep(points: list[tuple[int, int]]) -> list[tuple[int, int]]:
         chosen, open_ = {0, len(points) - 1}, [(0, len(points) - 1)]
@@ -108,4 +106,7 @@ def simplify(polygons: pd.Series) -> pd.Series:
                 open_ += [(i, -at), (-at, j)]
         return [points[k] for k in sorted(chosen)]
 
-    return polygons.map(lambda poly: [{"x": x, "y": y} for x, y in keep([(p["x"], p["y"]) for p in poly])] if poly is not None and len(poly) else [])
+    def batch(polygons: pd.Series) -> pd.Series:
+        return polygons.map(lambda one: [{"x": x, "y": y} for x, y in keep([(p["x"], p["y"]) for p in one])] if one is not None and len(one) else [])
+
+    return F.pandas_udf(batch, "array<struct<x:int,y:int>>")(poly)
