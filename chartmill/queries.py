@@ -571,7 +571,7 @@ def _(spark, d):
 
 @query("R6_mirror")
 def _(spark, d):
-    return frames.mirror(rastered(spark, d)).groupBy("chart_id", "flip").agg(F.bround(F.sum(F.col("cursor_x").cast("double")), 3).alias("x"), F.bround(F.sum(F.col("cursor_y").cast("double")), 3).alias("y")).select("chart_id", "flip.fx", "flip.fy", "x", "y")
+    return frames.mirror(rastered(spark, d)).groupBy("chart_id", "flip").agg(F.bround(F.sum(F.col("cursor_x").cast("double")), 2).alias("x"), F.bround(F.sum(F.col("cursor_y").cast("double")), 2).alias("y")).select("chart_id", "flip.fx", "flip.fy", "x", "y")
 
 
 @query("W26_sv_sections")
@@ -660,3 +660,23 @@ ORACLES["W27_U1_merge_green"] = sql(GREEN)
 ORACLES["A15_spacing_ratio"] = sql(f"""select chart_id, round_even(coalesce(cm, 0), 4) channel_mean, round_even(coalesce(m, 0), 4) cursor_mean, round_even(coalesce(cm, 0) / greatest(coalesce(m, 0), 1), 4) ratio
   from (select chart_id, avg(dist) m from w group by 1) left join (
     select chart_id, sum(v * n) / sum(n) cm from (select chart_id, cast(least(1.2::double, dist / 300) as float)::double * 300 v, least({N_FRAMES}, round_even(next_time / {FR}, 0)) - round_even("time" / {FR}, 0) n from w where dist > 0 and next_time is not null) where n > 0 group by 1) using (chart_id)""")
+ORACLES["R3_T4_decode_kiai"] = sql(f"""select chart_id, cast(round_even(f * {FR}, 0) as bigint) "start", cast(round_even(l * {FR}, 0) as bigint) "end" from (
+  select *, row_number() over (partition by chart_id order by round_even((2 * n_on - (l - f + 1))::double / (l - f + 1), 9) desc, f) r from (
+    select chart_id, min(f) f, max(l) l, sum(l - f + 1) n_on from (select *, sum(fresh) over (partition by chart_id order by f) g from (
+      select *, case when f - lag(l) over (partition by chart_id order by f) <= 1000 / {FR} then 0 else 1 end fresh from (
+        select chart_id, min(frame) f, max(frame) l from (select chart_id, frame, frame - row_number() over (partition by chart_id order by frame) i from kf) group by chart_id, i))) group by chart_id, g)
+  where l - f >= 1500 / {FR}) where r <= 3""")
+ORACLES["F11_P13_clamp_playfield"] = sql("""select chart_id, line_no, cx x, cy y, round_even(case when nl < "length" - 0.5 then greatest(10.0::double, nl) else "length" end, 4) "length",
+  case when nl < "length" - 0.5 then "time" + cast(round_even((end_time - "time") * nl / "length", 0) as bigint) else end_time end end_time from (
+  select *, case when sl and "length" > pl + 0.5 then pl + least("length" - pl, case when norm < 1e-6 then 0 else greatest(0.0::double, least(norm * 10,
+      case when dx / norm > 1e-6 then (512 - bx) / (dx / norm) when dx / norm < -1e-6 then (0 - bx) / (dx / norm) else norm * 10 end,
+      case when dy / norm > 1e-6 then (384 - b_y) / (dy / norm) when dy / norm < -1e-6 then (0 - b_y) / (dy / norm) else norm * 10 end)) end) end nl from (
+    select *, bx - ax dx, b_y - ay dy, sqrt((bx - ax) ** 2 + (b_y - ay) ** 2) norm, sqrt((ax - cx) ** 2 + (ay - cy) ** 2) + sqrt((bx - ax) ** 2 + (b_y - ay) ** 2) pl from (
+      select *, least(512, greatest(0, x)) cx, least(384, greatest(0, y)) cy, least(512, greatest(0, x1)) ax, least(384, greatest(0, y1)) ay, least(512, greatest(0, x2)) bx, least(384, greatest(0, y2)) b_y from ev)))""")
+ORACLES["R6_mirror"] = sql(f"""with km as (select chart_id, sum(cx) x, sum(cy) y from (select chart_id, q, case when t2 is null or q <= t or t2 = t then x else x + (q - t) / (t2 - t) * (x2 - x) end cx, case when t2 is null or q <= t or t2 = t then y else y + (q - t) / (t2 - t) * (y2 - y) end cy from (
+    select *, unnest(range(case when fst then 0 else ceil(t)::bigint end, case when t2 is null then {N_FRAMES} else least({N_FRAMES}, ceil(t2)::bigint) end)) q from (
+      select chart_id, t, x, y, lead(t) over w t2, lead(x) over w x2, lead(y) over w y2, row_number() over w = 1 fst from (
+        select chart_id, line_no, f t, 0 o, x / 512.0::double * 2 - 1 x, y / 384.0::double * 2 - 1 y from eo union all
+        select chart_id, line_no, least({N_FRAMES - 1}, end_time / {FR}), 1, case when slides % 2 <> 0 then x2 else x end / 512.0::double * 2 - 1, case when slides % 2 <> 0 then y2 else y end / 384.0::double * 2 - 1 from eo where sl)
+      window w as (partition by chart_id order by t, line_no, o)))) group by 1)
+  select chart_id, fx, fy, round_even(coalesce(x, 0) * fx, 2) x, round_even(coalesce(y, 0) * fy, 2) y from ch left join km using (chart_id), (values (1, 1), (-1, 1), (1, -1), (-1, -1)) s(fx, fy)""".replace("with km as", ", km as", 1))
