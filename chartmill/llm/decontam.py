@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .columnar import ALNUM, long, ragged, split_words, starts_of, with_columns
 
 WINDOW = 13
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
 #: Every so many-th position of a shard keeps its place in the text.
 SAMPLE = 8
 #: Rows that are walked to their places at once.
@@ -163,9 +163,12 @@ class Windows:
         places = ragged(begins, sizes + 1)
         text = np.where(places < np.repeat(begins + sizes, sizes + 1), code[np.minimum(places, len(code) - 1)], 0)
         index = FMIndex(text, len(self.vocabulary) + 1)
-        low, high = index.search(self.patterns, self.lengths)
+        # Windows with a word that the shard lacks needn't be searched; padding is 0, the separator.
+        there = np.bincount(text, minlength=len(self.vocabulary) + 1) > 0
+        live = np.flatnonzero(there[self.patterns].all(axis=1))
+        low, high = index.search(self.patterns[live], self.lengths[live])
         hits = np.maximum(high - low, 0)
-        window = np.repeat(np.arange(len(hits)), hits)
+        window = np.repeat(live, hits)
         at = places[index.locate(ragged(low, hits))]
         row = np.searchsorted(first, at, side="right") - 1
         return row, at - first[row], window, counts
