@@ -16,8 +16,8 @@ HEADER = {
 }
 
 
-def chart_scan(spark: SparkSession, root: str, pattern: str = "*.osu") -> DataFrame:
-    """(chart_id, folder, filename, text) of each file under root; chart_id is a hash of the path."""
+def chart_scan(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+    """(chart_id, folder, filename, text) of each file under root that fits the pattern; chart_id is a hash of the path."""
     files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern).select("value", F.col("_metadata.file_path").alias("path"))
     parts = F.split("path", "/")
     return files.select(F.xxhash64("path").alias("chart_id"), F.url_decode(F.element_at(parts, -2)).alias("folder"), F.url_decode(F.element_at(parts, -1)).alias("filename"), F.col("value").alias("text"))

@@ -11,7 +11,7 @@ from chartmill.sources import charts as io
 
 POINTS = "chart_id long, line_no long, time double, beat_length double, meter int, uninherited boolean, effects int"
 EVENTS = "chart_id long, line_no long, time long, x int, y int, type int, hit_sound int, curve_type string, curve_points array<struct<x:int,y:int>>, slides int, length double, end_time long"
-SAMPLE = """osu file format v14
+SAMPLE = """file format v14
 
 [General]
 AudioFilename: audio.mp3
@@ -59,14 +59,14 @@ def measured(spark, events, pts, cs=4.0):
 def sample(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("charts") / "1 Song"
     folder.mkdir()
-    (folder / "a [Hard].osu").write_text(SAMPLE)
+    (folder / "a [Hard].chart").write_text(SAMPLE)
     return io.read_charts(spark, str(folder.parent))
 
 
 def test_parser(sample):
     charts, pts, events = sample
     c = charts.first()
-    assert (c.folder, c.filename, c.title, c.artist, c.slider_multiplier, c.cs, c.ar) == ("1 Song", "a [Hard].osu", "Song", "Someone: else", 1.4, 5.0, 5.0)
+    assert (c.folder, c.filename, c.title, c.artist, c.slider_multiplier, c.cs, c.ar) == ("1 Song", "a [Hard].chart", "Song", "Someone: else", 1.4, 5.0, 5.0)
     rows = timing.with_timing(events, pts, charts).orderBy("time").collect()
     assert [r.type & 11 for r in rows] == [1, 2, 8, 2] and rows[1].sv == 2.0 and abs(rows[1].duration - 200 / 280 * 500) < 2
     assert (rows[2].end_time, rows[3].time, rows[3].curve_points, rows[3].hit_sound) == (5000, 4000, [], 0)
@@ -74,7 +74,7 @@ def test_parser(sample):
 
 
 def test_background(spark, tmp_path):
-    (tmp_path / "x.osu").write_text(SAMPLE)
+    (tmp_path / "x.chart").write_text(SAMPLE)
     assert io.background_ref(io.section_lines(io.chart_scan(spark, str(tmp_path)))).first().background == "bg.jpg"
 
 
