@@ -1,10 +1,10 @@
-"""License scans with a positional rare-token index.
+"""License scans with a positional index of each template's rarest words.
 
-The index lists, for every word of the licence templates, its (template, position) postings.  A word's rarity is
-its inverse document frequency, counted over all documents.  In a text the places of the licence words whose
-rarity reaches RARE are looked up; a posting and a place give an alignment (template, place - position), and the
-places of an alignment are intersected.  An alignment that holds enough of a template's rarity is verified: one
-of the template's mandatory phrases must stand at its place.
+A word's rarity falls with its document frequency, counted over all documents, and is never 0.  The index lists the
+(template, position) postings of the rarest word of every mandatory phrase, however frequent that word is: without
+one of its phrases no template counts, so each alignment (template, place - position) that can count starts from a
+posting.  There the phrase is verified, and all words of the template are compared; an alignment that holds enough
+of the template's rarity counts.
 
 Documents are scanned where they are, twice: once to count the few licence words, once to look them up.
 """
@@ -38,8 +38,6 @@ TEMPLATES = {
     "cc0": [("released under the cc0 public domain dedication", ["cc0"]), ("to the extent possible under law the author has waived all copyright and related rights", ["waived all copyright and related"])],
     "unlicense": [("this is free and unencumbered software released into the public domain", ["released into the public domain"])],
 }
-#: A licence word counts as rare from this natural logarithm of documents per document with the word.
-RARE = 1.5
 #: An alignment counts from this share of its template's rarity.
 MATCH = 0.6
 
@@ -55,15 +53,14 @@ class Index:
         self.rarity = np.zeros(len(words))
 
     def weigh(self, documents: int, frequency: dict[str, int]) -> Index:
-        """The index with rarities from document frequencies; a word that no document has is rarest."""
-        self.rarity = np.array([np.log((documents + 1) / (frequency.get(w, 0) + 1)) for w in self.words.to_pylist()])
-        rare = self.rarity >= RARE
-        postings = [(self.code[w], t, p) for t, (_, text, _) in enumerate(self.rows) for p, w in enumerate(text) if rare[self.code[w]]]
-        postings.sort()
-        self.posting = np.array(postings, np.int64).reshape(-1, 3)
+        """The index with rarities from document frequencies; a word that no document has is rarest, one that all have keeps a share."""
+        self.rarity = np.array([np.log1p((documents + 1) / (frequency.get(w, 0) + 1)) for w in self.words.to_pylist()])
+        self.texts = [np.array([self.code[w] for w in text], np.int64) for _, text, _ in self.rows]
+        # the first place of each mandatory phrase in its template, and its length
+        self.phrases = [[(next(i for i in range(len(text)) if text[i : i + len(p)] == p), len(p)) for p in phrases] for _, text, phrases in self.rows]
+        anchors = [(t, k + int(np.argmax(self.rarity[self.texts[t][k : k + m]]))) for t, places in enumerate(self.phrases) for k, m in places]
+        self.posting = np.array(sorted({(int(self.texts[t][p]), t, p) for t, p in anchors}), np.int64).reshape(-1, 3)
         self.first = np.searchsorted(self.posting[:, 0], np.arange(len(self.words) + 1))
-        self.mass = np.array([sum(self.rarity[self.code[w]] for w in text if rare[self.code[w]]) for _, text, _ in self.rows])
-        self.lengths = np.array([len(text) for _, text, _ in self.rows])
         return self
 
     def codes(self, words: pa.Array) -> np.ndarray:
@@ -81,28 +78,24 @@ class Index:
 
     def alignments(self, code: np.ndarray, owner: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(row, template, place of the template's first word, share of its rarity) of verified alignments."""
-        at = np.flatnonzero((code >= 0) & (self.rarity[code] >= RARE)) if len(self.posting) else np.zeros(0, np.int64)
+        at = np.flatnonzero(code >= 0)
         sizes = self.first[code[at] + 1] - self.first[code[at]]
         which = np.repeat(self.first[code[at]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
         at = np.repeat(at, sizes)
-        _, template, position = self.posting[which].T if len(which) else np.zeros((3, 0), np.int64)
-        start = at - position - first[owner[at]]  # may lie before the text
-        key = np.stack([owner[at], template, start])
-        order = np.lexsort(key[::-1])
-        key, gain = key[:, order], self.rarity[code[at]][order]
-        if not key.shape[1]:
-            return []
-        cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-        share = np.add.reduceat(gain, cuts) / np.maximum(1e-9, self.mass[key[1, cuts]])
+        _, template, position = self.posting[which].T
         out = []
-        for (row, t, s), part in zip(key[:, cuts[share >= MATCH]].T.tolist(), share[share >= MATCH].tolist(), strict=True):
-            _, text, phrases = self.rows[t]
-            body = code[first[row] : first[row + 1]]
-            for phrase in phrases:
-                k = next(i for i in range(len(text)) if text[i : i + len(phrase)] == phrase)
-                if s + k >= 0 and (body[s + k : s + k + len(phrase)] == [self.code[w] for w in phrase]).all() and s + k + len(phrase) <= len(body):
-                    out.append((row, t, s, min(1.0, part)))
-                    break
+        for t in np.unique(template).tolist():
+            here = template == t
+            row, start = np.unique(np.stack([owner[at[here]], at[here] - position[here]]), axis=1)  # start may lie before the text
+            held, gain, mass = [], np.zeros(len(row)), 0.0
+            for p, w in enumerate(self.texts[t].tolist()):
+                place = start + p
+                held.append((place >= first[row]) & (place < first[row + 1]))
+                held[-1][held[-1]] = code[place[held[-1]]] == w
+                gain, mass = gain + self.rarity[w] * held[-1], mass + self.rarity[w]
+            stands = np.any([np.all(held[k : k + m], axis=0) for k, m in self.phrases[t]], axis=0)
+            for i in np.flatnonzero(stands & (gain / mass >= MATCH)).tolist():
+                out.append((int(row[i]), t, int(start[i] - first[row[i]]), float(gain[i] / mass)))
         return out
 
 

@@ -147,6 +147,50 @@ def test_licenses(spark):
     assert (by[2], by[5]) == ("mit", "gpl") and by[1] == "cc-by,reserved" and by[101] == ""
 
 
+@pytest.mark.parametrize("size", [1, 3, 40])
+def test_frequent_license_line(spark, size):
+    lines = {"mit": "Released under the MIT License.", "gpl": "This work is licensed under the GNU General Public License, version 2.", "apache-2.0": "Licensed under the Apache License, Version 2.0", "cc-by-nc": "licensed under CC BY-NC"}
+    for label, line in lines.items():
+        rows = [(i, f"some {i} words. {line} more words") for i in range(size)] + [(100 + i, f"only plain words {i}") for i in range(size // 4)]
+        got = {r.doc_id: (r.labels.split(","), r.score) for r in licenses.scan(frame(spark, rows)).collect()}
+        assert len(got) == len(rows) and all(label in labels and score == 1 for i, (labels, score) in got.items() if i < 100)
+        assert all(labels == [""] and score == 0 for i, (labels, score) in got.items() if i >= 100)
+
+
+def plain_alignments(words, index):
+    out = {}
+    for t, (label, text, phrases) in enumerate(index.rows):
+        weight = [index.rarity[index.code[w]] for w in text]
+        for s in range(-len(text), len(words)):
+            held = [0 <= s + p < len(words) and words[s + p] == w for p, w in enumerate(text)]
+            stands = any(all(held[k : k + len(p)]) for p in phrases for k in [next(i for i in range(len(text)) if text[i : i + len(p)] == p)])
+            share = sum(w for w, h in zip(weight, held) if h) / sum(weight)
+            if stands and share >= licenses.MATCH:
+                out[t, s] = share
+    return out
+
+
+@pytest.mark.parametrize("documents", [1, 100_000])
+def test_license_alignments(documents):
+    r = rng(6)
+    index = licenses.Index(licenses.TEMPLATES, licenses.BASE)
+    index.weigh(documents, {w: int(r.integers(0, documents + 1)) for w in index.words.to_pylist()})
+    bodies = []
+    for _ in range(120):
+        _, text, _ = index.rows[r.integers(len(index.rows))]
+        kept = [w if r.random() > 0.08 else "other" for w in text]
+        bodies.append(["word"] * int(r.integers(0, 3)) + kept[int(r.integers(0, 3)) :] + kept[: int(r.integers(0, 9))])
+    bodies += [[], ["license"] * 5]
+    got = {}
+    first = np.concatenate([[0], np.cumsum([len(b) for b in bodies])])
+    code = index.codes(pa.array([w for b in bodies for w in b], pa.string()))
+    for row, t, s, share in index.alignments(code, np.repeat(np.arange(len(bodies)), np.diff(first)), first):
+        got.setdefault(row, {})[t, s] = share
+    want = [plain_alignments(b, index) for b in bodies]
+    assert sum(map(bool, want)) > 20
+    assert all(got.get(i, {}) == pytest.approx(w) for i, w in enumerate(want))
+
+
 def plain_fingerprint(text):
     w = BLANK.findall((text or "").translate(LOW))
     shingles = [" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))] if w else []
