@@ -7,8 +7,10 @@ distinct windows of a sample of documents.
 
 Every kind of span has a digit, an @ or a spelled at, so windows are laid over the surroundings of these characters;
 text without any can't hold a span.  Overlapping windows are decoded, and each character takes the tag of the window
-in which it stands nearest the middle; spans are read off the reconciled tags.  A span is added if the tagger is
-sure of all its characters, it passes its kind's test and it doesn't touch a base span or another added one.
+in which it stands nearest the middle; spans are read off the reconciled tags.  A local part that doesn't fit beside
+its @ is shown to the tagger without its middle, in training and in a second look of its own, so that its length
+doesn't matter; an added address always takes the whole local part and domain.  A span is added if the tagger is sure
+of all characters it saw, it passes its kind's test and it doesn't touch a base span or another added one.
 """
 
 from __future__ import annotations
@@ -41,7 +43,11 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
-EVIDENCE = re.compile(r"[0-9@]|[\[(]at[\])]")
+EVIDENCE = re.compile(r"[0-9@]|[\[(][aA][tT][\])]")
+AT = re.compile(r" ?(?:@|[\[(][aA][tT][\])])")
+DOMAIN_REST = re.compile(r"[A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*")
+#: Of a longer local part, the tagger sees so many characters at its begin and end.
+HEAD, TAIL = 4, 8
 
 
 def luhn(digits: str) -> bool:
@@ -86,7 +92,8 @@ TAGS = 1 + 2 * len(KINDS)
 
 
 def shapes_of(text: str) -> np.ndarray:
-    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Shape of each character; a spelled at has the same shapes in any case."""
+    code = np.frombuffer(AT.sub(lambda m: m[0].lower(), text).encode("utf-32-le", "surrogatepass"), np.uint32)
     return np.where(code < 128, SHAPES[np.minimum(code, 127)], 2)
 
 
@@ -105,6 +112,35 @@ def window_starts(text: str) -> list[int]:
     return out
 
 
+def local_start(text: str, at: int) -> int:
+    """Where the run of local characters that ends before a place begins."""
+    while at > 0 and text[at - 1] in LOCAL:
+        at -= 1
+    return at
+
+
+def without_middles(text: str) -> np.ndarray | None:
+    """The places of text that stay when long local parts lose their middle; None if there is none."""
+    gaps = [(start + HEAD, m.start() - TAIL) for m in AT.finditer(text) if m.start() - (start := local_start(text, m.start())) > HEAD + TAIL]
+    if not gaps:
+        return None
+    stays = np.ones(len(text), bool)
+    for a, b in gaps:
+        stays[a:b] = False
+    return np.flatnonzero(stays)
+
+
+def view(text: str, places: np.ndarray) -> str:
+    """The characters of text at these places."""
+    cuts = np.flatnonzero(np.diff(places) > 1).tolist()
+    return "".join(text[places[a] : places[b] + 1] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(places) - 1], strict=True))
+
+
+def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
+    """A span with the local characters left of it and the rest of its domain, if it has an at."""
+    return (local_start(text, a), DOMAIN_REST.match(text, b).end()) if AT.search(text, a, b) else (a, b)
+
+
 def cut(shapes: np.ndarray, starts: list[int]) -> np.ndarray:
     padded = np.concatenate([np.zeros(WINDOW, np.int64), shapes, np.zeros(2 * WINDOW, np.int64)])
     return padded[np.array(starts)[:, None] + WINDOW + np.arange(WINDOW)]
@@ -147,9 +183,12 @@ def training_windows(df: DataFrame, text: str, limit: int = TRAIN) -> tuple[np.n
                 spans = base_spans(body)
                 versions = [(body, spans)] + [rewritten(body, spans, t) for t in range(3)] * bool(spans)
                 for version, labels in versions:
+                    tags, places = tags_of(len(version), labels), without_middles(version)
+                    if places is not None:
+                        version, tags = view(version, places), tags[places]
                     starts = window_starts(version)
                     if starts:
-                        tags = np.stack([cut(tags_of(len(version), labels), starts), cut(shapes_of(version), starts)], axis=1).astype(np.uint8)
+                        tags = np.stack([cut(tags, starts), cut(shapes_of(version), starts)], axis=1).astype(np.uint8)
                         rows += [t.tobytes() for t in tags]
             rows = sorted(set(rows))
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([r[:WINDOW] != bytes(WINDOW) for r in rows], pa.bool_())], names=["w", "has"])
@@ -201,7 +240,7 @@ def acceptable(kind: str, found: str) -> bool:
     if found != found.strip() or "\n" in found:
         return False
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(]at[\])]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", found))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(][aA][tT][\])]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", found))
     if kind == "phone":
         return bool(re.fullmatch(r"\(?[0-9][ ().0-9-]*[ ()-][ ().0-9-]*[0-9]", found)) and 10 <= len(DIGITS.sub("", found)) <= 15
     if kind == "ip":
@@ -215,17 +254,25 @@ def find_spans(texts: list[str], model: Tagger | None) -> list[tuple[list, list]
     every = [list(b) for b in base]
     if model is None:
         return list(zip(base, every, strict=True))
-    jobs = [(i, s) for i, t in enumerate(texts) if (s := window_starts(t))]
-    windows = np.concatenate([cut(shapes_of(texts[i]), s) for i, s in jobs]) if jobs else np.zeros((0, WINDOW), np.int64)
+    # long local parts first: where the tagger sees their begin
+    looks = [(i, view(t, p), p) for i, t in enumerate(texts) if (p := without_middles(t)) is not None] + [(i, t, None) for i, t in enumerate(texts)]
+    jobs = [(i, t, p, s) for i, t, p in looks if (s := window_starts(t))]
+    windows = np.concatenate([cut(shapes_of(t), s) for _, t, _, s in jobs]) if jobs else np.zeros((0, WINDOW), np.int64)
     done = [model.decode(windows[k : k + DECODE]) for k in range(0, len(windows), DECODE)]
     at = 0
     tags, sure = (np.concatenate([d[j] for d in done]) if done else None for j in (0, 1))
-    for i, starts in jobs:
+    for i, seen, places, starts in jobs:
         rows = slice(at, at + len(starts))
         at += len(starts)
-        taken = [(a, b) for _, a, b in base[i]]
-        for k, a, b, certain in reconcile(starts, tags[rows], sure[rows], len(texts[i])):
-            if certain >= SURE and all(b <= x or a >= y for x, y in taken) and acceptable(KINDS[k], texts[i][a:b]):
+        taken = [(a, b) for _, a, b in every[i]]
+        for k, a, b, certain in reconcile(starts, tags[rows], sure[rows], len(seen)):
+            if certain < SURE or (places is not None and KINDS[k] != "email"):
+                continue
+            if places is not None:
+                a, b = int(places[a]), int(places[b - 1]) + 1
+            if KINDS[k] == "email":
+                a, b = whole_address(texts[i], a, b)
+            if all(b <= x or a >= y for x, y in taken) and acceptable(KINDS[k], texts[i][a:b]):
                 every[i].append((k, a, b))
                 taken.append((a, b))
         every[i].sort()

@@ -318,6 +318,34 @@ def test_pii_finds_and_keeps(spark):
     assert all(not x.spans for x in got if x.doc_id in (1000, 1001, 1002))
 
 
+def test_pii_long_local_parts(spark):
+    r, parts = rng(9), "anna maria peter schmidt lopez garcia first last middle office sales".split()
+
+    def name(n):
+        return (".".join(r.choice(parts, 14))[: n - 3].rstrip(".") + "xxx")[: n - 2] + str(r.integers(10, 99))
+
+    def around(n=9):
+        return " ".join(r.choice("the of and with house river paper great small line world never about".split(), int(r.integers(2, n))))
+
+    rows = [(i, f"{around()} {name(int(r.integers(6, 40)))}@mail{i % 7}.example.org {around()}") for i in range(400)]
+    model = pii.trained(frame(spark, rows), "text")
+    cases = [(n, at) for n in (16, 17, 20, 25, 32, 40, 48, 63, 64, 150) for at in (" @ ", " [at] ", "(at)", " [AT] ", "(At)")]
+    texts = [(around() + " ", f"{name(n)}{at}mail{i % 7}.example.org", " " + around()) for i, (n, at) in enumerate(cases)]
+    found = [spans for _, spans in pii.find_spans(["".join(t) for t in texts], model)]
+    want = [[(0, len(a), len(a + b))] for a, b, _ in texts]
+    assert all(f in ([], w) for f, w in zip(found, want, strict=True))  # never from mid-name
+    assert sum(map(bool, found)) >= 0.9 * len(texts)
+
+
+def test_pii_views():
+    for text in ("", "none", "a.b@c.d", "x" * 40 + "@" + "y" * 30 + " [AT] z 1234", "é" + "q" * 13 + "(at)b.c and " + "p" * 12 + " @ b.c"):
+        places = pii.without_middles(text)
+        seen = text if places is None else pii.view(text, places)
+        assert seen == re.sub(r"([A-Za-z0-9._%+-]{4})[A-Za-z0-9._%+-]+([A-Za-z0-9._%+-]{8})(?= ?(@|[\[(]at[\])]))", r"\1\2", text, flags=re.I)
+        assert places is None or seen == "".join(text[p] for p in places)
+    assert pii.whole_address("to first.last @ b.example.org.", 8, 19) == (3, 29) and pii.whole_address("first last", 3, 6) == (3, 6)
+
+
 def test_tagger_gradient():
     from chartmill.llm.tagger import Tagger
 
