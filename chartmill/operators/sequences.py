@@ -1,17 +1,36 @@
-"""Order-dependent folds: state passes from row to row, so each chart, song or job is folded by one task.
+"""Order-dependent folds: state passes from row to row of a chart, song or job.
 
-A group is one chart's or job's rows, about a thousand, whatever the size of the corpus.
+Rows are dealt by that id and sorted in their partitions, which Spark does on disk where needed, and folded batch by
+batch; only the state goes from one batch to the next, so a group may have any number of rows.  sv_sections gathers a
+chart instead: its number of frames is fixed.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
+from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _sorted(df: DataFrame, key: str, *order) -> DataFrame:
+    """df dealt by a key, each of its groups in one piece and in order."""
+    return df.repartition(key).sortWithinPartitions(key, *order)
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _number(value: float | None) -> float:
+    return math.nan if value is None else value
+
+
 def _reflect(value: float, high: float) -> float:
     """Mirror a coordinate into [0, high]."""
     folded = value % (2 * high)
@@ -25,73 +44,144 @@ def respace(events: DataFrame, magnitudes: DataFrame, alpha: float = 1.0, w: int
     direction stay; walls reflect.  magnitudes: (chart_id, line_no, magnitude) of the step to the event.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["time", "line_no"], kind="stable")
-        xs, ys, types, sizes = pdf.x.tolist(), pdf.y.tolist(), pdf.type.tolist(), pdf.magnitude.fillna(0).tolist()
-        px, py = [float(xs[0])], [float(ys[0])]
-        for k in range(1, len(xs)):
-            tx, ty = float(xs[k]), float(ys[k])
-            dx, dy = xs[k] - xs[k - 1], ys[k] - ys[k - 1]
-            norm = math.hypot(dx, dy)
-            if not (types[k] & 12 or types[k - 1] & 8) and norm >= 1e-6:
-                size = max(0.0, sizes[k]) / norm
-                tx, ty = _reflect(px[-1] + size * dx, w), _reflect(py[-1] + size * dy, h)
-            px.append(alpha * tx + (1 - alpha) * xs[k])
-            py.append(alpha * ty + (1 - alpha) * ys[k])
-        return pd.DataFrame({"chart_id": pdf.chart_id, "line_no": pdf.line_no, "x": [round(v) for v in px], "y": [round(v) for v in py]})
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # chart, x, y, type and new place of the row before
+        for batch in batches:
+            charts, lines, px, py = [], [], [], []
+            for chart, line, x, y, kind, size in _rows(batch):
+                tx, ty = float(x), float(y)
+                if last and last[0] == chart:
+                    dx, dy = x - last[1], y - last[2]
+                    norm = math.hypot(dx, dy)
+                    if not (kind & 12 or last[3] & 8) and norm >= 1e-6:
+                        size = (0.0 if size is None or size != size else max(0.0, size)) / norm
+                        tx, ty = _reflect(last[4] + size * dx, w), _reflect(last[5] + size * dy, h)
+                    tx, ty = alpha * tx + (1 - alpha) * x, alpha * ty + (1 - alpha) * y
+                last = chart, x, y, kind, tx, ty
+                charts.append(chart)
+                lines.append(line)
+                px.append(round(tx))
+                py.append(round(ty))
+            yield pa.RecordBatch.from_arrays([pa.array(charts, pa.int64()), pa.array(lines, pa.int64()), pa.array(px, pa.int32()), pa.array(py, pa.int32())], names=["chart_id", "line_no", "x", "y"])
 
     rows = events.select("chart_id", "line_no", "time", "x", "y", "type").join(magnitudes, ["chart_id", "line_no"], "left")
-    return rows.groupBy("chart_id").applyInPandas(walk, "chart_id long, line_no long, x int, y int")
+    ordered = _sorted(rows, "chart_id", F.asc_nulls_last("time"), F.asc_nulls_last("line_no"))
+    return ordered.select("chart_id", "line_no", "x", "y", "type", "magnitude").mapInArrow(walk, "chart_id long, line_no long, x int, y int")
 
 
 def beat_f_measure(beats: DataFrame, tolerance: float = 70.0) -> DataFrame:
     """(song_id, precision, recall, f) of pred against ref beats; each takes the first unused one within reach.
 
-    Sides are paired in time order, so both are walked once.
+    Both sides come in one time order.  What waits for a partner is of one side only and within the tolerance.
     """
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pred, ref = (sorted(pdf.beat_ms[pdf.kind == k]) for k in ("pred", "ref"))
-        hits = at = 0
-        for p in pred:
-            while at < len(ref) and ref[at] < p - tolerance:
-                at += 1
-            if at < len(ref) and ref[at] <= p + tolerance:
-                hits += 1
-                at += 1  # used: no later beat can want an earlier one
-        precision, recall = hits / len(pred) if pred else 0.0, hits / len(ref) if ref else 0.0
-        f = 2 * precision * recall / (precision + recall) if hits else 0.0
-        return pd.DataFrame({"song_id": [pdf.song_id.iloc[0]], "precision": [round(precision, 4)], "recall": [round(recall, 4)], "f": [round(f, 4)]})
-
-    return beats.select("song_id", "beat_ms", "kind").groupBy("song_id").applyInPandas(match, "song_id long, precision double, recall double, f double")
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result() -> pa.RecordBatch:
+            precision, recall = hits / sizes["pred"] if sizes["pred"] else 0.0, hits / sizes["ref"] if sizes["ref"] else 0.0
+            f = 2 * precision * recall / (precision + recall) if hits else 0.0
+            return pa.RecordBatch.from_arrays([pa.array([song], pa.int64()), *(pa.array([round(v, 4)], pa.float64()) for v in (precision, recall, f))], names=["song_id", "precision", "recall", "f"])
+
+        started = False
+        for batch in batches:
+            for new, at, kind in _rows(batch):
+                if not started or new != song:
+                    if started:
+                        yield result()
+                    started, song, hits, sizes, waiting, side = True, new, 0, {"pred": 0, "ref": 0}, deque(), None
+                if kind not in sizes:
+                    continue
+                sizes[kind] += 1
+                if at is None or at != at:
+                    continue
+                if side != kind:
+                    # a pred waits until tolerance after it, a ref until tolerance before the pred
+                    while waiting and (at > waiting[0][0] + tolerance if side == "pred" else waiting[0][0] < at - tolerance):
+                        waiting.popleft()
+                    if waiting:
+                        hits += 1
+                        waiting[0][1] -= 1
+                        if not waiting[0][1]:
+                            waiting.popleft()
+                        continue
+                    side = kind
+                if waiting and waiting[-1][0] == at:
+                    waiting[-1][1] += 1
+                else:
+                    while waiting and waiting[0][0] < at - 2 * tolerance - 1:  # no partner can come any more
+                        waiting.popleft()
+                    waiting.append([at, 1])
+        if started:
+            yield result()
+
+    ordered = _sorted(beats.select("song_id", "beat_ms", "kind"), "song_id", F.asc_nulls_last("beat_ms"))
+    return ordered.mapInArrow(match, "song_id long, precision double, recall double, f double")
 
 
 def early_abort(trajectories: DataFrame, monitor_frac: float = 0.7, margin: float = 0.15, floor: float = 0.55, min_candidates: int = 2) -> DataFrame:
     """(job_id, cand, aborted, abort_k, steps_saved): candidates run one after the other, steps counting down.
 
     At a late step a candidate stops if it trails the best completed one at that step by more than the margin and is
-    below the floor, once enough have completed; one that stops leaves no mark on the best.
+    below the floor, once enough have completed; one that stops leaves no mark on the best.  The state is two numbers for
+    each late step of a job.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        best: dict[int, float] = {}
-        completed, out = 0, []
-        for cand, rows in pdf.sort_values(["cand", "step_k"], ascending=[True, False]).groupby("cand"):
-            seen, stop = {}, None
-            for k, frac, q in zip(rows.step_k.tolist(), rows.frac_done.tolist(), rows.quality.tolist(), strict=True):
-                if frac < monitor_frac:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def completed_best() -> tuple[array, array]:
+            """The best of each step after a candidate has completed, steps counting down."""
+            ks, qs, i = array("q"), array("d"), 0
+            for k, q in zip(seen_k, seen_q, strict=True):
+                while i < len(best_k) and best_k[i] > k:
+                    ks.append(best_k[i])
+                    qs.append(best_q[i])
+                    i += 1
+                both = i < len(best_k) and best_k[i] == k
+                ks.append(k)
+                qs.append(max(q, best_q[i]) if both else q)
+                i += both
+            ks.extend(best_k[i:])
+            qs.extend(best_q[i:])
+            return ks, qs
+
+        def results() -> pa.RecordBatch:
+            kinds = {"job_id": pa.int64(), "cand": pa.int32(), "aborted": pa.bool_(), "abort_k": pa.int64(), "steps_saved": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
+        started, out = False, []
+        for batch in batches:
+            for new_job, new_cand, k, frac, q in _rows(batch):
+                if not started or (new_job, new_cand) != (job, cand):
+                    if started:
+                        out.append((job, cand, stop is not None, stop, saved))
+                        if stop is None:
+                            completed += 1
+                            best_k, best_q = completed_best()
+                    if not started or new_job != job:
+                        best_k, best_q, completed = array("q"), array("d"), 0
+                    started, job, cand, stop, saved, at, seen_k, seen_q = True, new_job, new_cand, None, 0, 0, array("q"), array("d")
+                if stop is not None:
+                    saved += k is not None and k < stop
+                    continue
+                if k is None or _number(frac) < monitor_frac:
                     continue
-                seen[k] = q
-                if completed >= min_candidates and k in best and q < best[k] - margin and q < floor:
+                q = _number(q)
+                if seen_k and seen_k[-1] == k:
+                    seen_q[-1] = q
+                else:
+                    seen_k.append(k)
+                    seen_q.append(q)
+                while at < len(best_k) and best_k[at] > k:
+                    at += 1
+                if completed >= min_candidates and at < len(best_k) and best_k[at] == k and q < best_q[at] - margin and q < floor:
                     stop = k
-                    break
-            if stop is None:
-                completed += 1
-                best |= {k: max(q, best.get(k, q)) for k, q in seen.items()}
-            out.append((pdf.job_id.iloc[0], cand, stop is not None, stop, 0 if stop is None else int((rows.step_k < stop).sum())))
-        return pd.DataFrame(out, columns=["job_id", "cand", "aborted", "abort_k", "steps_saved"]).astype({"abort_k": "Int64"})
-
-    return trajectories.groupBy("job_id").applyInPandas(run, "job_id long, cand int, aborted boolean, abort_k long, steps_saved long")
+            if out:
+                yield results()
+                out = []
+        if started:
+            out.append((job, cand, stop is not None, stop, saved))
+            yield results()
+
+    rows = trajectories.select("job_id", "cand", "step_k", "frac_done", "quality").where(F.col("cand").isNotNull())
+    return _sorted(rows, "job_id", "cand", F.desc_nulls_last("step_k")).mapInArrow(run, "job_id long, cand int, aborted boolean, abort_k long, steps_saved long")
 
 
 def sv_sections(frames: DataFrame, window: int = 9, step: float = 0.1, change: float = 0.2, min_frames: int = 258, most: int = 6) -> DataFrame:

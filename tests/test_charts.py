@@ -302,6 +302,69 @@ def test_respace(spark):
     assert [r.x for r in sequences.respace(events, sizes, alpha=0.0).orderBy("line_no").collect()] == [100, 110, 120, 130]
 
 
+def plain_respace(rows, alpha):
+    """(line_no, time, x, y, type, magnitude) of a chart, moved."""
+    rows, out = sorted(rows, key=lambda r: (r[1], r[0])), []
+    for k, (line, _, x, y, kind, size) in enumerate(rows):
+        tx, ty = x, y
+        if k:
+            dx, dy = x - rows[k - 1][2], y - rows[k - 1][3]
+            norm = (dx * dx + dy * dy) ** 0.5
+            if not (kind & 12 or rows[k - 1][4] & 8) and norm:
+                tx, ty = sequences._reflect(out[-1][1] + size / norm * dx, 512), sequences._reflect(out[-1][2] + size / norm * dy, 384)
+        out.append((line, alpha * tx + (1 - alpha) * x, alpha * ty + (1 - alpha) * y))
+    return out
+
+
+def plain_abort(rows):
+    """(cand, step_k, frac_done, quality) of a job."""
+    best, completed, out = {}, 0, {}
+    for c in sorted({r[0] for r in rows}):
+        steps, stop = sorted((r for r in rows if r[0] == c), key=lambda r: -r[1]), None
+        for _, k, frac, q in steps:
+            if frac >= 0.7 and completed >= 2 and k in best and q < best[k] - 0.15 and q < 0.55:
+                stop = k
+                break
+        if stop is None:
+            completed += 1
+            for _, k, frac, q in steps:
+                if frac >= 0.7:
+                    best[k] = max(q, best.get(k, q))
+        out[c] = (stop is not None, stop, 0 if stop is None else sum(k < stop for _, k, _, _ in steps))
+    return out
+
+
+def test_folds_by_batch(spark):
+    r, whole = random.Random(3), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(whole)
+    spark.conf.set(whole, 7)
+    try:
+        # one id has most of the rows
+        ids = [0] * 300 + [r.randrange(1, 6) for _ in range(60)]
+        moves = {}
+        for line, c in enumerate(ids):
+            moves.setdefault(c, []).append((line, r.randrange(2000), r.randrange(513), r.randrange(385), r.choice((1, 1, 1, 2, 5, 8)), float(r.randrange(300))))
+        rows = spark.createDataFrame([(c, *m) for c, ms in moves.items() for m in ms], "chart_id long, line_no long, time long, x int, y int, type int, magnitude double")
+        moved = sequences.respace(rows.drop("magnitude"), rows.select("chart_id", "line_no", "magnitude"), 0.7)
+        got = {(x.chart_id, x.line_no): (x.x, x.y) for x in moved.collect()}
+        want = {(c, line): (x, y) for c, ms in moves.items() for line, x, y in plain_respace(ms, 0.7)}
+        assert got.keys() == want.keys() and all(abs(got[k][i] - want[k][i]) < 0.51 for k in want for i in (0, 1))
+
+        beats = [(c, float(r.randrange(3000)), r.choice(("pred", "ref"))) for c in ids]
+        scored = sequences.beat_f_measure(spark.createDataFrame(beats, "song_id long, beat_ms double, kind string"))
+        got = {x.song_id: (x.precision, x.recall) for x in scored.collect()}
+        sides = {c: [[b for s, b, k in beats if (s, k) == (c, kind)] for kind in ("pred", "ref")] for c in set(ids)}
+        assert got == {c: tuple(round(plain_f(p, q) / len(n), 4) if n else 0.0 for n in (p, q)) for c, (p, q) in sides.items()}
+
+        jobs = {j: [(c, k, 1 - k / n, round(r.random(), 2)) for c in range(6) for k in range(1, n + 1) if r.random() < 0.9] for j, n in ((0, 90), (1, 8), (2, 5))}
+        stopped = sequences.early_abort(spark.createDataFrame([(j, *s) for j, steps in jobs.items() for s in steps], "job_id long, cand int, step_k int, frac_done double, quality double"))
+        assert {(x.job_id, x.cand): (x.aborted, x.abort_k, x.steps_saved) for x in stopped.collect()} == {(j, c): v for j, steps in jobs.items() for c, v in plain_abort(steps).items()}
+        # no group is gathered in one frame
+        assert all("FlatMapGroupsInPandas" not in d._jdf.queryExecution().toString() for d in (moved, scored, stopped))
+    finally:
+        spark.conf.set(whole, before)
+
+
 def test_attempts_and_checkpoints(spark):
     rows = [(1, i, a, 4.5) for i, a in enumerate((3.0, 4.7, 4.4))] + [(2, 0, 3.0, 4.5), (2, 1, 4.0, 4.5), (2, 2, None, 4.5), (2, 3, 4.5, 4.5)] + [(3, 0, None, 4.5)]
     got = {r.job_id: r.chosen for r in score.match_attempts(spark.createDataFrame(rows, "job_id long, iter int, achieved_sr double, target_sr double")).collect()}
