@@ -1,9 +1,12 @@
 """Personal data: exact base patterns, and a character tagger that adds spans to them.
 
 The tagger (bidirectional LSTM with CRF transitions) learns from windows whose spans the base patterns label, and
-from rewritten copies of them (a phone number without its country code, an address with a spelled or spaced @), so
-that it finds spans that the patterns can't.  It is trained on at most TRAIN windows, chosen by hash among the
-distinct windows of a sample of documents.
+from respelled copies of their surroundings (a phone number without its country code, an address with a spelled or
+spaced @, an ip with bracketed dots, a card with dots), so that it finds spans that the patterns can't.  It is trained
+for a fixed number of steps on at most GROUP distinct windows of each kind and form and PLAIN windows without a span,
+chosen by hash among those of a sample of documents, and on a few made lines, so that it knows each form in a table of
+any size.  A window with an unlabelled at, or an unlabelled number as long as a phone's, teaches nothing: it may well
+be one of the spans to find.
 
 Every kind of span has a digit, an @ or a spelled at, so windows are laid over the surroundings of these characters;
 text without any can't hold a span.  Overlapping windows are decoded, and each character takes the tag of the window
@@ -16,12 +19,14 @@ of all characters it saw, it passes its kind's test and it doesn't touch a base
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +35,15 @@ from .tagger import Tagger
 
 KINDS = ["email", "ip", "card", "phone"]
 WINDOW, STRIDE, MARGIN = 64, 32, 16
-TRAIN = 1500
+#: Training windows: at most so many of each kind and form, and without a span.
+GROUP, PLAIN = 150, 600
 #: Documents that are looked at for training windows, on average at most.
 TRAIN_DOCUMENTS = 30_000
+#: Respelled copies of each labelled span, and the characters around it that they keep.
+COPIES, AROUND = 6, 96
+#: Spans of one document that are respelled.
+RESPELLED = 20
+STEPS = 700
 SURE = 0.9
 DECODE = 512
 
@@ -46,6 +57,8 @@ DIGITS = re.compile(r"[^0-9]+")
 EVIDENCE = re.compile(r"[0-9@]|[\[(][aA][tT][\])]")
 AT = re.compile(r" ?(?:@|[\[(][aA][tT][\])])")
 DOMAIN_REST = re.compile(r"[A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*")
+#: Numbers that may be personal data in a spelling of their own.
+NUMBER = re.compile(r"[0-9]++(?:[ ().\[\]-]{1,3}[0-9]++)+")
 #: Of a longer local part, the tagger sees so many characters at its begin and end.
 HEAD, TAIL = 4, 8
 
@@ -57,7 +70,7 @@ def luhn(digits: str) -> bool:
 def passes(kind: str, found: str) -> bool:
     """The test that a match of a kind's pattern has to pass."""
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in found.split("."))
     digits = DIGITS.sub("", found)
     if kind == "card":
         return 16 <= len(digits) <= 19 and luhn(digits)
@@ -155,62 +168,122 @@ def tags_of(length: int, spans: list[tuple[int, int, int]]) -> np.ndarray:
     return out
 
 
-def rewritten(text: str, spans: list[tuple[int, int, int]], turn: int) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text with its spans in other forms that people write, and where the spans then are."""
-    parts, new, done, size = [], [], 0, 0
-    for k, a, b in sorted(spans, key=lambda s: s[1:]):
-        if a < done:
+def digits_like(form: str, r: random.Random) -> str:
+    """The form with other digits."""
+    return re.sub("[0-9]", lambda _: str(r.randrange(10)), form)
+
+
+def word(r: random.Random, low: int = 2, high: int = 9) -> str:
+    return "".join(r.choice("aeinorstlu") for _ in range(r.randint(low, high)))
+
+
+#: How people write an address's at, and what stands between the groups of a number.
+SPELLED_AT = (" @ ", " [at] ", "(at)", "[at]", " (at) ")
+PARTED = (" ", "-", ") ", ".")
+
+
+def respelled(kind: str, form: str, turn: int, r: random.Random) -> str:
+    """The form of a span in another spelling that people use; the turn chooses it."""
+    if kind == "email":
+        local, domain = form.split("@")
+        if turn % 2:
+            local = r.choice((word(r), word(r) + str(r.randrange(1000)), f"{word(r)}.{word(r)}", f"{word(r)}_{word(r)}{r.randrange(100)}", f"{word(r, 1, 1)}.{word(r)}-{word(r)}"))
+            domain = r.choice((domain, f"{word(r)}{r.randrange(30)}.{word(r)}.{word(r, 2, 3)}", f"{word(r)}.{word(r, 2, 3)}", f"{word(r)}-{word(r)}.{word(r, 2, 3)}"))
+        return local + SPELLED_AT[turn % len(SPELLED_AT)] + domain
+    if kind == "ip":
+        return (".", "[.]")[turn > 0].join(str(r.randrange(256)) for _ in range(3)) + f"[.]{r.randrange(256)}"
+    if kind == "card":
+        return digits_like(".".join(re.findall("[0-9]{4}", DIGITS.sub("", form))), r)
+    gap = PARTED[turn % len(PARTED)]
+    head, mid, tail = (str(r.randrange(10 ** (n - 1), 10**n)) for n in (r.choice((3, 3, 4)), r.choice((3, 3, 4)), 4))
+    return f"{'(' * (gap == ') ')}{head}{gap}{mid}{r.choice((' ', '-')) if gap in ('.', ') ') else gap}{tail}"
+
+
+def copies(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, list[tuple[int, int, int]]]]:
+    """(turn, surroundings, spans in them) of respelled copies of spans: of all, or about RESPELLED spread over the text."""
+    out, owned = [], np.zeros(len(text), np.int64)
+    for _, a, b in spans:
+        owned[a:b] += 1
+    for k, a, b in spans[:: max(1, len(spans) // RESPELLED)]:
+        if owned[a:b].max() > 1:  # spans that overlap aren't respelled
             continue
-        form = text[a:b]
-        if KINDS[k] == "email":
-            form = form.replace("@", (" @ ", " [at] ", "(at)", "@")[turn % 4])
-        elif KINDS[k] == "phone":
-            form = re.sub(r"^\+[0-9]{1,3}[ -]?", "", form) if turn % 2 == 0 else form
-        parts += [text[done:a], form]
-        size += a - done
-        new.append((k, size, size + len(form)))
-        size, done = size + len(form), b
-    return "".join([*parts, text[done:]]), new
+        left, right = np.flatnonzero(owned[max(0, a - AROUND) : a]), np.flatnonzero(owned[b : b + AROUND])
+        low = max(0, a - AROUND) + (int(left[-1]) + 1 if len(left) else 0)
+        high = b + int(right[0]) if len(right) else min(len(text), b + AROUND)
+        r = random.Random(zlib.crc32(text[low:high].encode()))
+        for turn in range(COPIES):
+            form = respelled(KINDS[k], text[a:b], turn, r)
+            out.append((turn, text[low:a] + form + text[b:high], [(k, a - low, a - low + len(form))]))
+    return out
+
+
+def made_lines(n: int = 40) -> list[str]:
+    """Invented lines with a span of each kind, among words and numbers."""
+    r, out = random.Random(5), []
+    some = lambda: " ".join(word(r) if r.random() < 0.9 else str(r.randrange(10 ** r.randint(1, 9))) for _ in range(r.randint(2, 14)))
+    for _ in range(n):
+        for span in (f"{word(r)}.{word(r)}@{word(r)}.example.org", f"{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}.{r.randrange(256)}", "4242 4242 4242 4242", f"+{r.randrange(1, 100)} {r.randrange(100, 1000)} {r.randrange(10**6, 10**7)}"):
+            out.append(f"{some()} {span}{r.choice((' ', '. ', ', '))}{some()}")
+    return out
+
+
+def doubtful(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Whether each character belongs to what may be personal data without a label."""
+    out = np.zeros(len(text), bool)
+    for m in AT.finditer(text):
+        out[max(0, m.start() - 1) : m.end() + 1] = True
+    for m in NUMBER.finditer(text):
+        out[m.start() : m.end()] |= 10 <= len(DIGITS.sub("", m[0])) <= 19 or "[.]" in m[0]
+    for _, a, b in spans:
+        out[a:b] = False
+    return out
 
 
-def training_windows(df: DataFrame, text: str, limit: int = TRAIN) -> tuple[np.ndarray, np.ndarray]:
-    """Shapes and tags of at most limit distinct windows of a hash sample of the documents."""
+def labelled(body: str) -> list[tuple[str, bytes]]:
+    """(group, tags and shapes) of the windows of a text and of its respelled copies, without doubtful ones."""
+    spans, rows = base_spans(body), []
+    for turn, version, labels in [(-1, body, spans), *copies(body, spans)]:
+        tags, doubt, places = tags_of(len(version), labels), doubtful(version, labels), without_middles(version)
+        if places is not None:
+            version, tags, doubt = view(version, places), tags[places], doubt[places]
+        starts = window_starts(version)
+        if starts:
+            certain = ~cut(doubt, starts).any(axis=1)
+            both = np.stack([cut(tags, starts), cut(shapes_of(version), starts)], axis=1).astype(np.uint8)
+            for w in both[certain]:
+                seen = w[0][w[0] > 0]
+                if len(seen) or turn < 0:
+                    rows.append((f"{KINDS[(seen[0] - 1) // 2]} {turn}" if len(seen) else "", w.tobytes()))
+    return rows
+
+
+def training_windows(df: DataFrame, text: str, group: int = GROUP, plain: int = PLAIN) -> tuple[np.ndarray, np.ndarray]:
+    """Shapes and tags of distinct windows of a hash sample of the documents: at most so many of each kind and form,
+    and without a span; then those of the made lines."""
 
     def kernel():
         def work(part: pa.RecordBatch):
-            rows = []
-            for body in part.column(0).to_pylist():
-                spans = base_spans(body)
-                versions = [(body, spans)] + [rewritten(body, spans, t) for t in range(3)] * bool(spans)
-                for version, labels in versions:
-                    tags, places = tags_of(len(version), labels), without_middles(version)
-                    if places is not None:
-                        version, tags = view(version, places), tags[places]
-                    starts = window_starts(version)
-                    if starts:
-                        tags = np.stack([cut(tags, starts), cut(shapes_of(version), starts)], axis=1).astype(np.uint8)
-                        rows += [t.tobytes() for t in tags]
-            rows = sorted(set(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array([r[:WINDOW] != bytes(WINDOW) for r in rows], pa.bool_())], names=["w", "has"])
+            rows = sorted({row for body in part.column(0).to_pylist() for row in labelled(body)})
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.string()), pa.array([w for _, w in rows], pa.binary())], names=["form", "w"])
 
         return work
 
-    n = df.count()
-    share = min(1.0, TRAIN_DOCUMENTS / max(1, n))
-    chosen = df.select(F.col(text).alias("body")).where(F.pmod(F.xxhash64("body"), F.lit(1_000_000)) < share * 1_000_000).where(F.col("body").rlike("[0-9@]"))
-    windows = emit(chosen, ["body"], "body", "w binary, has boolean", kernel).distinct()
-    rows = [r.w for has, part in ((True, limit * 3 // 5), (False, limit - limit * 3 // 5)) for r in windows.where(F.col("has") == has).orderBy(F.xxhash64("w"), "w").limit(part).collect()]
+    share = min(1.0, TRAIN_DOCUMENTS / max(1, df.count()))
+    chosen = df.select(F.col(text).alias("body")).where(F.pmod(F.xxhash64("body"), F.lit(1_000_000)) < share * 1_000_000).where(F.col("body").rlike(r"[0-9@]|[\[(][aA][tT][\])]"))
+    windows = emit(chosen, ["body"], "body", "form string, w binary", kernel).distinct()
+    order = Window.partitionBy("form").orderBy(F.xxhash64("w"), "w")
+    taken = windows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("form") == "", plain).otherwise(group))
+    rows = [r.w for r in taken.select("form", "r", "w").orderBy("form", "r").collect()] + [w for line in made_lines() for _, w in labelled(line)]
     both = np.frombuffer(b"".join(rows), np.uint8).reshape(-1, 2, WINDOW).astype(np.int64)
     return both[:, 1], both[:, 0]
 
 
-def trained(df: DataFrame, text: str, limit: int = TRAIN) -> Tagger | None:
-    """A tagger trained on the documents' windows; None if there is no labelled one."""
-    shapes, tags = training_windows(df, text, limit)
-    if not tags.any():
+def trained(df: DataFrame, text: str) -> Tagger | None:
+    """A tagger trained on the documents' windows; None if no document has a character of evidence."""
+    if df.where(F.col(text).rlike(r"[0-9@]|[\[(][aA][tT][\])]")).isEmpty():
         return None
     model = Tagger(N_SHAPES, TAGS)
-    model.train(shapes, tags)
+    model.train(*training_windows(df, text), steps=STEPS)
     return model
 
 
@@ -242,9 +315,10 @@ def acceptable(kind: str, found: str) -> bool:
     if kind == "email":
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(][aA][tT][\])]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", found))
     if kind == "phone":
-        return bool(re.fullmatch(r"\(?[0-9][ ().0-9-]*[ ()-][ ().0-9-]*[0-9]", found)) and 10 <= len(DIGITS.sub("", found)) <= 15
+        parted = re.fullmatch(r"\(?[0-9]{2,5}\)?(?:[ .-]{0,2}\(?[0-9]{2,8}\)?){1,3}", found) and re.search("[ ()-]", found)
+        return bool(parted) and 10 <= len(DIGITS.sub("", found)) <= 15
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", found)) and passes(kind, found)
+        return bool(re.fullmatch(r"[0-9]+(?:(?:\.|\[\.\])[0-9]+){3}", found)) and passes(kind, found.replace("[.]", "."))
     return bool(re.fullmatch(r"[0-9](?:[ .-]?[0-9])+", found)) and passes(kind, found)
 
 
@@ -264,7 +338,9 @@ def find_spans(texts: list[str], model: Tagger | None) -> list[tuple[list, list]
     for i, seen, places, starts in jobs:
         rows = slice(at, at + len(starts))
         at += len(starts)
-        taken = [(a, b) for _, a, b in every[i]]
+        taken = np.zeros(len(texts[i]), bool)
+        for _, a, b in every[i]:
+            taken[a:b] = True
         for k, a, b, certain in reconcile(starts, tags[rows], sure[rows], len(seen)):
             if certain < SURE or (places is not None and KINDS[k] != "email"):
                 continue
@@ -272,9 +348,9 @@ def find_spans(texts: list[str], model: Tagger | None) -> list[tuple[list, list]
                 a, b = int(places[a]), int(places[b - 1]) + 1
             if KINDS[k] == "email":
                 a, b = whole_address(texts[i], a, b)
-            if all(b <= x or a >= y for x, y in taken) and acceptable(KINDS[k], texts[i][a:b]):
+            if not taken[a:b].any() and acceptable(KINDS[k], texts[i][a:b]):
                 every[i].append((k, a, b))
-                taken.append((a, b))
+                taken[a:b] = True
         every[i].sort()
     return list(zip(base, every, strict=True))
 
@@ -311,8 +387,11 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     """df with n_email, n_ip, n_card, n_phone, base_sha256, spans and redacted.
 
     The counts and base_sha256 are of the base spans, spans has all: kind:start:end in code points, end exclusive, by
-    kind, then start, comma-joined.  redacted is the text with every span replaced by its kind in brackets.  Null and
-    empty texts have no spans.  Columns with a result's name are replaced.
+    kind, then start, comma-joined.  redacted is the text with every span replaced by its kind in brackets; where base
+    spans overlap (their kinds are found apart), the one that begins first, then the longer one, gives the kind.  Null
+    and empty texts have no spans.  Very long texts are scanned whole, window by window.  Repeated rows get the same
+    result each; a tagger sees their windows once.  An empty table, or one without a digit or at sign, needs no tagger.
+    Columns with a result's name, in any case, are replaced, others stay.
     """
     fields: list[T.StructField] = [*(long(f"n_{k}") for k in KINDS), string("base_sha256"), string("spans"), string("redacted")]
     return with_columns(df, text, fields, scanner(trained(df, text), text))

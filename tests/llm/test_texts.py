@@ -337,6 +337,97 @@ def test_pii_long_local_parts(spark):
     assert sum(map(bool, found)) >= 0.9 * len(texts)
 
 
+def test_pii_planted_respelled_spans(spark):
+    """Forms that no base pattern has, planted into text that the tagger didn't learn from."""
+    r = rng(12)
+    words = "the of and with house river paper great small line world never about".split()
+    some = lambda: " ".join(r.choice(words, int(r.integers(3, 12))))
+    rows = [(i, f"{some()} user{i}@mail{i % 7}.example.org {some()} +1 ({r.integers(100, 999)}) 555-{r.integers(1000, 9999)} {some()} 10.0.{i}.{i} {some()}") for i in range(40)]
+    forms = [
+        (0, lambda i: f"anna{i % 10} [at] mail{i % 7}.example.org"), (0, lambda i: f"peter.k{i}(at)firm-{i % 9}.co.uk"), (0, lambda i: f"j_doe{i} @ web.de"),
+        (3, lambda i: f"({r.integers(200, 999)}) 555-{r.integers(1000, 9999)}"), (3, lambda i: f"{r.integers(200, 999)}-555-{r.integers(1000, 9999)}"), (1, lambda i: f"10[.]0[.]{i}[.]7"),
+    ]
+    planted = [(k, f"{some()} ", form(i), f" {some()}") for i in range(25) for k, form in forms]
+    clean = [some() for _ in range(50)] + ["version 4.0.1 of 2024-01-12", "isbn 978-3-16-148410-0", "scores 10-20 30-40 50-60 70", "meet (at) noon @ home"]
+    docs = frame(spark, rows + [(1000 + i, "".join(p[1:])) for i, p in enumerate(planted)] + [(5000 + i, t) for i, t in enumerate(clean)])
+    got = {x.doc_id: x.spans for x in pii.find(docs).collect()}
+    want = [f"{pii.KINDS[k]}:{len(a)}:{len(a + b)}" for k, a, b, _ in planted]
+    assert sum(w == got[1000 + i] for i, w in enumerate(want)) >= 0.9 * len(want)
+    assert not any(got[5000 + i] for i in range(len(clean)))
+
+
+def test_pii_defined_cases(spark):
+    zeros = "ip 1." + "0" * 5000 + "1.2.3 end"
+    rows = [(1, zeros, "a"), (2, None, "b"), (2, None, "b"), (3, "", "c"), (4, "a@b.c " * 50_000, "d")]
+    got = pii.find(frame(spark, rows, "doc_id long, text string, REDACTED string")).collect()
+    by = {x.doc_id: x for x in got}
+    assert len(got) == 5 and by[1].n_ip == 1 and by[4].n_email == 50_000 and by[2].spans == by[3].spans == ""
+    assert "redacted" in by[1].asDict() and "REDACTED" not in by[1].asDict()
+    assert pii.find(frame(spark, [])).count() == 0
+    assert pii.trained(frame(spark, [(1, "no evidence"), (2, None)]), "text") is None
+
+
+def every_path(model, scores):
+    """Best tags and each tag's marginals of one window, over all tag sequences."""
+    steps, k = scores.shape
+    paths = list(itertools.product(range(k), repeat=steps))
+    weight = np.array([sum(scores[t, p[t]] for t in range(steps)) + sum(model.weights["move"][a, b] for a, b in itertools.pairwise(p)) for p in paths])
+    chance = np.exp(weight - weight.max())
+    chance /= chance.sum()
+    likely = np.zeros((steps, k))
+    for p, c in zip(paths, chance, strict=True):
+        for t in range(steps):
+            likely[t, p[t]] += c
+    return paths[int(weight.argmax())], likely, weight.max() + np.log(np.exp(weight - weight.max()).sum())
+
+
+def test_tagger_decodes_as_all_paths():
+    from chartmill.llm.tagger import Tagger
+
+    r = rng(10)
+    for seed in range(5):
+        model = Tagger(6, 3, seed=seed, kind=np.float64)
+        model.weights["move"], model.weights["out"] = r.normal(0, 2, (3, 3)), r.normal(0, 3, model.weights["out"].shape)
+        x = r.integers(0, 6, (4, 6))
+        tags, sure = model.decode(x)
+        scores = model.scores(x.T)
+        likely, _, whole = model.marginals(scores)
+        for i in range(len(x)):
+            best, plain, total = every_path(model, scores[:, i])
+            assert tuple(tags[i]) == best
+            assert np.allclose(likely[:, i], plain) and np.isclose(whole[i], total)
+            assert np.allclose(sure[i], plain[np.arange(6), tags[i]])
+
+
+def plain_reconcile(starts, tags, sure, length):
+    """Each character's tag from the window in which it stands nearest the middle, the earlier one on ties."""
+    picked = {}
+    for w, s in enumerate(starts):
+        for j in range(pii.WINDOW):
+            depth = min(j, pii.WINDOW - 1 - j)
+            if 0 <= s + j < length and (s + j not in picked or depth > picked[s + j][0]):
+                picked[s + j] = (depth, int(tags[w, j]), float(sure[w, j]))
+    out, now = [], None
+    for at in sorted(picked):
+        _, tag, certain = picked[at]
+        if now and tag == 2 + 2 * now[0] and now[2] == at:
+            now[2], now[3] = at + 1, min(now[3], certain)
+        else:
+            if now:
+                out.append(tuple(now))
+            now = [(tag - 1) // 2, at, at + 1, certain] if tag else None
+    return out + ([tuple(now)] if now else [])
+
+
+def test_pii_reconcile():
+    r = rng(11)
+    for _ in range(200):
+        starts = sorted({int(x) for x in r.integers(-16, 150, int(r.integers(1, 5)))})
+        tags = r.choice([0, 0, 1, 2, 2, 2, 3, 4], (len(starts), pii.WINDOW))
+        sure = r.uniform(0, 1, tags.shape)
+        assert pii.reconcile(starts, tags, sure, 160) == plain_reconcile(starts, tags, sure, 160)
+
+
 def test_pii_views():
     for text in ("", "none", "a.b@c.d", "x" * 40 + "@" + "y" * 30 + " [AT] z 1234", "é" + "q" * 13 + "(at)b.c and " + "p" * 12 + " @ b.c"):
         places = pii.without_middles(text)
@@ -349,7 +440,7 @@ def test_pii_views():
 def test_tagger_gradient():
     from chartmill.llm.tagger import Tagger
 
-    model, r = Tagger(6, 5), rng(8)
+    model, r = Tagger(6, 5, kind=np.float64), rng(8)
     x, y = r.integers(0, 6, (7, 3)), r.integers(0, 5, (7, 3))
     model.weights["move"] = r.normal(size=(5, 5))
     _, grad = model.gradient(x, y)
