@@ -5,10 +5,11 @@ that language.  A document is compared with every reference by the Jensen-Shanno
 of both histograms; it is kept if some language is near enough in both.  Documents with fewer words or characters
 than the guards are left to the base rule, as their histograms say little.
 
-The references come from two passes: tasks report the frequent words of their chunks, then count those and the
-classes over all rows; Spark adds the counts up.  The bounded tables (COMMON words and nine classes for each of at
-most LANGUAGES languages, those with the most words) go to the tasks of the third pass.  Documents are never
-shuffled.
+The references come from one pass: tasks count the words and classes of each language chunk by chunk, Spark adds the
+counts up, and the COMMON most frequent words of each language are exact, whatever the layout.  Only counts are
+shuffled, never documents.  The references (COMMON words and nine classes a language) go to the tasks of the second
+pass, in which a document's words are matched once with those of all languages.  Every language has a reference;
+more than LANGUAGES distinct values, which no column of languages has, are an error.
 """
 
 from __future__ import annotations
@@ -21,19 +22,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
-from .columnar import SPACE, as_strings, boolean, double, emit, long, split_words, starts_of, sums, text_buffer, with_columns
+from .columnar import SPACE, as_strings, boolean, double, emit, long, ragged, split_words, starts_of, sums, text_buffer, with_columns
 
 COMMON = 100
-LANGUAGES = 200
+LANGUAGES = 10_000
 MIN_WORDS = 50
 MIN_CHARS = 200
 MAX_CLASS_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.50
 #: Added to that limit over the root of the number of words: short texts stray further by chance.
 WORD_SLACK = 0.6
-#: A candidate common word has this share of the words of a language in some chunk.
-SHARE = 1 / 2000
+#: Distances (documents x languages) that are held at once.
+CELLS = 1 << 21
 #: Stands for all words of a language; no word begins with a space.
 TOTAL = " all"
 SYMBOLS = b"#*$%&|<>"
@@ -111,112 +111,112 @@ def measure(column: pa.Array) -> tuple[dict[str, np.ndarray], pa.Array]:
     return out, words
 
 
-def by_language(langs: pa.Array, words: pa.Array, counts: np.ndarray) -> tuple[list, pa.Array, np.ndarray]:
-    """Languages of the rows, distinct words, and how often each language (row) has each word (column)."""
+def count_rows(langs: pa.Array, column: pa.Array) -> tuple[list, list, list]:
+    """(lang, word, n) of a chunk: each language's words, its number of words (TOTAL) and its classes (" 0" ...)."""
+    words, counts = split_words(column)
     coded, numbered = langs.dictionary_encode(), words.dictionary_encode()
-    which, width = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(numbered.dictionary)
-    n = len(coded.dictionary)
-    table = np.bincount(np.repeat(which * width, counts) + np.asarray(numbered.indices), minlength=n * width).reshape(n, width)
-    return coded.dictionary.to_pylist(), numbered.dictionary, table
+    names, which = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    width = max(1, len(numbered.dictionary))
+    pair, n = np.unique(np.repeat(which * width, counts) + np.asarray(numbered.indices), return_counts=True)
+    classes = np.zeros((len(names), CLASSES + 1), np.int64)
+    np.add.at(classes, which, np.column_stack([class_counts(*text_buffer(column)), counts]))
+    fixed = [*(f" {c}" for c in range(CLASSES)), TOTAL]
+    owner = pa.array(np.concatenate([pair // width, np.repeat(np.arange(len(names)), len(fixed))]))
+    return names.take(owner), pa.concat_arrays([numbered.dictionary.take(pa.array(pair % width)), pa.array(fixed * len(names), pa.string())]), pa.array(np.concatenate([n, classes.ravel()]))
 
 
-def counter(choose: Callable, with_classes: bool) -> Callable:
-    """A kernel that emits (lang, word, n) for the words that choose(language, words, counts) picks by index."""
+def references(df: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> dict:
+    """Common words and both histograms of each language, counted over all rows with a language; of words that are
+    equally frequent the least comes first."""
+    known = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null")
 
     def kernel():
         def work(part: pa.RecordBatch):
-            langs, column = (part.column(part.schema.get_field_index(c)) for c in ("lang", "text"))
-            words, counts = split_words(column)
-            names, distinct, table = by_language(langs, words, counts)
-            offsets, data = text_buffer(column)
-            classes = class_counts(offsets, data) if with_classes else None
-            which = np.asarray(langs.dictionary_encode().indices)
-            for k, name in enumerate(names):
-                at = choose(name, distinct, table[k])
-                keys, n = distinct.take(pa.array(at)).to_pylist() + [TOTAL], [*table[k][at].tolist(), int(table[k].sum())]
-                if with_classes:
-                    keys += [f" {c}" for c in range(CLASSES)]
-                    n += classes[which == k].sum(axis=0).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(keys, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+            yield pa.RecordBatch.from_arrays(list(count_rows(*(part.column(part.schema.get_field_index(c)) for c in ("lang", "text")))), names=["lang", "word", "n"])
 
         return work
 
-    return kernel
-
-
-def references(df: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> dict:
-    """Common words and both histograms of each language, counted over all rows with a language.
-
-    A word is a candidate if it makes up a SHARE of the language's words in some chunk, which holds for every word
-    with that share of all; candidates are then counted exactly over all rows.
-    """
-    known = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null")
-
-    def counted(choose: Callable, with_classes: bool) -> DataFrame:
-        return emit(known, ["lang", "text"], "text", "lang string, word string, n long", counter(choose, with_classes)).groupBy("lang", "word").agg(F.sum("n").alias("n"))
-
-    frequent = counted(lambda _, __, n: np.flatnonzero((n >= n.sum() * SHARE) & (n > 0)), False)
-    order = Window.partitionBy("lang").orderBy(F.desc(F.col("word") == TOTAL), F.desc("n"), "word")
-    ranked = cut(frequent.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 4 * common + 1))
-    largest = [r.lang for r in ranked.where(F.col("word") == TOTAL).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    found: dict[str, list[str]] = {name: [] for name in largest}
-    for r in ranked.where(F.col("lang").isin(largest) & (F.col("word") != TOTAL)).collect():
-        found[r.lang].append(r.word)
-    sets = {name: pa.array(sorted(words), pa.string()) for name, words in found.items()}
-
-    def candidates(name: str, distinct: pa.Array, n: np.ndarray) -> np.ndarray:
-        if name not in sets:
-            return np.zeros(0, np.int64)
-        return np.flatnonzero(pc.is_in(distinct, value_set=sets[name]).to_numpy(zero_copy_only=False) & (n > 0))
-
-    exact: dict[str, dict[str, int]] = {name: {} for name in largest}
-    for r in counted(candidates, True).where(F.col("lang").isin(largest)).collect():
-        exact[r.lang][r.word] = r.n
+    counts = emit(known, ["lang", "text"], "text", "lang string, word string, n long", kernel).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc(F.startswith("word", F.lit(" "))), F.desc("n"), "word")
+    top = counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= common + CLASSES + 1).select("lang", "word", "n")
+    found: dict[str, dict[str, int]] = {}
+    for r in top.toLocalIterator():
+        found.setdefault(r.lang, {})[r.word] = r.n
+        if len(found) > LANGUAGES:
+            raise ValueError(f"{lang} has more than {LANGUAGES} values; it isn't a column of languages")
     out = {}
-    for name in sorted(largest):
-        n = exact[name]
+    for name in sorted(found):
+        n = found[name]
         classes = np.array([n[f" {c}"] for c in range(CLASSES)], float)
-        words = sorted((w for w in n if not w.startswith(" ")), key=lambda w: (-n[w], w))[:common]  # noqa: B023
-        out[name] = {"classes": classes / max(1, classes.sum()), "words": {w: n[w] / max(1, n[TOTAL]) for w in sorted(words)}}
+        out[name] = {"classes": classes / max(1, classes.sum()), "words": {w: n[w] / max(1, n[TOTAL]) for w in sorted(n) if not w.startswith(" ")}}
     return out
 
 
-def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon distance of each row of p from the distribution q."""
-    mean = (p + q) / 2
-    part = lambda x: np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(mean > 0, mean, 1)), 0).sum(axis=1)
-    return np.sqrt(np.maximum(0, (part(p) + part(np.broadcast_to(q, p.shape))) / 2))
-
-
-def divergence(reference: dict, classes: np.ndarray, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distances of class and word histogram from the nearest language: that with the least sum of both."""
-    n = len(counts)
-    share = classes / np.maximum(1, classes.sum(axis=1, keepdims=True))
-    owner = np.repeat(np.arange(n), counts)
-    best = [np.ones(n), np.ones(n)]
-    for ref in reference.values():
-        common = list(ref["words"])
-        code = pc.fill_null(pc.index_in(words, value_set=pa.array(common, pa.string())), len(common)).to_numpy(zero_copy_only=False)
-        width = len(common) + 1
-        p = np.bincount(owner * width + code, minlength=n * width).reshape(n, width) / np.maximum(1, counts)[:, None]
-        q = np.array([*ref["words"].values(), 0])
-        q[-1] = max(0, 1 - q.sum())
-        both = [distance(share, ref["classes"]), distance(p, q)]
-        nearer = both[0] + both[1] < best[0] + best[1]
-        best = [np.where(nearer, new, old) for new, old in zip(both, best, strict=True)]
-    return best[0], best[1]
-
-
-def judge(reference: dict, text: str) -> Callable:
+def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """What a pair of probabilities adds to the square of the Jensen-Shannon distance of their distributions."""
+    mean = np.where(p + q > 0, (p + q) / 2, 1)
+    part = lambda x: x * np.log2(np.where(x > 0, x, 1) / np.where(x > 0, mean, 1))
+    return (part(p) + part(q)) / 2
+
+
+class References:
+    """The references of all languages: class histograms, and for each word the languages in which it is common."""
+
+    def __init__(self, found: dict) -> None:
+        self.n = len(found)
+        self.classes = np.array([ref["classes"] for ref in found.values()]).reshape(-1, CLASSES)
+        words = sorted({w for ref in found.values() for w in ref["words"]})
+        code = {w: i for i, w in enumerate(words)}
+        entries = sorted((code[w], k, q) for k, ref in enumerate(found.values()) for w, q in ref["words"].items())
+        self.words = pa.array(words, pa.string())
+        self.first = np.searchsorted(np.array([e[0] for e in entries], np.int64), np.arange(len(words) + 1))
+        self.language, self.share = np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries])
+        self.mass = np.bincount(self.language, weights=self.share, minlength=self.n)
+
+    def distances(self, classes: np.ndarray, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distances of class and word histogram from the nearest language: that with the least sum of both, the
+        first by name on ties; 1 and 1 without any."""
+        out = np.ones((2, len(counts)))
+        code = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        edges, step = starts_of(counts), max(1, CELLS // max(1, self.n))
+        for k in range(0, len(counts) if self.n else 0, step):
+            rows = slice(k, min(k + step, len(counts)))
+            out[:, rows] = self._nearest(classes[rows], code[edges[rows.start] : edges[rows.stop]], counts[rows])
+        return out[0], out[1]
+
+    def _nearest(self, classes: np.ndarray, code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, size = len(counts), np.maximum(1, counts)
+        share = classes / np.maximum(1, classes.sum(axis=1, keepdims=True))
+        class_far = np.zeros((n, self.n))
+        for c in range(CLASSES):
+            class_far += gap(share[:, c, None], self.classes[:, c])
+        owner = np.repeat(np.arange(n), counts)[code >= 0]
+        width = max(1, len(self.words))
+        pair, times = np.unique(owner * width + code[code >= 0], return_counts=True)
+        doc, word = pair // width, pair % width
+        hits = self.first[word + 1] - self.first[word]
+        at = ragged(self.first[word], hits)
+        cell = np.repeat(doc, hits) * self.n + self.language[at]
+        p, q = np.repeat(times / size[doc], hits), self.share[at]
+        table = lambda v: np.bincount(cell, weights=v, minlength=n * self.n).reshape(n, self.n)
+        rest = (counts / size)[:, None] - table(p)
+        # a common word that the text lacks adds half its share
+        word_far = self.mass / 2 + table(gap(p, q) - q / 2) + gap(np.maximum(0, rest), np.maximum(0, 1 - self.mass))
+        far = np.sqrt(np.maximum(0, np.stack([class_far, word_far])))
+        best = far.sum(axis=0).argmin(axis=1)
+        return far[0, np.arange(n), best], far[1, np.arange(n), best]
+
+
+def judge(reference: References, text: str) -> Callable:
     def kernel():
         def work(part: pa.RecordBatch) -> list[pa.Array]:
             column = part.column(part.schema.get_field_index(text))
             base, _ = measure(column)
             lowered, counts = split_words(column)
-            class_far, word_far = divergence(reference, base["classes"], lowered, counts)
+            class_far, word_far = reference.distances(base["classes"], lowered, counts)
             guarded = (base["n_words"] < MIN_WORDS) | (base["word_chars"] < MIN_CHARS)
             limit = MAX_WORD_DISTANCE + WORD_SLACK / np.sqrt(np.maximum(1, counts))
-            far = ~guarded & ((class_far > MAX_CLASS_DISTANCE) | (word_far > limit)) if reference else np.zeros(len(counts), bool)
+            far = ~guarded & ((class_far > MAX_CLASS_DISTANCE) | (word_far > limit)) if reference.n else np.zeros(len(counts), bool)
             longs = [pa.array(base[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             return [*longs, pa.array(base["base_failed"]), pa.array(class_far), pa.array(word_far), pa.array(~base["base_failed"] & ~far)]
 
@@ -230,8 +230,10 @@ def quality(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
 
     Words are runs of characters other than ASCII white space.  base_failed: fewer than 50 words, or more than half
     of the words in repeated 3-word windows.  kept: not base_failed and, for texts over the guards, near a
-    language's reference.  Null texts have no words and fail; rows with a null language are judged, but don't shape
-    a reference; without any reference the base rule decides alone.  Columns with a result's name are replaced.
+    language's reference.  Null and empty texts have no words and fail; very long texts are measured whole.  Rows with
+    a null language are judged, but don't shape a reference; without any reference (an empty table too) the base rule
+    decides alone.  Of equally frequent words the lesser is the commoner, of equally near languages the first by name
+    counts.  Repeated rows are counted and judged each.  Columns with a result's name, in any case, are replaced.
     """
     fields = [long(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [boolean("base_failed"), double("class_distance"), double("word_distance"), boolean("kept")]
-    return with_columns(df, text, fields, judge(references(df, text, lang), text))
+    return with_columns(df, text, fields, judge(References(references(df, text, lang)), text))

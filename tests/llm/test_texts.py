@@ -90,6 +90,85 @@ def test_quality_divergence(spark):
     assert kept == set(range(60))
 
 
+def js(p, q):
+    """Jensen-Shannon distance of two histograms (dicts), base 2."""
+    keys = set(p) | set(q)
+    mean = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in keys}
+    kl = lambda x: sum(x[k] * np.log2(x[k] / mean[k]) for k in x if x[k] > 0)
+    return np.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def shares(counts):
+    total = max(1, sum(counts.values()))
+    return {k: v / total for k, v in counts.items()}
+
+
+def char_class(c):
+    if c.isascii():
+        return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 if c in " \t\n\x0b\x0c\r" else 4 if c in "#*$%&|<>" else 5 if c in ".,;:!?'\"()-" else 6
+    return 7 if len(c.encode()) == 2 else 8
+
+
+def plain_quality(rows):
+    """(class distance, word distance, kept) of each row by the definitions, with every word of every language."""
+    by = {}
+    for _, text, lang in rows:
+        if lang is not None:
+            words, classes = by.setdefault(lang, (Counter(), Counter()))
+            words.update(BLANK.findall((text or "").translate(LOW)))
+            classes.update(map(char_class, text or ""))
+    refs = {}
+    for lang, (words, classes) in sorted(by.items()):
+        common = sorted(words, key=lambda w: (-words[w], w))[: quality.COMMON]
+        share = shares(words)
+        refs[lang] = (shares(classes), {**{w: share[w] for w in common}, None: 1 - sum(share[w] for w in common)})
+    out = []
+    for _, text, _ in rows:
+        t = text or ""
+        words = BLANK.findall(t)
+        low = Counter(w.translate(LOW) for w in words)
+        best = min(((js(shares(Counter(map(char_class, t))), c), js(shares(Counter({w if w in r else None: 0 for w in low}) + sum((Counter({w if w in r else None: n}) for w, n in low.items()), Counter())), r)) for c, r in refs.values()), key=sum, default=(1.0, 1.0))
+        seen, hit = Counter(zip(words, words[1:], words[2:], strict=False)), set()
+        for i in range(len(words) - 2):
+            hit |= {i, i + 1, i + 2} if seen[tuple(words[i : i + 3])] > 1 else set()
+        failed = len(words) < 50 or 100 * len(hit) > 50 * len(words)
+        guarded = len(words) < quality.MIN_WORDS or sum(map(len, words)) < quality.MIN_CHARS
+        far = best[0] > quality.MAX_CLASS_DISTANCE or best[1] > quality.MAX_WORD_DISTANCE + quality.WORD_SLACK / np.sqrt(max(1, len(words)))
+        out.append((best, not failed and (guarded or not refs or not far)))
+    return out
+
+
+@pytest.mark.parametrize(("languages", "parts"), [(3, 1), (3, 3), (3, 40), (300, 7), (0, 2)])
+def test_quality_is_exact(spark, monkeypatch, languages, parts):
+    """Distances and verdicts equal the definitions, in every layout and for any number of languages."""
+    monkeypatch.setattr(quality, "COMMON", 12)
+    r = rng(13)
+    rows = []
+    for i in range(max(40, languages + 20)):
+        lang = f"l{i % languages:03}" if languages and i % 9 else None
+        own = [f"{lang}{c}" for c in "abcdefghijklmnop"] + ["common", "wörter", "日本"]
+        text = " ".join(r.choice(own, int(r.integers(0, 90)))) + (" ### $$$" * 30 if i % 7 == 0 else " Ok, 12.")
+        rows.append((i, None if i % 19 == 18 else text, lang))
+    rows += rows[:3]
+    real = quality.references
+    monkeypatch.setattr(quality, "references", lambda df, text, lang: real(df, text, lang, 12))
+    got = quality.quality(frame(spark, rows, "doc_id long, text string, lang string", parts)).collect()
+    want = plain_quality(rows)
+    key = lambda x: (x[0], x[1] or "", x[2] or "")
+    told = [((x.doc_id, x.text, x.lang), (x.class_distance, x.word_distance), x.kept) for x in got]
+    told.sort(key=lambda x: key(x[0]))
+    plain = sorted(zip(rows, want, strict=True), key=lambda x: key(x[0]))
+    for (row, far, kept), (same, (best, keep)) in zip(told, plain, strict=True):
+        assert row == same and kept == keep
+        assert np.allclose(sum(far), sum(best), atol=1e-7)
+
+
+def test_quality_refuses_what_is_no_language(spark, monkeypatch):
+    monkeypatch.setattr(quality, "LANGUAGES", 5)
+    with pytest.raises(ValueError, match="values"):
+        quality.quality(frame(spark, [(i, "x y", f"v{i}") for i in range(9)], "doc_id long, text string, lang string"))
+
+
 def plain_contamination(text, items, window=13):
     w = WORD.findall((text or "").translate(LOW))
     hit, found = set(), set()
@@ -469,6 +548,52 @@ def test_language(spark):
     assert {x.lang_pred for x in langid.identify(frame(spark, [(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """300 languages, rare ones too: each can be predicted, none is dropped."""
+    r = rng(14)
+    stems = {f"l{k:03}": ["".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), int(r.integers(3, 7)))) for _ in range(8)] for k in range(300)}
+    rows = [(i, " ".join(r.choice(stems[k], 40)), k) for i in range(3600) for k in [f"l{i % 300:03}"]]
+    rows += [(None, "same text", "l999")] * 5  # a language of copies alone
+    got = langid.identify(frame(spark, rows, "doc_id long, text string, lang string")).collect()
+    tested = [x for x in got if x.held_out]
+    assert np.mean([x.lang_pred == x.lang for x in tested]) > 0.95
+    assert {x.lang for x in tested} - {x.lang_pred for x in tested} == set()
+    assert all(x.lang_pred == "l999" for x in got if x.doc_id is None)
+
+
+def plain_vote(model, x):
+    """The family with the greatest value, then the language with most pairwise wins, then the greatest margins."""
+    values = [float(x @ w[:-1] + w[-1]) for w in model.above.T]
+    members, machines = model.within[values.index(max(values))]
+    assert {model.family[k] for k in members} == {values.index(max(values))}
+    wins = {k: 0.0 for k in members.tolist()}
+    for (a, b), w in zip(itertools.combinations(members.tolist(), 2), machines.T, strict=True):
+        v = float(x @ w[:-1] + w[-1])
+        wins[a if v > 0 else b] += 1
+        wins[a] += 1e-3 * np.tanh(v)
+        wins[b] -= 1e-3 * np.tanh(v)
+    return model.languages[max(members.tolist(), key=lambda k: wins[k])]
+
+
+def test_language_votes():
+    r = rng(15)
+    texts = ["".join(r.choice(list("abcdefgh")[k % 5 :], 60)) for k in range(20) for _ in range(10)]
+    x = langid.features(pa.array(texts))
+    model = langid.Hierarchy(x, [f"k{k:02}" for k in range(20) for _ in range(10)])
+    assert len(set(model.family.tolist())) > 1 and max(Counter(model.family.tolist()).values()) <= langid.MEMBERS
+    assert model.predict(x)[0] == [plain_vote(model, v) for v in x]
+    centres = np.stack([[1.0, 0, 0.1], [1, 0, 0.2], [0, 1, 0.1], [0, 1, 0.3], [-1, -1, 0]])
+    family = model.families(centres)
+    assert family[0] == family[1] and family[2] == family[3]
+
+
+def test_language_empty_and_long(spark):
+    assert langid.identify(frame(spark, [], "doc_id long, text string, lang string")).count() == 0
+    rows = [(i, "kor tam lis ven" if i % 2 else "xyl qua zeb wix", "ab"[i % 2]) for i in range(40)] + [(99, "kor tam lis " * 100_000, None)]
+    got = {x.doc_id: x.lang_pred for x in langid.identify(frame(spark, rows, "doc_id long, text string, lang string")).collect()}
+    assert got[99] == "b"
+
+
 def plain_judge(url, rules):
     host, path = "", ""
     if url is not None and "://" in url:
