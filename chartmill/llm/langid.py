@@ -1,9 +1,11 @@
 """Language identification by hierarchical discrimination.
 
 Features are hashed counts of the letters' 1-, 2- and 3-grams over the whole text.  Languages whose centroids are
-close form a family.  A linear support vector machine for each family picks the family; within it one-versus-one
-machines vote.  The machines are fitted on at most PER_LANGUAGE training documents of each language (about, by hash;
-at most TRAIN in all), everything is predicted.
+close form a family, of at most MEMBERS languages.  A linear support vector machine for each family picks the family;
+within it one-versus-one machines vote.  So the number of machines grows in proportion to that of languages.  The
+machines are fitted on a sample of the training documents, by hash: about PER_LANGUAGE of each language, fewer if there
+are so many languages that all would exceed TRAIN, but at least LEAST of each.  Every language is learned, however
+rare; everything is predicted.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columnar import double, emit, string, text_buffer, with_columns
@@ -21,9 +23,11 @@ from .columnar import double, emit, string, text_buffer, with_columns
 BUCKETS = 4096
 PER_LANGUAGE = 300
 TRAIN = 8000
-LANGUAGES = 200
-#: Centroids at least this similar (cosine, less their common mean) are of one family.
-FAMILY = 0.0
+LEAST = 8
+#: Centroids at least this similar (cosine, less their common mean) are of one family, up to so many of them.
+FAMILY, MEMBERS = 0.0, 12
+#: More distinct values than this are no languages: an error, so that what goes to the tasks is bounded.
+LANGUAGES = 1_000
 ROWS = 256
 
 
@@ -66,18 +70,20 @@ def features(texts: pa.Array) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
-def machine(x: np.ndarray, positive: np.ndarray, penalty: float = 1e-4, steps: int = 60) -> np.ndarray:
-    """Weights (the bias last) of a linear SVM with squared hinge loss, both classes weighing the same."""
-    y = np.where(positive, 1.0, -1.0).astype(np.float32)
-    weight = np.where(positive, 0.5 / max(1, positive.sum()), 0.5 / max(1, (~positive).sum())).astype(np.float32)
-    w = np.zeros(x.shape[1] + 1, np.float32)
+def machines(x: np.ndarray, sides: np.ndarray, penalty: float = 1e-4, steps: int = 60) -> np.ndarray:
+    """Weights (a column each, the bias last) of linear SVMs with squared hinge loss that share the rows of x.
+
+    sides has 1 or -1 for each row and machine, 0 where a row doesn't belong; both sides weigh the same.
+    """
+    y = sides.astype(np.float32)
+    weight = sum(np.where(y == side, 0.5 / np.maximum(1, (y == side).sum(axis=0)), 0) for side in (1, -1)).astype(np.float32)
+    w = np.zeros((x.shape[1] + 1, y.shape[1]), np.float32)
     ahead, momentum = w.copy(), 1.0
     for _ in range(steps):  # accelerated gradient; rows have unit length, so the loss is smooth with constant 4
-        short = np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
-        pull = -2 * weight * short * y
-        new = ahead - 0.25 * np.append(x.T @ pull + penalty * ahead[:-1], pull.sum())
+        pull = -2 * weight * y * np.maximum(0, 1 - y * (x @ ahead[:-1] + ahead[-1]))
+        new = ahead - 0.25 * np.vstack([x.T @ pull + np.float32(penalty) * ahead[:-1], pull.sum(axis=0)])
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
-        ahead = new + (momentum - 1) / following * (new - w)
+        ahead = new + np.float32((momentum - 1) / following) * (new - w)
         w, momentum = new, following
     return w
 
@@ -90,50 +96,57 @@ class Hierarchy:
         code = np.array([self.languages.index(v) for v in langs], np.int64)
         centres = np.stack([x[code == k].mean(axis=0) for k in range(len(self.languages))])
         self.family = self.families(centres)
-        groups = self.family[code]
-        self.above = [machine(x, groups == g) for g in range(max(self.family) + 1)] if max(self.family) else []
-        self.pairs = {}
-        for a, b in combinations(range(len(self.languages)), 2):
-            if self.family[a] == self.family[b]:
-                rows = (code == a) | (code == b)
-                self.pairs[a, b] = machine(x[rows], code[rows] == a)
+        groups, n = self.family[code], int(self.family.max()) + 1
+        self.above = machines(x, np.where(groups[:, None] == np.arange(n), 1, -1)) if n > 1 else None
+        self.within = []  # for each family its languages, and their machines by pair
+        for g in range(n):
+            members, rows = np.flatnonzero(self.family == g), np.flatnonzero(groups == g)
+            own = code[rows][:, None]
+            first, second = np.array(list(combinations(members.tolist(), 2)), np.int64).reshape(-1, 2).T
+            self.within.append((members, machines(x[rows], (own == first).astype(int) - (own == second))))
 
     @staticmethod
     def families(centres: np.ndarray) -> np.ndarray:
-        """Family of each language: centroids are merged, the most similar first, while they are similar enough."""
+        """Family of each language: groups of centroids are merged, the most similar on average first, while they are
+        similar enough and small enough."""
         x = centres - centres.mean(axis=0)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-        groups = [[k] for k in range(len(x))]
-        while len(groups) > 1:
-            near = {(i, j): float((x[groups[i]] @ x[groups[j]].T).mean()) for i, j in combinations(range(len(groups)), 2)}
-            (i, j), best = max(near.items(), key=lambda e: (e[1], -e[0][0], -e[0][1]))
-            if len(groups) == 2 or best < FAMILY and len(groups) <= int(np.sqrt(len(x))):
+        total, size, alive = (x @ x.T).astype(float), np.ones(len(x)), np.ones(len(x), bool)
+        out = np.arange(len(x))
+        while alive.sum() > 2:
+            near = total / np.outer(size, size)
+            barred = ~np.outer(alive, alive) | (size[:, None] + size > MEMBERS) | np.tri(len(x), dtype=bool)
+            near[barred] = -np.inf
+            i, j = np.unravel_index(near.argmax(), near.shape)
+            if not np.isfinite(near[i, j]) or near[i, j] < FAMILY and alive.sum() <= int(np.sqrt(len(x))):
                 break
-            groups[i] += groups.pop(j)
-        out = np.zeros(len(x), np.int64)
-        for g, members in enumerate(groups):
-            out[members] = g
-        return out
+            total[i] += total[j]
+            total[:, i] += total[:, j]
+            size[i], alive[j] = size[i] + size[j], False
+            out[out == j] = i
+        return np.unique(out, return_inverse=True)[1]
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score of each row that has letters; und and 0 for the others."""
         n = len(x)
-        value = lambda w: x @ w[:-1] + w[-1]
-        if self.above:
-            families = np.stack([value(w) for w in self.above])
-            group = families.argmax(axis=0)
-            margin = np.sort(families, axis=0)[-1] - np.sort(families, axis=0)[-2]
+        if self.above is not None:
+            values = x @ self.above[:-1] + self.above[-1]
+            group, ranked = values.argmax(axis=1), np.sort(values, axis=1)
+            margin = ranked[:, -1] - ranked[:, -2]
         else:
             group, margin = np.zeros(n, np.int64), np.full(n, 4.0)
-        votes = np.where(self.family[:, None] == group, 0.0, -np.inf)
-        least = np.full((len(self.languages), n), 4.0)
-        for (a, b), w in self.pairs.items():
-            v = value(w)
-            votes[a] += (v > 0) + 1e-3 * np.tanh(v)
-            votes[b] += (v <= 0) - 1e-3 * np.tanh(v)
-            least[a], least[b] = np.minimum(least[a], 2 * v), np.minimum(least[b], -2 * v)
-        best = votes.argmax(axis=0)
-        sure = 1 / (1 + np.exp(-2 * np.minimum(margin, least[best, np.arange(n)])))
+        best, least = np.zeros(n, np.int64), np.full(n, 4.0)
+        for g in np.unique(group).tolist():
+            (members, w), rows = self.within[g], np.flatnonzero(group == g)
+            values = x[rows] @ w[:-1] + w[-1]
+            votes, worst = np.zeros((len(members), len(rows))), np.full((len(members), len(rows)), 4.0)
+            for (i, j), v in zip(combinations(range(len(members)), 2), values.T, strict=True):
+                votes[i] += (v > 0) + 1e-3 * np.tanh(v)
+                votes[j] += (v <= 0) - 1e-3 * np.tanh(v)
+                worst[i], worst[j] = np.minimum(worst[i], 2 * v), np.minimum(worst[j], -2 * v)
+            won = votes.argmax(axis=0)
+            best[rows], least[rows] = members[won], worst[won, np.arange(len(rows))]
+        sure = 1 / (1 + np.exp(-2 * np.minimum(margin, least)))
         blank = ~x.any(axis=1)
         return ["und" if u else self.languages[k] for k, u in zip(best.tolist(), blank.tolist(), strict=True)], np.where(blank, 0.0, sure.astype(float))
 
@@ -144,13 +157,19 @@ def held_out(key: str) -> Column:
 
 def fitted(df: DataFrame, key: str, text: str, lang: str) -> Hierarchy | None:
     """Machines from a bounded hash sample of the labelled training rows; None if there are none."""
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(~held_out("key") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(~held_out("key") & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("key", "text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("rows"), F.min("h").alias("first")).limit(LANGUAGES + 1)
+    languages = counts.count()
+    if not languages:
         return None
-    each = min(PER_LANGUAGE, TRAIN // len(counts))
-    share = F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(min(1.0, each / v)))])
-    sample = rows.where(F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    if languages > LANGUAGES:
+        raise ValueError(f"{lang} has more than {LANGUAGES} values; it isn't a column of languages")
+    each = max(LEAST, min(PER_LANGUAGE, TRAIN // languages))
+    # The hash picks about twice of what the rank keeps, all rows of a language with few, and at least the first hash.
+    share = F.broadcast(counts.select("lang", "first", F.when(F.col("rows") <= 4 * each, 1.0).otherwise(2 * each / F.col("rows")).alias("share")))
+    picked = rows.join(share, "lang").where((F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)) | (F.col("h") == F.col("first")))
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    sample = picked.withColumn("r", F.row_number().over(order)).where(F.col("r") <= each).select("lang", "text")
 
     def kernel():
         def work(part: pa.RecordBatch):
@@ -161,7 +180,7 @@ def fitted(df: DataFrame, key: str, text: str, lang: str) -> Hierarchy | None:
 
         return work
 
-    got = emit(sample, ["lang", "text"], "text", "lang string, x binary", kernel).orderBy(F.xxhash64("lang", "x")).limit(2 * TRAIN).collect()
+    got = emit(sample, ["lang", "text"], "text", "lang string, x binary", kernel).orderBy("lang", F.xxhash64("x"), "x").collect()
     x = np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in got]) if got else np.zeros((0, BUCKETS), np.float32)
     keep = x.any(axis=1)
     langs = [r.lang for r, k in zip(got, keep.tolist(), strict=True) if k]
@@ -173,8 +192,9 @@ def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     Rows whose crc32(key as text) mod 3 is 1 are held out (a null key trains); the machines learn from the text and
     the non-null lang of others, and predict from the text alone.  lang_pred is und, with score 0, for a text that is
-    null or has no letter, and where there is nothing to learn from; the score is between 0 and 1.  Columns with a
-    result's name are replaced.
+    null or empty or has no letter, and where there is nothing to learn from (an empty table too); the score is between
+    0 and 1.  Very long texts are read whole.  Repeated rows are predicted each.  Of languages with equal votes the
+    first by name wins.  Columns with a result's name, in any case, are replaced.
     """
     model = fitted(df, key, text, lang)
     marked = df.drop(*[c for c in df.columns if c.lower() == "held_out"]).withColumn("held_out", held_out(key))
