@@ -1,40 +1,44 @@
-"""Cutting the lineage of iterative jobs."""
+"""Cutting the lineage of iterative jobs, and tables that a job writes for itself, in a folder that executors share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
-def named_folder(df: DataFrame) -> str | None:
-    """The session's spark.checkpoint.dir, which all executors share; None where it is unset."""
-    return df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def root_folder(df: DataFrame) -> str:
+    """The session's spark.checkpoint.dir, which all executors share.
 
+    Only a local master may leave it unset, as tests do; there the driver's disk is everyone's.
+    """
+    spark = df.sparkSession
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="chartmill-")
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the reliable checkpoint folder and read from it.
 
-    The folder is the session's spark.checkpoint.dir, which all executors share.  Only where it is unset, as in
-    local tests, a temporary folder is taken.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the reliable checkpoint folder and read from it."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named_folder(df) or tempfile.mkdtemp(prefix="chartmill-"))
+        sc.setCheckpointDir(root_folder(df))
     return df.checkpoint(eager=True)
 
 
 def shared_folder(df: DataFrame) -> str:
-    """A new name in the folder that all executors share; a temporary folder only where none is set."""
-    root = named_folder(df) or tempfile.mkdtemp(prefix="chartmill-")
-    return f"{root.rstrip('/')}/chartmill-{uuid.uuid4().hex}"
+    """A new name in the folder that all executors share."""
+    return f"{root_folder(df)}/chartmill-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
-    """df written once as Parquet to the shared folder and read from it, and the path."""
+def stored(df: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, str]:
+    """df written once as Parquet to the shared folder and read from it, and the path; by: columns that name folders."""
     path = shared_folder(df)
-    df.write.parquet(path)
+    df.write.partitionBy(*by or []).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -43,3 +47,17 @@ def forget(df: DataFrame, path: str) -> None:
     jvm = df.sparkSession._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def joined_by(df: DataFrame, key: Column, found: DataFrame, on: str) -> DataFrame:
+    """df left joined with found by a key that found has in the column on; the key isn't kept."""
+    name = unused_name(df, "_key")
+    return df.withColumn(name, key).join(found.withColumnRenamed(on, name), name, "left").drop(name)
