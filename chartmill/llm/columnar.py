@@ -7,7 +7,8 @@ the chunk's one UTF-8 buffer is tokenized at once; ``kernel(chunk)`` returns the
 
 from __future__ import annotations
 
-import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -21,6 +22,8 @@ CHUNK_BYTES = 4 << 20
 #: Workers outlive tasks; with these, what a task frees goes back to the system and not into a worker's own store.
 ALLOCATOR = {"MALLOC_MMAP_THRESHOLD_": "1000000", "MALLOC_TRIM_THRESHOLD_": "1000000", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+#: Contexts that have the library.
+SHIPPED: set[str] = set()
 #: Lower-cases A-Z and turns every ASCII byte that isn't a letter or digit into a space.
 ALNUM = bytes(b if b >= 128 or 48 <= b < 58 or 97 <= b < 123 else b + 32 if 65 <= b < 91 else 32 for b in range(256))
 #: Whether a byte is one of [\x20\x09-\x0D].
@@ -29,13 +32,19 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this library wherever the driver was started, and return the memory they free."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
+    """Send this library to the executors, once a context, so that Python workers import it wherever they run, and let
+    the workers return the memory they free."""
+    sc = spark.sparkContext
     for name, value in ALLOCATOR.items():
-        env.setdefault(name, value)
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
+        sc.environment.setdefault(name, value)
+    if sc.applicationId not in SHIPPED:
+        package = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="chartmill-")) / "chartmill.zip"
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        sc.addPyFile(str(path))
+        SHIPPED.add(sc.applicationId)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, bytes]:

@@ -6,14 +6,16 @@ suffixes are sorted by doubling; the Burrows-Wheeler transform is kept as a wave
 are walked to the next sampled suffix position, which gives the place.  Places become spans of words, and the
 spans of a document are merged.
 
-Documents are never shuffled and keep their columns.  Benchmark items come in blocks of about BLOCK_CHARS
-characters, which bounds what a task holds of them; each further block is one more pass over the same rows, and the
-spans and items of the passes are merged row by row.
+Up to BLOCK_CHARS characters of benchmark items, documents are searched where they lie, never shuffled.  More items
+come in blocks of about that size: each block is a job of its own, which leaves the spans and items of the distinct
+texts that it hits in the shared folder, so that the driver and the tasks hold one block at a time; the results of all
+blocks are merged by text and joined to the documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .columnar import ALNUM, long, ragged, split_words, starts_of, with_columns
+from ..plans.lineage import forget, joined_by, stored, unused_name
+from .columnar import ALNUM, emit, long, ragged, split_words, starts_of, with_columns
 
 WINDOW = 13
 BLOCK_CHARS = 2_000_000
@@ -188,24 +191,62 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+KIND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def search(block: Windows, column: pa.Array) -> tuple[np.ndarray, list[list], list[list]]:
+    """Number of words of each text, the merged spans that a block's windows hit, and the sorted ids of its items."""
+    row, start, window, counts = block.occurrences(column)
+    spans, items = [[] for _ in range(len(counts))], [set() for _ in range(len(counts))]
+    for r, s, w in zip(row.tolist(), start.tolist(), block.lengths[window].tolist(), strict=True):
+        spans[r].append((s, s + w))
+    owners = np.repeat(row, block.item_counts[window])
+    which = block.items[ragged(starts_of(block.item_counts)[window], block.item_counts[window])]
+    for r, i in np.unique(np.stack([owners, which]), axis=1).T.tolist():
+        items[r].add(block.ids[i])
+    return counts, [merge(x) for x in spans], [sorted(x) for x in items]
+
+
+def arrays(spans: list[list], items: list[list]) -> list[pa.Array]:
+    return [pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], KIND), pa.array(items, pa.list_(pa.string()))]
+
+
 def scanner(block: Windows, text: str) -> Callable:
-    """A kernel that adds a block's spans and items to those of the blocks before."""
+    """A kernel that returns the words, spans and items of each row."""
+
+    def kernel():
+        def work(part: pa.RecordBatch) -> list[pa.Array]:
+            counts, spans, items = search(block, part.column(part.schema.get_field_index(text)))
+            return [pa.array(counts), *arrays(spans, items)]
+
+        return work
+
+    return kernel
+
+
+def hits(docs: DataFrame, block: Windows) -> DataFrame:
+    """(digest, spans, items) of the distinct texts that a block hits."""
+
+    def kernel():
+        def work(part: pa.RecordBatch):
+            _, spans, items = search(block, part.column(1))
+            hit = [i for i, x in enumerate(spans) if x]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(hit, pa.int64())), *arrays([spans[i] for i in hit], [items[i] for i in hit])], names=["digest", "spans", "items"])
+
+        return work
+
+    return emit(docs, ["digest", "text"], "text", "digest string, spans array<struct<start:bigint,end:bigint>>, items array<string>", kernel).dropDuplicates(["digest"])
+
+
+def merger(text: str, spans: str, items: str) -> Callable:
+    """A kernel that returns the words of each row and unites what the blocks found."""
 
     def kernel():
         def work(part: pa.RecordBatch) -> list[pa.Array]:
             column = lambda c: part.column(part.schema.get_field_index(c))
-            row, start, window, counts = block.occurrences(column(text))
-            spans = [[(s["start"], s["end"]) for s in x or []] for x in column("spans").to_pylist()]
-            items = [set(x or []) for x in column("items").to_pylist()]
-            for r, s, w in zip(row.tolist(), start.tolist(), block.lengths[window].tolist(), strict=True):
-                spans[r].append((s, s + w))
-            owners = np.repeat(row, block.item_counts[window])
-            which = block.items[ragged(starts_of(block.item_counts)[window], block.item_counts[window])]
-            for r, i in np.unique(np.stack([owners, which]), axis=1).T.tolist():
-                items[r].add(block.ids[i])
-            merged = [[{"start": a, "end": b} for a, b in merge(x)] for x in spans]
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            return [pa.array(counts), pa.array(merged, kind), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
+            _, counts = split_words(column(text), ALNUM)
+            united = [merge([(s["start"], s["end"]) for s in x or []]) for x in column(spans).to_pylist()]
+            return [pa.array(counts), *arrays(united, [sorted(set(x or [])) for x in column(items).to_pylist()])]
 
         return work
 
@@ -219,18 +260,28 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     words (from 0, end exclusive) that stand inside an occurrence of a benchmark window; items are the ids, as
     strings, sorted, of the items with an occurring window; an item of fewer words than a window is one window.  A
     document is contaminated if at least a twentieth of its words are hit.  Null texts have no words; items with a
-    null id or text or without words are left out; rows with one id count as one item.  df's columns with a
-    result's name are replaced.
+    null id or text or without words are left out; rows with one id count as one item.  Very long texts are searched
+    whole; repeated rows get the same result each; without items or documents nothing is hit.  df's columns with a
+    result's name, in any case, are replaced (the text is read before).
     """
     names = ["n_words", "spans", "items", "n_hit", "n_items", "items_sha256", "contaminated"]
     fields = [long("n_words"), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))]
-    out = df.drop(*[c for c in df.columns if c.lower() in names]).withColumns({"n_words": F.lit(0).cast("long"), "spans": F.lit(None).cast(SPANS), "items": F.lit(None).cast("array<string>")})
+    out = df.drop(*[c for c in df.columns if c.lower() in names and c != text])
     tests = benchmark.select(F.col(item).cast("string").alias("id"), F.col(item_text).alias("body")).dropna()
     size = tests.agg(F.sum(F.length("body"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_CHARS))
-    for b in range(blocks):
-        part = tests.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        out = with_columns(out, text, fields, scanner(Windows([r.id for r in part], [r.body for r in part], window), text))
+    windows = lambda rows: Windows(*([list(x) for x in zip(*((r.id, r.body) for r in rows.collect()), strict=True)] or [[], []]), window)
+    if blocks == 1:
+        out = with_columns(out, text, fields, scanner(windows(tests), text))
+    else:
+        parts, folder = stored(tests.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))), ["block"])
+        digest = F.sha2(F.col(text), 256)
+        texts = df.select(digest.alias("digest"), F.col(text).alias("text")).where("digest is not null")
+        found = [stored(hits(texts, windows(parts.where(F.col("block") == b))))[0] for b in range(blocks)]
+        forget(parts, folder)
+        names_ = [unused_name(out, f"_{c}") for c in ("spans", "items")]
+        united = reduce(DataFrame.unionByName, found).groupBy("digest").agg(*[F.flatten(F.collect_list(c)).alias(n) for c, n in zip(("spans", "items"), names_, strict=True)])
+        out = with_columns(joined_by(out, digest, united, "digest"), text, fields, merger(text, *names_)).drop(*names_)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     out = out.withColumns({"n_hit": hit, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.concat_ws(",", "items"), 256)})
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

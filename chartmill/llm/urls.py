@@ -6,18 +6,21 @@ interval of the keys that start with its own key.  A url is looked up under each
 rule of a parent domain is an interval too.  In each task the sorted keys of a batch and the sorted rules are
 swept once, with a stack of the rules that are active (nested intervals) at the key.
 
-Urls are never shuffled.  Rules come in blocks of at most RULE_BLOCK rows, which bounds what one broadcast
-holds; every further block is one more sweep over the same rows, which keeps the longest rule so far.
+Up to RULE_BLOCK rules, urls are swept where they lie and never shuffled.  More rules come in blocks of about that
+many: each block is a job of its own, which leaves the distinct urls that it decides with their longest rule in the
+shared folder, so that the driver and the tasks hold one block at a time; the best of all blocks is joined to the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import forget, joined_by, stored, unused_name
 from .columnar import string, with_columns
 
 RULE_BLOCK = 200_000
@@ -66,19 +69,33 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rules has host, path and verdict (allow or block).  Of the rules that fit a url the longest wins; among
     equally long ones block wins, then the greater string.  Without a rule, rule is null and verdict the default.
     Null or malformed urls have an empty host and path and fit no rule.  A repeated rule counts once; rules with a
-    null field are ignored.  Columns of pages named like a result are replaced.  No rows in, no rows out.
+    null field are ignored.  Columns of pages named like a result are replaced.  Very long urls are matched whole,
+    repeated rows are judged each.  No rows in, no rows out.
     """
     host, path = parse_url(F.col(f"`{url}`"))
     new = {"host": host, "path": path, "rule": F.lit(None).cast("string"), "verdict": F.lit(default)}
     clashing = [c for c in pages.columns if c.lower() in new]
     out = pages.select("*", *[v.alias(f"_{k}") for k, v in new.items()]).drop(*clashing).withColumnsRenamed({f"_{k}": k for k in new})
     clean = rules.select("host", "path", "verdict").dropna().distinct()
-    blocks = -(-clean.count() // RULE_BLOCK)
+    blocks = max(1, -(-clean.count() // RULE_BLOCK))
+    if blocks == 1:
+        return with_columns(out, "path", [string("rule"), string("verdict")], sweeper(sorted_rules(clean)))
+    parts, folder = stored(clean.withColumn("block", F.pmod(F.xxhash64("host", "path"), F.lit(blocks))), ["block"])
+    urls, found = out.select("host", "path", "rule", "verdict"), []
     for b in range(blocks):
-        part = clean.where(F.pmod(F.xxhash64("host", "path"), F.lit(blocks)) == b).collect()
-        block = sorted((canonical(r.host, r.path), r.host + r.path, r.verdict) for r in part)
-        out = with_columns(out, "path", [string("rule"), string("verdict")], sweeper(block))
-    return out
+        swept = with_columns(urls, "path", [string("rule"), string("verdict")], sweeper(sorted_rules(parts.where(F.col("block") == b))))
+        found.append(stored(swept.where("rule is not null").distinct())[0])
+    forget(parts, folder)
+    best = F.max(F.struct(F.length("rule").alias("n"), "verdict", "rule")).alias("best")
+    decided = reduce(DataFrame.unionByName, found).groupBy(F.struct("host", "path").alias("url")).agg(best)
+    names = [c for c in out.columns if c not in ("rule", "verdict")]
+    both = joined_by(out.select(*names), F.struct("host", "path"), decided.select("url", F.col("best").alias(best_name := unused_name(out, "_best"))), "url")
+    return both.select(*names, F.col(f"`{best_name}`.rule").alias("rule"), F.coalesce(f"`{best_name}`.verdict", F.lit(default)).alias("verdict"))
+
+
+def sorted_rules(rules: DataFrame) -> list[tuple[str, str, str]]:
+    """(key, rule, verdict) of a block of rules, in the order of the keys."""
+    return sorted((canonical(r.host, r.path), r.host + r.path, r.verdict) for r in rules.collect())
 
 
 def sweeper(rules: list[tuple[str, str, str]]) -> Callable:

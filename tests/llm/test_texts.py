@@ -1,8 +1,10 @@
 """Text operators against plain versions on small rows with nulls, empties, ties, repeats and clashing columns."""
 
+import gc
 import hashlib
 import itertools
 import re
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -194,6 +196,28 @@ def test_contamination(spark, monkeypatch, block):
     assert decontam.contamination(frame(spark, rows[:3]), frame(spark, [], "item_id long, text string")).where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_blocks_come_one_at_a_time(spark, monkeypatch):
+    """With 12 blocks no two of them are alive together, and the result is that of one block."""
+    made, most, real = [], [0], decontam.Windows
+
+    def counted(*args):
+        out = real(*args)
+        made.append(weakref.ref(out))
+        gc.collect()
+        most[0] = max(most[0], sum(m() is not None for m in made))
+        return out
+
+    rows = corpus()
+    items = [(k, rows[k % 100][1]) for k in range(60)]
+    docs, tests = frame(spark, rows), frame(spark, items, "item_id long, text string")
+    whole = decontam.contamination(docs, tests).drop("text").collect()
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", -(-sum(len(t or "") for _, t in items) // 12))
+    monkeypatch.setattr(decontam, "Windows", counted)
+    got = decontam.contamination(docs, tests).drop("text").collect()
+    assert len(made) == 12 and most[0] <= 2  # the next is made while the last one's variable still stands
+    assert Counter(map(str, got)) == Counter(map(str, whole))
+
+
 def test_fm_index_finds_all():
     r = rng(3)
     for _ in range(30):
