@@ -351,7 +351,9 @@ def test_every_close_pair_is_linked(spark, bucket):
     assert len(set(zip(got, roots, strict=True))) == len(set(got)) == len(set(roots))
 
 
-def test_hmm_base_and_recursion(spark):
+@pytest.mark.parametrize("hot", [50_000, 4, 0])
+def test_hmm_base_and_recursion(spark, monkeypatch, hot):
+    monkeypatch.setattr(hmm, "HOT", hot)
     rows = corpus()
     got = hmm.score(frame(spark, [(i, t, True) for i, t in rows], "doc_id long, text string, held_out boolean"), rounds=2).collect()
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
