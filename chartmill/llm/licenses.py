@@ -23,20 +23,27 @@ from .columnar import ALNUM, double, emit, long, split_words, starts_of, string,
 
 #: Phrases whose places are always reported, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Opening or granting sentences of public licences, with the phrases that must stand in them.
+#: Sentences and paragraphs of public licences and their notices, as words, with the phrases that must
+#: stand in them (one of them is enough).
 TEMPLATES = {
-    "mit": [("released under the mit license", ["mit license"]), ("licensed under the mit license", ["mit license"]), ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["free of charge to any person"])],
-    "apache-2.0": [("licensed under the apache license version 2 0", ["apache license"]), ("you may not use this file except in compliance with the license you may obtain a copy of the license at", ["except in compliance with the license"])],
-    "gpl": [("this work is licensed under the gnu general public license version", ["general public license"]), ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license"])],
-    "lgpl": [("under the terms of the gnu lesser general public license as published by the free software foundation", ["lesser general public license"])],
-    "agpl": [("under the terms of the gnu affero general public license as published by the free software foundation", ["affero general public license"])],
-    "bsd": [("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms"]), ("licensed under the bsd license", ["bsd license"])],
-    "mpl-2.0": [("this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"])],
+    "mit": [("released under the mit license", ["mit license"]), ("licensed under the mit license", ["mit license"]), ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", ["free of charge to any person"]), ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["permission notice shall be included in all copies or substantial portions"])],
+    "apache-2.0": [("licensed under the apache license version 2 0", ["apache license"]), ("you may not use this file except in compliance with the license you may obtain a copy of the license at", ["except in compliance with the license"]), ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ["specific language governing permissions and limitations"])],
+    "gpl": [("this work is licensed under the gnu general public license version", ["general public license"]), ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ["gnu general public license"]), ("you should have received a copy of the gnu general public license along with this program if not see", ["copy of the gnu general public license"])],
+    "lgpl": [("under the terms of the gnu lesser general public license as published by the free software foundation", ["lesser general public license"]), ("you should have received a copy of the gnu lesser general public license along with this library if not see", ["gnu lesser general public license"])],
+    "agpl": [("under the terms of the gnu affero general public license as published by the free software foundation", ["affero general public license"]), ("you should have received a copy of the gnu affero general public license along with this program if not see", ["gnu affero general public license"])],
+    "bsd": [("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ["source and binary forms"]), ("licensed under the bsd license", ["bsd license"]), ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ["redistributions of source code must retain"]), ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ["redistributions in binary form must reproduce"])],
+    "isc": [("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ["for any purpose with or without fee is hereby granted"])],
+    "zlib": [("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ["alter it and redistribute it freely"])],
+    "bsl-1.0": [("permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license to use reproduce display distribute execute and transmit the software", ["any person or organization obtaining a copy"]), ("distributed under the boost software license version 1 0", ["boost software license"])],
+    "mpl-2.0": [("this source code form is subject to the terms of the mozilla public license v 2 0", ["mozilla public license"]), ("if a copy of the mpl was not distributed with this file you can obtain one at", ["copy of the mpl was not distributed"])],
+    "epl-2.0": [("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", ["eclipse public license"])],
+    "ofl-1.1": [("this font software is licensed under the sil open font license version 1 1", ["sil open font license"])],
+    "cc-by-4.0": [("this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution 4 0 international"])],
     "cc-by-nc": [("licensed under cc by nc", ["cc by nc"]), ("licensed under a creative commons attribution noncommercial international license", ["creative commons attribution noncommercial"])],
     "cc-by-sa": [("licensed under cc by sa", ["cc by sa"]), ("licensed under a creative commons attribution sharealike international license", ["creative commons attribution sharealike"])],
     "cc-by-nd": [("licensed under cc by nd", ["cc by nd"])],
     "cc0": [("released under the cc0 public domain dedication", ["cc0"]), ("to the extent possible under law the author has waived all copyright and related rights", ["waived all copyright and related"])],
-    "unlicense": [("this is free and unencumbered software released into the public domain", ["released into the public domain"])],
+    "unlicense": [("this is free and unencumbered software released into the public domain", ["released into the public domain"]), ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["anyone is free to copy modify publish use compile sell or distribute"])],
 }
 #: An alignment counts from this share of its template's rarity.
 MATCH = 0.6
@@ -126,7 +133,9 @@ def scan(df: DataFrame, text: str = "text", templates: dict | None = None, base:
     base phrases; first_word and last_word are the least and greatest start among them, from 0, else null.  labels
     are the base labels and those of verified templates; both lists are distinct, sorted and comma-joined.  score is
     the best share of a template's rarity at a verified place, 1 if a base phrase stands alone, 0 without a label.
-    Null and empty texts have no words and no label.  Columns with a result's name are replaced.
+    Null and empty texts have no words and no label; very long texts are scanned whole.  Of equally rare words of a
+    phrase the first is its anchor, which changes no result.  Repeated rows count in the frequencies and are scanned
+    each.  No rows in, no rows out.  Columns with a result's name, in any case, are replaced.
     """
     index = Index(TEMPLATES if templates is None else templates, BASE if base is None else base)
     index.weigh(*frequencies(df, text, index))
