@@ -221,8 +221,10 @@ def encode(df: DataFrame, path: str, text: str = "text", keep_ids: bool = True)
 
     The whole text is encoded under the byte-level BPE file at path, and its ids are decoded again.  A special token's
     string in a text becomes its id.  ids_sha256 is of the ids as little-endian unsigned 32-bit integers, decoded_sha256
-    of the decoded text in UTF-8, both in lowercase hex.  Null and empty texts have no ids.  Columns with a result's
-    name are replaced.
+    of the decoded text in UTF-8, both in lowercase hex.  Null and empty texts have no ids; very long texts are encoded
+    whole.  Pairs of one rank are merged from left to right.  Repeated rows are encoded each, no rows in, no rows out.
+    Columns with a result's name, in any case, are replaced.  A vocabulary whose merges don't follow their ranks, or that
+    isn't byte-level BPE, is a ValueError.
     """
 
     def kernel():
