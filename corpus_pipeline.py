@@ -12,40 +12,60 @@ from pyspark.sql import functions as F
 
 from chartmill.llm import bpe, decontam, pii, quality, simhash
 from chartmill.llm.queries import BPE_FILE, table
-from chartmill.plans.lineage import cut, shared_folder
+from chartmill.plans.lineage import cut, shared_folder, unused_name
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    Null, empty and short texts fail the base rule and go; very long ones are judged whole.  Rows with a null lang are
+    judged, but shape no reference.  Repeated rows stay or go alike, an empty table stays empty.
+    """
     return quality.quality(docs).where("kept").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id, then the least hash of its text; null
-    doc_ids come last; of repeated rows one.  Texts move once, to the keys of the documents that stay."""
-    none = F.col("doc_id").isNull()
-    keyed = docs.withColumns({"_near_id": F.coalesce(F.col("doc_id"), F.lit(0)), "_near_hash": F.xxhash64("text", none)})
-    rows = cut(simhash.with_fingerprint(keyed.select("_near_id", "_near_hash", "doc_id", "text")).select("_near_id", "_near_hash", F.col("doc_id").alias("key"), "fingerprint"))
-    best = F.min(F.struct(F.col("key").isNull(), "_near_id", "_near_hash")).alias("best")
-    stay = rows.join(simhash.classes(docs, prints=rows), "fingerprint").groupBy("root").agg(best).select("best._near_id", "best._near_hash")
-    return keyed.join(stay, ["_near_id", "_near_hash"], "left_semi").dropDuplicates(["_near_id", "_near_hash"]).select(docs.columns)
+    """Of each group of near duplicates the document with the least doc_id, then the least hash of its text.
+
+    doc_id may have any type; null ones come last, repeated rows leave one.  Null and empty texts are near each other;
+    very long ones are fingerprinted whole.  Texts move once, to the keys of the documents that stay.
+    """
+    near = unused_name(docs, "_near")
+    keyed = docs.withColumn(near, F.struct("doc_id", F.xxhash64("text", F.col("text").isNull()).alias("hash")))
+    prints = simhash.with_fingerprint(keyed.select(F.col(near).alias("near"), F.col("doc_id").alias("key"), "text"))
+    rows = cut(prints.select("near", "key", "fingerprint"))
+    first = F.min(F.struct(F.col("key").isNull().alias("none"), "near")).alias("first")
+    stay = rows.join(simhash.classes(docs, prints=rows), "fingerprint").groupBy("root").agg(first).select(F.col("first.near").alias(near))
+    return keyed.join(stay, near, "left_semi").dropDuplicates([near]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated."""
+    """Documents that aren't contaminated.
+
+    Null and empty texts have no words and stay; very long ones are searched whole.  Repeated rows stay or go alike.
+    Items with a null id or text are left out, and without items all documents stay.
+    """
     return decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their personal data replaced by its kind; n_chars follows the text."""
+    """All documents, their personal data replaced by its kind; n_chars, if there is one, follows the text.
+
+    Null and empty texts stay as they are, very long ones are masked whole; repeated rows are masked alike.
+    """
     found = pii.find(docs)
-    text = F.when(F.col("spans") == "", F.col("text")).otherwise(F.col("redacted"))
-    n_chars = F.when(F.col("spans") == "", F.col("n_chars")).otherwise(F.length("redacted").cast(docs.schema["n_chars"].dataType))
-    return found.withColumns({"text": text, "n_chars": n_chars}).select(docs.columns)
+    clean = F.col("spans") == ""
+    new = {"text": F.when(clean, F.col("text")).otherwise(F.col("redacted"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(clean, F.col("n_chars")).otherwise(F.length("redacted").cast(docs.schema["n_chars"].dataType))
+    return found.withColumns(new).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens and ids of each document, and the digest of what its ids decode to."""
+    """doc_id, lang, source, n_tokens and ids of each document, and the digest of what its ids decode to.
+
+    Null and empty texts have no ids, very long ones are encoded whole; repeated rows are encoded each.
+    """
     return bpe.encode(docs, public_tokenizers.path(BPE_FILE)).select("doc_id", "lang", "source", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
