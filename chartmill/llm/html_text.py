@@ -335,7 +335,7 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
 
     Character references are decoded, white space within a block becomes one space, blocks follow in page order with
     one line feed between them; nothing is capped.  Null and empty pages have an empty text, very long or deep pages are
-    read whole.  A block whose content and frame are equally likely is content.  Repeated rows are extracted each; an
+    read whole.  A block is content if that is likelier than not.  Repeated rows are extracted each; an
     empty table leaves the pages of this module to learn from.  Columns with a result's name, in any case, are replaced.
     """
     model = fitted(pages, source)
