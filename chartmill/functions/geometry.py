@@ -110,3 +110,80 @@ def simplify(poly: Column, limit: float = 18.0) -> Column:
         return polygons.map(lambda one: [{"x": x, "y": y} for x, y in keep([(p["x"], p["y"]) for p in one])] if one is not None and len(one) else [])
 
     return F.pandas_udf(batch, "array<struct<x:int,y:int>>")(poly)
+
+
+#: Anchors that frames hold, their scales and limit, and when a slider is bent, how far, and angular.
+ANCHORS, SPAN_X, SPAN_Y, OFFSET_LIMIT = 3, 512, 384, 1.2
+BEND_PX, LEAST_BOW_PX, MOST_BOW_PX, BENT_RATIO = 6.0, 14.0, 130.0, 1.06
+CORNER_CUE, CORNER_DEG = 0.25, 25.0
+POINTS = "array<struct<x:int,y:int>>"
+
+
+def within(value: Column, low: float, high: float) -> Column:
+    return F.least(F.lit(high), F.greatest(F.lit(low), value))
+
+
+def anchor_offsets(poly: str, simple: str) -> Column:
+    """The first ANCHORS simplified anchors as offsets from the head, x and y in turn, the last one repeated."""
+    head = F.get(F.col(poly), F.lit(0))
+    anchors = F.slice(simple, 2, F.size(simple))
+    chosen = F.slice(F.concat(anchors, F.array_repeat(F.element_at(simple, -1), ANCHORS)), 1, ANCHORS)
+    pair = lambda p: F.array(within((p["x"] - head["x"]) / F.lit(SPAN_X), -OFFSET_LIMIT, OFFSET_LIMIT), within((p["y"] - head["y"]) / F.lit(SPAN_Y), -OFFSET_LIMIT, OFFSET_LIMIT))
+    return F.flatten(F.transform(chosen, pair))
+
+
+def turn_degrees(a: Column, b: Column, c: Column) -> Column:
+    """Turn at b on the way from a by b to c; 0 if a leg has no length."""
+    ux, uy, vx, vy = b["x"] - a["x"], b["y"] - a["y"], c["x"] - b["x"], c["y"] - b["y"]
+    size = F.hypot(ux.cast("double"), uy.cast("double")) * F.hypot(vx.cast("double"), vy.cast("double"))
+    return F.when(size < 1e-6, 0.0).otherwise(F.degrees(F.acos(within((ux * vx + uy * vy) / size, -1.0, 1.0))))
+
+
+def corners(poly: Column) -> Column:
+    """The anchors of a polygon (head first), doubled where it turns sharply, or at the sharpest turn if none is sharp."""
+    inner = lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 2), lambda i: F.struct(turn_degrees(F.get(p, i - 1), F.get(p, i), F.get(p, i + 1)).alias("turn"), i.alias("i")))
+    sharp = lambda turns: F.transform(F.when(F.exists(turns, lambda t: t["turn"] >= CORNER_DEG), F.filter(turns, lambda t: t["turn"] >= CORNER_DEG)).otherwise(F.array(F.array_max(turns))), lambda t: t["i"])
+    doubled = lambda p: let(sharp(inner(p)), lambda at: F.flatten(F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.array_repeat(F.get(p, i), F.when(F.array_contains(at, i), 2).otherwise(1)))))
+    return let(poly, lambda p: F.when(F.size(p) < 3, F.slice(p, 2, F.size(p))).otherwise(doubled(p)))
+
+
+def bow(poly: Column, px: Column) -> Column:
+    """The anchors of a polygon (head first), the one farthest from the chord, or a new one at its middle, pushed until
+    the bow is px, at most MOST_BOW_PX, within the playfield."""
+
+    def pushed(p: Column) -> Column:
+        a, b = F.get(p, F.lit(0)), F.element_at(p, -1)
+        size = F.hypot((b["x"] - a["x"]).cast("double"), (b["y"] - a["y"]).cast("double"))
+        ux, uy = -(b["y"] - a["y"]) / size, (b["x"] - a["x"]) / size
+        off = lambda q: (q["x"] - a["x"]) * ux + (q["y"] - a["y"]) * uy
+        far = F.least(F.lit(MOST_BOW_PX), px)
+        moved = lambda x, y, by: F.struct(within(x + ux * by, 0.0, SPAN_X).cast("int").alias("x"), within(y + uy * by, 0.0, SPAN_Y).cast("int").alias("y"))
+        farthest = -F.array_max(F.transform(F.sequence(F.lit(1), F.size(p) - 2), lambda i: F.struct(F.abs(off(F.get(p, i))).alias("d"), (-i).alias("i"))))["i"]
+        apex = F.transform(F.slice(p, 2, F.size(p)), lambda q, i: F.when(i + 1 == farthest, moved(q["x"], q["y"], F.when(off(q) >= 0, far).otherwise(-far) - off(q))).otherwise(q))
+        middle = F.array(moved((a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2, far), b)
+        return F.when((size < 1e-6) | (px <= 0), F.slice(p, 2, F.size(p))).when(F.size(p) > 2, apex).otherwise(middle)
+
+    return let(poly, pushed)
+
+
+def slider_shape(rows: DataFrame, x: str, y: str, offsets: str, curve: str | None = None, corner: str | None = None) -> DataFrame:
+    """rows with curve_type, curve_points and length of the slider from (x, y) with these mean anchor offsets.
+
+    Anchors that fall together count once and the rest are simplified.  A corner cue makes a slider angular, a curve cue
+    (the bow in px; without one, a path that is clearly longer than its chord) makes it bent, by LEAST_BOW_PX or more.
+    """
+    head = F.struct(F.col(x).cast("int").alias("x"), F.col(y).cast("int").alias("y"))
+    point = lambda i: F.struct(within(F.col(x) + F.get(offsets, 2 * i) * SPAN_X, 0.0, SPAN_X).cast("int").alias("x"), within(F.col(y) + F.get(offsets, 2 * i + 1) * SPAN_Y, 0.0, SPAN_Y).cast("int").alias("y"))
+    all_ = F.concat(F.array(head), F.transform(F.sequence(F.lit(0), F.lit(ANCHORS - 1)), point))
+    distinct = let(all_, lambda p: F.filter(p, lambda q, i: (i == 0) | (q != F.get(p, i - 1))))
+    made = rows.withColumn("_raw", distinct).withColumn("_poly", simplify(F.col("_raw")))
+    chord_, path = chord(F.col("_poly")), lambda p: total(legs(p))
+    angular = F.lit(False) if corner is None else F.coalesce((F.col(corner) >= CORNER_CUE) & (F.size("_poly") >= 3), F.lit(False))
+    bent = (F.size("_poly") >= 3) & (path(F.col("_poly")) > chord_ * BENT_RATIO) if curve is None else F.col(curve) >= BEND_PX
+    target = F.lit(LEAST_BOW_PX) if curve is None else F.greatest(F.col(curve), F.lit(LEAST_BOW_PX))
+    flat = F.slice("_poly", 2, F.size("_poly"))
+    points = F.when(angular, corners(F.col("_poly"))).when(~bent, F.array(F.element_at("_poly", -1))).when(sagitta(F.col("_poly")) < target, bow(F.col("_poly"), target)).otherwise(flat)
+    tiny = F.size("_raw") < 2
+    side = F.array(F.struct(F.least(F.lit(SPAN_X), F.col(x) + 10).cast("int").alias("x"), F.col(y).cast("int").alias("y")))
+    made = made.withColumns({"curve_type": F.when(~tiny & (angular | bent), "B").otherwise("L"), "curve_points": F.when(tiny, side).otherwise(points).cast(POINTS)})
+    return made.withColumn("length", F.greatest(F.lit(10.0), F.when(tiny, 10.0).otherwise(path(F.concat(F.array(head), F.col("curve_points")))))).drop("_raw", "_poly")

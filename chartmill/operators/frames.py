@@ -24,8 +24,9 @@ SIGMA = 1.2
 WIDTH, HEIGHT = 512, 384
 BUMPS = ["onset", "new_combo", "whistle", "finish", "clap"]
 HOLDS = ["slider_hold", "spinner_hold", "kiai_hold"]
-LAST = ["slides", "curve", "corner"]
-BASELINES = {**dict.fromkeys([*BUMPS, *HOLDS, "slides"], -1.0), **dict.fromkeys(["cursor_x", "cursor_y", "sv", "curve", "corner", "spacing"], 0.0)}
+ANCHORS = [f"anchor{i}_{c}" for i in range(g.ANCHORS) for c in "xy"]
+LAST = ["slides", "curve", "corner", *ANCHORS]
+BASELINES = {**dict.fromkeys([*BUMPS, *HOLDS, "slides"], -1.0), **dict.fromkeys(["cursor_x", "cursor_y", *ANCHORS, "sv", "curve", "corner", "spacing"], 0.0)}
 
 
 def clip(value: Column, low: float, high: float) -> Column:
@@ -73,11 +74,16 @@ def rasterise(events: DataFrame, points: DataFrame, charts: DataFrame, n_frames:
     bumps = bumped.select(CHART, "frame", *[F.when(c, height).alias(k) for k, c in when.items()])
 
     last = F.bround(F.least(F.lit(n_frames - 1.0), to_frame(F.col("end_time"))), 0)
-    held = covered(shown.where("is_slider or is_spinner"), F.bround("f", 0), last)
     slider = F.col("is_slider")
     poly = g.polygon()
-    shape = F.struct(F.col("time"), F.col("line_no"), (clip((F.col("slides") - 1) / 3, 0.0, 1.0) * 2 - 1).alias("slides"), clip(g.sagitta(poly) / 80, 0.0, 1.2).alias("curve"), F.when(g.has_red_points(F.col("curve_points")), 1.0).otherwise(0.0).alias("corner"))
-    shapes = held.select(CHART, "frame", F.when(slider, 1.0).alias("slider_hold"), F.when(F.col("is_spinner") & ~slider, 1.0).alias("spinner_hold"), F.when(slider, shape).alias("shape"))
+    shape = F.struct(
+        F.col("time"), F.col("line_no"), (clip((F.col("slides") - 1) / 3, 0.0, 1.0) * 2 - 1).alias("slides"), clip(g.sagitta(F.col("poly")) / 80, 0.0, 1.2).alias("curve"),
+        F.when(g.has_red_points(F.col("curve_points")), 1.0).otherwise(0.0).alias("corner"), *[F.get("offsets", F.lit(i)).alias(c) for i, c in enumerate(ANCHORS)],
+    )
+    simple = shown.where("is_slider or is_spinner").withColumn("poly", poly).withColumn("simple", g.simplify(F.col("poly"))).withColumn("offsets", g.anchor_offsets("poly", "simple"))
+    shaped = simple.select(CHART, "f", "end_time", "is_slider", "is_spinner", F.when(slider, shape).alias("shape"))
+    held = covered(shaped, F.bround("f", 0), last)
+    shapes = held.select(CHART, "frame", F.when(slider, 1.0).alias("slider_hold"), F.when(F.col("is_spinner") & ~slider, 1.0).alias("spinner_hold"), "shape")
 
     spans = timing.kiai_spans(points, timing.last_ends(events))
     kiai = covered(spans, F.greatest(F.lit(0), F.bround(to_frame(F.col("start")), 0)), F.least(F.lit(n_frames - 1), F.bround(to_frame(F.col("end")), 0))).select(CHART, "frame", F.lit(1.0).alias("kiai_hold"))
@@ -159,10 +165,24 @@ def span_mean(frames: DataFrame, spans: DataFrame, channel: str) -> DataFrame:
     return spans.join(first, [CHART, "first"]).join(last, [CHART, "last"]).withColumn("mean", (F.col("b") - F.col("a")) / (F.col("last") - F.col("first") + 1)).drop("a", "b")
 
 
+def decode_spacing(frames: DataFrame, events: DataFrame) -> DataFrame:
+    """(chart_id, line_no, magnitude): the distance in px that the spacing channel sets for the step to each event, its
+    mean over the gap before it; 0 for the first.  Charts whose channel is all but zero have no rows."""
+    trained = frames.groupBy(CHART).agg(F.max(F.abs("spacing")).alias("top"), (F.max("frame") + 1).alias("size")).where("top >= 1e-3")
+    here = in_time()
+    steps = events.withColumn("before", F.lag("time").over(here)).join(trained.select(CHART, "size"), CHART)
+    first = F.greatest(F.lit(0), F.least(F.col("size") - 1, F.bround(to_frame(F.col("before")), 0))).cast("int")
+    gaps = steps.withColumn("first", first).withColumn("last", (F.greatest(F.col("first") + 1, F.least(F.col("size"), F.bround(to_frame(F.col("time")), 0))) - 1).cast("int"))
+    means = span_mean(frames, gaps.where("before is not null").select(CHART, "line_no", "first", "last"), "spacing")
+    out = steps.select(CHART, "line_no").join(means.select(CHART, "line_no", "mean"), [CHART, "line_no"], "left")
+    return out.select(CHART, "line_no", F.coalesce(clip(F.col("mean"), 0.0, 1.2) * 300, F.lit(0.0)).alias("magnitude"))
+
+
 def training_windows(frames: DataFrame, length: int, seed: int = 0) -> DataFrame:
-    """frames of one window of each chart, renumbered from 0: a hash-seeded crop, or all and a padding of baselines."""
+    """frames of one window of each chart, renumbered from 0: a crop whose start an md5 of seed and chart chooses, or
+    all and a padding of baselines."""
     sizes = frames.groupBy(CHART).agg((F.max("frame") + 1).alias("size"))
-    start = F.when(F.col("size") > length, F.pmod(F.xxhash64(F.lit(seed), CHART), F.col("size") - length + 1)).otherwise(0).cast("int")
+    start = F.when(F.col("size") > length, F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(CHART).cast("string"))), 1, 15), 16, 10).cast("long") % (F.col("size") - length + 1)).otherwise(0).cast("int")
     spine = sizes.select(CHART, start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("i"))
     own = spine.withColumn("frame", F.col("start") + F.col("i"))
     channels = [c for c in BASELINES if c in frames.columns]
@@ -170,10 +190,10 @@ def training_windows(frames: DataFrame, length: int, seed: int = 0) -> DataFrame
 
 
 def mirror(frames: DataFrame) -> DataFrame:
-    """frames four times: as they are and mirrored in x, in y and in both."""
+    """frames four times: as they are and mirrored in x, in y and in both; anchors mirror with the cursor."""
     flips = F.explode(F.expr("array(named_struct('fx', 1, 'fy', 1), named_struct('fx', -1, 'fy', 1), named_struct('fx', 1, 'fy', -1), named_struct('fx', -1, 'fy', -1))"))
     out = frames.withColumn("flip", flips)
-    return out.withColumns({"cursor_x": F.col("cursor_x") * F.col("flip.fx"), "cursor_y": F.col("cursor_y") * F.col("flip.fy")})
+    return out.withColumns({c: F.col(c) * F.col(f"flip.f{c[-1]}") for c in ["cursor_x", "cursor_y", *ANCHORS] if c in frames.columns})
 
 
 def spacing_ratio(frames: DataFrame, events: DataFrame) -> DataFrame:
@@ -200,8 +220,9 @@ def recover_gaps(peaks: DataFrame, frames: DataFrame, channel: str = "onset", th
 def decode_events(frames: DataFrame, onset: float = 0.3, min_gap: int = 2, min_slider: int = 4, accent: float = 0.85) -> DataFrame:
     """Events from frames: spinners from long runs, then a circle or slider at each onset outside them.
 
-    A slider needs a hold within four frames that lasts min_slider frames before the next onset or spinner.  Its body
-    is the straight line to where the cursor is at its end, at least 10 px long.
+    A slider needs a hold within four frames that lasts min_slider frames before the next onset or spinner.  Its shape
+    and slides come from the means of the anchor, curve, corner and slides channels over it; frames without anchor
+    channels give a straight line to where the cursor is at its end, at least 10 px long.
     """
     spans = cut(spinner_spans(frames))  # few rows a chart, read by several branches, as are the peaks
     peaks = cut(recover_gaps(cut(pick_peaks(frames, "onset", onset, min_gap)), frames, "onset", onset, min_gap))
@@ -224,11 +245,23 @@ def decode_events(frames: DataFrame, onset: float = 0.3, min_gap: int = 2, min_s
     sound = sum((F.when(F.col(c) > accent, b).otherwise(0) for c, b in (("whistle", 2), ("finish", 4), ("clap", 8))), F.lit(0))
     combo = F.when(F.col("new_combo") > 0, 4).otherwise(0)
     heads = at.join(tails, [CHART, "end"], "left").withColumns({"is": F.coalesce(slider, F.lit(False)), "x": place("cursor_x", WIDTH), "y": place("cursor_y", HEIGHT)})
-    none = F.array().cast("array<struct<x:int,y:int>>")
-    events = heads.select(
-        CHART, F.col("frame").cast("long").alias("line_no"), ms("frame").alias("time"), "x", "y", (F.when(F.col("is"), 2).otherwise(1) + combo).alias("type"), sound.alias("hit_sound"), F.when(F.col("is"), F.lit("L")).alias("curve_type"),
-        F.when(F.col("is"), F.array(F.struct(F.coalesce("ex", "x").alias("x"), F.coalesce("ey", "y").alias("y")))).otherwise(none).alias("curve_points"), F.lit(1).alias("slides"),
-        F.when(F.col("is"), F.greatest(F.lit(10.0), g.distance(F.col("x"), F.col("y"), F.coalesce("ex", "x"), F.coalesce("ey", "y")))).otherwise(0.0).alias("length"), F.when(F.col("is"), ms("end")).otherwise(ms("frame")).alias("end_time"),
+    none = F.array().cast(g.POINTS)
+    if set(ANCHORS) <= set(frames.columns):
+        read = [c for c in (*ANCHORS, "slides", "curve", "corner") if c in frames.columns]
+        held = covered(heads.where("is").select(CHART, F.col("frame").alias("head"), "end"), F.col("head"), F.col("end")).join(frames.select(CHART, "frame", *read), [CHART, "frame"])
+        means = held.groupBy(CHART, F.col("head").alias("frame")).agg(*[F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in read])
+        wide = heads.where("is").join(means, [CHART, "frame"]).withColumn("offsets", F.array(*[F.col(f"mean_{c}") for c in ANCHORS]))
+        cues = {c: f"mean_{c}" if c in read else None for c in ("curve", "corner", "slides")}
+        wide = wide.withColumn("mean_curve", clip(F.col("mean_curve"), 0.0, 1.2) * 80) if cues["curve"] else wide
+        drawn = g.slider_shape(wide, "x", "y", "offsets", cues["curve"], cues["corner"])
+        count = F.bround((clip(F.col("mean_slides"), -1.0, 1.0) + 1) / 2 * 3, 0).cast("int") + 1 if cues["slides"] else F.lit(1)
+        sliders = drawn.select(CHART, "frame", "curve_type", "curve_points", "length", count.alias("slides"))
+    else:
+        ends = heads.where("is").withColumns({"ex": F.coalesce("ex", "x"), "ey": F.coalesce("ey", "y")})
+        sliders = ends.select(CHART, "frame", F.lit("L").alias("curve_type"), F.array(F.struct(F.col("ex").alias("x"), F.col("ey").alias("y"))).cast(g.POINTS).alias("curve_points"), F.greatest(F.lit(10.0), g.distance(F.col("x"), F.col("y"), F.col("ex"), F.col("ey"))).alias("length"), F.lit(1).alias("slides"))
+    events = heads.drop("slides").join(sliders, [CHART, "frame"], "left").select(
+        CHART, F.col("frame").cast("long").alias("line_no"), ms("frame").alias("time"), "x", "y", (F.when(F.col("is"), 2).otherwise(1) + combo).alias("type"), sound.alias("hit_sound"), "curve_type",
+        F.coalesce("curve_points", none).alias("curve_points"), F.coalesce("slides", F.lit(1)).alias("slides"), F.coalesce("length", F.lit(0.0)).alias("length"), F.when(F.col("is"), ms("end")).otherwise(ms("frame")).alias("end_time"),
     )
     spinners = spans.select(CHART, F.col("first").cast("long").alias("line_no"), ms("first").alias("time"), F.lit(256).alias("x"), F.lit(192).alias("y"), F.lit(8).alias("type"), F.lit(0).alias("hit_sound"), F.lit(None).cast("string").alias("curve_type"), none.alias("curve_points"), F.lit(1).alias("slides"), F.lit(0.0).alias("length"), ms("last").alias("end_time"))
     return events.unionByName(spinners)

@@ -30,21 +30,30 @@ def band_score(value: Column, p10: Column, p90: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - out / half)
 
 
-def families(metrics: DataFrame, bands: DataFrame, weights: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, family, family_ord, family_w, score): weighted mean of the band scores of a family's usable metrics."""
+def metric_scores(metrics: DataFrame, bands: DataFrame, weights: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, metric, family, family_ord, family_w, metric_w, s): band score of each metric with a usable band."""
     usable = bands.where("p90 > p10").select("bucket", "metric", "p10", "p90").join(weights, "metric")
     long = melt(metrics.withColumn("bucket", sr_bucket(F.col("star_rating"))), [*ids, "bucket"])
-    scored = long.join(F.broadcast(usable), ["bucket", "metric"]).withColumn("s", band_score(F.col("value"), F.col("p10"), F.col("p90")))
-    return scored.groupBy(*ids, "family", "family_ord", "family_w").agg((F.sum(F.col("metric_w") * F.col("s")) / F.sum("metric_w")).alias("score"))
+    return long.join(usable, ["bucket", "metric"]).select(*ids, "metric", "family", "family_ord", "family_w", "metric_w", band_score(F.col("value"), F.col("p10"), F.col("p90")).alias("s"))
+
+
+def families(metrics: DataFrame, bands: DataFrame, weights: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, family, family_ord, family_w, score, per_metric): weighted mean of the band scores of a family's usable
+    metrics, and the entries of their map."""
+    scored = metric_scores(metrics, bands, weights, ids)
+    entries = F.collect_list(F.struct("metric", F.bround("s", 3).alias("s"))).alias("per_metric")
+    return scored.groupBy(*ids, "family", "family_ord", "family_w").agg((F.sum(F.col("metric_w") * F.col("s")) / F.sum("metric_w")).alias("score"), entries)
 
 
 def quality(metrics: DataFrame, bands: DataFrame, weights: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """(ids, quality, family): family-weighted mean of the family scores, and their map; charts without any usable
-    band drop out."""
+    """(ids, quality, family, per_metric): family-weighted mean of the family scores, and the maps of family and metric
+    scores; a chart without any usable band has quality 0 and empty maps."""
     ids = ids or ["chart_id"]
-    got = families(metrics, bands, weights, ids)
     entry = F.struct("family", F.bround("score", 3).alias("score"))
-    return got.groupBy(*ids).agg((F.sum(F.col("family_w") * F.col("score")) / F.sum("family_w")).alias("quality"), F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("family"))
+    maps = [F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("family"), F.map_from_entries(F.sort_array(F.flatten(F.collect_list("per_metric")))).alias("per_metric")]
+    got = families(metrics, bands, weights, ids).groupBy(*ids).agg((F.sum(F.col("family_w") * F.col("score")) / F.sum("family_w")).alias("quality"), *maps)
+    empty = F.create_map().cast("map<string,double>")
+    return metrics.select(*ids).join(got, ids, "left").select(*ids, F.coalesce("quality", F.lit(0.0)).alias("quality"), F.coalesce("family", empty).alias("family"), F.coalesce("per_metric", empty).alias("per_metric"))
 
 
 def effective_weights(weights: DataFrame) -> DataFrame:

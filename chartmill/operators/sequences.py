@@ -12,11 +12,14 @@ from array import array
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import MS_PER_FRAME
+
 
 def _sorted(df: DataFrame, key: str, *order) -> DataFrame:
     """df dealt by a key, each of its groups in one piece and in order."""
@@ -38,35 +41,36 @@ def _reflect(value: float, high: float) -> float:
 
 
 def respace(events: DataFrame, magnitudes: DataFrame, alpha: float = 1.0, w: int = 512, h: int = 384) -> DataFrame:
-    """events (chart_id, line_no, time, x, y, type) with x and y moved so that each step has its magnitude.
+    """(chart_id, line_no, x, y, curve_points, moved) of events, moved so that each step has its magnitude.
 
     A step keeps its direction; new combos, spinners and what follows a spinner keep their place; steps without
-    direction stay; walls reflect.  magnitudes: (chart_id, line_no, magnitude) of the step to the event.
+    direction stay; walls reflect.  Anchors move with their head by the same whole pixels; what would move by none
+    stays.  magnitudes: (chart_id, line_no, magnitude) of the step to the event.
     """
+    kind_of = {"chart_id": pa.int64(), "line_no": pa.int64(), "x": pa.int32(), "y": pa.int32(), "curve_points": pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])), "moved": pa.bool_()}
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # chart, x, y, type and new place of the row before
         for batch in batches:
-            charts, lines, px, py = [], [], [], []
-            for chart, line, x, y, kind, size in _rows(batch):
+            out = []
+            for chart, line, x, y, kind, anchors, size in _rows(batch):
                 tx, ty = float(x), float(y)
                 if last and last[0] == chart:
                     dx, dy = x - last[1], y - last[2]
                     norm = math.hypot(dx, dy)
                     if not (kind & 12 or last[3] & 8) and norm >= 1e-6:
-                        size = (0.0 if size is None or size != size else max(0.0, size)) / norm
-                        tx, ty = _reflect(last[4] + size * dx, w), _reflect(last[5] + size * dy, h)
+                        size = 0.0 if size is None or size != size else max(0.0, size)
+                        tx, ty = _reflect(last[4] + size * dx / norm, w), _reflect(last[5] + size * dy / norm, h)
                     tx, ty = alpha * tx + (1 - alpha) * x, alpha * ty + (1 - alpha) * y
                 last = chart, x, y, kind, tx, ty
-                charts.append(chart)
-                lines.append(line)
-                px.append(round(tx))
-                py.append(round(ty))
-            yield pa.RecordBatch.from_arrays([pa.array(charts, pa.int64()), pa.array(lines, pa.int64()), pa.array(px, pa.int32()), pa.array(py, pa.int32())], names=["chart_id", "line_no", "x", "y"])
+                sx, sy = round(tx - x), round(ty - y)
+                moved = bool(sx or sy)
+                out.append((chart, line, round(tx) if moved else x, round(ty) if moved else y, [{"x": p["x"] + sx, "y": p["y"] + sy} for p in anchors or []], moved))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kind_of.values(), strict=True)], names=list(kind_of))
 
-    rows = events.select("chart_id", "line_no", "time", "x", "y", "type").join(magnitudes, ["chart_id", "line_no"], "left")
+    rows = events.select("chart_id", "line_no", "time", "x", "y", "type", "curve_points").join(magnitudes, ["chart_id", "line_no"], "left")
     ordered = _sorted(rows, "chart_id", F.asc_nulls_last("time"), F.asc_nulls_last("line_no"))
-    return ordered.select("chart_id", "line_no", "x", "y", "type", "magnitude").mapInArrow(walk, "chart_id long, line_no long, x int, y int")
+    return ordered.select("chart_id", "line_no", "x", "y", "type", "curve_points", "magnitude").mapInArrow(walk, "chart_id long, line_no long, x int, y int, curve_points array<struct<x:int,y:int>>, moved boolean")
 
 
 def beat_f_measure(beats: DataFrame, tolerance: float = 70.0) -> DataFrame:
@@ -184,27 +188,33 @@ def early_abort(trajectories: DataFrame, monitor_frac: float = 0.7, margin: floa
     return _sorted(rows, "job_id", "cand", F.desc_nulls_last("step_k")).mapInArrow(run, "job_id long, cand int, aborted boolean, abort_k long, steps_saved long")
 
 
-def sv_sections(frames: DataFrame, window: int = 9, step: float = 0.1, change: float = 0.2, min_frames: int = 258, most: int = 6) -> DataFrame:
-    """(chart_id, frame, sv): few, stable velocity sections read off the sv channel.
+def sv_sections(frames: DataFrame, smooth_ms: float = 700.0, step: float = 0.1, change: float = 0.2, min_section_s: float = 3.0, most: int = 6) -> DataFrame:
+    """(chart_id, start_ms, sv): few, stable velocity sections read off the sv channel.
 
-    The channel is smoothed by an edge-padded running median and quantised; a section begins where it has changed by
-    change at least min_frames after the last one; while there are too many, the nearest neighbours in log2 merge.
+    The channel is smoothed by an edge-padded running median over smooth_ms (if it is that long) and quantised; a
+    section begins where the level differs by change from the last section's, at least min_section_s after its begin;
+    while there are too many, the nearest neighbours in log2 merge; a section like the one before it is left out.
     """
+    window = max(1, round(smooth_ms / MS_PER_FRAME) | 1)
+    apart = max(1, round(min_section_s * 1000 / MS_PER_FRAME))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        half = window // 2
-        v = pdf.sv.astype(float).tolist()
-        padded = pd.Series([v[0]] * half + v + [v[-1]] * half).rolling(window).median().tolist()[window - 1 :]
-        levels = [max(step, round(2 ** (2 * x) / step) * step) for x in padded]
-        sections = [[int(pdf.frame.iloc[0]), levels[0]]]
-        for f, sv in zip(pdf.frame.tolist(), levels, strict=True):
-            if abs(sv - sections[-1][1]) >= change - 1e-9 and f - sections[-1][0] >= min_frames:
-                sections.append([f, sv])
+        v = 2.0 ** (2 * np.clip(pdf.sort_values("frame").sv.to_numpy(np.float64), -1, 1))
+        if 1 < window <= len(v):
+            v = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(v, window // 2, mode="edge"), window), axis=1)
+        levels = np.round(v / step) * step
+        sections = [(0, float(levels[0]))]
+        while True:
+            begin, level = sections[-1]
+            far = np.flatnonzero(np.abs(levels[begin + apart :] - level) >= change)
+            if not len(far):
+                break
+            at = begin + apart + int(far[0])
+            sections.append((at, float(levels[at])))
         while len(sections) > most:
-            near = min(range(1, len(sections)), key=lambda i: abs(math.log2(sections[i][1] / sections[i - 1][1])))
-            sections.pop(near)
-        kept = [s for i, s in enumerate(sections) if not i or s[1] != sections[i - 1][1]]
-        return pd.DataFrame({"chart_id": pdf.chart_id.iloc[0], "frame": [s[0] for s in kept], "sv": [round(s[1], 3) for s in kept]})
+            logs = [math.log2(max(s, 1e-3)) for _, s in sections]
+            sections.pop(1 + min(range(len(logs) - 1), key=lambda i: abs(logs[i + 1] - logs[i])))
+        kept = [s for i, s in enumerate(sections) if not i or abs(s[1] - sections[i - 1][1]) >= 1e-6]
+        return pd.DataFrame({"chart_id": pdf.chart_id.iloc[0], "start_ms": [round(f * MS_PER_FRAME) for f, _ in kept], "sv": [round(s, 3) for _, s in kept]})
 
-    return frames.select("chart_id", "frame", F.col("sv").cast("double").alias("sv")).groupBy("chart_id").applyInPandas(fold, "chart_id long, frame int, sv double")
+    return frames.select("chart_id", "frame", F.col("sv").cast("double").alias("sv")).groupBy("chart_id").applyInPandas(fold, "chart_id long, start_ms long, sv double")

@@ -87,7 +87,7 @@ CTES = {
         select chart_id, case when sl and slides % 2 <> 0 then x2 else x end lx, case when sl and slides % 2 <> 0 then y2 else y end ly, lead(x) over o nx, lead(y) over o ny,
           lead("time") over o - case when sl then coalesce(nullif(end_time, 0), "time") else "time" end ddt from ev window o as (partition by chart_id order by "time", line_no)) group by chart_id""",
     "rw": """select chart_id, bucket, round_even((0.65::double * quality + 0.35::double * (1 / (1 + ((star_rating - tgt) / 0.5::double) ** 2))) * least(1.0::double, greatest(0.0::double, 1 - penalty)), 4) reward, round_even(quality, 4) quality,
-        round_even(1 / (1 + ((star_rating - tgt) / 0.5::double) ** 2), 4) sr_closeness, penalty from (select *, floor(star_rating) tgt from mb) join ql using (chart_id) join pl using (chart_id)""",
+        round_even(1 / (1 + ((star_rating - tgt) / 0.5::double) ** 2), 4) sr_closeness, penalty from (select mb.*, coalesce(quality, 0) quality, floor(star_rating) tgt from mb left join ql using (chart_id)) join pl using (chart_id)""",
     "ca": """select l_orderkey job_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 idx, 1 - 2 * l_discount quality, 1 / (1 + (l_tax / 0.04::double) ** 2) sr_closeness,
         l_quantity / 6 achieved_sr, l_returnflag flag, round_even(0.65::double * (1 - 2 * l_discount) + 0.35::double * (1 / (1 + (l_tax / 0.04::double) ** 2)), 4) reward from lineitem""",
     "mf": "select doc_id item_id, md5(coalesce(text, '')) audio_id, substr(coalesce(text, ''), 1, 24) title, n_chars n_objects from documents",
@@ -255,7 +255,7 @@ def scored(spark, d):
     return score.reward(joined.withColumns({"achieved_sr": F.col("star_rating"), "target_sr": F.floor("star_rating"), "bucket": bands.sr_bucket(F.col("star_rating"))}))
 
 
-@query("A8_quality", "select chart_id, round_even(quality, 4) quality from ql")
+@query("A8_quality", "select chart_id, round_even(coalesce(quality, 0), 4) quality from mb left join ql using (chart_id)")
 def _(spark, d):
     m = chart_metrics(spark, d)
     return score.quality(m, bands.corpus_bands(m), score.family_weights(spark)).select("chart_id", F.bround("quality", 4).alias("quality"))
@@ -545,7 +545,7 @@ def _(spark, d):
 @query("W7_J8_peaks")
 def _(spark, d):
     f = rastered(spark, d)
-    return frames.outside_spans(frames.pick_peaks(f), frames.spinner_spans(f))
+    return frames.outside_spans(frames.pick_peaks(f), frames.spinner_spans(f)).select("chart_id", "frame", F.bround(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query("R3_T4_decode_kiai")
@@ -559,6 +559,11 @@ def _(spark, d):
     return frames.span_mean(f, frames.active_runs(f, "slider_hold").select("chart_id", "first", "last"), "spacing").select("chart_id", "first", "last", F.bround("mean", 6).alias("mean"))
 
 
+@query("R4_decode_spacing")
+def _(spark, d):
+    return frames.decode_spacing(rastered(spark, d), views.events(spark, d)).select("chart_id", "line_no", F.bround("magnitude", 3).alias("magnitude"))
+
+
 @query("A15_spacing_ratio")
 def _(spark, d):
     return frames.spacing_ratio(rastered(spark, d), timed(spark, d)).select("chart_id", *[F.bround(c, 4).alias(c) for c in ("channel_mean", "cursor_mean", "ratio")])
@@ -582,7 +587,8 @@ def _(spark, d):
 @query("W18_P14_respace")
 def _(spark, d):
     e = views.events(spark, d)
-    return sequences.respace(e, e.select("chart_id", "line_no", (F.col("line_no") % 300).cast("double").alias("magnitude")))
+    got = sequences.respace(e, e.select("chart_id", "line_no", (F.col("line_no") % 300).cast("double").alias("magnitude")))
+    return got.select("chart_id", "line_no", "x", "y", F.get("curve_points", F.lit(0))["x"].alias("x1"), F.get("curve_points", F.lit(1))["y"].alias("y2"), "moved")
 
 
 @query("J11_beat_f_measure")
@@ -605,12 +611,12 @@ def _(spark, d):
 @query("W8_U2_recover_gaps")
 def _(spark, d):
     f = rastered(spark, d)
-    return frames.recover_gaps(frames.pick_peaks(f), f)
+    return frames.recover_gaps(frames.pick_peaks(f), f).select("chart_id", "frame", F.bround(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query("R2_decode_events")
 def _(spark, d):
-    return frames.decode_events(rastered(spark, d)).select("chart_id", "line_no", "time", "x", "y", "type", "hit_sound", F.bround("length", 4).alias("length"), "end_time")
+    return frames.decode_events(rastered(spark, d)).select("chart_id", "line_no", "time", "x", "y", "type", "hit_sound", "curve_type", F.size("curve_points").alias("anchors"), "slides", F.bround("length", 4).alias("length"), "end_time")
 
 
 @query("A22_proxy_quality")
@@ -680,3 +686,81 @@ ORACLES["R6_mirror"] = sql(f"""with km as (select chart_id, sum(cx) x, sum(cy) y
         select chart_id, line_no, least({N_FRAMES - 1}, end_time / {FR}), 1, case when slides % 2 <> 0 then x2 else x end / 512.0::double * 2 - 1, case when slides % 2 <> 0 then y2 else y end / 384.0::double * 2 - 1 from eo where sl)
       window w as (partition by chart_id order by t, line_no, o)))) group by 1)
   select chart_id, fx, fy, round_even(coalesce(x, 0) * fx, 2) x, round_even(coalesce(y, 0) * fy, 2) y from ch left join km using (chart_id), (values (1, 1), (-1, 1), (1, -1), (-1, -1)) s(fx, fy)""".replace("with km as", ", km as", 1))
+
+
+# Oracles of what comes from frames.
+CTES["ons"] = f"""select chart_id, frame, coalesce(cast(onset * 2 - 1 as float), cast(-1 as float)) v from (select chart_id, unnest(range(0, {N_FRAMES})) frame from ch) left join bump using (chart_id, frame)"""
+CTES["pk"] = """select chart_id, frame, v from (select *, (frame - min(frame) over (partition by chart_id, i)) % 2 = 0 taken from (select *, frame - row_number() over (partition by chart_id order by frame) i from (
+  select *, coalesce(lag(v) over w, cast('-infinity' as float)) l, coalesce(lead(v) over w, cast('-infinity' as float)) r from ons window w as (partition by chart_id order by frame)) where v >= cast(0.3 as double) and v >= l and v >= r)) where taken"""
+CTES["sps"] = f"""select chart_id, min("first") f, max("last") l from (select *, sum(fresh) over (partition by chart_id order by "first") g from (
+  select *, case when "first" - lag("last") over (partition by chart_id order by "first") <= {int(800 / frames.MS_PER_FRAME)} then 0 else 1 end fresh from ({RUNS.format("spinner_hold")}) where "last" - "first" + 1 >= 26)) group by chart_id, g"""
+CTES["spc"] = f"""select chart_id, frame, max(v) v from (select chart_id, cast(least(1.2::double, dist / 300) as float)::double v,
+  unnest(range(greatest(0, round_even("time" / {FR}, 0))::bigint, least({N_FRAMES}, round_even(next_time / {FR}, 0))::bigint)) frame from w where next_time is not null) group by 1, 2"""
+CTES["svf"] = f"""select chart_id, frame, power(2.0::double, 2 * greatest(-1.0::double, least(1.0::double, coalesce(v, 0)))) v from (select chart_id, unnest(range(0, {N_FRAMES})) frame from ch) left join (
+  select chart_id, frame, max(v) v from (select chart_id, cast(greatest(-2.0::double, least(2.0::double, log2(sv))) / 2 as float)::double v, unnest(range(greatest(0, round_even("time" / {FR}, 0))::bigint,
+    least({N_FRAMES}, coalesce(round_even(nt / {FR}, 0), {N_FRAMES}))::bigint)) frame from (select *, lead("time") over (partition by chart_id order by "time", kind, line_no) nt from cp)) group by 1, 2) using (chart_id, frame)"""
+CTES["svl"] = f"""select chart_id, frame, round_even(m / 0.1::double, 0) * 0.1::double s from (select chart_id, frame, median(v) over (partition by chart_id order by frame rows between 30 preceding and 30 following) m from (
+  select * from svf union all select chart_id, k - 31, v from svf, (select unnest(range(1, 31)) k) where frame = 0 union all select chart_id, {N_FRAMES - 1} + k, v from svf, (select unnest(range(1, 31)) k) where frame = {N_FRAMES - 1})) where frame between 0 and {N_FRAMES - 1}"""
+CTES["svs"] = f"""select chart_id, frame, s from svl where frame = 0 union all select chart_id, r[1], r[2] from (
+  select z.chart_id, (select min([q.frame::double, q.s]) from svl q where q.chart_id = z.chart_id and q.frame >= z.frame + {round(3000 / frames.MS_PER_FRAME)} and abs(q.s - z.s) >= 0.2::double) r from svs z) where r is not null"""
+CTES["mgd"] = """select chart_id, list({'frame': frame, 's': s} order by frame) q from svs group by 1 union all select chart_id, list_concat(q[:p], q[p + 2:]) from (
+  select chart_id, q, list_position(g, list_min(g)) p from (select chart_id, q, list_transform(range(1, len(q)), lambda i: abs(log2(greatest(q[i + 1].s, 1e-3)) - log2(greatest(q[i].s, 1e-3)))) g from mgd where len(q) > 6))"""
+ORACLES["W7_J8_peaks"] = sql("select chart_id, frame, round_even(v::double, 4) as value from pk where not exists (select 1 from sps where sps.chart_id = pk.chart_id and pk.frame between f and l)")
+ORACLES["W8_U2_recover_gaps"] = sql("""select chart_id, frame, round_even(v::double, 4) as value from pk union select chart_id, frame, round_even(v::double, 4) from (
+  select h.chart_id, p, a, arg_min(n.frame, row(-n.v, n.frame)) frame, max(n.v) v from (select chart_id, frame p, b, a, greatest(1, b // 3) r from (
+    select *, frame - lag(frame) over w b, lead(frame) over w - frame a from pk window w as (partition by chart_id order by frame)) where b > 0 and b <= 14 and abs(a - 2 * b) <= b * 0.34::double) h
+  join ons n on n.chart_id = h.chart_id and n.frame between greatest(0, p + b - r) and p + b + r group by all) where v >= 0.15::double and frame - p >= 2 and p + a - frame >= 2""")
+ORACLES["W19_R4_span_mean"] = sql(f"""select q.chart_id, "first", "last", round_even(coalesce(sum(v), 0) / any_value("last" - "first" + 1), 6) mean from ({RUNS.format("slider_hold")}) q
+  left join spc on spc.chart_id = q.chart_id and frame between "first" and "last" group by 1, 2, 3""")
+ORACLES["R4_decode_spacing"] = sql(f"""select chart_id, line_no, round_even(case when m is null then 0 else least(1.2::double, m) * 300 end, 3) magnitude from w left join (
+  select a.chart_id, a.line_no, coalesce(sum(v), 0) / any_value(b - f) m from (select *, greatest(f + 1, least({N_FRAMES}, round_even("time" / {FR}, 0)))::bigint b from (
+    select chart_id, line_no, "time", greatest(0, least({N_FRAMES - 1}, round_even(lag("time") over (partition by chart_id order by "time", line_no) / {FR}, 0)))::bigint f, lag("time") over (partition by chart_id order by "time", line_no) was from w)
+    where was is not null) a left join spc on spc.chart_id = a.chart_id and frame >= f and frame < b group by 1, 2) using (chart_id, line_no)
+  where chart_id in (select chart_id from spc group by 1 having max(v) >= 1e-3)""")
+ORACLES["R5_training_windows"] = sql(f"""select c.chart_id, 512 frames, round_even(sum(v::double), 3) onset from (select chart_id, cast('0x' || substr(md5('0:' || chart_id), 1, 15) as bigint) % {N_FRAMES - 511} s from ch) c
+  join ons n on n.chart_id = c.chart_id and n.frame between s and s + 511 group by 1""")
+ORACLES["W26_sv_sections"] = sql(f"""select chart_id, cast(round_even(x.frame * {FR}, 0) as bigint) start_ms, round_even(x.s, 3) sv from (
+  select chart_id, unnest(list_transform(list_filter(range(1, len(q) + 1), lambda i: i = 1 or abs(q[i].s - q[i - 1].s) >= 1e-6), lambda i: q[i])) x from mgd where len(q) <= 6)""")
+
+# Oracles of edits and folds.
+CTES["w0"] = """select chart_id, line_no, "time", end_time, "type", row_number() over o i, "time" - lag(end_time) over o g, count(*) over (partition by chart_id) size from ev window o as (partition by chart_id order by "time", line_no)"""
+CTES["t1"] = """select * from (select *, max(case when i = 1 or not coalesce(g > 2200, false) then i end) over (partition by chart_id) keep from w0 where size >= 3) where i <= keep"""
+CTES["t2"] = """select chart_id, line_no, "time", end_time, "type", i, g from (select *, max(case when i = 1 or not coalesce(g > floor_, false) then i end) over (partition by chart_id) keep2 from t1 join (
+  select chart_id, case when count(g) filter (g >= 0) >= 8 then greatest(700.0::double, 6 * median(g) filter (g >= 0)) else 'infinity'::double end floor_ from t1 group by 1) using (chart_id)) where i <= keep2"""
+CTES["t3"] = """select * from (select *, coalesce(lead(i) over o is null and i > 1 and ("type" & 1) <> 0 and (lag("type") over o & 8) <> 0 and g >= 0 and g < 1200, false) phantom from t2 window o as (partition by chart_id order by i)) where not phantom"""
+ORACLES["W12_W13_trim_ends"] = sql("""select chart_id, line_no, "time", end_time from (select *, coalesce(max(case when ng > 3000 and i <= 4 then i end) over (partition by chart_id), 0) last_head,
+    coalesce(min(case when ng > 3000 and i <= 4 then i end) over (partition by chart_id), 0) head from (select *, lead("time") over (partition by chart_id order by i) - end_time ng from t3)) where i > head
+  union all select chart_id, line_no, "time", end_time from w0 where size < 3""")
+ORACLES["F6_simplify"] = sql("""select chart_id, line_no, case when abs((y2 - y) * x1 - (x2 - x) * y1 + x2 * y - y2 * x) / case when x2 = x and y2 = y then 1 else sqrt((x2 - x) ** 2 + (y2 - y) ** 2) end > 18 then 3 else 2 end points from ev0 where sl""")
+CTES["rs0"] = """select chart_id, line_no, x, y, x1, y2, sl, "type", row_number() over o i, lag(x) over o px, lag(y) over o py, lag("type") over o pt, (line_no % 300)::double mag from ev0 window o as (partition by chart_id order by "time", line_no)"""
+FOLD = "case when ({0} % {1} + {1}) % {1} > {1} / 2 then {1} - ({0} % {1} + {1}) % {1} else ({0} % {1} + {1}) % {1} end"
+CTES["rs"] = f"""select chart_id, i, x::double tx, y::double ty from rs0 where i = 1 union all select chart_id, i, case when n is null then x else {FOLD.format("(tx + mag * dx / n)", "1024.0::double")} end, case when n is null then y else {FOLD.format("(ty + mag * dy / n)", "768.0::double")} end from (
+  select r.chart_id, r.i, r.x::double x, r.y::double y, mag, tx, ty, r.x - px dx, r.y - py dy, case when (r."type" & 12) = 0 and (pt & 8) = 0 and (r.x <> px or r.y <> py) then sqrt(((r.x - px) ** 2 + (r.y - py) ** 2)::double) end n from rs join rs0 r on r.chart_id = rs.chart_id and r.i = rs.i + 1)"""
+ORACLES["W18_P14_respace"] = sql("""select chart_id, line_no, case when moved then round_even(tx, 0)::int else x end x, case when moved then round_even(ty, 0)::int else y end y, case when sl then x1 + sx end x1, case when sl then y2 + sy end y2, moved from (
+  select *, sx <> 0 or sy <> 0 moved from (select *, round_even(tx - x, 0)::int sx, round_even(ty - y, 0)::int sy from rs0 join rs using (chart_id, i)))""")
+CTES["bp"] = "select song_id, beat_ms, row_number() over (partition by song_id order by beat_ms, line_no) i from bt where kind = 'pred'"
+CTES["br"] = "select song_id, beat_ms, row_number() over (partition by song_id order by beat_ms, line_no) i from bt where kind = 'ref'"
+CTES["bm"] = """select song_id, 0::bigint i, 0::bigint used, 0::bigint hits from (select distinct song_id from bt) union all select song_id, i, case when hit then r else used end, hits + hit::int from (
+  select z.song_id, p.i, used, hits, r, coalesce(r is not null, false) hit from bm z join bp p on p.song_id = z.song_id and p.i = z.i + 1
+  left join lateral (select min(q.i) r from br q where q.song_id = z.song_id and q.i > z.used and abs(q.beat_ms - p.beat_ms) <= 70) on true)"""
+ORACLES["J11_beat_f_measure"] = sql("""select song_id, round_even(pr, 4) "precision", round_even(rc, 4) recall, round_even(case when hits > 0 then 2 * pr * rc / (pr + rc) else 0 end, 4) f from (
+  select song_id, hits, coalesce(hits::double / nullif(np, 0), 0) pr, coalesce(hits::double / nullif(nr, 0), 0) rc from (select song_id, max(hits) hits from bm group by 1)
+  join (select song_id, count_if(kind = 'pred') np, count_if(kind = 'ref') nr from bt group by 1) using (song_id))""")
+CTES["tr0"] = """select chart_id job_id, cast(line_no % 5 as int) cand, row_number() over (partition by chart_id, line_no % 5 order by ts desc, line_no desc) step_k, k / 100.0::double quality from lg"""
+CTES["tr"] = """select *, 1 - step_k::double / max(step_k) over (partition by job_id, cand) >= 0.7::double late from tr0"""
+CTES["ab0"] = "select job_id, 0 cand, null::bigint abort_k from tr where cand = 0 group by 1"
+for _c in range(1, 5):
+    _done = " union all ".join(f"select job_id, cand from ab{_b} where abort_k is null" for _b in range(_c))
+    CTES[f"ab{_c}"] = f"""select t.job_id, {_c} cand, max(t.step_k) filter (late and n >= 2 and t.quality < best - 0.15::double and t.quality < 0.55::double) abort_k from tr t
+  left join (select d.job_id, step_k, max(quality) best from ({_done}) d join tr using (job_id, cand) where late group by 1, 2) b on b.job_id = t.job_id and b.step_k = t.step_k
+  left join (select job_id, count(*) n from ({_done}) group by 1) c on c.job_id = t.job_id where t.cand = {_c} group by 1"""
+ORACLES["W20_J14_early_abort"] = sql("""select a.job_id, a.cand, abort_k is not null aborted, abort_k, coalesce(count_if(step_k < abort_k), 0) steps_saved from (""" + " union all ".join(f"select * from ab{_c}" for _c in range(5)) + """) a join tr t on t.job_id = a.job_id and t.cand = a.cand group by 1, 2, 3, 4""")
+ORACLES["S9_export"] = sql(r"""select chart_id, length(t) characters, md5(t) md5 from (select chart_id, string_agg(line, chr(10) order by part, a, b, c) t from (
+  select chart_id, 0 part, 0::double a, 0::double b, 0::double c, '[General]' || chr(10) || 'AudioFilename: a.mp3' || chr(10) || 'Mode: ' || "mode" line from ch
+  union all select chart_id, 1, 0, 0, 0, concat_ws(chr(10), '[Metadata]', 'Title:t', 'Artist:a', 'Creator:c', 'Version:v') from ch
+  union all select chart_id, 2, 0, 0, 0, concat_ws(chr(10), '[Difficulty]', 'HPDrainRate:5.0', 'CircleSize:' || cs, 'OverallDifficulty:8.0', 'ApproachRate:9.0', 'SliderMultiplier:1.4') from ch
+  union all select chart_id, p, -1e18, 0, 0, n from ch, (values (3, '[Events]'), (4, '[TimingPoints]'), (5, '[HitObjects]')) v(p, n)
+  union all select chart_id, 3, end_time + 200, 0, 0, '2,' || (end_time + 200) || ',' || (next_time - 400) from w where next_time - end_time >= 3500 and next_time - 400 - end_time - 200 >= 800
+  union all select chart_id, 4, "time", kind, line_no, concat_ws(',', "time"::bigint, bl::bigint, '4,2,0,100', red::int, effects) from cp
+  union all select chart_id, 5, "time", line_no, 0, case when sl then concat_ws(',', x, y, "time", "type", hit_sound, curve_type || '|' || x1 || ':' || y1 || '|' || x2 || ':' || y2, slides, "length"::bigint, array_to_string(list_transform(range(0, slides + 1), lambda i: '0'), '|'))
+    when ("type" & 8) <> 0 then concat_ws(',', x, y, "time", "type", hit_sound, end_time, '0:0:0:0:') else concat_ws(',', x, y, "time", ("type" & ~10) | 1, hit_sound, '0:0:0:0:') end from ev) group by 1)""")

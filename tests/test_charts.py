@@ -344,9 +344,10 @@ def test_folds_by_batch(spark):
         moves = {}
         for line, c in enumerate(ids):
             moves.setdefault(c, []).append((line, r.randrange(2000), r.randrange(513), r.randrange(385), r.choice((1, 1, 1, 2, 5, 8)), float(r.randrange(300))))
-        rows = spark.createDataFrame([(c, *m) for c, ms in moves.items() for m in ms], "chart_id long, line_no long, time long, x int, y int, type int, magnitude double")
+        rows = spark.createDataFrame([(c, *m) for c, ms in moves.items() for m in ms], "chart_id long, line_no long, time long, x int, y int, type int, magnitude double").withColumn("curve_points", F.expr("array(named_struct('x', x + 1, 'y', y))"))
         moved = sequences.respace(rows.drop("magnitude"), rows.select("chart_id", "line_no", "magnitude"), 0.7)
         got = {(x.chart_id, x.line_no): (x.x, x.y) for x in moved.collect()}
+        assert all(abs(x.curve_points[0].x - x.x - 1) <= 1 and abs(x.curve_points[0].y - x.y) <= 1 for x in moved.collect())
         want = {(c, line): (x, y) for c, ms in moves.items() for line, x, y in plain_respace(ms, 0.7)}
         assert got.keys() == want.keys() and all(abs(got[k][i] - want[k][i]) < 0.51 for k in want for i in (0, 1))
 
@@ -371,3 +372,40 @@ def test_attempts_and_checkpoints(spark):
     assert got == {1: 1, 2: 1, 3: -1}
     log = spark.createDataFrame([(1, e, v) for e, v in enumerate((0.5, 0.4, 0.4, 0.3))], "run int, epoch int, val_loss double")
     assert [r.best for r in score.best_checkpoint(log).orderBy("epoch").collect()] == [True, True, False, True]
+
+
+def shaped(spark, offsets, curve, corner, x=100, y=100):
+    row = spark.createDataFrame([(x, y, [float(v) for v in offsets], curve, corner)], "x int, y int, o array<double>, curve double, corner double")
+    r = g.slider_shape(row, "x", "y", "o", "curve", "corner").first()
+    return r.curve_type, [(p.x, p.y) for p in r.curve_points], round(r.length, 3)
+
+
+def test_slider_shapes(spark):
+    at = lambda *pts: [v for x, y in pts for v in ((x - 100) / 512, (y - 100) / 384 + 1e-9)]
+    assert shaped(spark, at((200, 100), (200, 100), (200, 100)), 0.0, 0.0) == ("L", [(200, 100)], 100.0)
+    assert shaped(spark, at((100, 100), (100, 100), (100, 100)), 0.0, 0.0) == ("L", [(110, 100)], 10.0)  # fallen together
+    bent = shaped(spark, at((150, 160), (200, 100), (200, 100)), 60.0, 0.0)
+    assert bent == ("B", [(150, 160), (200, 100)], round(2 * (50**2 + 60**2) ** 0.5, 3))
+    angular = shaped(spark, at((150, 160), (200, 100), (200, 100)), 60.0, 1.0)
+    assert angular[:2] == ("B", [(150, 160), (150, 160), (200, 100)])
+    bowed = shaped(spark, at((200, 100), (200, 100), (200, 100)), 40.0, 0.0)  # the bow gets its px
+    assert bowed[0] == "B" and bowed[1] == [(150, 140), (200, 100)]
+    assert shaped(spark, at((200, 100), (200, 100), (200, 100)), 999.0, 0.0)[1][0] == (150, 230)  # no more than 130 px
+    assert shaped(spark, at((150, 160), (200, 100), (200, 100)), 3.0, 0.0)[:2] == ("L", [(200, 100)])  # a low cue is straight
+
+
+def test_sliders_survive_frames(spark):
+    """Sliders with anchors and repeats, through frames and back."""
+    anchors = [[(150, 200)], [(150, 200), (250, 120)], [(120, 250), (250, 260), (300, 100)]]
+    rows = [(1, i, 1000 + 1500 * i, 100, 100, 2, 0, "B" if i else "L", pts, 1 + i, 120.0, 2000 + 1500 * i) for i, pts in enumerate(anchors)]
+    schema = "chart_id long, line_no long, time long, x int, y int, type int, hit_sound int, curve_type string, curve_points array<struct<x:int,y:int>>, slides int, length double, end_time long"
+    charts = spark.createDataFrame([(1,)], "chart_id long")
+    points = spark.createDataFrame([(1, 0, 0.0, 500.0, 4, True, 0)], "chart_id long, line_no long, time double, beat_length double, meter int, uninherited boolean, effects int")
+    table = frames.rasterise(spark.createDataFrame(rows, schema), points, charts, 700)
+    got = frames.decode_events(table).orderBy("time").collect()
+    assert [r.slides for r in got] == [1, 2, 3] and [r.curve_type for r in got] == ["L", "B", "B"]
+    for r, pts in zip(got, anchors, strict=True):
+        told = [(p.x, p.y) for p in r.curve_points]
+        assert len(told) == len(pts) and all(abs(a - c) <= 1 and abs(b - d) <= 1 for (a, b), (c, d) in zip(told, pts, strict=True))
+    no_anchors = frames.decode_events(table.drop(*frames.ANCHORS)).collect()
+    assert all(r.curve_type == "L" and len(r.curve_points) == 1 for r in no_anchors)
