@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+POINTS = "array<struct<x:int,y:int>>"
+
 
 def distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.hypot((ax - bx).cast("double"), (ay - by).cast("double"))
@@ -109,14 +111,14 @@ def simplify(poly: Column, limit: float = 18.0) -> Column:
     def batch(polygons: pd.Series) -> pd.Series:
         return polygons.map(lambda one: [{"x": x, "y": y} for x, y in keep([(p["x"], p["y"]) for p in one])] if one is not None and len(one) else [])
 
-    return F.pandas_udf(batch, "array<struct<x:int,y:int>>")(poly)
+    # Called non-deterministic so that the optimizer leaves it where it is and runs it once a row.
+    return F.pandas_udf(batch, POINTS).asNondeterministic()(poly)
 
 
 #: Anchors that frames hold, their scales and limit, and when a slider is bent, how far, and angular.
 ANCHORS, SPAN_X, SPAN_Y, OFFSET_LIMIT = 3, 512, 384, 1.2
 BEND_PX, LEAST_BOW_PX, MOST_BOW_PX, BENT_RATIO = 6.0, 14.0, 130.0, 1.06
 CORNER_CUE, CORNER_DEG = 0.25, 25.0
-POINTS = "array<struct<x:int,y:int>>"
 
 
 def within(value: Column, low: float, high: float) -> Column:

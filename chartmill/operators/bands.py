@@ -60,14 +60,11 @@ def distribution_summary(values: DataFrame, value: str) -> DataFrame:
 
 
 def z_scores(metrics: DataFrame, bands: DataFrame, ids: list[str] | None = None) -> DataFrame:
-    """(ids, metric, value, mean, std, z, in_range) of each banded metric; z has 2 digits.
-
-    Bands are six buckets of at most a few dozen metrics, so they are broadcast.
-    """
+    """(ids, metric, value, mean, std, z, in_range) of each banded metric; z has 2 digits."""
     ids = ids or ["chart_id"]
     long = melt(metrics.withColumn("bucket", sr_bucket(F.col("star_rating"))), [*ids, "bucket"])
     z = F.bround((F.col("value") - F.col("mean")) / F.expr("coalesce(nullif(std, 0), 1e-9)"), 2)
-    joined = long.join(F.broadcast(bands), ["bucket", "metric"])
+    joined = long.join(bands, ["bucket", "metric"])
     return joined.select(*ids, "metric", "value", "mean", "std", z.alias("z"), F.col("value").between(F.col("p10"), F.col("p90")).alias("in_range"))
 
 

@@ -48,9 +48,27 @@ def context(items: DataFrame) -> DataFrame:
     return items.withColumn("ctx", F.expr(f"array({', '.join(bound(p) for p in parts)})"))
 
 
-def target_settings(targets: DataFrame, sr: str = "sr") -> DataFrame:
-    """targets with the settings that suit a star rating."""
-    return targets.withColumns({"ar": F.expr(f"least(10.0D, 7.75D + 0.25D * {sr})"), "od": F.expr(f"least(10.0D, 4.0D + 0.7D * {sr})"), "hp": F.lit(5.0), "cs": F.lit(4.0), "density": F.expr(f"greatest(0.8D, 0.8D * {sr})")})
+def target_settings(targets: DataFrame, sr: str = "sr", overrides: dict[str, str] | None = None) -> DataFrame:
+    """targets with the settings that suit a star rating; overrides name columns whose non-null values come first."""
+    made = {"ar": F.expr(f"least(10.0D, 7.75D + 0.25D * {sr})"), "od": F.expr(f"least(10.0D, 4.0D + 0.7D * {sr})"), "hp": F.lit(5.0), "cs": F.lit(4.0), "density": F.expr(f"greatest(0.8D, 0.8D * {sr})")}
+    own = overrides or {}
+    return targets.withColumns({c: F.coalesce(own[c], v) if c in own else v for c, v in made.items()})
+
+
+def audio_key(path: Column) -> Column:
+    """16 hex digits for an audio file, the same whatever the case of its path."""
+    return F.substring(F.sha1(F.lower(path)), 1, 16)
+
+
+def item_key(folder: Column, version: Column, path: Column) -> Column:
+    """A readable name of a chart, of letters, digits and ._- only, made unique by a digest of its path."""
+    name = F.regexp_replace(F.concat_ws("__", folder, version), r"[^\p{L}\p{N}._ -]", "")
+    return F.concat_ws("__", F.replace(F.substring(name, 1, 120), F.lit(" "), F.lit("_")), F.substring(F.sha1(F.lower(path)), 1, 8))
+
+
+def usable_limit(charts: DataFrame, usable: DataFrame, n: int, key: str = "chart_id") -> DataFrame:
+    """The first n charts, in the order of their key, that are among the usable ones."""
+    return charts.join(usable.select(key).distinct(), key, "left_semi").orderBy(key).limit(n)
 
 
 def song_key(title: Column, item: Column, artist: Column | None = None) -> Column:

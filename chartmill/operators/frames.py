@@ -37,6 +37,11 @@ def to_frame(ms: Column) -> Column:
     return ms / MS_PER_FRAME
 
 
+def frame_count(last_ms: Column, max_seconds: float = 240.0) -> Column:
+    """Frames of a chart that ends at last_ms, at most those of max_seconds."""
+    return F.least(F.floor(F.lit(max_seconds * 1000 / MS_PER_FRAME)), F.floor(to_frame(last_ms)) + 1).cast("int")
+
+
 def covered(rows: DataFrame, low: Column, high: Column) -> DataFrame:
     """rows once for each frame from low to high, if there are any."""
     return rows.withColumns({"lo": low.cast("int"), "hi": high.cast("int")}).where("hi >= lo").withColumn("frame", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")

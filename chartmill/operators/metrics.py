@@ -13,7 +13,7 @@ from ..functions import geometry as g
 from . import timing
 
 CHART = "chart_id"
-#: Metrics that corpus bands are made of.
+#: The metrics that corpus bands are made of.
 KEYS = [
     "star_rating", "density_per_s", "circle_ratio", "slider_ratio", "spinner_ratio", "bezier_slider_ratio", "curved_slider_ratio", "new_combo_ratio",
     "mean_spacing_px", "std_spacing_px", "stream_ratio", "jump_ratio", "on_quarter_grid_ratio", "mean_turn_angle_deg", "reversal_ratio",
@@ -138,6 +138,35 @@ def sv_structure(points: DataFrame) -> DataFrame:
     return greens.groupBy(CHART).agg(F.count("*").alias("inherited"), F.countDistinct("v").alias("distinct_sv"), F.count_if(F.col("v") != F.col("before")).alias("changes"), F.min("v").alias("min_sv"), F.max("v").alias("max_sv"))
 
 
+def sv_summary(structure: DataFrame) -> DataFrame:
+    """One row: medians and p90 (nearest rank) of sv_structure's counts, its extremes, and the share of charts whose
+    velocity varies or isn't 1."""
+    from .bands import nearest_rank
+
+    parts = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("inherited", "distinct_sv", "changes", "max_sv")]
+    ranks = nearest_rank(structure.select(F.explode(F.array(*parts)).alias("m")).select("m.*"), ["metric"], at=(0.5, 0.9))
+    wide = ranks.agg(*[F.max(F.when(F.col("metric") == c, F.col(p))).alias(f"{c}_{p}") for c in ("inherited", "distinct_sv", "changes") for p in ("p50", "p90")], F.max(F.when(F.col("metric") == "max_sv", F.col("p50"))).alias("max_sv_p50"))
+    varies = (F.col("distinct_sv") > 1) | (F.abs(F.col("min_sv") - 1) > 0.05) | (F.abs(F.col("max_sv") - 1) > 0.05)
+    rest = structure.agg(F.count("*").alias("charts"), F.min("min_sv").alias("least_sv"), F.max("max_sv").alias("greatest_sv"), F.bround(F.avg(varies.cast("int")), 4).alias("nontrivial"))
+    return rest.crossJoin(wide)  # one row each
+
+
+#: Beat divisors, coarse to fine, and how far from a line of theirs (in parts of a beat) an event may stand.
+DIVISORS = (1, 2, 3, 4, 6, 8, 12, 16)
+ON_LINE = 0.02
+
+
+def divisor_mix(timed: DataFrame) -> DataFrame:
+    """(divisor, events, share): the coarsest divisor on whose grid the step to the next event lies; 0 for none.
+
+    timed events have beat_length; steps of no time are left out."""
+    nb = (F.lead("time").over(in_time()) - F.col("time")) / F.col("beat_length")
+    steps = timed.select(nb.alias("nb")).where("nb > 0")
+    line = F.coalesce(*[F.when(F.abs(F.col("nb") - F.bround(F.col("nb") * d, 0) / d) <= ON_LINE, d) for d in DIVISORS], F.lit(0))
+    counts = steps.groupBy(line.alias("divisor")).agg(F.count("*").alias("events"))
+    return counts.select("divisor", "events", F.bround(F.col("events") / F.sum("events").over(Window.partitionBy(F.lit(1))), 4).alias("share"))  # nine rows at most
+
+
 def aim_intensity(onset_frames: DataFrame) -> DataFrame:
     """(audio_id, aim): mean of strength over its maximum, over .35, within [0, 1]; silence and non-finite give 0."""
     got = onset_frames.groupBy("audio_id").agg(F.avg("strength").alias("mean"), F.max("strength").alias("top"))

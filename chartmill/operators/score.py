@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bands import melt, sr_bucket
+from .bands import exact_mean, melt, nearest_rank, sr_bucket
 from .metrics import in_time, type_flags
 
 #: Families, their weights, and the weights of their metrics.
@@ -128,10 +128,62 @@ def best_checkpoint(log: DataFrame) -> DataFrame:
 
 def calibration(rewards: DataFrame) -> DataFrame:
     """(dim, key, n, mean): mean reward overall and by bucket, 4 digits; one aggregation for all dimensions."""
-    grouped = rewards.groupingSets([[], [F.col("bucket")]], "bucket").agg(F.count("*").alias("n"), F.bround(F.avg("reward"), 4).alias("mean"), F.grouping_id().alias("level"))
+    grouped = rewards.groupingSets([[], [F.col("bucket")]], "bucket").agg(F.count("*").alias("n"), F.bround(exact_mean("reward"), 4).alias("mean"), F.grouping_id().alias("level"))
     return grouped.select(F.when(F.col("level") == 1, "overall").otherwise("bucket").alias("dim"), F.coalesce("bucket", F.lit("all")).alias("key"), "n", "mean")
 
 
+def calibration_report(scored: DataFrame, defects: list[str] | None = None) -> DataFrame:
+    """(dim, key, n, mean, median, p10, p90, min, max): rewards, qualities and closeness overall, rewards and qualities by
+    bucket, family and metric scores, defect rates and playability; quantiles by nearest rank, all with 4 digits.
+
+    scored: reward, quality, sr_closeness, playability, bucket, the maps family and per_metric, and defect columns.
+    A chart is melted to its entries, and all statistics come from their counts by value.
+    """
+    one = lambda dim, key, value: F.struct(F.lit(dim).alias("dim"), key.alias("key"), value.cast("double").alias("value"))
+    fixed = [one("overall", F.lit(c), F.col(c)) for c in ("reward", "quality", "sr_closeness")] + [one("playability", F.lit("all"), F.col("playability"))]
+    fixed += [one(f"bucket_{c}", F.col("bucket"), F.col(c)) for c in ("reward", "quality")] + [one("defect", F.lit(c), F.col(c)) for c in defects or []]
+    entries = lambda column, dim: F.transform(F.map_entries(column), lambda e: one(dim, e["key"], e["value"]))
+    maps = [entries("family", "family"), entries("per_metric", "metric")]
+    long = scored.select(F.explode(F.concat(F.array(*fixed), *maps)).alias("e")).select("e.*").where("value is not null")
+    ranks = nearest_rank(long, ["dim", "key"], at=(0.1, 0.5, 0.9))
+    stats = long.groupBy("dim", "key").agg(F.count("*").alias("n"), exact_mean("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
+    names = {"mean": "mean", "p50": "median", "p10": "p10", "p90": "p90", "min": "min", "max": "max"}
+    return stats.join(ranks, ["dim", "key"]).select("dim", "key", "n", *[F.bround(c, 4).alias(n) for c, n in names.items()])
+
+
+def best_of_n_report(candidates: DataFrame, aborted: DataFrame | None = None) -> DataFrame:
+    """One row a job: winner, reward_mean, reward_max, n_completed, n_aborted, steps_saved and the rows of the candidates
+    that completed, by index; aborted is early_abort's result, whose aborted candidates take no part.
+
+    A job has a handful of candidates, so its rows are one array.
+    """
+    lost = None if aborted is None else aborted.where("aborted").select("job_id", F.col("cand").cast("long").alias("idx"), "steps_saved")
+    live = candidates if lost is None else candidates.join(lost.select("job_id", "idx"), ["job_id", "idx"], "left_anti")
+    rows = F.array_sort(F.collect_list(F.struct("idx", *[c for c in candidates.columns if c not in ("job_id", "idx")]))).alias("candidates")
+    best = live.groupBy("job_id").agg(F.max_by("idx", F.struct("reward", -F.col("idx"))).alias("winner"), F.bround(F.avg("reward"), 9).alias("reward_mean"), F.max("reward").alias("reward_max"), F.count("*").alias("n_completed"), rows)
+    stops = candidates.select("job_id").distinct().select("job_id", F.lit(0).alias("n_aborted"), F.lit(0).alias("steps_saved")) if lost is None else lost.groupBy("job_id").agg(F.count("*").alias("n_aborted"), F.sum("steps_saved").alias("steps_saved"))
+    return best.join(stops, "job_id", "left").na.fill(0, ["n_aborted", "steps_saved"])
+
+
+def next_target(current: Column, target: Column, achieved: Column) -> Column:
+    """The rating to aim at next: eight tenths of the miss added, within 1 and 11; null after an unrated attempt."""
+    return F.when(achieved.isNotNull(), F.least(F.lit(11.0), F.greatest(F.lit(1.0), current + 0.8 * (target - achieved))))
+
+
+def target_sweep(metrics: DataFrame, bands: DataFrame, shown: list[str]) -> DataFrame:
+    """(chart_id, target_sr, achieved_sr, shown metrics, in_band, scored) of charts made for a target: the bucket is that
+    of the achieved rating, star_rating."""
+    counts = sr_sweep(metrics, bands)
+    out = metrics.join(counts, "chart_id", "left")
+    return out.select("chart_id", "target_sr", F.col("star_rating").alias("achieved_sr"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in shown], F.coalesce("in_band", F.lit(0)).alias("in_band"), F.coalesce("scored", F.lit(0)).alias("scored"))
+
+
+def ab_compare_without(a: DataFrame, b: DataFrame, keys: list[str], outliers: DataFrame) -> DataFrame:
+    """One row: ab_compare of all, and the mean difference without the named outliers (a table of keys)."""
+    calm = ab_compare(a.join(outliers, keys, "left_anti"), b, keys).select(F.col("mean_delta").alias("mean_delta_without"))
+    return ab_compare(a, b, keys).crossJoin(calm)  # one row each
+
+
 def ab_compare(a: DataFrame, b: DataFrame, keys: list[str], margin: float = 0.02) -> DataFrame:
     """One row: wins, losses and ties of b over a by more than the margin, and the mean difference."""
     both = a.select(*keys, F.col("reward").alias("ra")).join(b.select(*keys, F.col("reward").alias("rb")), keys).withColumn("d", F.col("rb") - F.col("ra"))
@@ -149,7 +201,7 @@ def norm_summary(log: DataFrame, value: str, thresholds: tuple[float, ...]) -> D
 def sr_sweep(metrics: DataFrame, bands: DataFrame) -> DataFrame:
     """(chart_id, in_band, scored): metrics inside the band of the chart's own bucket, of those with a band."""
     long = melt(metrics.withColumn("bucket", sr_bucket(F.col("star_rating"))), ["chart_id", "bucket"])
-    return long.join(F.broadcast(bands), ["bucket", "metric"]).groupBy("chart_id").agg(F.count_if(F.col("value").between(F.col("p10"), F.col("p90"))).alias("in_band"), F.count("*").alias("scored"))
+    return long.join(bands, ["bucket", "metric"]).groupBy("chart_id").agg(F.count_if(F.col("value").between(F.col("p10"), F.col("p90"))).alias("in_band"), F.count("*").alias("scored"))
 
 
 def monotonic(sweep: DataFrame, slack: float = 0.3) -> DataFrame:

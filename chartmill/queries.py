@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import geometry
 from .operators import bands, curation, edit, frames, metrics, score, sequences, timing
-from .plans import views
-from .plans.lineage import cut
+from .plans import dataset, views
+from .plans.lineage import cut, shared_folder
 from .sources import charts as charts_io
+from .sources import stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -277,7 +278,7 @@ def _(spark, d):
     return scored(spark, d).select("chart_id", "reward", "quality", "sr_closeness")
 
 
-@query("A4_calibration", "select case when grouping(bucket) = 1 then 'overall' else 'bucket' end dim, coalesce(bucket, 'all') \"key\", count(*) n, round_even(avg(reward), 4) mean from rw group by grouping sets ((), (bucket))")
+@query("A4_calibration", "select case when grouping(bucket) = 1 then 'overall' else 'bucket' end dim, coalesce(bucket, 'all') \"key\", count(*) n, cast(round_even(cast(cast(sum(cast(reward as decimal(20, 6))) as double) / count(*) as decimal(30, 12)), 4) as double) mean from rw group by grouping sets ((), (bucket))")
 def _(spark, d):
     return score.calibration(scored(spark, d))
 
@@ -623,7 +624,7 @@ def _(spark, d):
 def _(spark, d):
     """Quality of decoded events at one tempo, without a rating term, against the corpus's bands."""
     charts = views.charts(spark, d)
-    events = frames.decode_events(rastered(spark, d))
+    events = cut(frames.decode_events(rastered(spark, d)))
     tempo = charts.select("chart_id", F.lit(0).cast("long").alias("line_no"), F.lit(0.0).alias("time"), F.lit(400.0).alias("beat_length"), F.lit(4).alias("meter"), F.lit(True).alias("uninherited"), F.lit(0).alias("effects"))
     m = cut(metrics.chart_metrics(events, tempo, charts).where("n_objects >= 2").join(charts.select("chart_id", "star_rating"), "chart_id"))
     q = score.quality(m, bands.corpus_bands(chart_metrics(spark, d)), score.family_weights(spark))
@@ -764,3 +765,147 @@ ORACLES["S9_export"] = sql(r"""select chart_id, length(t) characters, md5(t) md5
   union all select chart_id, 4, "time", kind, line_no, concat_ws(',', "time"::bigint, bl::bigint, '4,2,0,100', red::int, effects) from cp
   union all select chart_id, 5, "time", line_no, 0, case when sl then concat_ws(',', x, y, "time", "type", hit_sound, curve_type || '|' || x1 || ':' || y1 || '|' || x2 || ':' || y2, slides, "length"::bigint, array_to_string(list_transform(range(0, slides + 1), lambda i: '0'), '|'))
     when ("type" & 8) <> 0 then concat_ws(',', x, y, "time", "type", hit_sound, end_time, '0:0:0:0:') else concat_ws(',', x, y, "time", ("type" & ~10) | 1, hit_sound, '0:0:0:0:') end from ev) group by 1)""")
+
+
+# Data set, stores and reports.
+@query("P9_stable_ids", """select chart_id, substr(sha1(lower('Songs/' || folder || '/' || audio_id)), 1, 16) audio_key,
+  replace(substr(regexp_replace(folder || '__' || filename || ' (' || audio_id || ')!', '[^\\p{L}\\p{N}._ -]', '', 'g'), 1, 120), ' ', '_') || '__' || substr(sha1(lower(folder || '/' || filename)), 1, 8) item_id from ch""")
+def _(spark, d):
+    version = F.concat(F.col("filename"), F.lit(" ("), F.col("audio_id").cast("string"), F.lit(")!"))
+    path = F.concat_ws("/", "folder", "filename")
+    return views.charts(spark, d).select("chart_id", curation.audio_key(F.concat_ws("/", F.lit("Songs"), "folder", F.col("audio_id").cast("string"))).alias("audio_key"), curation.item_key(F.col("folder"), version, path).alias("item_id"))
+
+
+@query("T6_usable_limit", "select chart_id from mb where n_objects >= 35 order by chart_id limit 25")
+def _(spark, d):
+    return curation.usable_limit(views.charts(spark, d), chart_metrics(spark, d).where("n_objects >= 35"), 25).select("chart_id")
+
+
+@query("P8_overrides", "select chart_id, case when chart_id % 3 = 0 then cs else least(10.0::double, 7.75::double + 0.25::double * star_rating) end ar, round_even(least(10.0::double, 4 + 0.7::double * star_rating), 9) od, cs, greatest(0.8::double, 0.8::double * star_rating) density from ch")
+def _(spark, d):
+    own = views.charts(spark, d).withColumns({"own_cs": F.col("cs"), "own_ar": F.when(F.col("chart_id") % 3 == 0, F.col("cs"))})
+    return curation.target_settings(own, "star_rating", {"cs": "own_cs", "ar": "own_ar"}).select("chart_id", "ar", F.bround("od", 9).alias("od"), "cs", "density")
+
+
+@query("P10_frame_count", f"select chart_id, cast(least(floor(240000 / {FR}), floor(max(end_time) * 12 / {FR}) + 1) as int) frames from ev group by 1")
+def _(spark, d):
+    ends = timed(spark, d).groupBy("chart_id").agg((F.max("end_time") * 12).alias("last"))
+    return ends.select("chart_id", frames.frame_count(F.col("last")).alias("frames"))
+
+
+CTES["svst"] = """select chart_id, count(*) n, count(distinct v) k, count_if(v <> p) c, min(v) lo, max(v) hi from (select *, lag(v) over (partition by chart_id order by "time", line_no) p from (select *, round_even(sv, 2) v from cp where not red)) group by 1"""
+
+
+@query("A7_sv_summary", """select count(*) charts, min(lo) least_sv, max(hi) greatest_sv, round_even(avg((k > 1 or abs(lo - 1) > 0.05::double or abs(hi - 1) > 0.05::double)::int), 4) nontrivial,
+    """ + ", ".join(f"list_sort(list({c}::double))[cast(floor({q}::double * (count(*) - 1)) as bigint) + 1] {n}_p{round(100 * q)}" for c, n in (("n", "inherited"), ("k", "distinct_sv"), ("c", "changes")) for q in (0.5, 0.9)) + """, list_sort(list(hi))[cast(floor(0.5::double * (count(*) - 1)) as bigint) + 1] max_sv_p50 from svst""")
+def _(spark, d):
+    return metrics.sv_summary(metrics.sv_structure(views.control_points(spark, d)))
+
+
+MIX = "coalesce(" + ", ".join(f"case when abs(nb - round_even(nb * {v}, 0) / {v}) <= 0.02::double then {v} end" for v in metrics.DIVISORS) + ", 0)"
+
+
+@query("A21_divisor_mix", f"select divisor, count(*) events, round_even(count(*)::double / sum(count(*)) over (), 4) share from (select {MIX} divisor from (select dt / beat nb from w where dt > 0)) group by 1")
+def _(spark, d):
+    return metrics.divisor_mix(timed(spark, d))
+
+
+@query("A21_settings", """select count(*) n, round_even(avg(cs), 4) mean, """ + ", ".join(f"round_even(list_sort(list(cs))[cast(floor({q}::double * (count(*) - 1)) as bigint) + 1], 4) {n}" for q, n in ((0.5, "median"), (0.1, "p10"), (0.9, "p90"))) + """, min(cs) "min", max(cs) "max" from ch""")
+def _(spark, d):
+    return bands.distribution_summary(views.charts(spark, d), "cs")
+
+
+def calibrated(spark, d):
+    m = chart_metrics(spark, d)
+    q = score.quality(m, bands.corpus_bands(m), score.family_weights(spark))
+    joined = q.join(m.select("chart_id", "star_rating"), "chart_id").join(score.playability(timed(spark, d)), "chart_id")
+    got = score.reward(joined.withColumns({"achieved_sr": F.col("star_rating"), "target_sr": F.floor("star_rating"), "bucket": bands.sr_bucket(F.col("star_rating"))}))
+    return got.withColumns({"unhittable": F.bround("penalty", 4), "playability": F.bround("playability", 4)})
+
+
+CTES["ms"] = """select chart_id, metric, family, greatest(0.0::double, 1 - case when value < p10 then p10 - value when value > p90 then value - p90 else 0 end / greatest((p90 - p10) / 2, 1e-9::double)) s
+  from ml join bd using (bucket, metric) join fw using (metric) where p90 > p10"""
+CTES["cal"] = """select 'overall' dim, 'reward' "key", reward v from rw union all select 'overall', 'quality', quality from rw union all select 'overall', 'sr_closeness', sr_closeness from rw
+  union all select 'playability', 'all', round_even(1 - penalty, 4) from rw union all select 'bucket_reward', bucket, reward from rw union all select 'bucket_quality', bucket, quality from rw
+  union all select 'defect', 'unhittable', round_even(penalty, 4) from rw union all select 'family', family, round_even(score, 3) from fs union all select 'metric', metric, round_even(s, 3) from ms"""
+
+
+@query("A4_calibration_report", """select dim, "key", count(*) n, cast(round_even(cast(cast(sum(cast(v as decimal(20, 6))) as double) / count(*) as decimal(30, 12)), 4) as double) mean, """ + ", ".join(f"round_even(list_sort(list(v))[cast(floor({q}::double * (count(*) - 1)) as bigint) + 1], 4) {n}" for q, n in ((0.5, "median"), (0.1, "p10"), (0.9, "p90"))) + """, round_even(min(v), 4) "min", round_even(max(v), 4) "max" from cal group by 1, 2""")
+def _(spark, d):
+    return score.calibration_report(calibrated(spark, d), ["unhittable"])
+
+
+CTES["abx"] = "select a.job_id, a.cand, count_if(step_k < abort_k) saved from (" + " union all ".join(f"select * from ab{_c}" for _c in range(5)) + ") a join tr t on t.job_id = a.job_id and t.cand = a.cand where abort_k is not null group by 1, 2"
+
+
+@query("A14_report", """select job_id, winner, reward_mean, reward_max, n_completed, coalesce(n_aborted, 0) n_aborted, coalesce(steps_saved, 0) steps_saved, candidates from (
+  select job_id, arg_max(idx, row(reward, -idx)) winner, round_even(avg(reward), 9) reward_mean, max(reward) reward_max, count(*) n_completed, string_agg(idx || ':' || flag, ',' order by idx) candidates
+  from ca where not exists (select 1 from abx where abx.job_id = ca.job_id and abx.cand = ca.idx) group by 1) left join (select job_id, count(*) n_aborted, cast(sum(saved) as bigint) steps_saved from abx group by 1) using (job_id)""")
+def _(spark, d):
+    report = score.best_of_n_report(views.candidates(spark, d), sequences.early_abort(views.trajectories(spark, d)))
+    return report.withColumn("candidates", F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["idx"].cast("string"), c["flag"])), ","))
+
+
+@query("W21_next_target", """select job_id, idx as iter, case when a is not null then round_even(least(11.0::double, greatest(1.0::double, 4.5::double + 0.25::double * idx + 0.8::double * (4.5::double - a))), 9) end next_sr from (select *, case when flag = 'R' and idx = 2 then null else achieved_sr end a from ca)""")
+def _(spark, d):
+    return views.attempts(spark, d).select("job_id", "iter", F.bround(score.next_target(4.5 + 0.25 * F.col("iter"), F.col("target_sr"), F.col("achieved_sr")), 9).alias("next_sr"))
+
+
+@query("A13_target_sweep", """select chart_id, floor(star_rating) target_sr, star_rating achieved_sr, density_per_s, stream_ratio, coalesce(in_band, 0) in_band, coalesce(scored, 0) scored from mb
+  left join (select chart_id, count_if(value between p10 and p90) in_band, count(*) scored from ml join bd using (bucket, metric) group by 1) using (chart_id)""")
+def _(spark, d):
+    m = chart_metrics(spark, d)
+    return score.target_sweep(m.withColumn("target_sr", F.floor("star_rating").cast("double")), bands.corpus_bands(m), ["density_per_s", "stream_ratio"])
+
+
+@query("A25_ab_without", """select count_if(x > 0.02::double) wins, count_if(x < -0.02::double) losses, count_if(abs(x) <= 0.02::double) ties, round_even(avg(x), 4) mean_delta, round_even(avg(x) filter (job_id % 10 <> 3), 4) mean_delta_without
+  from (select job_id, b.reward - a.reward x from ca a join ca b using (job_id) where a.idx = 0 and b.idx = 1)""")
+def _(spark, d):
+    c = views.candidates(spark, d)
+    return score.ab_compare_without(c.where("idx = 0"), c.where("idx = 1"), ["job_id"], c.select("job_id").distinct().where("job_id % 10 = 3"))
+
+
+@query("F14_quality_maps", "select chart_id, family, round_even(score, 3) score from fs union all select chart_id, metric, round_even(s, 3) from ms")
+def _(spark, d):
+    m = chart_metrics(spark, d)
+    q = cut(score.quality(m, bands.corpus_bands(m), score.family_weights(spark)))
+    return q.select("chart_id", F.explode(F.map_concat("family", "per_metric")).alias("family", "score"))
+
+
+@query("S6_bands", "select * from bd where p10 < p90")
+def _(spark, d):
+    folder = shared_folder(views.charts(spark, d))
+    stores.write_bands(bands.corpus_bands(chart_metrics(spark, d)), folder)
+    return stores.read_bands(spark, folder)
+
+
+ORACLES["S7_frozen_split"] = ORACLES["W24_grouped_split"].replace('select item_id, grp "group", case', "select item_id, case")
+
+
+@query("S7_frozen_split")
+def _(spark, d):
+    split = cut(curation.grouped_split(curation.song_groups(views.manifest(spark, d))))
+    folder = shared_folder(split)
+    stores.write_split(split, folder, 0.1, 1234)
+    return curation.resolve_split(views.manifest(spark, d), stores.read_split(spark, folder)).select("item_id", "side")
+
+
+KEPT = f"""select mb.*, ch.folder, ch.filename, ch.audio_id, ch.cs from mb join ch using (chart_id) where "mode" = 0 and chart_id % 17 <> 0 and chart_id % 8 in (4, 5, 7) and chart_id in (select chart_id from ({GATE}) where reject_reason is null)"""
+
+
+@query("R7_dataset", f"""select chart_id, bucket, cast(least({N_FRAMES}, floor(240000 / {FR}), floor(last_end / {FR}) + 1) as int) frames, n_objects, substr(sha1(lower(folder || '/' || audio_id)), 1, 16) audio_key,
+  regexp_replace(folder || '__' || filename, '[^\\p{{L}}\\p{{N}}._ -]', '', 'g') || '__' || substr(sha1(lower(folder || '/' || filename)), 1, 8) item_id from ({KEPT}) join (select chart_id, max(end_time) last_end from ev group by 1) using (chart_id)""")
+def _(spark, d):
+    manifest, _ = dataset.build(views.charts(spark, d), views.control_points(spark, d), views.events(spark, d), views.chart_status(spark, d), N_FRAMES, {"max_red": 13, "min_objects": 35})
+    folder = shared_folder(manifest)
+    stores.write_manifest(manifest, folder)
+    return spark.read.parquet(folder).select("chart_id", F.col("bucket").cast("string"), "frames", "n_objects", "audio_key", "item_id")
+
+
+@query("S5_S11_frames", f"""select chart_id, cast(least({N_FRAMES}, floor(240000 / {FR}), floor(last_end / {FR}) + 1) as bigint) frames from ({KEPT}) join (select chart_id, max(end_time) last_end from ev group by 1) using (chart_id)""")
+def _(spark, d):
+    points, charts = views.control_points(spark, d), views.charts(spark, d)
+    manifest, _ = dataset.build(charts, points, views.events(spark, d), views.chart_status(spark, d), N_FRAMES, {"max_red": 13, "min_objects": 35})
+    folder = shared_folder(manifest)
+    dataset.write(cut(manifest), timed(spark, d), points, folder, N_FRAMES)
+    return stores.read_frames(spark, f"{folder}/frames").groupBy("chart_id").agg(F.count("*").alias("frames"))
