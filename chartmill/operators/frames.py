@@ -239,7 +239,8 @@ def decode_events(frames: DataFrame, onset: float = 0.3, min_gap: int = 2, min_s
     limits = spin.select(CHART, "frame", F.least("next_peak", "spin").alias("until"))
     # The first frame without a hold at or after each frame, and the strongest hold of four.
     w = Window.partitionBy(CHART).orderBy("frame")
-    off = F.min(F.when(F.col("slider_hold") <= 0, F.col("frame"))).over(w.rowsBetween(0, Window.unboundedFollowing))
+    backwards = Window.partitionBy(CHART).orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)  # a running minimum
+    off = F.min(F.when(F.col("slider_hold") <= 0, F.col("frame"))).over(backwards)
     probe = frames.withColumns({"off": off, "hold": F.max("slider_hold").over(w.rowsBetween(0, 3))}).join(n, CHART).withColumn("off", F.coalesce("off", "size"))
     at = limits.join(probe, [CHART, "frame"]).withColumn("end", F.greatest(F.col("frame") + 1, F.least(F.col("off") - 1, F.col("until") - 1)))
     slider = (F.col("hold") > 0) & (F.col("end") - F.col("frame") >= min_slider)

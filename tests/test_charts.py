@@ -409,3 +409,59 @@ def test_sliders_survive_frames(spark):
         assert len(told) == len(pts) and all(abs(a - c) <= 1 and abs(b - d) <= 1 for (a, b), (c, d) in zip(told, pts, strict=True))
     no_anchors = frames.decode_events(table.drop(*frames.ANCHORS)).collect()
     assert all(r.curve_type == "L" and len(r.curve_points) == 1 for r in no_anchors)
+
+
+def test_stores(spark, tmp_path):
+    from chartmill.sources import stores
+
+    (tmp_path / "bands.json").write_text('{"n_maps": 3, "buckets": {"Easy": {"a": {"mean": 1.5, "p10": 1.0, "p90": 2.0, "n": 3}, "b": {"p10": 1.0, "p90": 1.0}, "c": {"p10": 0.0, "p90": 4.0}}, "Hard": {"a": {"p10": null, "p90": 2.0}}}}')
+    got = {(r.bucket, r.metric): (r.n, r["mean"]) for r in stores.read_bands(spark, str(tmp_path / "bands.json")).collect()}
+    assert got == {("Easy", "a"): (3, 1.5), ("Easy", "c"): (None, 2.0)}
+    with pytest.raises(ValueError, match="p90"):
+        stores.usable_bands(spark.createDataFrame([("Easy", "a", 1.0)], "bucket string, metric string, p10 double"))
+    (tmp_path / "bare.json").write_text('["x", "y"]')
+    (tmp_path / "told.json").write_text('{"val_frac": 0.1, "val_item_ids": ["z"]}')
+    ids = lambda p: sorted(r.item_id for r in stores.read_split(spark, str(p)).collect())
+    assert ids(tmp_path / "bare.json") == ["x", "y"] and ids(tmp_path / "told.json") == ["z"]
+    split = spark.createDataFrame([("a", "val"), ("b", "train"), ("c", "val")], "item_id string, side string")
+    stores.write_split(split, str(tmp_path / "split"), 0.5, 7)
+    assert ids(tmp_path / "split") == ["a", "c"]
+    assert spark.read.parquet(str(tmp_path / "split/provenance")).first().asDict() == {"val_frac": 0.5, "seed": 7, "n_total": 3, "n_val": 2, "n_train": 1}
+    (tmp_path / "old.csv").write_text("run,epoch,val_loss\nr,1,0.5\nr,x,0.4\n")
+    (tmp_path / "new.csv").write_text("run,epoch,train_loss,val_loss,val_loss_ema\nr,2,0.3,0.4,0.41\n")
+    old, new = (stores.read_training_log(spark, str(tmp_path / f)).collect() for f in ("old.csv", "new.csv"))
+    assert [(r.epoch, r.val_loss, r.val_loss_ema) for r in old + new] == [(1, 0.5, None), (2, 0.4, 0.41)]
+    table = spark.createDataFrame([(c, f, 0.5) for c in range(5) for f in range(3)], "chart_id long, frame int, onset float")
+    stores.write_frames(table, str(tmp_path / "frames"), 2)
+    back = stores.read_frames(spark, str(tmp_path / "frames"))
+    assert back.schema["onset"].dataType.simpleString() == "float" and sorted(back.collect()) == sorted(table.collect())
+    stores.write_report(score.best_of_n_report(spark.createDataFrame([(1, 0, 0.5), (1, 1, 0.75)], "job_id long, idx long, reward double")), str(tmp_path / "report"))
+    report = spark.read.json(str(tmp_path / "report")).first()
+    assert (report.winner, report.reward_mean, report.n_completed, report.n_aborted) == (1, 0.625, 2, 0) and [c.idx for c in report.candidates] == [0, 1]
+
+
+def test_data_set_build(spark, tmp_path):
+    from chartmill.plans import dataset
+
+    charts = spark.createDataFrame([(c, "set 1!", f"map {c}.chart", 7, 0, 4.0, 1.4, 3.0 if c < 4 else 0.5) for c in range(1, 5)], "chart_id long, folder string, filename string, audio_id long, mode int, cs double, slider_multiplier double, star_rating double")
+    rows = [(c, i, 500 * i, 100 + 30 * (i % 5), 100, 1 + 4 * (i % 4 == 0), 2, None, [], 1, 0.0, 500 * i) for c in range(1, 5) for i in range(60 if c != 2 else 5)]
+    events = spark.createDataFrame(rows, "chart_id long, line_no long, time long, x int, y int, type int, hit_sound int, curve_type string, curve_points array<struct<x:int,y:int>>, slides int, length double, end_time long")
+    points = spark.createDataFrame([(c, 0, 0.0, 500.0, 4, True, 1) for c in range(1, 5)], "chart_id long, line_no long, time double, beat_length double, meter int, uninherited boolean, effects int")
+    status = charts.select("folder", "filename", F.lit(4).alias("status"), "mode")
+    manifest, outcomes = dataset.build(charts, points, events, status, 3000)
+    kept = manifest.orderBy("chart_id").collect()
+    assert [r.chart_id for r in kept] == [1, 3] and {r.outcome: r.charts for r in outcomes.collect()} == {"kept": 2, "star_rating": 1}
+    assert all(r.item_id.startswith("set_1__map_") and len(r.audio_key) == 16 and r.bucket == "Hard" for r in kept) and kept[0].item_id != kept[1].item_id
+    dataset.write(manifest, events, points, str(tmp_path / "set"), 3000)
+    sizes = {r.chart_id: r["count"] for r in spark.read.parquet(str(tmp_path / "set/frames")).groupBy("chart_id").count().collect()}
+    assert sizes == {r.chart_id: r.frames for r in kept} and kept[0].frames == int(29_500 / frames.MS_PER_FRAME) + 1
+    short, _ = dataset.build(charts, points, events, status, 3000, max_seconds=10.0)
+    assert {r.frames for r in short.collect()} == {int(10_000 / frames.MS_PER_FRAME)}
+
+
+def test_unscored_chart_has_quality_zero(spark):
+    metrics_ = spark.createDataFrame([(1, 1.0, 0.5), (2, 9.0, 0.5), (3, 1.0, None)], "chart_id long, star_rating double, kiai_ratio double")
+    bands_ = spark.createDataFrame([("Easy", "kiai_ratio", 0.0, 1.0)], "bucket string, metric string, p10 double, p90 double")
+    got = {r.chart_id: r for r in score.quality(metrics_, bands_, score.family_weights(spark)).collect()}
+    assert {c: r.quality for c, r in got.items()} == {1: 1.0, 2: 0.0, 3: 0.0}
+    assert got[1].per_metric == {"kiai_ratio": 1.0} and got[1].family == {"accents": 1.0} and got[2].family == got[3].per_metric == {}
