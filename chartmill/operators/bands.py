@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,39 @@ def nearest_rank(values: DataFrame, by: list[str], value: str = "value", at: tup
     return ranked.groupBy(*by).agg(*picks)
 
 
+#: Parts into which a column is cut before its quantiles are looked up.
+PARTS = 128
+
+
+def quantiles(rows: DataFrame, value: str, at: tuple[float, ...], interpolated: bool = False) -> list[float | None]:
+    """Exact quantiles of a whole column, by nearest rank or interpolated; None without values.
+
+    A sketch cuts the range into PARTS about equal parts (the sketch only balances them), whose sizes tell in which part
+    a rank lies.  Values are counted within the few parts that are asked for, so that no task orders the whole column.
+    """
+    values = rows.select(F.col(value).cast("double").alias("v")).where("v is not null")
+    n, edges = values.agg(F.count("*"), F.percentile_approx("v", [i / PARTS for i in range(1, PARTS)], 1000)).first()
+    if not n:
+        return [None] * len(at)
+    edges = sorted(set(edges))
+    part = F.size(F.filter(F.lit(edges), lambda e: e < F.col("v")))
+    binned = values.withColumn("part", part)
+    sizes = {r.part: r["count"] for r in binned.groupBy("part").count().collect()}
+    start, upto = {}, 0
+    for p in sorted(sizes):
+        start[p], upto = upto, upto + sizes[p]
+    ranks = sorted({r for q in at for r in ((math.floor(q * (n - 1)), math.ceil(q * (n - 1))) if interpolated else (math.floor(q * (n - 1)),))})
+    home = {r: max(p for p in start if start[p] <= r) for r in ranks}
+    counted = binned.where(F.col("part").isin(sorted(set(home.values())))).groupBy("part", "v").count()
+    seen = F.sum("count").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    picks = counted.withColumn("seen", seen).agg(*[F.min(F.when((F.col("part") == p) & (F.col("seen") > r - start[p]), F.col("v"))).alias(f"r{r}") for r, p in home.items()]).first()
+    low = [picks[f"r{math.floor(q * (n - 1))}"] for q in at]
+    if not interpolated:
+        return low
+    high, where = [picks[f"r{math.ceil(q * (n - 1))}"] for q in at], [q * (n - 1) for q in at]
+    return [a if a == b else (math.ceil(w) - w) * a + (w - math.floor(w)) * b for a, b, w in zip(low, high, where, strict=True)]
+
+
 def exact_mean(value: str) -> Column:
     """Mean of values of at most 6 digits, from their exact sum, to 12 digits: the same for any order of the rows."""
     return F.bround(F.sum(F.col(value).cast("decimal(20,6)")).cast("double") / F.count(value), 12)
@@ -53,10 +88,10 @@ def corpus_bands(metrics: DataFrame) -> DataFrame:
 
 def distribution_summary(values: DataFrame, value: str) -> DataFrame:
     """One row: n, mean, median, p10, p90, min and max of a column, 4 digits; quantiles by nearest rank."""
-    one = values.select(F.lit(1).alias("one"), F.col(value).cast("double").alias("value")).where("value is not null")
-    ranks = nearest_rank(one, ["one"], at=(0.1, 0.5, 0.9))
-    stats = one.groupBy("one").agg(F.count("*").alias("n"), *[f("value").alias(k) for f, k in ((F.avg, "mean"), (F.min, "min"), (F.max, "max"))])
-    return stats.join(ranks, "one").select("n", *[F.bround(c, 4).alias(name) for c, name in (("mean", "mean"), ("p50", "median"), ("p10", "p10"), ("p90", "p90"), ("min", "min"), ("max", "max"))])
+    p10, median, p90 = (F.lit(v).cast("double") for v in quantiles(values, value, (0.1, 0.5, 0.9)))
+    v = F.col(value).cast("double")
+    stats = {"mean": F.avg(v), "median": median, "p10": p10, "p90": p90, "min": F.min(v), "max": F.max(v)}
+    return values.agg(F.count(v).alias("n"), *[F.bround(c, 4).alias(k) for k, c in stats.items()]).where("n > 0")
 
 
 def z_scores(metrics: DataFrame, bands: DataFrame, ids: list[str] | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..plans.lineage import cut
 from . import timing
 
 CHART = "chart_id"
@@ -126,7 +127,11 @@ def chart_metrics(events: DataFrame, points: DataFrame, charts: DataFrame) -> Da
 def slider_shape_summary(events: DataFrame) -> DataFrame:
     """One row: mean, median and p90 of chord, path ratio and sagitta over all sliders, and shares beyond thresholds."""
     shapes = type_flags(events).where("is_slider and size(curve_points) > 0").select(g.chord(g.polygon()).alias("chord"), g.path_ratio(g.polygon()).alias("ratio"), g.sagitta(g.polygon()).alias("sagitta"))
-    stats = [e for v in ("chord", "ratio", "sagitta") for e in (F.bround(F.avg(v), 4).alias(f"{v}_mean"), F.expr(f"bround(percentile({v}, 0.5D), 4)").alias(f"{v}_median"), F.expr(f"bround(percentile({v}, 0.9D), 4)").alias(f"{v}_p90"))]
+    from .bands import quantiles
+
+    shapes = cut(shapes)  # three columns, read for the quantiles of each
+    ranks = {v: [F.lit(q).cast("double") for q in quantiles(shapes, v, (0.5, 0.9), True)] for v in ("chord", "ratio", "sagitta")}
+    stats = [e for v, (median, p90) in ranks.items() for e in (F.bround(F.avg(v), 4).alias(f"{v}_mean"), F.bround(median, 4).alias(f"{v}_median"), F.bround(p90, 4).alias(f"{v}_p90"))]
     beyond = [F.expr(f"bround(avg(cast({v} >= {t} as int)), 4)").alias(f"{v}_over_{i}") for v, ts in (("ratio", (1.06, 1.15, 1.3)), ("sagitta", (10, 20, 40))) for i, t in enumerate(ts, 1)]
     return shapes.agg(F.count("*").alias("n"), *stats, *beyond)
 

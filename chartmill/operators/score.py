@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bands import exact_mean, melt, nearest_rank, sr_bucket
+from .bands import exact_mean, melt, nearest_rank, quantiles, sr_bucket
 from .metrics import in_time, type_flags
 
 #: Families, their weights, and the weights of their metrics.
@@ -192,8 +192,9 @@ def ab_compare(a: DataFrame, b: DataFrame, keys: list[str], margin: float = 0.02
 
 def norm_summary(log: DataFrame, value: str, thresholds: tuple[float, ...]) -> DataFrame:
     """One row: mean, median, p99 and maximum of a step log's column, and how many steps exceed each threshold."""
+    median, p99 = (F.lit(q).cast("double") for q in quantiles(log, value, (0.5, 0.99), True))
     return log.agg(
-        F.bround(F.avg(value), 4).alias("mean"), F.expr(f"bround(percentile({value}, 0.5D), 4)").alias("median"), F.expr(f"bround(percentile({value}, 0.99D), 4)").alias("p99"),
+        F.bround(F.avg(value), 4).alias("mean"), F.bround(median, 4).alias("median"), F.bround(p99, 4).alias("p99"),
         F.bround(F.max(value), 4).alias("max"), *[F.count_if(F.col(value) > t).alias(f"over_{i}") for i, t in enumerate(thresholds, 1)],
     )
 

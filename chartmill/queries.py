@@ -909,3 +909,29 @@ def _(spark, d):
     folder = shared_folder(manifest)
     dataset.write(cut(manifest), timed(spark, d), points, folder, N_FRAMES)
     return stores.read_frames(spark, f"{folder}/frames").groupBy("chart_id").agg(F.count("*").alias("frames"))
+
+
+# All channels, frame by frame: sums over blocks of 32 frames, each frame with a weight of its own.
+CTES["shp"] = """select chart_id, line_no, (x1 - x) / 512.0::double u1, (y1 - y) / 384.0::double v1, (x2 - x) / 512.0::double u2, (y2 - y) / 384.0::double v2, (x1 = x2 and y1 = y2)::int corner,
+  abs((y2 - y) * x1 - (x2 - x) * y1 + x2 * y - y2 * x) / case when x2 = x and y2 = y then 1 else sqrt((x2 - x) ** 2 + (y2 - y) ** 2) end > 18 mid from ev0 where sl"""
+CTES["hsh"] = f"""select chart_id, q frame, arg_max(z, ord) z from (select chart_id, ord, [least(1.2::double, greatest(-1.2::double, a)) for a in case when mid then [u1, v1, u2, v2, u2, v2] else [u2, v2, u2, v2, u2, v2] end] || [corner] z,
+  unnest(range(round_even(f, 0)::bigint, round_even(least({N_FRAMES - 1}, end_time / {FR}), 0)::bigint + 1)) q from eo join shp using (chart_id, line_no)) group by 1, 2"""
+CTES["cur"] = f"""select chart_id, q frame, case when t2 is null or q <= t or t2 = t then x else x + (q - t) / (t2 - t) * (x2 - x) end cx, case when t2 is null or q <= t or t2 = t then y else y + (q - t) / (t2 - t) * (y2 - y) end cy from (
+    select *, unnest(range(case when fst then 0 else ceil(t)::bigint end, case when t2 is null then {N_FRAMES} else least({N_FRAMES}, ceil(t2)::bigint) end)) q from (
+      select chart_id, t, x, y, lead(t) over w t2, lead(x) over w x2, lead(y) over w y2, row_number() over w = 1 fst from (
+        select chart_id, line_no, f t, 0 o, x / 512.0::double * 2 - 1 x, y / 384.0::double * 2 - 1 y from eo union all
+        select chart_id, line_no, least({N_FRAMES - 1}, end_time / {FR}), 1, case when slides % 2 <> 0 then x2 else x end / 512.0::double * 2 - 1, case when slides % 2 <> 0 then y2 else y end / 384.0::double * 2 - 1 from eo where sl)
+      window w as (partition by chart_id order by t, line_no, o)))"""
+BLOCKS = {
+    "onset": "coalesce(onset * 2 - 1, -1)", "new_combo": "coalesce(new_combo * 2 - 1, -1)", "whistle": "coalesce(whistle * 2 - 1, -1)", "finish": "coalesce(finish * 2 - 1, -1)", "clap": "coalesce(clap * 2 - 1, -1)", "slider_hold": "coalesce(slider_hold, -1)",
+    "spinner_hold": "coalesce(spinner_hold, -1)", "kiai_hold": "case when kf.frame is null then -1 else 1 end", "slides": "coalesce(slides * 2 - 1, -1)", "curve": "coalesce(curve, 0)", "corner": "coalesce(z[7], 0)", "cursor_x": "coalesce(cx, 0)", "cursor_y": "coalesce(cy, 0)",
+    "spacing": "coalesce(spc.v, 0)", "sv": "log2(svf.v) / 2", **{c: f"coalesce(z[{i + 1}], 0)" for i, c in enumerate(frames.ANCHORS)},
+}
+
+
+@query("R1_frame_blocks", "select c.chart_id, c.frame // 32 block, " + ", ".join(f"round_even(sum(({e}) * sqrt((2 + c.frame % 32)::double)), 2) + 0.0 {k}" for k, e in BLOCKS.items()) + f""" from (select chart_id, unnest(range(0, {N_FRAMES})) frame from ch) c
+  left join bump using (chart_id, frame) left join hold using (chart_id, frame) left join kf using (chart_id, frame) left join hsh using (chart_id, frame) left join cur using (chart_id, frame) left join spc using (chart_id, frame) left join svf using (chart_id, frame) group by 1, 2""")
+def _(spark, d):
+    weight = F.sqrt((2 + F.col("frame") % 32).cast("double"))  # uneven, so that no sum ends halfway between two roundings
+    sums = [(F.bround(F.sum(F.col(c).cast("double") * weight), 2) + F.lit(0.0)).alias(c) for c in BLOCKS]
+    return rastered(spark, d).groupBy("chart_id", F.floor(F.col("frame") / 32).alias("block")).agg(*sums)
