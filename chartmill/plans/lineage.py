@@ -38,7 +38,7 @@ def shared_folder(df: DataFrame) -> str:
 def stored(df: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, str]:
     """df written once as Parquet to the shared folder and read from it, and the path; by: columns that name folders."""
     path = shared_folder(df)
-    df.write.partitionBy(*by or []).parquet(path)
+    df.write.partitionBy(*by or []).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
