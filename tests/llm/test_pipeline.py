@@ -13,6 +13,12 @@ from chartmill.llm import pii
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(autouse=True)
+def short_training(monkeypatch):
+    """What is tested here holds with any tagger."""
+    monkeypatch.setattr(pii, "STEPS", 40)
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet")
