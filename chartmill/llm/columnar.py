@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHUNK_BYTES = 4 << 20
@@ -105,46 +106,69 @@ def chunks(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterat
         lo = hi
 
 
-def with_columns(df: DataFrame, text: str, fields: list[T.StructField], kernel: Callable[[], Callable], limit: int = CHUNK_BYTES) -> DataFrame:
-    """df with columns that a kernel computes from chunks of its rows.
+def slices(batch: pa.RecordBatch, text: str | None, limit: int) -> Iterator[pa.RecordBatch]:
+    """Chunks by bytes of text, or without a text column by rows."""
+    if text is not None:
+        yield from chunks(batch, text, limit)
+    else:
+        yield from (batch.slice(at, 4096) for at in range(0, batch.num_rows, 4096))
+
+
+def by_position(df: DataFrame) -> DataFrame:
+    """df with names that any schema string and reader can hold."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def with_columns(df: DataFrame, text: str | None, fields: list[T.StructField], kernel: Callable[[], Callable], limit: int = CHUNK_BYTES) -> DataFrame:
+    """df with columns that a kernel computes from chunks of its rows; without a text column chunks are cut by rows.
 
     kernel() is called once a task and returns chunk -> list of arrays, one for each field.  A column of df with
-    the name of a new field (in any case) is replaced (the kernel still sees it), the others stay; rows are neither
-    lost nor reordered.
+    the name of a new field (in any case) is replaced (the kernel still sees it), the others stay, whatever their names;
+    rows are neither lost nor reordered.
     """
     new_names = {f.name.lower() for f in fields}
-    kept = [i for i, c in enumerate(df.columns) if c.lower() not in new_names]
-    schema = T.StructType([df.schema[i] for i in kept] + fields)
-    names = [df.columns[i] for i in kept] + [f.name for f in fields]
+    columns = df.columns
+    kept = [i for i, c in enumerate(columns) if c.lower() not in new_names]
+    plain = by_position(df)
+    schema = T.StructType([plain.schema[i] for i in kept] + [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = kernel()
         for batch in batches:
-            for part in chunks(batch, text, limit):
-                yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + list(work(part)), names=names)
+            for part in slices(pa.RecordBatch.from_arrays(batch.columns, names=columns), text, limit):
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in kept] + list(work(part)), names=schema.names)
             pa.default_memory_pool().release_unused()
 
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*[columns[i] for i in kept], *[f.name for f in fields])
 
 
-def emit(df: DataFrame, columns: list[str], text: str, schema: str, kernel: Callable[[], Callable], limit: int = CHUNK_BYTES) -> DataFrame:
+def emit(df: DataFrame, columns: list[str], text: str | None, schema: str, kernel: Callable[[], Callable], limit: int = CHUNK_BYTES) -> DataFrame:
     """Rows that a kernel makes of chunks of df's rows; kernel() returns chunk -> iterable of record batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = kernel()
         for batch in batches:
-            for part in chunks(batch, text, limit):
+            for part in slices(pa.RecordBatch.from_arrays(batch.columns, names=columns), text, limit):
                 yield from work(part)
 
     ship(df.sparkSession)
-    return df.select(*columns).mapInArrow(run, schema)
+    return by_position(df.select(*[F.col(quoted(c)) for c in columns])).mapInArrow(run, schema)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression reads it, dots and backticks included."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def long(name: str) -> T.StructField:
     return T.StructField(name, T.LongType())
 
 
+def integer(name: str) -> T.StructField:
+    return T.StructField(name, T.IntegerType())
+
+
 def string(name: str) -> T.StructField:
     return T.StructField(name, T.StringType())
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, hmm, html_text, langid, licenses, pii, quality, simhash, urls
+from . import bpe, centroids, decontam, ftrl, hmm, html_text, langid, licenses, pii, quality, simhash, urls, vector_codes
 
 BPE_FILE = "byte_bpe_50k.json"
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "allow"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -60,6 +60,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op11_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
@@ -100,5 +112,58 @@ from d left join hits using (doc_id) left join items using (doc_id)
 """
 
 
+#: The floor of s / n, which // doesn't give for negative s.
+FLOOR_SQL = "(s - ((s % n) + n) % n) // n"
+
+
+def op12_sql(rounds: int = 10) -> str:
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""
+a{t} as materialized (
+  select r, arg_min(c, d * 8 + c) c, min(d) d from (select r, c, sum((x - y) * (x - y)) d from p join c{t} using (i) group by r, c) group by r)""")
+        if t < rounds:
+            steps.append(f"""
+c{t + 1} as materialized (
+  select c, i, coalesce({FLOOR_SQL}, y) y from c{t} left join (select c, i, sum(x) s, count(*) n from p join a{t} using (r) group by c, i) using (c, i))""")
+    return f"""
+with kept as materialized (
+  select row_number() over () r, vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) v
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64),
+p as materialized (select r, unnest(range(64)) i, unnest(v) x from kept),
+first as materialized (select row_number() over (order by sha256('3:' || vec_id), v) - 1 c, v from kept where vec_id is not null order by c limit 8),
+c0 as materialized (select c, unnest(range(64)) i, unnest(v) y from first),{",".join(steps)},
+digests as (select c, sha256(string_agg(cast(cast(y as bigint) as varchar), ',' order by i)) h from c{rounds} group by c),
+sums as (select c, sum(d) s from a{rounds} group by c)
+select vec_id, cast(c as int) as "cluster", cast(d as bigint) distance, cast(s as bigint) cluster_inertia, cast((select sum(d) from a{rounds}) as bigint) inertia, h centroid_sha256
+from kept left join a{rounds} using (r) left join sums using (c) left join digests using (c)
+"""
+
+
+def op13_sql(rounds: int = 2) -> str:
+    steps = []
+    for t in range(rounds + 1):
+        steps.append(f"""
+a{t} as materialized (
+  select r, m, arg_min(e, d * 64 + e) e, min(d) d from (select r, m, e, sum((x - y) * (x - y)) d from p join c{t} using (m, i) group by r, m, e) group by r, m)""")
+        if t < rounds:
+            steps.append(f"""
+c{t + 1} as materialized (
+  select m, e, i, coalesce({FLOOR_SQL}, y) y from c{t} left join (select m, e, i, sum(x) s, count(*) n from p join a{t} using (r, m) group by m, e, i) using (m, e, i))""")
+    return f"""
+with kept as materialized (
+  select row_number() over () r, vec_id, label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+p as materialized (select r, unnest(range(64)) // 4 m, unnest(range(64)) % 4 i, unnest(v) x from kept),
+first as materialized (select row_number() over (order by vec_id, v) - 1 e, v from kept where vec_id is not null order by e limit 64),
+c0 as materialized (select unnest(range(64)) // 4 m, e, unnest(range(64)) % 4 i, unnest(v) y from first),{",".join(steps)},
+coded as materialized (
+  select vec_id, label, string_agg(lower(printf('%02x', e)), '' order by m) code, cast(sum(d) as bigint) error from kept join a{rounds} using (r) group by r, vec_id, label),
+sums as (select label, cast(sum(error) as bigint) label_error from coded group by label)
+select vec_id, code, error, label_error, (select sha256(string_agg(cast(cast(y as bigint) as varchar), ',' order by m, e, i)) from c{rounds}) codebooks_sha256
+from coded join sums on coded.label is not distinct from sums.label
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL}
+    return {"op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL, "op12_centroids": op12_sql(), "op13_vector_codes": op13_sql()}
