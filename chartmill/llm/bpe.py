@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .columnar import SPACE, as_strings, long, ragged, ship, starts_of, string, sums, text_buffer, with_columns
+from .columnar import SPACE, as_strings, long, ragged, starts_of, string, sums, text_buffer, with_columns
 
 #: Fixed value: the pattern of byte-level pre-tokens.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -251,14 +251,8 @@ def encode(df: DataFrame, path: str, text: str = "text", keep_ids: bool = True)
 def decode(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """df with the text that a column of ids stands for; null ids are an empty text, invalid UTF-8 becomes U+FFFD."""
 
-    def run(batches):
+    def kernel():
         vocab = vocabulary(path)
-        for batch in batches:
-            at = batch.schema.get_field_index(ids)
-            out = [vocab.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(out, pa.string())], names=names)
-
-    ship(df.sparkSession)
-    kept = [i for i, c in enumerate(df.columns) if c.lower() != into.lower()]
-    names = [df.columns[i] for i in kept] + [into]
-    return df.mapInArrow(run, T.StructType([df.schema[i] for i in kept] + [string(into)]))
+        return lambda part: [pa.array([vocab.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in part.column(part.schema.get_field_index(ids)).to_pylist()], pa.string())]
+
+    return with_columns(df, None, [string(into)], kernel)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import forget, joined_by, stored, unused_name
-from .columnar import string, with_columns
+from .columnar import quoted, string, with_columns
 
 RULE_BLOCK = 200_000
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -72,10 +72,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     null field are ignored.  Columns of pages named like a result are replaced.  Very long urls are matched whole,
     repeated rows are judged each.  No rows in, no rows out.
     """
-    host, path = parse_url(F.col(f"`{url}`"))
+    host, path = parse_url(F.col(quoted(url)))
     new = {"host": host, "path": path, "rule": F.lit(None).cast("string"), "verdict": F.lit(default)}
-    clashing = [c for c in pages.columns if c.lower() in new]
-    out = pages.select("*", *[v.alias(f"_{k}") for k, v in new.items()]).drop(*clashing).withColumnsRenamed({f"_{k}": k for k in new})
+    kept = [F.col(quoted(c)) for c in pages.columns if c.lower() not in new]
+    out = pages.select(*kept, *[v.alias(k) for k, v in new.items()])
     clean = rules.select("host", "path", "verdict").dropna().distinct()
     blocks = max(1, -(-clean.count() // RULE_BLOCK))
     if blocks == 1:
@@ -88,7 +88,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     forget(parts, folder)
     best = F.max(F.struct(F.length("rule").alias("n"), "verdict", "rule")).alias("best")
     decided = reduce(DataFrame.unionByName, found).groupBy(F.struct("host", "path").alias("url")).agg(best)
-    names = [c for c in out.columns if c not in ("rule", "verdict")]
+    names = [F.col(quoted(c)) for c in out.columns if c not in ("rule", "verdict")]
     both = joined_by(out.select(*names), F.struct("host", "path"), decided.select("url", F.col("best").alias(best_name := unused_name(out, "_best"))), "url")
     return both.select(*names, F.col(f"`{best_name}`.rule").alias("rule"), F.coalesce(f"`{best_name}`.verdict", F.lit(default)).alias("verdict"))
 
