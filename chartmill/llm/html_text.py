@@ -8,14 +8,16 @@ not is the main text.
 
 All potentials are log relative frequencies in labelled pages: pages of the table that mark their article
 themselves, at most TRAIN of them, chosen by hash, and the pages of LABELLED, which show kinds of page and of
-boilerplate that the table may lack.
+boilerplate that the table may lack.  A page of the table is also learned in layouts that have no such mark, with the
+same labels: its article and menu become other elements or none (LAYOUTS), so that what carries over is the amount of
+text, the links and the hints, not the mark.  Every layout weighs the same.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .columnar import emit, long, string, with_columns
 
 TRAIN = 1000
-#: Nodes that the pages of LABELLED, and those of the table, count as.
+#: Nodes that the pages of LABELLED, and those of the table in all layouts, count as.
 WEIGHT = 2000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style iframe noembed noframes xmp textarea title".split())
@@ -40,11 +42,14 @@ MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|
 HINT = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 AGAINST = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright discussion disqus foot footer form gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain pager pagination popup privacy promo promoted promotion recommended related replies reply respond search share sharing sidebar signup sitemap social sponsor sponsored subscribe taboola tags toc toolbar topbar widget complementary contentinfo".split())
+#: Beginnings of further such words.
+STEMS = ("advert", "breadcrumb", "comment", "cookie", "discuss", "newsletter", "paginat", "recommend", "repl", "respons", "share", "sharing", "sidebar", "social", "sponsor", "subscri", "navig", "menu", "footer", "promo")
 FOR = frozenset("article articlebody body content entry main post story text".split())
 GROUPS = ["article", "main", "section", "div", "p", "h1 h2 h3 h4 h5 h6", "ul ol menu dl", "li dt dd", "nav", "header", "footer", "aside", "form fieldset", "table tbody thead tr td th", "blockquote pre figure figcaption", "html body #root"]
 GROUP = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
-#: Values of a node's features: tag group and amount of own text, hints, share of links.
-SIZES = [4 * (len(GROUPS) + 1), 4, 5]
+#: Values of a node's features: tag group and amount of own text, hints, amount of all text and share of links, apart for
+#: nodes with and without text of their own.
+SIZES = [4 * (len(GROUPS) + 1), 4, 2 * 16 + 1]
 #: Tag groups that are boilerplate by their meaning.
 ASIDE = [GROUP[t] for t in ("nav", "header", "footer", "aside", "form")]
 CELLS = sum(2 * s for s in SIZES) + 9 * 4 + 2
@@ -148,7 +153,7 @@ def hint(attributes: str) -> int:
     if not attributes or "=" not in attributes:
         return 0
     words = {w for m in HINT.finditer(attributes) for w in WORD.findall((m[2] or m[3] or m[4] or "").lower())}
-    return bool(words & AGAINST) + 2 * bool(words & FOR)
+    return bool(words & AGAINST or any(w.startswith(STEMS) for w in words)) + 2 * bool(words & FOR)
 
 
 def observed(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,7 +179,7 @@ def observed(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         [
             4 * np.array([GROUP.get(t, len(GROUPS)) for p in pages for t in p.tags], np.int64) + np.digitize(own, [1, 20, 80]),
             np.array([h for p in pages for h in p.hints], np.int64),
-            np.where(below == 0, 4, np.digitize(density, [0.05, 0.3, 0.7])),
+            np.where(below == 0, 32, 16 * (own == 0) + 4 * np.minimum(3, np.digitize(below, [20, 80, 300])) + np.digitize(density, [0.05, 0.3, 0.7])),
         ],
         axis=1,
     )
@@ -236,6 +241,43 @@ def marked(page: Page) -> np.ndarray | None:
     return out if seen else None
 
 
+#: What becomes of an article and its paragraphs, and of a menu; None takes the article's element away, "text" leaves all
+#: its text in it, without elements of their own, as does a menu that is a div or a cell; a bare page is its article's text.
+LAYOUTS = [(a, p, m) for a, p in (("article", "p"), ("div", "p"), ("section", "p"), ("main", "div"), ("div", "div"), (None, "p"), (None, "div"), (None, "section"), ("div", "text"), ("ul", "li"), ("td", "p")) for m in ("nav", "div", "ul", "td")] + [("bare", "", "")]
+
+
+def laid_out(page: Page, labels: np.ndarray, article: str | None, paragraph: str, menu: str) -> tuple[Page, np.ndarray]:
+    """A labelled page in another layout; what isn't an article, its paragraphs or a menu stays.
+
+    Where the menu isn't one by its tag, some of the article's text, by turns none, a tenth and a fifth, is in links.
+    """
+    out, new, y, inside = object.__new__(Page), [], [], []
+    if article == "bare":
+        out.tags, out.hints, out.parents, own = ["#root"], [0], [-1], [i for i, (node, *_) in enumerate(page.pieces) if labels[node]]
+        out.pieces, out.links = [[0, *page.pieces[i][1:]] for i in own], [page.links[i] for i in own]
+        return out, np.ones(1, bool)
+    out.tags, out.hints, out.parents = [], [], []
+    for i, (tag, hints, parent) in enumerate(zip(page.tags, page.hints, page.parents, strict=True)):
+        above = new[parent] if parent >= 0 else -1
+        inside.append(parent >= 0 and (inside[parent] or page.tags[parent] == "nav"))
+        gone = tag == "article" and article is None or paragraph == "text" and labels[i] and parent >= 0 and labels[parent] or menu in ("div", "td") and inside[i]
+        new.append(above if gone and above >= 0 else len(out.tags))
+        if gone and above >= 0:
+            continue
+        if tag == "article" or tag == "nav":
+            tag, hints = (article if tag == "article" else menu), 0
+        elif tag == "p" and labels[i]:
+            tag = paragraph
+        out.tags.append(tag)
+        out.hints.append(hints)
+        out.parents.append(above)
+        y.append(labels[i])
+    out.pieces = [[new[node], *runs] for node, *runs in page.pieces]
+    told = [sum(map(len, runs)) * (i % 3) // 10 if menu != "nav" and labels[node] else 0 for i, (node, *runs) in enumerate(page.pieces)]
+    out.links = [max(x, y) for x, y in zip(page.links, told, strict=True)]
+    return out, np.array(y)
+
+
 def labelled(page: Page) -> np.ndarray:
     """Labels of a page of LABELLED: its pieces with a + are content, and so is an element with such pieces alone."""
     good, bad = np.zeros(len(page.tags), bool), np.zeros(len(page.tags), bool)
@@ -248,7 +290,7 @@ def labelled(page: Page) -> np.ndarray:
     return good & ~bad
 
 
-def count(pages: list[Page], labels: list[np.ndarray]) -> np.ndarray:
+def count(pages: Sequence[Page], labels: Sequence[np.ndarray]) -> np.ndarray:
     """All counts of labelled pages in one row."""
     parent, features, _ = observed(pages)
     y = np.concatenate([np.zeros(0, bool), *labels]).astype(np.int64)
@@ -307,15 +349,16 @@ def fitted(pages: DataFrame, source: str) -> Model:
         def work(part: pa.RecordBatch):
             parsed = [Page(s or "") for s in part.column(0).to_pylist()]
             both = [(p, y) for p in parsed if (y := marked(p)) is not None]
-            total = count([p for p, _ in both], [y for _, y in both]) if both else np.zeros(CELLS, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total.astype(np.int64))], names=["cell", "n"])
+            for k, layout in enumerate(LAYOUTS if both else []):
+                total = count(*zip(*(laid_out(p, y, *layout) for p, y in both), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(total)), pa.array(np.arange(len(total))), pa.array(total.astype(np.int64))], names=["layout", "cell", "n"])
 
         return work
 
-    counts = np.zeros(CELLS)
-    for r in emit(chosen, ["source"], "source", "cell long, n long", kernel).groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        counts[r.cell] = r.n
-    return model_of(examples() + scaled(counts))
+    counts = np.zeros((len(LAYOUTS), CELLS))
+    for r in emit(chosen, ["source"], "source", "layout long, cell long, n long", kernel).groupBy("layout", "cell").agg(F.sum("n").alias("n")).collect():
+        counts[r.layout, r.cell] = r.n
+    return model_of(examples() + sum(scaled(c) for c in counts) / len(LAYOUTS))
 
 
 def main_text(sources: list[str | None], model: Model) -> list[str]:

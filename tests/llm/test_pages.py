@@ -54,3 +54,25 @@ def test_deep_and_hostile_pages():
     model = html_text.model_of(html_text.examples())
     for source in ("<div>" * 5000 + "deep", "<" * 5000, "<a " * 3000, "<p title='" + "x" * 5000, "</p>" * 3000, "<!--" * 2000):
         assert len(html_text.main_text([source], model)) == 1
+
+
+def test_fitted_model_reads_layouts_without_marks(spark):
+    from layouts import PAGES
+
+    from chartmill.llm.queries import table
+
+    model = html_text.fitted(table(spark, "/root/testdata/sf0.01", "pages"), "html")
+    got = dict(zip(PAGES, html_text.main_text([source for source, _ in PAGES.values()], model), strict=True))
+    assert got == {name: want for name, (_, want) in PAGES.items()}
+
+
+def test_layouts_keep_text_and_labels():
+    source = page("T", ["One paragraph.", "Another one."])
+    whole = html_text.Page(source)
+    labels = html_text.marked(whole)
+    text = lambda p, y: [("".join(runs), bool(y[node])) for node, *runs in p.pieces]
+    for layout in html_text.LAYOUTS:
+        other, y = html_text.laid_out(whole, labels, *layout)
+        assert text(other, y) == [t for t in text(whole, labels) if t[1] or layout[0] != "bare"]
+        assert len(other.tags) == len(other.hints) == len(other.parents) == len(y) and all(p < i for i, p in enumerate(other.parents))
+        assert "article" not in other.tags or layout[0] == "article"
