@@ -17,8 +17,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .frames import MS_PER_FRAME
+from .pieces import Fold, folded
 
 
 def _sorted(df: DataFrame, key: str, *order) -> DataFrame:
@@ -40,85 +42,116 @@ def _reflect(value: float, high: float) -> float:
     return 2 * high - folded if folded > high else folded
 
 
+class Respacing(Fold):
+    """Steps keep their direction and get a magnitude; what keeps its place begins anew."""
+
+    def __init__(self, alpha: float, w: int, h: int) -> None:
+        super().__init__()
+        self.alpha, self.w, self.h = alpha, w, h
+        self.place = (0.0, 0.0)
+
+    def begins(self, row: tuple) -> bool:
+        chart, _, x, y, kind, *_ = row
+        if kind & 12:
+            return True
+        if self.before is None:
+            return False
+        last, _, last_x, last_y, last_kind, *_ = self.before
+        return last != chart or bool(last_kind & 8) or math.hypot(x - last_x, y - last_y) < 1e-6
+
+    def feed(self, row: tuple, fresh: bool) -> list[tuple]:
+        chart, line, x, y, _, anchors, size, _ = row
+        tx, ty = float(x), float(y)
+        if not fresh:
+            dx, dy = x - self.before[2], y - self.before[3]
+            norm = math.hypot(dx, dy)
+            size = 0.0 if size is None or size != size else max(0.0, size)
+            tx, ty = _reflect(self.place[0] + size * dx / norm, self.w), _reflect(self.place[1] + size * dy / norm, self.h)
+            tx, ty = self.alpha * tx + (1 - self.alpha) * x, self.alpha * ty + (1 - self.alpha) * y
+        self.place = tx, ty
+        sx, sy = round(tx - x), round(ty - y)
+        moved = bool(sx or sy)
+        return [(chart, line, round(tx) if moved else x, round(ty) if moved else y, [{"x": p["x"] + sx, "y": p["y"] + sy} for p in anchors or []], moved)]
+
+
 def respace(events: DataFrame, magnitudes: DataFrame, alpha: float = 1.0, w: int = 512, h: int = 384) -> DataFrame:
     """(chart_id, line_no, x, y, curve_points, moved) of events, moved so that each step has its magnitude.
 
     A step keeps its direction; new combos, spinners and what follows a spinner keep their place; steps without
     direction stay; walls reflect.  Anchors move with their head by the same whole pixels; what would move by none
-    stays.  magnitudes: (chart_id, line_no, magnitude) of the step to the event.
+    stays.  magnitudes: (chart_id, line_no, magnitude) of the step to the event.  What keeps its place cuts a chart into
+    segments that tasks fold apart.
     """
-    kind_of = {"chart_id": pa.int64(), "line_no": pa.int64(), "x": pa.int32(), "y": pa.int32(), "curve_points": pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])), "moved": pa.bool_()}
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # chart, x, y, type and new place of the row before
-        for batch in batches:
-            out = []
-            for chart, line, x, y, kind, anchors, size in _rows(batch):
-                tx, ty = float(x), float(y)
-                if last and last[0] == chart:
-                    dx, dy = x - last[1], y - last[2]
-                    norm = math.hypot(dx, dy)
-                    if not (kind & 12 or last[3] & 8) and norm >= 1e-6:
-                        size = 0.0 if size is None or size != size else max(0.0, size)
-                        tx, ty = _reflect(last[4] + size * dx / norm, w), _reflect(last[5] + size * dy / norm, h)
-                    tx, ty = alpha * tx + (1 - alpha) * x, alpha * ty + (1 - alpha) * y
-                last = chart, x, y, kind, tx, ty
-                sx, sy = round(tx - x), round(ty - y)
-                moved = bool(sx or sy)
-                out.append((chart, line, round(tx) if moved else x, round(ty) if moved else y, [{"x": p["x"] + sx, "y": p["y"] + sy} for p in anchors or []], moved))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kind_of.values(), strict=True)], names=list(kind_of))
-
-    rows = events.select("chart_id", "line_no", "time", "x", "y", "type", "curve_points").join(magnitudes, ["chart_id", "line_no"], "left")
-    ordered = _sorted(rows, "chart_id", F.asc_nulls_last("time"), F.asc_nulls_last("line_no"))
-    return ordered.select("chart_id", "line_no", "x", "y", "type", "curve_points", "magnitude").mapInArrow(walk, "chart_id long, line_no long, x int, y int, curve_points array<struct<x:int,y:int>>, moved boolean")
+    rows = events.select("chart_id", "line_no", "time", "x", "y", "type", "curve_points").join(magnitudes.select("chart_id", "line_no", "magnitude"), ["chart_id", "line_no"], "left")
+    out = T.StructType([events.schema["chart_id"], events.schema["line_no"], T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType()), T.StructField("curve_points", T.ArrayType(T.StructType([T.StructField("x", T.IntegerType()), T.StructField("y", T.IntegerType())]))), T.StructField("moved", T.BooleanType())])
+    picked = rows.select("chart_id", "line_no", "x", "y", "type", "curve_points", "magnitude", "time")
+    return folded(picked, ["chart_id", "time", "line_no"], lambda: Respacing(alpha, w, h), out)
+
+
+class Matching(Fold):
+    """Greedy matching of two sorted sides; what waits for a partner is of one side only and within the tolerance."""
+
+    def __init__(self, tolerance: float) -> None:
+        super().__init__()
+        self.tolerance = tolerance
+        self.waiting: deque = deque()  # [time, rows]
+        self.side: str | None = None
+        self.counts = [0, 0, 0]  # hits, pred and ref rows since the last reset
+
+    def begins(self, row: tuple) -> bool:
+        if self.before is None:
+            return False
+        (last, then, _), (song, at, _) = self.before, row
+        return last != song or at - then > self.tolerance * (1 + 1e-9) + 1e-6
+
+    def reset(self) -> list[tuple]:
+        out = [(self.before[0], *self.counts)] if self.before else []
+        self.counts = [0, 0, 0]
+        return out
+
+    def feed(self, row: tuple, fresh: bool) -> list[tuple]:
+        _, at, kind = row
+        if fresh:
+            self.waiting, self.side = deque(), None
+        if kind not in ("pred", "ref"):
+            return []
+        self.counts[1 if kind == "pred" else 2] += 1
+        waiting, tolerance = self.waiting, self.tolerance
+        if self.side != kind:
+            # a pred waits until tolerance after it, a ref until tolerance before the pred
+            while waiting and (at > waiting[0][0] + tolerance if self.side == "pred" else waiting[0][0] < at - tolerance):
+                waiting.popleft()
+            if waiting:
+                self.counts[0] += 1
+                waiting[0][1] -= 1
+                if not waiting[0][1]:
+                    waiting.popleft()
+                return []
+            self.side = kind
+        if waiting and waiting[-1][0] == at:
+            waiting[-1][1] += 1
+        else:
+            while waiting and waiting[0][0] < at - 2 * tolerance - 1:  # no partner can come any more
+                waiting.popleft()
+            waiting.append([at, 1])
+        return []
 
 
 def beat_f_measure(beats: DataFrame, tolerance: float = 70.0) -> DataFrame:
     """(song_id, precision, recall, f) of pred against ref beats; each takes the first unused one within reach.
 
-    Both sides come in one time order.  What waits for a partner is of one side only and within the tolerance.
+    Both sides come in one time order.  No match crosses a gap of more than the tolerance, so songs are cut there and
+    their stretches matched apart.  Beats without a time match nothing but count.
     """
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result() -> pa.RecordBatch:
-            precision, recall = hits / sizes["pred"] if sizes["pred"] else 0.0, hits / sizes["ref"] if sizes["ref"] else 0.0
-            f = 2 * precision * recall / (precision + recall) if hits else 0.0
-            return pa.RecordBatch.from_arrays([pa.array([song], pa.int64()), *(pa.array([round(v, 4)], pa.float64()) for v in (precision, recall, f))], names=["song_id", "precision", "recall", "f"])
-
-        started = False
-        for batch in batches:
-            for new, at, kind in _rows(batch):
-                if not started or new != song:
-                    if started:
-                        yield result()
-                    started, song, hits, sizes, waiting, side = True, new, 0, {"pred": 0, "ref": 0}, deque(), None
-                if kind not in sizes:
-                    continue
-                sizes[kind] += 1
-                if at is None or at != at:
-                    continue
-                if side != kind:
-                    # a pred waits until tolerance after it, a ref until tolerance before the pred
-                    while waiting and (at > waiting[0][0] + tolerance if side == "pred" else waiting[0][0] < at - tolerance):
-                        waiting.popleft()
-                    if waiting:
-                        hits += 1
-                        waiting[0][1] -= 1
-                        if not waiting[0][1]:
-                            waiting.popleft()
-                        continue
-                    side = kind
-                if waiting and waiting[-1][0] == at:
-                    waiting[-1][1] += 1
-                else:
-                    while waiting and waiting[0][0] < at - 2 * tolerance - 1:  # no partner can come any more
-                        waiting.popleft()
-                    waiting.append([at, 1])
-        if started:
-            yield result()
-
-    ordered = _sorted(beats.select("song_id", "beat_ms", "kind"), "song_id", F.asc_nulls_last("beat_ms"))
-    return ordered.mapInArrow(match, "song_id long, precision double, recall double, f double")
+    counts = T.StructType([beats.schema["song_id"], *[T.StructField(c, T.LongType()) for c in ("hits", "pred", "ref")]])
+    timed = F.col("beat_ms").isNotNull() & ~F.isnan(F.col("beat_ms").cast("double"))
+    got = folded(beats.where(timed).select("song_id", F.col("beat_ms").cast("double").alias("beat_ms"), "kind"), ["song_id", "beat_ms"], lambda: Matching(tolerance), counts)
+    loose = beats.where(~timed).groupBy("song_id").agg(F.lit(0).cast("long").alias("hits"), *[F.count_if(F.col("kind") == c).alias(c) for c in ("pred", "ref")])
+    total = got.unionByName(loose).groupBy("song_id").agg(*[F.sum(c).alias(c) for c in ("hits", "pred", "ref")])
+    share = lambda n: F.coalesce(F.try_divide(F.col("hits"), F.col(n)), F.lit(0.0))
+    scored = total.select("song_id", share("pred").alias("p"), share("ref").alias("r"))
+    f = F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0))
+    return scored.select("song_id", F.bround("p", 4).alias("precision"), F.bround("r", 4).alias("recall"), F.bround(f, 4).alias("f"))
 
 
 def early_abort(trajectories: DataFrame, monitor_frac: float = 0.7, margin: float = 0.15, floor: float = 0.55, min_candidates: int = 2) -> DataFrame:

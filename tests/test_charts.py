@@ -362,8 +362,46 @@ def test_folds_by_batch(spark):
         assert {(x.job_id, x.cand): (x.aborted, x.abort_k, x.steps_saved) for x in stopped.collect()} == {(j, c): v for j, steps in jobs.items() for c, v in plain_abort(steps).items()}
         # no group is gathered in one frame
         assert all("FlatMapGroupsInPandas" not in d._jdf.queryExecution().toString() for d in (moved, scored, stopped))
+
+        # the hot id is cut into pieces: with few rows a piece, and with all in one, the results are the same
+        coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+        spark.conf.set(coalesce, "false")
+        for shuffles in ("1", "7", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+            again = sequences.respace(rows.drop("magnitude"), rows.select("chart_id", "line_no", "magnitude"), 0.7)
+            assert sorted(map(repr, again.collect())) == sorted(map(repr, moved.collect()))
+            gapped = [(c, b * 9 if c else b, k) for c, b, k in beats] + [(7, None, "pred"), (7, float("nan"), "ref"), (None, 5.0, "ref")]
+            scored = sequences.beat_f_measure(spark.createDataFrame(gapped, "song_id long, beat_ms double, kind string"))
+            got = {x.song_id: (x.precision, x.recall) for x in scored.collect()}
+            sides = {c: [[b for s, b, k in gapped if (s, k) == (c, kind) and b is not None and b == b] for kind in ("pred", "ref")] for c in set(ids)}
+            assert got == {c: tuple(round(plain_f(p, q) / len(n), 4) if n else 0.0 for n in (p, q)) for c, (p, q) in sides.items()} | {7: (0.0, 0.0), None: (0.0, 0.0)}
     finally:
         spark.conf.set(whole, before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_hot_group_moves_little_twice(spark):
+    """One chart of all rows: what is folded in the second step is heads and states alone."""
+    from chartmill.operators import pieces
+
+    seen = []
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = pieces.stored
+        pieces.stored = lambda df: seen.append(stored(df)[0]) or (seen[-1], "")
+        events = circles(spark, [(10 * i, i % 500, 5 * (i % 70)) for i in range(4000)]).withColumn("type", F.expr("if(line_no % 9 = 0, 5, 1)"))
+        sizes = events.select("chart_id", "line_no", F.lit(30.0).alias("magnitude"))
+        assert sequences.respace(events, sizes).count() == 4000
+        told = seen[0].where("piece is not null")
+        assert told.where("state is not null").count() == 8 and told.count() <= 8 + 8 * 9
+        beats = spark.createDataFrame([(1, 400.0 * i + j, k) for i in range(1500) for j, k in ((0, "ref"), (20, "pred"))], "song_id long, beat_ms double, kind string")
+        r = sequences.beat_f_measure(beats).first()
+        assert (r.precision, r.recall, r.f) == (1.0, 1.0, 1.0)
+        assert seen[1].where("piece is not null and state is null").count() <= 8 * 2
+    finally:
+        pieces.stored = stored
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def test_attempts_and_checkpoints(spark):
