@@ -1,19 +1,24 @@
 """Charts as frame tables (one row a chart and frame, one column a channel), and events back from frames.
 
-Marks of events, spans and control points are exploded to the frames that they cover, all into one narrow table, and
-one aggregation by chart and frame resolves overlaps; the frame spine supplies baselines.  Charts are independent, so
-the work is partitioned by chart throughout.
+Marks of events, spans and control points are dealt by chart and block of frames, sorted, and swept: frames are made
+where the sorted marks lie, a block at a time, so a long chart spreads over tasks and no frame is shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
 from ..plans.lineage import cut
+from ..plans.ship import ship
 from . import timing
 from .metrics import in_time, type_flags
 
@@ -28,6 +33,10 @@ ANCHORS = [f"anchor{i}_{c}" for i in range(g.ANCHORS) for c in "xy"]
 LAST = ["slides", "curve", "corner", *ANCHORS]
 BASELINES = {**dict.fromkeys([*BUMPS, *HOLDS, "slides"], -1.0), **dict.fromkeys(["cursor_x", "cursor_y", *ANCHORS, "sv", "curve", "corner", "spacing"], 0.0)}
 
+#: Frames that are swept at once, and the kinds of marks in the order in which a block takes them.
+BLOCK = 2048
+KINDS = ["spine", "bump", "hold", "kiai", "sv", "spacing", "cursor"]
+
 
 def clip(value: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), value))
@@ -47,67 +56,130 @@ def covered(rows: DataFrame, low: Column, high: Column) -> DataFrame:
     return rows.withColumns({"lo": low.cast("int"), "hi": high.cast("int")}).where("hi >= lo").withColumn("frame", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
 
 
-def cursor(events: DataFrame, n_frames: int) -> DataFrame:
-    """(chart_id, frame, cursor_x, cursor_y): positions between key frames, which are heads and where sliders end."""
+def marked(rows: DataFrame, kind: str, low: Column, high: Column, values: list[Column], order: tuple[Column, Column]) -> DataFrame:
+    """One narrow row for each block of BLOCK frames that the frames low to high of a chart (with its size) touch."""
+    lo, hi = F.greatest(F.lit(0), low.cast("int")), F.least(F.col("size") - 1, high.cast("int"))
+    cells = F.array(*[v.cast("double") for v in values]).cast("array<double>")
+    found = rows.select(CHART, lo.alias("lo"), hi.alias("hi"), F.lit(KINDS.index(kind)).alias("kind"), order[0].cast("double").alias("at"), order[1].cast("long").alias("then"), cells.alias("v"))
+    return found.where("hi >= lo").withColumn("block", F.explode(F.sequence(F.expr(f"cast(lo div {BLOCK} as int)"), F.expr(f"cast(hi div {BLOCK} as int)"))))
+
+
+def cursor_marks(shown: DataFrame) -> DataFrame:
+    """Stretches between key frames, which are heads and where sliders end; before the first and after the last it rests."""
     norm = lambda c, size: clip(c / size * 2 - 1, -1.2, 1.2)
     tail = F.col("is_slider") & (F.size("curve_points") > 0) & (F.col("slides") % 2 != 0)
     end = lambda c: F.when(tail, F.element_at("curve_points", -1)[c]).otherwise(F.col(c))
-    start = F.struct(to_frame(F.col("time")).alias("t"), F.lit(0).alias("o"), norm(F.col("x"), WIDTH).alias("x"), norm(F.col("y"), HEIGHT).alias("y"))
-    stop = F.struct(F.least(F.lit(n_frames - 1.0), to_frame(F.col("end_time"))).alias("t"), F.lit(1).alias("o"), norm(end("x"), WIDTH).alias("x"), norm(end("y"), HEIGHT).alias("y"))
-    keys = events.select(CHART, "line_no", F.explode(F.when(F.col("is_slider"), F.array(start, stop)).otherwise(F.array(start))).alias("k")).select(CHART, "line_no", "k.*")
+    start = F.struct(F.col("f").alias("t"), F.lit(0).alias("o"), norm(F.col("x"), WIDTH).alias("x"), norm(F.col("y"), HEIGHT).alias("y"))
+    stop = F.struct(F.least(F.col("size") - F.lit(1.0), to_frame(F.col("end_time"))).alias("t"), F.lit(1).alias("o"), norm(end("x"), WIDTH).alias("x"), norm(end("y"), HEIGHT).alias("y"))
+    keys = shown.select(CHART, "size", "line_no", F.explode(F.when(F.col("is_slider"), F.array(start, stop)).otherwise(F.array(start))).alias("k")).select(CHART, "size", "line_no", "k.*")
     w = Window.partitionBy(CHART).orderBy("t", "line_no", "o")
     spans = keys.withColumns({"t2": F.lead("t").over(w), "x2": F.lead("x").over(w), "y2": F.lead("y").over(w), "first": F.row_number().over(w) == 1})
     low = F.when(F.col("first"), 0).otherwise(F.ceil("t"))
-    high = F.when(F.col("t2").isNull(), n_frames - 1).otherwise(F.least(F.lit(n_frames - 1), F.ceil("t2") - 1))
-    rows = covered(spans, low, high)
-    part = F.when(F.col("t2").isNull() | (F.col("frame") <= F.col("t")) | (F.col("t2") == F.col("t")), 0.0).otherwise((F.col("frame") - F.col("t")) / (F.col("t2") - F.col("t")))
-    along = lambda c: F.col(c) + part * (F.coalesce(f"{c}2", c) - F.col(c))
-    return rows.select(CHART, "frame", along("x").alias("cursor_x"), along("y").alias("cursor_y"))
-
-
-def rasterise(events: DataFrame, points: DataFrame, charts: DataFrame, n_frames: int) -> DataFrame:
-    """(chart_id, frame, channels) for frames 0 to n_frames - 1 of each chart; events need end_time.
+    high = F.when(F.col("t2").isNull(), F.col("size")).otherwise(F.ceil("t2")) - 1
+    return marked(spans, "cursor", low, high, [F.col(c) for c in ("t", "x", "y", "t2", "x2", "y2")], (F.col("t"), F.col("line_no")))
+
+
+def paint(canvas: dict[str, np.ndarray], kind: str, lo: np.ndarray, hi: np.ndarray, v: np.ndarray, first: int) -> None:
+    """Put a block's marks of one kind, in their order, on its channels; first is the block's first frame."""
+    lo, hi = np.maximum(lo - first, 0), np.minimum(hi - first, len(canvas["onset"]) - 1) + 1
+    if kind == "bump":
+        lengths = hi - lo
+        at = np.arange(lengths.sum()) + np.repeat(lo - (np.cumsum(lengths) - lengths), lengths)
+        own = np.repeat(np.arange(len(lo)), lengths)
+        height = np.exp(-0.5 * ((at + first - v[own, 0]) / SIGMA) ** 2) * 2 - 1
+        for c, on in zip(BUMPS, [np.ones(len(lo)), *v[:, 1:].T], strict=True):
+            mine = on[own] > 0
+            np.fmax.at(canvas[c], at[mine], height[mine])
+        return
+    for a, b, x in zip(lo.tolist(), hi.tolist(), v, strict=True):
+        if kind == "hold":
+            if x[0]:
+                canvas["slider_hold"][a:b] = 1
+                for c, value in zip(LAST, x[1:], strict=True):  # the later event's shape is held
+                    canvas[c][a:b] = value
+            else:
+                canvas["spinner_hold"][a:b] = 1
+        elif kind == "cursor":
+            t, x1, y1, t2, x2, y2 = x
+            frame = np.arange(a, b) + first
+            part = np.where((frame <= t) | (t2 == t), 0.0, (frame - t) / (t2 - t)) if t2 == t2 and t2 != t else np.zeros(b - a)
+            for c, p, q in (("cursor_x", x1, x2), ("cursor_y", y1, y2)):
+                canvas[c][a:b] = np.fmax(canvas[c][a:b], p + part * ((p if q != q else q) - p))
+        else:
+            c, value = (kind, x[0]) if kind != "kiai" else ("kiai_hold", 1.0)
+            canvas[c][a:b] = np.fmax(canvas[c][a:b], value)
+
+
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The frames of each block, from its sorted marks; a block's channels are all that is held."""
+    key, canvas = None, {}
+
+    def block() -> pa.RecordBatch:
+        channels = [np.where(np.isnan(canvas[c]), base, canvas[c]).astype(np.float32) for c, base in BASELINES.items()]
+        n = len(channels[0])
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * n, batch.schema.field(0).type), pa.array(np.arange(n, dtype=np.int32) + key[1] * BLOCK), *map(pa.array, channels)], names=[CHART, "frame", *BASELINES])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        charts, blocks = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        kinds, lo, hi = (batch.column(i).to_numpy() for i in (2, 3, 4))
+        lists = batch.column(5)
+        flat, starts = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        new = [i for i in range(batch.num_rows) if not i or charts[i] != charts[i - 1] or blocks[i] != blocks[i - 1] or kinds[i] != kinds[i - 1]]
+        for a, b in zip(new, [*new[1:], batch.num_rows], strict=True):
+            kind, now = KINDS[kinds[a]], (charts[a], int(blocks[a]))
+            if kind == "spine":  # the first of a block's marks
+                if canvas:
+                    yield block()
+                key, canvas = now, {c: np.full(min(BLOCK, int(hi[a]) - now[1] * BLOCK + 1), np.nan) for c in BASELINES}
+            elif now == key:
+                width = int(starts[a + 1] - starts[a])
+                paint(canvas, kind, lo[a:b], hi[a:b], flat[starts[a] : starts[b]].reshape(b - a, width), now[1] * BLOCK)
+    if canvas:
+        yield block()
+
+
+def rasterise(events: DataFrame, points: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(chart_id, frame, channels) of each chart with as many frames as sizes (chart_id, size) says; events need end_time.
 
     Bumps are Gaussians at starts, the greatest winning; holds are 1 over a span; of overlapping sliders the later
-    event's shape is held.  Events that start beyond the last frame are left out.
+    event's shape is held.  Events that start beyond the last frame are left out.  What is shuffled is one narrow row
+    for each mark (event, span, stretch) and block of frames that it touches; frames are made block by block after it.
     """
-    inside = type_flags(events).withColumn("f", to_frame(F.col("time")))
-    shown = inside.where(F.col("f") < n_frames)
-    bumped = covered(shown, F.greatest(F.lit(0), F.floor(F.col("f") - 4 * SIGMA)), F.least(F.lit(n_frames - 1), F.ceil(F.col("f") + 4 * SIGMA)))
-    height = F.exp(-0.5 * F.pow((F.col("frame") - F.col("f")) / SIGMA, 2)) * 2 - 1
-    when = {"onset": F.lit(True), "new_combo": F.col("is_new_combo"), **{k: F.col("hit_sound").bitwiseAND(b) != 0 for k, b in (("whistle", 2), ("finish", 4), ("clap", 8))}}
-    bumps = bumped.select(CHART, "frame", *[F.when(c, height).alias(k) for k, c in when.items()])
-
-    last = F.bround(F.least(F.lit(n_frames - 1.0), to_frame(F.col("end_time"))), 0)
-    slider = F.col("is_slider")
-    poly = g.polygon()
-    shape = F.struct(
-        F.col("time"), F.col("line_no"), (clip((F.col("slides") - 1) / 3, 0.0, 1.0) * 2 - 1).alias("slides"), clip(g.sagitta(F.col("poly")) / 80, 0.0, 1.2).alias("curve"),
-        F.when(g.has_red_points(F.col("curve_points")), 1.0).otherwise(0.0).alias("corner"), *[F.get("offsets", F.lit(i)).alias(c) for i, c in enumerate(ANCHORS)],
-    )
-    simple = shown.where("is_slider or is_spinner").withColumn("poly", poly).withColumn("simple", g.simplify(F.col("poly"))).withColumn("offsets", g.anchor_offsets("poly", "simple"))
-    shaped = simple.select(CHART, "f", "end_time", "is_slider", "is_spinner", F.when(slider, shape).alias("shape"))
-    held = covered(shaped, F.bround("f", 0), last)
-    shapes = held.select(CHART, "frame", F.when(slider, 1.0).alias("slider_hold"), F.when(F.col("is_spinner") & ~slider, 1.0).alias("spinner_hold"), "shape")
+    ship(events.sparkSession)
+    sized = sizes.select(CHART, F.col("size").cast("int").alias("size")).where("size > 0")
+    inside = type_flags(events).join(sized, CHART).withColumn("f", to_frame(F.col("time")))
+    shown = inside.where("f < size")
+    order = (F.col("time"), F.col("line_no"))
+    spine = marked(sized, "spine", F.lit(0), F.col("size") - 1, [], (F.lit(0), F.lit(0)))
 
-    spans = timing.kiai_spans(points, timing.last_ends(events))
-    kiai = covered(spans, F.greatest(F.lit(0), F.bround(to_frame(F.col("start")), 0)), F.least(F.lit(n_frames - 1), F.bround(to_frame(F.col("end")), 0))).select(CHART, "frame", F.lit(1.0).alias("kiai_hold"))
+    accents = [F.col("is_new_combo"), *[F.col("hit_sound").bitwiseAND(b) != 0 for b in (2, 4, 8)]]
+    bumps = marked(shown, "bump", F.floor(F.col("f") - 4 * SIGMA), F.ceil(F.col("f") + 4 * SIGMA), [F.col("f"), *[c.cast("int") for c in accents]], order)
 
-    nxt = F.lead("time").over(timing.in_order())
-    sections = points.withColumns({"next_time": nxt, "v": timing.velocity()})
-    low = F.greatest(F.lit(0), F.bround(to_frame(F.col("time")), 0))
-    high = F.least(F.lit(n_frames), F.coalesce(F.bround(to_frame(F.col("next_time")), 0), F.lit(n_frames))) - 1
-    sv = covered(sections, low, high).select(CHART, "frame", (clip(F.log2("v"), -2.0, 2.0) / 2).alias("sv"))
+    simple = shown.where("is_slider or is_spinner").withColumn("poly", g.polygon()).withColumn("simple", g.simplify(F.col("poly"))).withColumn("offsets", g.anchor_offsets("poly", "simple"))
+    shape = [clip((F.col("slides") - 1) / 3, 0.0, 1.0) * 2 - 1, clip(g.sagitta(F.col("poly")) / 80, 0.0, 1.2), F.when(g.has_red_points(F.col("curve_points")), 1.0).otherwise(0.0), *[F.get("offsets", F.lit(i)) for i in range(len(ANCHORS))]]
+    last = F.bround(F.least(F.col("size") - F.lit(1.0), to_frame(F.col("end_time"))), 0)
+    holds = marked(simple, "hold", F.bround("f", 0), last, [F.col("is_slider").cast("int"), *[F.when(F.col("is_slider"), c) for c in shape]], order)
+
+    spans = timing.kiai_spans(points, timing.last_ends(events)).join(sized, CHART)
+    kiai = marked(spans, "kiai", F.bround(to_frame(F.col("start")), 0), F.bround(to_frame(F.col("end")), 0), [], (F.col("start"), F.lit(0)))
+
+    sections = points.withColumns({"next_time": F.lead("time").over(timing.in_order()), "v": timing.velocity()}).join(sized, CHART)
+    high = F.coalesce(F.bround(to_frame(F.col("next_time")), 0), F.col("size")) - 1
+    sv = marked(sections, "sv", F.bround(to_frame(F.col("time")), 0), high, [clip(F.log2("v"), -2.0, 2.0) / 2], order)
 
     step = inside.withColumns({"nf": F.bround(to_frame(F.lead("time").over(in_time())), 0), "nx": F.lead("x").over(in_time()), "ny": F.lead("y").over(in_time())}).where("nf is not null")
-    spacing = covered(step, F.greatest(F.lit(0), F.bround("f", 0)), F.least(F.lit(n_frames), F.col("nf")) - 1).select(CHART, "frame", clip(g.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")) / 300, 0.0, 1.2).alias("spacing"))
-
-    spine = charts.select(CHART, F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))).alias("frame"))
-    marks = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spine, bumps, shapes, kiai, sv, spacing, cursor(shown, n_frames)])
-    one = [*BUMPS, *HOLDS, "sv", "spacing", "cursor_x", "cursor_y"]
-    merged = marks.groupBy(CHART, "frame").agg(*[F.max(c).alias(c) for c in one], F.max("shape").alias("shape"))
-    value = lambda c: F.col(f"shape.{c}") if c in LAST else F.col(c)
-    return merged.select(CHART, "frame", *[F.coalesce(value(c), F.lit(b)).cast("float").alias(c) for c, b in BASELINES.items()])
+    spacing = marked(step, "spacing", F.bround("f", 0), F.col("nf") - 1, [clip(g.distance(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")) / 300, 0.0, 1.2)], order)
+
+    marks = reduce(DataFrame.unionByName, [spine, bumps, holds, kiai, sv, spacing, cursor_marks(shown)])
+    laid = marks.repartition(CHART, "block").sortWithinPartitions(CHART, "block", "kind", "at", "then").select(CHART, "block", "kind", "lo", "hi", "v")
+    return laid.mapInArrow(sweep, T.StructType([events.schema[CHART], T.StructField("frame", T.IntegerType()), *[T.StructField(c, T.FloatType()) for c in BASELINES]]))
+
+
+def chart_sizes(events: DataFrame, max_seconds: float = 240.0) -> DataFrame:
+    """(chart_id, size): each chart's own number of frames, up to its last end."""
+    return events.groupBy(CHART).agg(F.max("end_time").alias("last_end")).select(CHART, frame_count(F.col("last_end"), max_seconds).alias("size"))
 
 
 def active_runs(frames: DataFrame, channel: str, threshold: float = 0.0) -> DataFrame:

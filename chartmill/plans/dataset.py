@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import bands, curation, frames, metrics, timing
@@ -10,12 +10,14 @@ from ..sources import stores
 from .lineage import cut
 
 
-def build(charts: DataFrame, points: DataFrame, events: DataFrame, status: DataFrame, n_frames: int, gates: dict | None = None, max_seconds: float = 240.0) -> tuple[DataFrame, DataFrame]:
+def build(charts: DataFrame, points: DataFrame, events: DataFrame, status: DataFrame, gates: dict | None = None, max_seconds: float = 240.0, onsets: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(manifest, outcomes) of the charts that are kept.
 
-    Playable charts with a wanted status are timed and measured once, gated, and of those that share audio and version
-    the first stays; the manifest has one row for each, with ids, metrics, settings, bucket and the number of frames,
-    which max_seconds bounds.  outcomes counts charts by the gate that they failed.
+    Playable charts with a wanted status are timed and measured once and gated.  The manifest has one row for each that
+    passes: ids, metrics, settings, counts of control points, has_kiai, bucket, the number of frames, which max_seconds
+    bounds, and aim_intensity of the audio that the charts of a song share, from onsets (audio_id, frame, strength; 0
+    without).  item_id is unique: charts of one path are told apart by their chart_id.  outcomes counts charts by the
+    gate that they failed.
     """
     limits = {"max_red": 1, "min_objects": 50, **(gates or {})}
     wanted = curation.ranked_join(curation.playable(charts, events, limits["min_objects"]), status)
@@ -24,17 +26,29 @@ def build(charts: DataFrame, points: DataFrame, events: DataFrame, status: DataF
     measured = cut(metrics.chart_metrics(timed, points, wanted).join(wanted.select("chart_id", "star_rating"), "chart_id"))
     gated = cut(curation.gold_gate(measured, points, **limits))
     kept = gated.where("reject_reason is null").select("chart_id")
-    size = timed.groupBy("chart_id").agg(F.max("end_time").alias("last_end")).select("chart_id", frames.frame_count(F.col("last_end"), max_seconds).alias("frames"))
-    rows = measured.join(kept, "chart_id", "left_semi").join(wanted.drop("star_rating"), "chart_id").join(size, "chart_id")
-    keyed = rows.select("*", curation.audio_key(F.concat_ws("/", "folder", F.col("audio_id").cast("string"))).alias("audio_key"), curation.item_key(F.col("folder"), F.col("filename"), F.concat_ws("/", "folder", "filename")).alias("item_id"))
-    manifest = keyed.withColumns({"bucket": bands.sr_bucket(F.col("star_rating")), "frames": F.least(F.lit(n_frames), "frames")})
-    return manifest, curation.ingest_counters(gated)
-
-
-def write(manifest: DataFrame, events: DataFrame, points: DataFrame, folder: str, n_frames: int) -> None:
+    rows = measured.join(kept, "chart_id", "left_semi").join(wanted.drop("star_rating"), "chart_id").join(frames.chart_sizes(timed, max_seconds).withColumnRenamed("size", "frames"), "chart_id")
+    return described(rows, points, timed, onsets), curation.ingest_counters(gated)
+
+
+def described(rows: DataFrame, points: DataFrame, timed: DataFrame, onsets: DataFrame | None) -> DataFrame:
+    """Manifest rows of measured charts with their settings and frames."""
+    counts = points.groupBy("chart_id").agg(F.count("*").alias("n_timing_points"), F.count_if("uninherited").alias("n_uninherited"))
+    kiai = timing.kiai_spans(points, timing.last_ends(timed)).select("chart_id").distinct().withColumn("has_kiai", F.lit(True))
+    known = rows.join(counts, "chart_id", "left").join(kiai, "chart_id", "left").withColumns({"has_kiai": F.coalesce("has_kiai", F.lit(False)), **{c: F.coalesce(c, F.lit(0)) for c in ("n_timing_points", "n_uninherited")}})
+    if onsets is not None:
+        known = known.join(metrics.aim_intensity(onsets).withColumnRenamed("aim", "aim_intensity"), "audio_id", "left")
+    aim = F.coalesce("aim_intensity", F.lit(0.0)) if onsets is not None else F.lit(0.0)
+    path = F.concat_ws("/", "folder", "filename")
+    again = F.row_number().over(Window.partitionBy(F.lower(path)).orderBy("chart_id")) > 1
+    told_apart = F.when(again, F.concat_ws("#", path, F.col("chart_id").cast("string"))).otherwise(path)
+    keys = {"audio_key": curation.audio_key(F.concat_ws("/", "folder", F.col("audio_id").cast("string"))), "path_key": told_apart}
+    keyed = known.withColumns(keys)
+    return keyed.withColumns({"item_id": curation.item_key(F.col("folder"), F.col("filename"), F.col("path_key")), "bucket": bands.sr_bucket(F.col("star_rating")), "aim_intensity": aim}).drop("path_key")
+
+
+def write(manifest: DataFrame, events: DataFrame, points: DataFrame, folder: str) -> None:
     """The manifest and the frame tables of its charts, each chart's as long as its manifest row says."""
     stores.write_manifest(manifest, f"{folder}/manifest")
     sizes = manifest.select("chart_id", F.col("frames").alias("size"))
     mine = lambda df: df.join(sizes.select("chart_id"), "chart_id", "left_semi")
-    table = frames.rasterise(mine(events), mine(points), sizes, n_frames)
-    stores.write_frames(table.join(sizes, "chart_id").where("frame < size").drop("size"), f"{folder}/frames")
+    stores.write_frames(frames.rasterise(mine(events), mine(points), sizes), f"{folder}/frames")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import geometry
 from .operators import bands, curation, edit, frames, metrics, score, sequences, timing
 from .plans import dataset, views
-from .plans.lineage import cut, shared_folder
+from .plans.lineage import cut, shared_folder, stored
 from .sources import charts as charts_io
 from .sources import stores
 
@@ -500,30 +500,29 @@ def _(spark, d):
     return edit.merge_green(base, timing.kiai_spans(points, timing.last_ends(timed(spark, d))), sections)
 
 
-N_FRAMES = 2584
-
-
 def rastered(spark: SparkSession, d: str) -> DataFrame:
-    """The frame table, stored once: decoding reads it many times."""
-    return cut(frames.rasterise(timed(spark, d), views.control_points(spark, d), views.charts(spark, d), N_FRAMES))
+    """The frame table, each chart as long as itself, stored once: decoding reads some of its channels many times."""
+    e = timed(spark, d)
+    return stored(frames.rasterise(e, views.control_points(spark, d), frames.chart_sizes(e)))[0]
 
 
 FR = f"{frames.MS_PER_FRAME!r}::double"
-CTES["eo"] = f'select *, "time" / {FR} f, row_number() over (partition by chart_id order by "time", line_no) ord from ev where "time" / {FR} < {N_FRAMES}'
+CTES["fz"] = f"select chart_id, cast(least(floor(240000 / {FR}), floor(max(end_time) / {FR}) + 1) as int) nf from ev group by chart_id having max(end_time) >= 0"
+CTES["eo"] = f'select *, "time" / {FR} f, row_number() over (partition by chart_id order by "time", line_no) ord from ev join fz using (chart_id) where "time" / {FR} < nf'
 CTES["bump"] = f"""select chart_id, q frame, max(exp(-0.5::double * ((q - f) / 1.2::double) ** 2)) onset, max(case when ("type" & 4) <> 0 then exp(-0.5::double * ((q - f) / 1.2::double) ** 2) end) new_combo,
   max(case when (hit_sound & 2) <> 0 then exp(-0.5::double * ((q - f) / 1.2::double) ** 2) end) whistle, max(case when (hit_sound & 4) <> 0 then exp(-0.5::double * ((q - f) / 1.2::double) ** 2) end) finish,
   max(case when (hit_sound & 8) <> 0 then exp(-0.5::double * ((q - f) / 1.2::double) ** 2) end) clap from (
-  select *, unnest(range(greatest(0, floor(f - 4.8::double))::bigint, least({N_FRAMES - 1}, ceil(f + 4.8::double))::bigint + 1)) q from eo) group by all"""
+  select *, unnest(range(greatest(0, floor(f - 4.8::double))::bigint, least(nf - 1, ceil(f + 4.8::double))::bigint + 1)) q from eo) group by all"""
 CTES["hold"] = f"""select chart_id, q frame, max(case when sl then 1 end) slider_hold, max(case when not sl then 1 end) spinner_hold, arg_max(case when sl then (slides - 1) / 3.0::double end, ord) filter (sl) slides,
   arg_max(least(1.2::double, sag / 80), ord) filter (sl) curve from (
-  select eo.*, s.sagitta sag, unnest(range(round_even(f, 0)::bigint, round_even(least({N_FRAMES - 1}, eo.end_time / {FR}), 0)::bigint + 1)) q from eo left join sh s using (chart_id, line_no) where eo.sl or (eo."type" & 8) <> 0) group by all"""
-CTES["kf"] = f"""select distinct chart_id, unnest(range(greatest(0, round_even("start" / {FR}, 0))::bigint, least({N_FRAMES - 1}, round_even("end" / {FR}, 0))::bigint + 1)) frame from ki"""
+  select eo.*, s.sagitta sag, unnest(range(round_even(f, 0)::bigint, round_even(least(nf - 1, eo.end_time / {FR}), 0)::bigint + 1)) q from eo left join sh s using (chart_id, line_no) where eo.sl or (eo."type" & 8) <> 0) group by all"""
+CTES["kf"] = f"""select distinct chart_id, unnest(range(greatest(0, round_even("start" / {FR}, 0))::bigint, least(nf - 1, round_even("end" / {FR}, 0))::bigint + 1)) frame from ki join fz using (chart_id)"""
 
 
 @query("R1_rasterise", f"""select c.chart_id, round_even(sum(coalesce(onset * 2 - 1, -1)), 3) onset, round_even(sum(coalesce(new_combo * 2 - 1, -1)), 3) new_combo, round_even(sum(coalesce(whistle * 2 - 1, -1)), 3) whistle,
   round_even(sum(coalesce(finish * 2 - 1, -1)), 3) finish, round_even(sum(coalesce(clap * 2 - 1, -1)), 3) clap, cast(sum(coalesce(slider_hold, -1)) as double) slider_hold, cast(sum(coalesce(spinner_hold, -1)) as double) spinner_hold,
   cast(sum(case when kf.frame is null then -1 else 1 end) as double) kiai_hold, round_even(sum(coalesce(slides * 2 - 1, -1)), 3) slides, round_even(sum(coalesce(curve, 0)), 3) curve
-  from (select chart_id, unnest(range(0, {N_FRAMES})) frame from ch) c left join bump using (chart_id, frame) left join hold using (chart_id, frame) left join kf using (chart_id, frame) group by all""")
+  from (select chart_id, unnest(range(0, nf)) frame from fz) c left join bump using (chart_id, frame) left join hold using (chart_id, frame) left join kf using (chart_id, frame) group by all""")
 def _(spark, d):
     sums = ["onset", "new_combo", "whistle", "finish", "clap", "slider_hold", "spinner_hold", "kiai_hold", "slides", "curve"]
     return rastered(spark, d).groupBy("chart_id").agg(*[F.bround(F.sum(F.col(c).cast("double")), 3).alias(c) for c in sums])
@@ -666,7 +665,7 @@ GREEN = """select chart_id, gt "time", bl beat_length, eff effects from (select
 ORACLES["W27_U1_merge_green"] = sql(GREEN)
 ORACLES["A15_spacing_ratio"] = sql(f"""select chart_id, round_even(coalesce(cm, 0), 4) channel_mean, round_even(coalesce(m, 0), 4) cursor_mean, round_even(coalesce(cm, 0) / greatest(coalesce(m, 0), 1), 4) ratio
   from (select chart_id, avg(dist) m from w group by 1) left join (
-    select chart_id, sum(v * n) / sum(n) cm from (select chart_id, cast(least(1.2::double, dist / 300) as float)::double * 300 v, least({N_FRAMES}, round_even(next_time / {FR}, 0)) - round_even("time" / {FR}, 0) n from w where dist > 0 and next_time is not null) where n > 0 group by 1) using (chart_id)""")
+    select chart_id, sum(v * n) / sum(n) cm from (select chart_id, cast(least(1.2::double, dist / 300) as float)::double * 300 v, least(nf, round_even(next_time / {FR}, 0)) - round_even("time" / {FR}, 0) n from w join fz using (chart_id) where dist > 0 and next_time is not null) where n > 0 group by 1) using (chart_id)""")
 ORACLES["R3_T4_decode_kiai"] = sql(f"""select chart_id, cast(round_even(f * {FR}, 0) as bigint) "start", cast(round_even(l * {FR}, 0) as bigint) "end" from (
   select *, row_number() over (partition by chart_id order by round_even((2 * n_on - (l - f + 1))::double / (l - f + 1), 9) desc, f) r from (
     select chart_id, min(f) f, max(l) l, sum(l - f + 1) n_on from (select *, sum(fresh) over (partition by chart_id order by f) g from (
@@ -681,27 +680,28 @@ ORACLES["F11_P13_clamp_playfield"] = sql("""select chart_id, line_no, cx x, cy y
     select *, bx - ax dx, b_y - ay dy, sqrt((bx - ax) ** 2 + (b_y - ay) ** 2) norm, sqrt((ax - cx) ** 2 + (ay - cy) ** 2) + sqrt((bx - ax) ** 2 + (b_y - ay) ** 2) pl from (
       select *, least(512, greatest(0, x)) cx, least(384, greatest(0, y)) cy, least(512, greatest(0, x1)) ax, least(384, greatest(0, y1)) ay, least(512, greatest(0, x2)) bx, least(384, greatest(0, y2)) b_y from ev)))""")
 ORACLES["R6_mirror"] = sql(f"""with km as (select chart_id, sum(cx) x, sum(cy) y from (select chart_id, q, case when t2 is null or q <= t or t2 = t then x else x + (q - t) / (t2 - t) * (x2 - x) end cx, case when t2 is null or q <= t or t2 = t then y else y + (q - t) / (t2 - t) * (y2 - y) end cy from (
-    select *, unnest(range(case when fst then 0 else ceil(t)::bigint end, case when t2 is null then {N_FRAMES} else least({N_FRAMES}, ceil(t2)::bigint) end)) q from (
-      select chart_id, t, x, y, lead(t) over w t2, lead(x) over w x2, lead(y) over w y2, row_number() over w = 1 fst from (
-        select chart_id, line_no, f t, 0 o, x / 512.0::double * 2 - 1 x, y / 384.0::double * 2 - 1 y from eo union all
-        select chart_id, line_no, least({N_FRAMES - 1}, end_time / {FR}), 1, case when slides % 2 <> 0 then x2 else x end / 512.0::double * 2 - 1, case when slides % 2 <> 0 then y2 else y end / 384.0::double * 2 - 1 from eo where sl)
+    select *, unnest(range(case when fst then 0 else ceil(t)::bigint end, case when t2 is null then nf else least(nf, ceil(t2)::bigint) end)) q from (
+      select chart_id, nf, t, x, y, lead(t) over w t2, lead(x) over w x2, lead(y) over w y2, row_number() over w = 1 fst from (
+        select chart_id, nf, line_no, f t, 0 o, x / 512.0::double * 2 - 1 x, y / 384.0::double * 2 - 1 y from eo union all
+        select chart_id, nf, line_no, least(nf - 1, end_time / {FR}), 1, case when slides % 2 <> 0 then x2 else x end / 512.0::double * 2 - 1, case when slides % 2 <> 0 then y2 else y end / 384.0::double * 2 - 1 from eo where sl)
       window w as (partition by chart_id order by t, line_no, o)))) group by 1)
-  select chart_id, fx, fy, round_even(coalesce(x, 0) * fx, 2) x, round_even(coalesce(y, 0) * fy, 2) y from ch left join km using (chart_id), (values (1, 1), (-1, 1), (1, -1), (-1, -1)) s(fx, fy)""".replace("with km as", ", km as", 1))
+  select chart_id, fx, fy, round_even(coalesce(x, 0) * fx, 2) x, round_even(coalesce(y, 0) * fy, 2) y from fz left join km using (chart_id), (values (1, 1), (-1, 1), (1, -1), (-1, -1)) s(fx, fy)""".replace("with km as", ", km as", 1))
 
 
 # Oracles of what comes from frames.
-CTES["ons"] = f"""select chart_id, frame, coalesce(cast(onset * 2 - 1 as float), cast(-1 as float)) v from (select chart_id, unnest(range(0, {N_FRAMES})) frame from ch) left join bump using (chart_id, frame)"""
+CTES["ons"] = f"""select chart_id, frame, coalesce(cast(onset * 2 - 1 as float), cast(-1 as float)) v from (select chart_id, unnest(range(0, nf)) frame from fz) left join bump using (chart_id, frame)"""
 CTES["pk"] = """select chart_id, frame, v from (select *, (frame - min(frame) over (partition by chart_id, i)) % 2 = 0 taken from (select *, frame - row_number() over (partition by chart_id order by frame) i from (
   select *, coalesce(lag(v) over w, cast('-infinity' as float)) l, coalesce(lead(v) over w, cast('-infinity' as float)) r from ons window w as (partition by chart_id order by frame)) where v >= cast(0.3 as double) and v >= l and v >= r)) where taken"""
 CTES["sps"] = f"""select chart_id, min("first") f, max("last") l from (select *, sum(fresh) over (partition by chart_id order by "first") g from (
   select *, case when "first" - lag("last") over (partition by chart_id order by "first") <= {int(800 / frames.MS_PER_FRAME)} then 0 else 1 end fresh from ({RUNS.format("spinner_hold")}) where "last" - "first" + 1 >= 26)) group by chart_id, g"""
 CTES["spc"] = f"""select chart_id, frame, max(v) v from (select chart_id, cast(least(1.2::double, dist / 300) as float)::double v,
-  unnest(range(greatest(0, round_even("time" / {FR}, 0))::bigint, least({N_FRAMES}, round_even(next_time / {FR}, 0))::bigint)) frame from w where next_time is not null) group by 1, 2"""
-CTES["svf"] = f"""select chart_id, frame, power(2.0::double, 2 * greatest(-1.0::double, least(1.0::double, coalesce(v, 0)))) v from (select chart_id, unnest(range(0, {N_FRAMES})) frame from ch) left join (
+  unnest(range(greatest(0, round_even("time" / {FR}, 0))::bigint, least(nf, round_even(next_time / {FR}, 0))::bigint)) frame from w join fz using (chart_id) where next_time is not null) group by 1, 2"""
+CTES["svf"] = f"""select chart_id, frame, power(2.0::double, 2 * greatest(-1.0::double, least(1.0::double, coalesce(v, 0)))) v from (select chart_id, unnest(range(0, nf)) frame from fz) left join (
   select chart_id, frame, max(v) v from (select chart_id, cast(greatest(-2.0::double, least(2.0::double, log2(sv))) / 2 as float)::double v, unnest(range(greatest(0, round_even("time" / {FR}, 0))::bigint,
-    least({N_FRAMES}, coalesce(round_even(nt / {FR}, 0), {N_FRAMES}))::bigint)) frame from (select *, lead("time") over (partition by chart_id order by "time", kind, line_no) nt from cp)) group by 1, 2) using (chart_id, frame)"""
-CTES["svl"] = f"""select chart_id, frame, round_even(m / 0.1::double, 0) * 0.1::double s from (select chart_id, frame, median(v) over (partition by chart_id order by frame rows between 30 preceding and 30 following) m from (
-  select * from svf union all select chart_id, k - 31, v from svf, (select unnest(range(1, 31)) k) where frame = 0 union all select chart_id, {N_FRAMES - 1} + k, v from svf, (select unnest(range(1, 31)) k) where frame = {N_FRAMES - 1})) where frame between 0 and {N_FRAMES - 1}"""
+    least(nf, coalesce(round_even(nt / {FR}, 0), nf))::bigint)) frame from (select *, lead("time") over (partition by chart_id order by "time", kind, line_no) nt from cp) join fz using (chart_id)) group by 1, 2) using (chart_id, frame)"""
+CTES["rmd"] = """select chart_id, frame, case when nf < 61 then v else m end m from (select chart_id, frame, v, nf, median(v) over (partition by chart_id order by frame rows between 30 preceding and 30 following) m from (
+  select * from svf union all select chart_id, k - 31, v from svf, (select unnest(range(1, 31)) k) where frame = 0 union all select chart_id, nf - 1 + k, v from svf join fz using (chart_id), (select unnest(range(1, 31)) k) where frame = nf - 1) join fz using (chart_id)) where frame between 0 and nf - 1"""
+CTES["svl"] = """select chart_id, frame, round_even(m / 0.1::double, 0) * 0.1::double s from rmd"""
 CTES["svs"] = f"""select chart_id, frame, s from svl where frame = 0 union all select chart_id, r[1], r[2] from (
   select z.chart_id, (select min([q.frame::double, q.s]) from svl q where q.chart_id = z.chart_id and q.frame >= z.frame + {round(3000 / frames.MS_PER_FRAME)} and abs(q.s - z.s) >= 0.2::double) r from svs z) where r is not null"""
 CTES["mgd"] = """select chart_id, list({'frame': frame, 's': s} order by frame) q from svs group by 1 union all select chart_id, list_concat(q[:p], q[p + 2:]) from (
@@ -714,11 +714,11 @@ ORACLES["W8_U2_recover_gaps"] = sql("""select chart_id, frame, round_even(v::dou
 ORACLES["W19_R4_span_mean"] = sql(f"""select q.chart_id, "first", "last", round_even(coalesce(sum(v), 0) / any_value("last" - "first" + 1), 6) mean from ({RUNS.format("slider_hold")}) q
   left join spc on spc.chart_id = q.chart_id and frame between "first" and "last" group by 1, 2, 3""")
 ORACLES["R4_decode_spacing"] = sql(f"""select chart_id, line_no, round_even(case when m is null then 0 else least(1.2::double, m) * 300 end, 3) magnitude from w left join (
-  select a.chart_id, a.line_no, coalesce(sum(v), 0) / any_value(b - f) m from (select *, greatest(f + 1, least({N_FRAMES}, round_even("time" / {FR}, 0)))::bigint b from (
-    select chart_id, line_no, "time", greatest(0, least({N_FRAMES - 1}, round_even(lag("time") over (partition by chart_id order by "time", line_no) / {FR}, 0)))::bigint f, lag("time") over (partition by chart_id order by "time", line_no) was from w)
+  select a.chart_id, a.line_no, coalesce(sum(v), 0) / any_value(b - f) m from (select *, greatest(f + 1, least(nf, round_even("time" / {FR}, 0)))::bigint b from (
+    select chart_id, nf, line_no, "time", greatest(0, least(nf - 1, round_even(lag("time") over (partition by chart_id order by "time", line_no) / {FR}, 0)))::bigint f, lag("time") over (partition by chart_id order by "time", line_no) was from w join fz using (chart_id))
     where was is not null) a left join spc on spc.chart_id = a.chart_id and frame >= f and frame < b group by 1, 2) using (chart_id, line_no)
   where chart_id in (select chart_id from spc group by 1 having max(v) >= 1e-3)""")
-ORACLES["R5_training_windows"] = sql(f"""select c.chart_id, 512 frames, round_even(sum(v::double), 3) onset from (select chart_id, cast('0x' || substr(md5('0:' || chart_id), 1, 15) as bigint) % {N_FRAMES - 511} s from ch) c
+ORACLES["R5_training_windows"] = sql(f"""select c.chart_id, 512 frames, round_even(sum(v::double) - greatest(0, 512 - any_value(nf)), 3) onset from (select chart_id, nf, case when nf > 512 then cast('0x' || substr(md5('0:' || chart_id), 1, 15) as bigint) % greatest(1, nf - 511) else 0 end s from fz) c
   join ons n on n.chart_id = c.chart_id and n.frame between s and s + 511 group by 1""")
 ORACLES["W26_sv_sections"] = sql(f"""select chart_id, cast(round_even(x.frame * {FR}, 0) as bigint) start_ms, round_even(x.s, 3) sv from (
   select chart_id, unnest(list_transform(list_filter(range(1, len(q) + 1), lambda i: i = 1 or abs(q[i].s - q[i - 1].s) >= 1e-6), lambda i: q[i])) x from mgd where len(q) <= 6)""")
@@ -893,21 +893,27 @@ def _(spark, d):
 KEPT = f"""select mb.*, ch.folder, ch.filename, ch.audio_id, ch.cs from mb join ch using (chart_id) where "mode" = 0 and chart_id % 17 <> 0 and chart_id % 8 in (4, 5, 7) and chart_id in (select chart_id from ({GATE}) where reject_reason is null)"""
 
 
-@query("R7_dataset", f"""select chart_id, bucket, cast(least({N_FRAMES}, floor(240000 / {FR}), floor(last_end / {FR}) + 1) as int) frames, n_objects, substr(sha1(lower(folder || '/' || audio_id)), 1, 16) audio_key,
-  regexp_replace(folder || '__' || filename, '[^\\p{{L}}\\p{{N}}._ -]', '', 'g') || '__' || substr(sha1(lower(folder || '/' || filename)), 1, 8) item_id from ({KEPT}) join (select chart_id, max(end_time) last_end from ev group by 1) using (chart_id)""")
+def built(spark: SparkSession, d: str) -> DataFrame:
+    charts, points, e = views.charts(spark, d), views.control_points(spark, d), views.events(spark, d)
+    return dataset.build(charts, points, e, views.chart_status(spark, d), {"max_red": 13, "min_objects": 35}, onsets=views.onset_frames(spark, d))[0]
+
+
+@query("R7_dataset", f"""select chart_id, bucket, cast(least(floor(240000 / {FR}), floor(last_end / {FR}) + 1) as int) frames, n_objects, substr(sha1(lower(folder || '/' || audio_id)), 1, 16) audio_key,
+  regexp_replace(folder || '__' || filename, '[^\\p{{L}}\\p{{N}}._ -]', '', 'g') || '__' || substr(sha1(lower(folder || '/' || filename)), 1, 8) item_id, bpm, n_timing_points, n_uninherited, chart_id in (select chart_id from ki) has_kiai, aim aim_intensity
+  from ({KEPT}) join (select chart_id, max(end_time) last_end from ev group by 1) using (chart_id) join (select chart_id, count(*) n_timing_points, count_if(red) n_uninherited from cp group by 1) using (chart_id)
+  join (select chart_id // 3 audio_id, round_even(greatest(0.0::double, least(1.0::double, avg(value) / max(value) / 0.35::double)), 4) aim from lg group by 1) using (audio_id)""")
 def _(spark, d):
-    manifest, _ = dataset.build(views.charts(spark, d), views.control_points(spark, d), views.events(spark, d), views.chart_status(spark, d), N_FRAMES, {"max_red": 13, "min_objects": 35})
+    manifest = built(spark, d)
     folder = shared_folder(manifest)
     stores.write_manifest(manifest, folder)
-    return spark.read.parquet(folder).select("chart_id", F.col("bucket").cast("string"), "frames", "n_objects", "audio_key", "item_id")
+    return spark.read.parquet(folder).select("chart_id", F.col("bucket").cast("string"), "frames", "n_objects", "audio_key", "item_id", "bpm", "n_timing_points", "n_uninherited", "has_kiai", "aim_intensity")
 
 
-@query("S5_S11_frames", f"""select chart_id, cast(least({N_FRAMES}, floor(240000 / {FR}), floor(last_end / {FR}) + 1) as bigint) frames from ({KEPT}) join (select chart_id, max(end_time) last_end from ev group by 1) using (chart_id)""")
+@query("S5_S11_frames", f"""select chart_id, cast(least(floor(240000 / {FR}), floor(last_end / {FR}) + 1) as bigint) frames from ({KEPT}) join (select chart_id, max(end_time) last_end from ev group by 1) using (chart_id)""")
 def _(spark, d):
-    points, charts = views.control_points(spark, d), views.charts(spark, d)
-    manifest, _ = dataset.build(charts, points, views.events(spark, d), views.chart_status(spark, d), N_FRAMES, {"max_red": 13, "min_objects": 35})
+    manifest = built(spark, d)
     folder = shared_folder(manifest)
-    dataset.write(cut(manifest), timed(spark, d), points, folder, N_FRAMES)
+    dataset.write(cut(manifest), timed(spark, d), views.control_points(spark, d), folder)
     return stores.read_frames(spark, f"{folder}/frames").groupBy("chart_id").agg(F.count("*").alias("frames"))
 
 
@@ -915,12 +921,12 @@ def _(spark, d):
 CTES["shp"] = """select chart_id, line_no, (x1 - x) / 512.0::double u1, (y1 - y) / 384.0::double v1, (x2 - x) / 512.0::double u2, (y2 - y) / 384.0::double v2, (x1 = x2 and y1 = y2)::int corner,
   abs((y2 - y) * x1 - (x2 - x) * y1 + x2 * y - y2 * x) / case when x2 = x and y2 = y then 1 else sqrt((x2 - x) ** 2 + (y2 - y) ** 2) end > 18 mid from ev0 where sl"""
 CTES["hsh"] = f"""select chart_id, q frame, arg_max(z, ord) z from (select chart_id, ord, [least(1.2::double, greatest(-1.2::double, a)) for a in case when mid then [u1, v1, u2, v2, u2, v2] else [u2, v2, u2, v2, u2, v2] end] || [corner] z,
-  unnest(range(round_even(f, 0)::bigint, round_even(least({N_FRAMES - 1}, end_time / {FR}), 0)::bigint + 1)) q from eo join shp using (chart_id, line_no)) group by 1, 2"""
+  unnest(range(round_even(f, 0)::bigint, round_even(least(nf - 1, end_time / {FR}), 0)::bigint + 1)) q from eo join shp using (chart_id, line_no)) group by 1, 2"""
 CTES["cur"] = f"""select chart_id, q frame, case when t2 is null or q <= t or t2 = t then x else x + (q - t) / (t2 - t) * (x2 - x) end cx, case when t2 is null or q <= t or t2 = t then y else y + (q - t) / (t2 - t) * (y2 - y) end cy from (
-    select *, unnest(range(case when fst then 0 else ceil(t)::bigint end, case when t2 is null then {N_FRAMES} else least({N_FRAMES}, ceil(t2)::bigint) end)) q from (
-      select chart_id, t, x, y, lead(t) over w t2, lead(x) over w x2, lead(y) over w y2, row_number() over w = 1 fst from (
-        select chart_id, line_no, f t, 0 o, x / 512.0::double * 2 - 1 x, y / 384.0::double * 2 - 1 y from eo union all
-        select chart_id, line_no, least({N_FRAMES - 1}, end_time / {FR}), 1, case when slides % 2 <> 0 then x2 else x end / 512.0::double * 2 - 1, case when slides % 2 <> 0 then y2 else y end / 384.0::double * 2 - 1 from eo where sl)
+    select *, unnest(range(case when fst then 0 else ceil(t)::bigint end, case when t2 is null then nf else least(nf, ceil(t2)::bigint) end)) q from (
+      select chart_id, nf, t, x, y, lead(t) over w t2, lead(x) over w x2, lead(y) over w y2, row_number() over w = 1 fst from (
+        select chart_id, nf, line_no, f t, 0 o, x / 512.0::double * 2 - 1 x, y / 384.0::double * 2 - 1 y from eo union all
+        select chart_id, nf, line_no, least(nf - 1, end_time / {FR}), 1, case when slides % 2 <> 0 then x2 else x end / 512.0::double * 2 - 1, case when slides % 2 <> 0 then y2 else y end / 384.0::double * 2 - 1 from eo where sl)
       window w as (partition by chart_id order by t, line_no, o)))"""
 BLOCKS = {
     "onset": "coalesce(onset * 2 - 1, -1)", "new_combo": "coalesce(new_combo * 2 - 1, -1)", "whistle": "coalesce(whistle * 2 - 1, -1)", "finish": "coalesce(finish * 2 - 1, -1)", "clap": "coalesce(clap * 2 - 1, -1)", "slider_hold": "coalesce(slider_hold, -1)",
@@ -929,7 +935,7 @@ BLOCKS = {
 }
 
 
-@query("R1_frame_blocks", "select c.chart_id, c.frame // 32 block, " + ", ".join(f"round_even(sum(({e}) * sqrt((2 + c.frame % 32)::double)), 2) + 0.0 {k}" for k, e in BLOCKS.items()) + f""" from (select chart_id, unnest(range(0, {N_FRAMES})) frame from ch) c
+@query("R1_frame_blocks", "select c.chart_id, c.frame // 32 block, " + ", ".join(f"round_even(sum(({e}) * sqrt((2 + c.frame % 32)::double)), 2) + 0.0 {k}" for k, e in BLOCKS.items()) + f""" from (select chart_id, unnest(range(0, nf)) frame from fz) c
   left join bump using (chart_id, frame) left join hold using (chart_id, frame) left join kf using (chart_id, frame) left join hsh using (chart_id, frame) left join cur using (chart_id, frame) left join spc using (chart_id, frame) left join svf using (chart_id, frame) group by 1, 2""")
 def _(spark, d):
     weight = F.sqrt((2 + F.col("frame") % 32).cast("double"))  # uneven, so that no sum ends halfway between two roundings

@@ -1,5 +1,6 @@
 """Chart operators on small inputs with known results."""
 
+import math
 import random
 
 import pytest
@@ -276,7 +277,7 @@ def test_frames_round_trip(spark):
     rows = [(1, 0, 200, 256, 192, 1, 2, None, [], 1, 0.0, 200), (1, 1, 1000, 100, 100, 2, 0, "L", [(300, 100)], 1, 200.0, 1000), (1, 2, 3000, 256, 192, 12, 0, None, [], 1, 0.0, 5000)]
     c = chart(spark)
     events = timing.with_timing(spark.createDataFrame(rows, EVENTS), pts, c)
-    f = frames.rasterise(events, pts, c, 600).cache()
+    f = frames.rasterise(events, pts, c.select("chart_id", F.lit(600).alias("size"))).cache()
     assert f.count() == 600
     ms = [r.frame * frames.MS_PER_FRAME for r in frames.outside_spans(frames.pick_peaks(f), frames.spinner_spans(f)).orderBy("frame").collect()]
     assert [round(t / 20) for t in ms] == [10, 50]
@@ -437,9 +438,9 @@ def test_sliders_survive_frames(spark):
     anchors = [[(150, 200)], [(150, 200), (250, 120)], [(120, 250), (250, 260), (300, 100)]]
     rows = [(1, i, 1000 + 1500 * i, 100, 100, 2, 0, "B" if i else "L", pts, 1 + i, 120.0, 2000 + 1500 * i) for i, pts in enumerate(anchors)]
     schema = "chart_id long, line_no long, time long, x int, y int, type int, hit_sound int, curve_type string, curve_points array<struct<x:int,y:int>>, slides int, length double, end_time long"
-    charts = spark.createDataFrame([(1,)], "chart_id long")
+    charts = spark.createDataFrame([(1, 700)], "chart_id long, size int")
     points = spark.createDataFrame([(1, 0, 0.0, 500.0, 4, True, 0)], "chart_id long, line_no long, time double, beat_length double, meter int, uninherited boolean, effects int")
-    table = frames.rasterise(spark.createDataFrame(rows, schema), points, charts, 700)
+    table = frames.rasterise(spark.createDataFrame(rows, schema), points, charts)
     got = frames.decode_events(table).orderBy("time").collect()
     assert [r.slides for r in got] == [1, 2, 3] and [r.curve_type for r in got] == ["L", "B", "B"]
     for r, pts in zip(got, anchors, strict=True):
@@ -486,17 +487,50 @@ def test_data_set_build(spark, tmp_path):
     events = spark.createDataFrame(rows, "chart_id long, line_no long, time long, x int, y int, type int, hit_sound int, curve_type string, curve_points array<struct<x:int,y:int>>, slides int, length double, end_time long")
     points = spark.createDataFrame([(c, 0, 0.0, 500.0, 4, True, 1) for c in range(1, 5)], "chart_id long, line_no long, time double, beat_length double, meter int, uninherited boolean, effects int")
     status = charts.select("folder", "filename", F.lit(4).alias("status"), "mode")
-    manifest, outcomes = dataset.build(charts, points, events, status, 3000)
+    manifest, outcomes = dataset.build(charts, points, events, status)
     kept = manifest.orderBy("chart_id").collect()
     assert [r.chart_id for r in kept] == [1, 3] and {r.outcome: r.charts for r in outcomes.collect()} == {"kept": 2, "star_rating": 1}
     assert all(r.item_id.startswith("set_1__map_") and len(r.audio_key) == 16 and r.bucket == "Hard" for r in kept) and kept[0].item_id != kept[1].item_id
-    dataset.write(manifest, events, points, str(tmp_path / "set"), 3000)
+    dataset.write(manifest, events, points, str(tmp_path / "set"))
     sizes = {r.chart_id: r["count"] for r in spark.read.parquet(str(tmp_path / "set/frames")).groupBy("chart_id").count().collect()}
     assert sizes == {r.chart_id: r.frames for r in kept} and kept[0].frames == int(29_500 / frames.MS_PER_FRAME) + 1
-    short, _ = dataset.build(charts, points, events, status, 3000, max_seconds=10.0)
+    short, _ = dataset.build(charts, points, events, status, max_seconds=10.0)
     assert {r.frames for r in short.collect()} == {int(10_000 / frames.MS_PER_FRAME)}
 
 
+def test_charts_of_one_path_keep_ids_apart(spark):
+    from chartmill.plans import dataset
+
+    charts = spark.createDataFrame([(c, "Set", "Map.chart" if c % 2 else "map.chart", 7 + c % 2, 0, 4.0, 1.4, 3.0) for c in range(1, 6)], "chart_id long, folder string, filename string, audio_id long, mode int, cs double, slider_multiplier double, star_rating double")
+    events = spark.createDataFrame([(c, i, 500 * i, 100 + 30 * (i % 5), 100, 1, 2, None, [], 1, 0.0, 500 * i) for c in range(1, 6) for i in range(60)], EVENTS)
+    points = spark.createDataFrame([(c, 0, 0.0, 500.0, 4, True, c % 2) for c in range(1, 6)], POINTS)
+    onsets = spark.createDataFrame([(7, f, v) for f, v in enumerate((0.1, 0.1, 1.0, 0.2))], "audio_id long, frame int, strength double")
+    manifest, _ = dataset.build(charts, points, events, charts.select("folder", "filename", F.lit(4).alias("status"), "mode"), {"require_kiai": False}, onsets=onsets)
+    rows = {r.chart_id: r for r in manifest.collect()}
+    assert len({r.item_id for r in rows.values()}) == 5 and {r.frames for r in rows.values()} == {int(29_500 / frames.MS_PER_FRAME) + 1}
+    assert {c: (r.has_kiai, r.n_timing_points, r.n_uninherited, r.bpm) for c, r in rows.items()} == {c: (c % 2 == 1, 1, 1, 120.0) for c in rows}
+    assert {c: r.aim_intensity for c, r in rows.items()} == {c: 1.0 if c % 2 == 0 else 0.0 for c in rows}
+
+
+def test_charts_are_as_long_as_themselves(spark):
+    """Charts of different lengths, one of many blocks, equal to a plain rendering."""
+    rows = [(c, i, t, (7 * t) % 513, (3 * t) % 385, 2 if i % 3 == 0 else 5 if i % 3 == 1 else 8, 2 * (i % 8), "L" if i % 3 == 0 else None, [(10, 20)] if i % 3 == 0 else [], 1 + i % 3, 50.0, t + 300) for c, last in ((1, 60_000), (2, 700), (3, 3)) for i, t in enumerate(range(0, last, 701))]
+    e, pts = spark.createDataFrame(rows, EVENTS), spark.createDataFrame([(c, 0, 0.0, 500.0, 4, True, 1) for c in (1, 2, 3)], POINTS)
+    sizes = frames.chart_sizes(e)
+    got = {}
+    for r in frames.rasterise(e, pts, sizes).collect():
+        got.setdefault(r.chart_id, {})[r.frame] = r
+    for s in sizes.collect():
+        mine, all_ = got[s.chart_id], [x for x in rows if x[0] == s.chart_id]
+        assert sorted(mine) == list(range(s.size))
+        for f, r in mine.items():
+            bumps = [2 * math.exp(-0.5 * ((f - x[2] / frames.MS_PER_FRAME) / 1.2) ** 2) - 1 for x in all_ if math.floor(x[2] / frames.MS_PER_FRAME - 4.8) <= f <= math.ceil(x[2] / frames.MS_PER_FRAME + 4.8)]
+            assert r.onset == pytest.approx(max(bumps, default=-1), abs=1e-5)
+            held = [x for x in all_ if round(x[2] / frames.MS_PER_FRAME) <= f <= round(min(s.size - 1, x[11] / frames.MS_PER_FRAME))]
+            assert (r.slider_hold == 1) == any(x[5] == 2 for x in held) and (r.spinner_hold == 1) == any(x[5] == 8 for x in held)
+            assert r.slides == pytest.approx(([(x[9] - 1) / 3 * 2 - 1 for x in held if x[5] == 2] or [-1])[-1], abs=1e-6)
+
+
 def test_unscored_chart_has_quality_zero(spark):
     metrics_ = spark.createDataFrame([(1, 1.0, 0.5), (2, 9.0, 0.5), (3, 1.0, None)], "chart_id long, star_rating double, kiai_ratio double")
     bands_ = spark.createDataFrame([("Easy", "kiai_ratio", 0.0, 1.0)], "bucket string, metric string, p10 double, p90 double")
