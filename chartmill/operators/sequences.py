@@ -1,26 +1,27 @@
 """Order-dependent folds: state passes from row to row of a chart, song or job.
 
-Rows are dealt by that id and sorted in their partitions, which Spark does on disk where needed, and folded batch by
-batch; only the state goes from one batch to the next, so a group may have any number of rows.  sv_sections gathers a
-chart instead: its number of frames is fixed.
+respace and beat_f_measure fold pieces of a group in several tasks (see pieces.py); rolling_median and sv_sections deal a
+chart in blocks of frames.  early_abort's jobs are dealt by id and sorted in their partitions, which Spark does on disk
+where needed, and folded batch by batch; only the state goes from one batch to the next.
 """
 
 from __future__ import annotations
 
 import math
 from array import array
+from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .frames import MS_PER_FRAME
-from .pieces import Fold, folded
+from ..plans.ship import ship
+from .frames import BLOCK, MS_PER_FRAME
+from .pieces import Fold, folded, rows_of
 
 
 def _sorted(df: DataFrame, key: str, *order) -> DataFrame:
@@ -28,10 +29,6 @@ def _sorted(df: DataFrame, key: str, *order) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key, *order)
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
-
-
 def _number(value: float | None) -> float:
     return math.nan if value is None else value
 
@@ -185,7 +182,7 @@ def early_abort(trajectories: DataFrame, monitor_frac: float = 0.7, margin: floa
 
         started, out = False, []
         for batch in batches:
-            for new_job, new_cand, k, frac, q in _rows(batch):
+            for new_job, new_cand, k, frac, q in rows_of(batch):
                 if not started or (new_job, new_cand) != (job, cand):
                     if started:
                         out.append((job, cand, stop is not None, stop, saved))
@@ -217,37 +214,161 @@ def early_abort(trajectories: DataFrame, monitor_frac: float = 0.7, margin: floa
             out.append((job, cand, stop is not None, stop, saved))
             yield results()
 
+    ship(trajectories.sparkSession)
     rows = trajectories.select("job_id", "cand", "step_k", "frac_done", "quality").where(F.col("cand").isNotNull())
     return _sorted(rows, "job_id", "cand", F.desc_nulls_last("step_k")).mapInArrow(run, "job_id long, cand int, aborted boolean, abort_k long, steps_saved long")
 
 
+class Ring:
+    """The values of a sliding window in order of value: each step takes one out and puts one in."""
+
+    def __init__(self, values: list[float]) -> None:
+        self.sorted, self.recent = sorted(values), deque(values)
+
+    def step(self, value: float) -> None:
+        self.sorted.pop(bisect_left(self.sorted, self.recent.popleft()))
+        insort(self.sorted, value)
+        self.recent.append(value)
+
+    def median(self) -> float:
+        n = len(self.sorted)
+        return (self.sorted[(n - 1) // 2] + self.sorted[n // 2]) / 2
+
+
+def rolling_median(frames: DataFrame, channel: str, window: int) -> DataFrame:
+    """(chart_id, frame, median): the median of the channel over window frames (an odd number) around each; the first
+    and last frame are repeated beyond the ends.  A chart of fewer frames than the window keeps its values.
+
+    Frames are numbered from 0 without holes; null or NaN count as 0.  Each block of frames is dealt with half a window
+    of its neighbours', so a long chart spreads over tasks; within a task a sorted ring slides over the sorted rows.
+    """
+    half = window // 2
+    if window < 1 or window % 2 == 0:
+        raise ValueError("the window is an odd number of frames")
+    ship(frames.sparkSession)
+    value = F.coalesce(F.nanvl(F.col(channel).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("v")
+    rows = frames.select("chart_id", F.col("frame").cast("long").alias("frame"), value)
+    sizes = rows.groupBy("chart_id").agg((F.max("frame") + 1).alias("size"))
+    # Each frame goes to its own block, and to those whose windows reach it.
+    block = lambda f: F.floor(f / BLOCK).cast("int")
+    dealt = rows.join(sizes, "chart_id").withColumn("block", F.explode(F.sequence(block(F.greatest(F.lit(0), F.col("frame") - half)), block(F.least(F.col("size") - 1, F.col("frame") + half)))))
+
+    def slide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def medians() -> pa.RecordBatch:
+            chart, at, size = key
+            first, last = at * BLOCK, min(size, (at + 1) * BLOCK) - 1
+            lo = held[0][0]
+            value = lambda f: held[min(max(f, 0), size - 1) - lo][1]
+            if size < window:
+                out = [value(f) for f in range(first, last + 1)]
+            else:
+                ring, out = Ring([value(f) for f in range(first - half, first + half + 1)]), []
+                for f in range(first, last + 1):
+                    if f > first:
+                        ring.step(value(f + half))
+                    out.append(ring.median())
+            return pa.RecordBatch.from_arrays([pa.array([chart] * len(out), kind), pa.array(range(first, last + 1), pa.int64()), pa.array(out, pa.float64())], names=["chart_id", "frame", "median"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for chart, at, size, frame, v in rows_of(batch):
+                if key != (chart, at, size):
+                    if held:
+                        yield medians()
+                    key, held = (chart, at, size), []
+                held.append((frame, v))
+        if held:
+            yield medians()
+
+    laid = dealt.repartition("chart_id", "block").sortWithinPartitions("chart_id", "block", "frame").select("chart_id", "block", "size", "frame", "v")
+    return laid.mapInArrow(slide, T.StructType([frames.schema["chart_id"], T.StructField("frame", T.LongType()), T.StructField("median", T.DoubleType())]))
+
+
+class Sections:
+    """Stable levels of a chart, read from its runs of equal level in order."""
+
+    def __init__(self, apart: int, change: float, most: int) -> None:
+        self.apart, self.change, self.most = apart, change, most
+        self.found: list[tuple[int, float]] = []
+        self.run: tuple[int, float] | None = None
+
+    def add(self, start: int, level: float) -> None:
+        self.close(start)
+        self.run = start, level
+        if not self.found:
+            self.found.append((start, level))
+
+    def close(self, end: int) -> None:
+        """The open run ends before the frame end: a section begins in it if it is far enough, in time and level."""
+        if self.run and self.found:
+            start, level = self.run
+            begin, last = self.found[-1]
+            at = max(start, begin + self.apart)
+            if at < end and abs(level - last) >= self.change:
+                self.found.append((at, level))
+
+    def result(self) -> list[tuple[int, float]]:
+        """While there are too many, the nearest neighbours in log2 merge, the first of equally near ones."""
+        levels = [math.log2(max(s, 1e-3)) for _, s in self.found]
+        n = len(levels)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(abs(levels[i] - levels[i - 1]), i) for i in range(1, n)]
+        heapify(heap)
+        gone, count = [False] * n, n
+        while count > self.most:
+            gap, i = heappop(heap)
+            if gone[i] or gap != abs(levels[i] - levels[left[i]]):
+                continue
+            gone[i], count = True, count - 1
+            before, after = left[i], right[i]
+            right[before] = after
+            if after < n:
+                left[after] = before
+                heappush(heap, (abs(levels[after] - levels[before]), after))
+        kept = [s for s, g in zip(self.found, gone, strict=True) if not g]
+        return [s for i, s in enumerate(kept) if not i or abs(s[1] - kept[i - 1][1]) >= 1e-6]
+
+
 def sv_sections(frames: DataFrame, smooth_ms: float = 700.0, step: float = 0.1, change: float = 0.2, min_section_s: float = 3.0, most: int = 6) -> DataFrame:
     """(chart_id, start_ms, sv): few, stable velocity sections read off the sv channel.
 
     The channel is smoothed by an edge-padded running median over smooth_ms (if it is that long) and quantised; a
     section begins where the level differs by change from the last section's, at least min_section_s after its begin;
     while there are too many, the nearest neighbours in log2 merge; a section like the one before it is left out.
+
+    Medians are made in blocks of frames; only runs of equal level go on, and are read in order, chart by chart.
     """
     window = max(1, round(smooth_ms / MS_PER_FRAME) | 1)
     apart = max(1, round(min_section_s * 1000 / MS_PER_FRAME))
+    ship(frames.sparkSession)
+    velocity = F.pow(F.lit(2.0), 2 * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sv").cast("double"))))
+    smooth = rolling_median(frames.select("chart_id", "frame", velocity.alias("v")), "v", window)
+    levels = smooth.select("chart_id", "frame", (F.bround(F.col("median") / step, 0) * step).alias("level"))
+    # A run begins where the level changes within a block, and at each block's first frame.
+    near = Window.partitionBy("chart_id", F.floor(F.col("frame") / BLOCK)).orderBy("frame")
+    runs = levels.withColumn("was", F.lag("level").over(near)).where("was is null or was != level").drop("was")
+    ends = levels.groupBy("chart_id").agg((F.max("frame") + 1).alias("end"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chart, sections, end = None, None, 0
+
+        def told() -> pa.RecordBatch:
+            sections.close(end)
+            kept = sections.result()
+            return pa.RecordBatch.from_arrays([pa.array([chart] * len(kept), kind), pa.array([round(f * MS_PER_FRAME) for f, _ in kept], pa.int64()), pa.array([round(s, 3) for _, s in kept], pa.float64())], names=["chart_id", "start_ms", "sv"])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = 2.0 ** (2 * np.clip(pdf.sort_values("frame").sv.to_numpy(np.float64), -1, 1))
-        if 1 < window <= len(v):
-            v = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(v, window // 2, mode="edge"), window), axis=1)
-        levels = np.round(v / step) * step
-        sections = [(0, float(levels[0]))]
-        while True:
-            begin, level = sections[-1]
-            far = np.flatnonzero(np.abs(levels[begin + apart :] - level) >= change)
-            if not len(far):
-                break
-            at = begin + apart + int(far[0])
-            sections.append((at, float(levels[at])))
-        while len(sections) > most:
-            logs = [math.log2(max(s, 1e-3)) for _, s in sections]
-            sections.pop(1 + min(range(len(logs) - 1), key=lambda i: abs(logs[i + 1] - logs[i])))
-        kept = [s for i, s in enumerate(sections) if not i or abs(s[1] - sections[i - 1][1]) >= 1e-6]
-        return pd.DataFrame({"chart_id": pdf.chart_id.iloc[0], "start_ms": [round(f * MS_PER_FRAME) for f, _ in kept], "sv": [round(s, 3) for _, s in kept]})
-
-    return frames.select("chart_id", "frame", F.col("sv").cast("double").alias("sv")).groupBy("chart_id").applyInPandas(fold, "chart_id long, start_ms long, sv double")
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for now, frame, level, size in rows_of(batch):
+                if sections is None or now != chart:
+                    if sections:
+                        yield told()
+                    chart, end, sections = now, size, Sections(apart, change, most)
+                sections.add(frame, level)
+        if sections:
+            yield told()
+
+    ordered = _sorted(runs.join(ends, "chart_id"), "chart_id", "frame").select("chart_id", "frame", "level", "end")
+    return ordered.mapInArrow(read, T.StructType([frames.schema["chart_id"], T.StructField("start_ms", T.LongType()), T.StructField("sv", T.DoubleType())]))

@@ -584,6 +584,13 @@ def _(spark, d):
     return sequences.sv_sections(rastered(spark, d))
 
 
+@query("W10_rolling_median")
+def _(spark, d):
+    """The sv channel as a velocity, its median over 61 frames."""
+    f = rastered(spark, d).select("chart_id", "frame", F.pow(F.lit(2.0), 2 * F.col("sv").cast("double")).alias("v"))
+    return sequences.rolling_median(f, "v", 61).select("chart_id", "frame", F.bround("median", 6).alias("median"))
+
+
 @query("W18_P14_respace")
 def _(spark, d):
     e = views.events(spark, d)
@@ -702,6 +709,7 @@ CTES["svf"] = f"""select chart_id, frame, power(2.0::double, 2 * greatest(-1.0::
 CTES["rmd"] = """select chart_id, frame, case when nf < 61 then v else m end m from (select chart_id, frame, v, nf, median(v) over (partition by chart_id order by frame rows between 30 preceding and 30 following) m from (
   select * from svf union all select chart_id, k - 31, v from svf, (select unnest(range(1, 31)) k) where frame = 0 union all select chart_id, nf - 1 + k, v from svf join fz using (chart_id), (select unnest(range(1, 31)) k) where frame = nf - 1) join fz using (chart_id)) where frame between 0 and nf - 1"""
 CTES["svl"] = """select chart_id, frame, round_even(m / 0.1::double, 0) * 0.1::double s from rmd"""
+ORACLES["W10_rolling_median"] = sql("select chart_id, frame, round_even(m, 6) as median from rmd")
 CTES["svs"] = f"""select chart_id, frame, s from svl where frame = 0 union all select chart_id, r[1], r[2] from (
   select z.chart_id, (select min([q.frame::double, q.s]) from svl q where q.chart_id = z.chart_id and q.frame >= z.frame + {round(3000 / frames.MS_PER_FRAME)} and abs(q.s - z.s) >= 0.2::double) r from svs z) where r is not null"""
 CTES["mgd"] = """select chart_id, list({'frame': frame, 's': s} order by frame) q from svs group by 1 union all select chart_id, list_concat(q[:p], q[p + 2:]) from (

@@ -2,7 +2,9 @@
 
 import math
 import random
+import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -531,6 +533,50 @@ def test_charts_are_as_long_as_themselves(spark):
             assert r.slides == pytest.approx(([(x[9] - 1) / 3 * 2 - 1 for x in held if x[5] == 2] or [-1])[-1], abs=1e-6)
 
 
+def plain_medians(values, window):
+    half = window // 2
+    if len(values) < window:
+        return values
+    padded = [values[0]] * half + values + [values[-1]] * half
+    return [statistics.median(padded[i : i + window]) for i in range(len(values))]
+
+
+def plain_sections(values, window, step, change, apart, most):
+    levels = [round(v / step) * step for v in plain_medians([2.0 ** (2 * max(-1, min(1, v))) for v in values], window)]
+    found = [(0, levels[0])]
+    for f, level in enumerate(levels):
+        if f >= found[-1][0] + apart and abs(level - found[-1][1]) >= change:
+            found.append((f, level))
+    while len(found) > most:
+        logs = [math.log2(max(s, 1e-3)) for _, s in found]
+        found.pop(1 + min(range(len(logs) - 1), key=lambda i: abs(logs[i + 1] - logs[i])))
+    kept = [s for i, s in enumerate(found) if not i or abs(s[1] - found[i - 1][1]) >= 1e-6]
+    return [(round(f * frames.MS_PER_FRAME), round(s, 3)) for f, s in kept]
+
+
+def test_medians_and_sections(spark):
+    """A chart of several blocks, short ones and one shorter than the window, in one go."""
+    r, values = random.Random(4), {}
+    for c, n in ((1, 9000), (2, 61), (3, 60), (4, 1), (5, 2048), (6, 2049), (7, 4500)):
+        values[c], level = [], 0.0
+        while len(values[c]) < n:
+            level = r.choice([level, round(r.uniform(-1, 1), 1)])
+            values[c] += [float(np.float32(level + r.choice([0, 0, 0, 0.2])))] * r.randrange(1, 150)
+        del values[c][n:]
+    table = spark.createDataFrame([(c, f, v) for c, vs in values.items() for f, v in enumerate(vs)], "chart_id long, frame int, sv double").repartition(7)
+    for window in (1, 61):
+        got = {}
+        for x in sequences.rolling_median(table, "sv", window).collect():
+            got.setdefault(x.chart_id, {})[x.frame] = x.median
+        assert {c: [v for _, v in sorted(m.items())] for c, m in got.items()} == {c: plain_medians(vs, window) for c, vs in values.items()}
+    got = {}
+    for x in sequences.sv_sections(table).orderBy("chart_id", "start_ms").collect():
+        got.setdefault(x.chart_id, []).append((x.start_ms, x.sv))
+    assert got == {c: plain_sections(vs, 61, 0.1, 0.2, 258, 6) for c, vs in values.items()}
+    assert "InPandas" not in sequences.sv_sections(table)._jdf.queryExecution().toString()
+    assert sequences.rolling_median(table.limit(0), "sv", 3).collect() == sequences.sv_sections(table.limit(0)).collect() == []
+
+
 def test_unscored_chart_has_quality_zero(spark):
     metrics_ = spark.createDataFrame([(1, 1.0, 0.5), (2, 9.0, 0.5), (3, 1.0, None)], "chart_id long, star_rating double, kiai_ratio double")
     bands_ = spark.createDataFrame([("Easy", "kiai_ratio", 0.0, 1.0)], "bucket string, metric string, p10 double, p90 double")
