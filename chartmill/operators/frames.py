@@ -219,9 +219,28 @@ def pick_peaks(frames: DataFrame, channel: str = "onset", threshold: float = 0.3
 
 
 def outside_spans(peaks: DataFrame, spans: DataFrame) -> DataFrame:
-    """Peaks that no span of their chart covers."""
-    inside = peaks.alias("p").join(spans.alias("s"), (F.col(f"p.{CHART}") == F.col(f"s.{CHART}")) & F.col("p.frame").between(F.col("s.first"), F.col("s.last")), "left_anti")
-    return inside.select("p.*")
+    """Peaks that no span (chart_id, first, last) of their chart covers.
+
+    Points and span begins stand in one order; a point is covered if the furthest end of the spans begun so far isn't
+    before it.  Spans may overlap and repeat.
+    """
+    names = [c for c in peaks.columns if c != CHART]
+    points = peaks.select(CHART, F.col("frame").alias("at"), F.lit(1).alias("turn"), F.lit(None).cast("long").alias("last"), F.struct(*names).alias("row"))
+    edges = spans.select(CHART, F.col("first").alias("at"), F.lit(0).alias("turn"), F.col("last").cast("long").alias("last"))
+    upto = F.max("last").over(Window.partitionBy(CHART).orderBy("at", "turn").rowsBetween(Window.unboundedPreceding, 0))
+    both = points.unionByName(edges, allowMissingColumns=True).withColumn("upto", upto)
+    return both.where("turn = 1 and (upto is null or upto < at)").select(CHART, *[F.col(f"row.{c}").alias(c) for c in names])
+
+
+def with_next_begin(peaks: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """peaks with the first begin of a span after each; null without one."""
+    names = [c for c in peaks.columns if c != CHART]
+    points = peaks.select(CHART, F.col("frame").alias("at"), F.lit(0).alias("turn"), F.lit(None).cast("int").alias("begin"), F.struct(*names).alias("row"))
+    edges = spans.select(CHART, F.col("first").alias("at"), F.lit(1).alias("turn"), F.col("first").alias("begin"))
+    # Backwards, a point comes before a span that begins at it, so that only later ones count.
+    ahead = F.min("begin").over(Window.partitionBy(CHART).orderBy(F.desc("at"), "turn").rowsBetween(Window.unboundedPreceding, 0))
+    both = points.unionByName(edges, allowMissingColumns=True).withColumn("ahead", ahead)
+    return both.where("turn = 0").select(CHART, *[F.col(f"row.{c}").alias(c) for c in names], F.col("ahead").alias(name))
 
 
 def decode_kiai(frames: DataFrame, threshold: float = 0.0, min_ms: float = 1500, merge_ms: float = 1000, max_spans: int = 3) -> DataFrame:
@@ -307,8 +326,7 @@ def decode_events(frames: DataFrame, onset: float = 0.3, min_gap: int = 2, min_s
     nxt = F.lead("frame").over(Window.partitionBy(CHART).orderBy("frame"))
     ordered = peaks.select(CHART, "frame", nxt.alias("next_peak")).join(n, CHART).withColumn("next_peak", F.coalesce("next_peak", "size"))
     shown = outside_spans(ordered, spans)
-    spin = shown.join(spans.select(CHART, F.col("first").alias("spin")), CHART, "left").groupBy(CHART, "frame", "next_peak").agg(F.min(F.when(F.col("spin") > F.col("frame"), F.col("spin"))).alias("spin"))
-    limits = spin.select(CHART, "frame", F.least("next_peak", "spin").alias("until"))
+    limits = with_next_begin(shown, spans, "spin").select(CHART, "frame", F.least("next_peak", "spin").alias("until"))
     # The first frame without a hold at or after each frame, and the strongest hold of four.
     w = Window.partitionBy(CHART).orderBy("frame")
     backwards = Window.partitionBy(CHART).orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0)  # a running minimum

@@ -53,19 +53,27 @@ def slider_overlap(events: DataFrame, charts: DataFrame, n: int = 12) -> DataFra
     """(chart_id, sliders, overlapping): sliders whose body comes within a circle's radius of a head that isn't a
     neighbour's.
 
-    Body points and heads meet in cells of the grid whose side is the radius, so a point is compared with the heads
-    of nine cells, not with all of the chart.
+    Heads stand in an index of distinct places, with how many there are; the grid cells around a slider's body look places
+    up, each cell once a slider.  The slider's own head and its neighbours' don't count: a place is hit if it has more
+    heads than those of the three that stand at it.
     """
     ranked = type_flags(events).withColumn("ord", F.row_number().over(in_time())).join(charts.select(CHART, F.greatest(F.lit(1.0), g.circle_radius(F.col("cs"))).alias("radius")), CHART)
+    near_ord = Window.partitionBy(CHART).orderBy("ord")
+    around_it = {f"{c}{k}": f(c).over(near_ord) for c in "xy" for k, f in (("p", F.lag), ("n", F.lead))}
     cell = lambda v: F.floor(F.col(v) / F.col("radius"))
-    bodies = ranked.where("is_slider and size(curve_points) > 0").select(CHART, "ord", "radius", g.polygon().alias("poly"))
-    bodies = g.resampled(bodies, "poly", n).select(CHART, "ord", "radius", "px", "py")
-    around = F.explode(F.expr("flatten(transform(array(-1, 0, 1), a -> transform(array(-1, 0, 1), b -> struct(cx + a as cx, cy + b as cy))))"))
-    points = bodies.withColumns({"cx": cell("px"), "cy": cell("py")}).withColumn("c", around).select(CHART, "ord", "radius", "px", "py", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy"))
-    heads = ranked.select(CHART, F.col("ord").alias("head"), F.col("x").alias("hx"), F.col("y").alias("hy"), cell("x").alias("cx"), cell("y").alias("cy"))
-    near = (F.abs(F.col("ord") - F.col("head")) > 1) & (F.hypot(F.col("px") - F.col("hx"), F.col("py") - F.col("hy")) <= F.col("radius"))
-    hits = points.join(heads, [CHART, "cx", "cy"]).where(near).select(CHART, "ord").distinct().groupBy(CHART).agg(F.count("*").alias("hits"))
-    sliders = ranked.where("is_slider and size(curve_points) > 0").groupBy(CHART).agg(F.count("*").alias("sliders"))
+    shaped = ranked.withColumns(around_it).where("is_slider and size(curve_points) > 0")
+    bodies = g.resampled(shaped.select(CHART, "ord", "radius", "x", "y", *around_it, g.polygon().alias("poly")), "poly", n)
+    point = F.struct("px", "py")
+    places = bodies.withColumns({"cx": cell("px"), "cy": cell("py")})
+    spread = F.explode(F.expr("flatten(transform(array(-1, 0, 1), a -> transform(array(-1, 0, 1), b -> struct(cx + a as cx, cy + b as cy))))"))
+    own = [F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in ("", "p", "n")]
+    cells = places.withColumn("c", spread).groupBy(CHART, "ord", "c.cx", "c.cy").agg(F.collect_set(point).alias("points"), F.first("radius").alias("radius"), F.first(F.array(*own)).alias("own"))
+    heads = ranked.groupBy(CHART, "x", "y").agg(F.count("*").alias("heads"), F.first("radius").alias("radius")).select(CHART, F.col("x").alias("hx"), F.col("y").alias("hy"), "heads", cell("x").alias("cx"), cell("y").alias("cy"))
+    met = cells.join(heads, [CHART, "cx", "cy"])
+    within = F.exists("points", lambda p: F.hypot(p["px"] - F.col("hx"), p["py"] - F.col("hy")) <= F.col("radius"))
+    excluded = F.size(F.filter("own", lambda p: (p["x"] == F.col("hx")) & (p["y"] == F.col("hy"))))
+    hits = met.where((F.col("heads") > excluded) & within).select(CHART, "ord").distinct().groupBy(CHART).agg(F.count("*").alias("hits"))
+    sliders = shaped.groupBy(CHART).agg(F.count("*").alias("sliders"))
     return sliders.join(hits, CHART, "left").select(CHART, "sliders", F.coalesce("hits", F.lit(0)).alias("overlapping"))
 
 

@@ -626,6 +626,12 @@ def _(spark, d):
     return frames.decode_events(rastered(spark, d)).select("chart_id", "line_no", "time", "x", "y", "type", "hit_sound", "curve_type", F.size("curve_points").alias("anchors"), "slides", F.bround("length", 4).alias("length"), "end_time")
 
 
+@query("R2_event_heads")
+def _(spark, d):
+    """What decoding tells of events but for the shapes of sliders."""
+    return frames.decode_events(rastered(spark, d)).select("chart_id", "line_no", "time", "x", "y", "type", "hit_sound", "end_time")
+
+
 @query("A22_proxy_quality")
 def _(spark, d):
     """Quality of decoded events at one tempo, without a rating term, against the corpus's bands."""
@@ -949,3 +955,21 @@ def _(spark, d):
     weight = F.sqrt((2 + F.col("frame") % 32).cast("double"))  # uneven, so that no sum ends halfway between two roundings
     sums = [(F.bround(F.sum(F.col(c).cast("double") * weight), 2) + F.lit(0.0)).alias(c) for c in BLOCKS]
     return rastered(spark, d).groupBy("chart_id", F.floor(F.col("frame") / 32).alias("block")).agg(*sums)
+
+
+# Decoded events: peaks and recovered ones outside spinners, held as sliders until the next peak or spinner.
+CTES["rcv"] = """select chart_id, frame from (
+  select h.chart_id, p, a, arg_min(n.frame, row(-n.v, n.frame)) frame, max(n.v) v from (select chart_id, frame p, b, a, greatest(1, b // 3) r from (
+    select *, frame - lag(frame) over w b, lead(frame) over w - frame a from pk window w as (partition by chart_id order by frame)) where b > 0 and b <= 14 and abs(a - 2 * b) <= b * 0.34::double) h
+  join ons n on n.chart_id = h.chart_id and n.frame between greatest(0, p + b - r) and p + b + r group by all) where v >= 0.15::double and frame - p >= 2 and p + a - frame >= 2"""
+CTES["pa"] = """select chart_id, frame, coalesce(lead(frame) over (partition by chart_id order by frame), nf) nxt, nf from (select chart_id, frame from pk union select chart_id, frame from rcv) join fz using (chart_id)"""
+CTES["hf"] = """select c.chart_id, c.frame, min(case when coalesce(slider_hold, -1) <= 0 then c.frame end) over (w rows between current row and unbounded following) off, max(coalesce(slider_hold, -1)) over (w rows between current row and 3 following) held,
+  cast(coalesce(cx, 0) as float)::double cx, cast(coalesce(cy, 0) as float)::double cy, cast(new_combo * 2 - 1 as float) nc, cast(whistle * 2 - 1 as float) w2, cast(finish * 2 - 1 as float) w4, cast(clap * 2 - 1 as float) w8
+  from (select chart_id, unnest(range(0, nf)) frame from fz) c left join hold using (chart_id, frame) left join cur using (chart_id, frame) left join bump using (chart_id, frame) window w as (partition by c.chart_id order by c.frame)"""
+CTES["dh"] = """select *, held > 0 and stop - frame >= 4 is_slider from (select *, greatest(frame + 1, least(coalesce(off, nf) - 1, least(nxt, spin) - 1)) stop from (
+  select pa.*, hf.* exclude (chart_id, frame), (select min(f) from sps where sps.chart_id = pa.chart_id and f > pa.frame) spin from pa join hf using (chart_id, frame)
+  where not exists (select 1 from sps where sps.chart_id = pa.chart_id and pa.frame between f and l)))"""
+ORACLES["R2_event_heads"] = sql(f"""select chart_id, frame::bigint line_no, cast(round_even(frame * {FR}, 0) as bigint) "time", cast(least(512, greatest(0, round_even((cx + 1) / 2 * 512, 0))) as int) x, cast(least(384, greatest(0, round_even((cy + 1) / 2 * 384, 0))) as int) y,
+  case when is_slider then 2 else 1 end + case when nc > 0 then 4 else 0 end "type", case when w2 > 0.85::double then 2 else 0 end + case when w4 > 0.85::double then 4 else 0 end + case when w8 > 0.85::double then 8 else 0 end hit_sound,
+  cast(round_even(case when is_slider then stop else frame end * {FR}, 0) as bigint) end_time from dh
+  union all select chart_id, f::bigint, cast(round_even(f * {FR}, 0) as bigint), 256, 192, 8, 0, cast(round_even(l * {FR}, 0) as bigint) from sps""")

@@ -577,6 +577,39 @@ def test_medians_and_sections(spark):
     assert sequences.rolling_median(table.limit(0), "sv", 3).collect() == sequences.sv_sections(table.limit(0)).collect() == []
 
 
+def test_overlap_with_many_heads_at_one_place(spark):
+    r = random.Random(5)
+    rows = [(1, i, 10 * i, 256, 192, 1, 0, None, [], 1, 0.0, 10 * i) for i in range(1500)]
+    rows += [(2, i, 10 * i, r.randrange(513), r.randrange(385), r.choice((1, 2, 2)), 0, "L", [(r.randrange(513), r.randrange(385))], 1, 9.0, 10 * i) for i in range(25)]
+    for i in (0, 700, 1499):
+        rows[i] = (1, i, 10 * i, 256, 192, 2, 0, "L", [(300, 192)], 1, 50.0, 10 * i)
+    rows += [(3, i, 10 * i, x, 100, t, 0, "L", [(x + 50, 100)], 1, 50.0, 10 * i) for i, (x, t) in enumerate(((10, 1), (10, 2), (10, 1), (400, 2)))]
+    e = spark.createDataFrame(rows, EVENTS)
+    charts = spark.createDataFrame([(c, 4.0) for c in (1, 2, 3)], "chart_id long, cs double")
+    got = {x.chart_id: (x.sliders, x.overlapping) for x in metrics.slider_overlap(e, charts).collect()}
+    want = {}
+    for c in (1, 2, 3):
+        mine = [x for x in rows if x[0] == c]
+        hit = sliders = 0
+        for i, x in enumerate(mine):
+            if x[5] != 2:
+                continue
+            sliders += 1
+            (ax, ay), (bx, by) = (x[3], x[4]), x[8][0]
+            hit += any(abs(i - k) > 1 and math.hypot(ax + (bx - ax) * q / 12 - h[3], ay + (by - ay) * q / 12 - h[4]) <= 36.48 for k, h in enumerate(mine) for q in range(13))
+        want[c] = (sliders, hit)
+    assert got == want and want[1] == (3, 3) and want[3] == (2, 0)
+
+
+def test_points_and_spans(spark):
+    r = random.Random(6)
+    peaks = [(c, f, float(f)) for c in (1, 2, 3) for f in sorted(r.sample(range(200), 60))]
+    spans = [(c, a, a + r.choice((0, 1, 5, 40))) for c in (1, 2) for a in r.choices(range(200), k=9)] + [(1, 50, 90), (1, 60, 61)]
+    p, s = spark.createDataFrame(peaks, "chart_id long, frame int, value double"), spark.createDataFrame(spans, "chart_id long, first int, last int")
+    assert sorted(map(tuple, frames.outside_spans(p, s).collect())) == [x for x in peaks if not any(c == x[0] and a <= x[1] <= b for c, a, b in spans)]
+    assert sorted(map(repr, map(tuple, frames.with_next_begin(p, s, "spin").collect()))) == sorted(repr((*x, min((a for c, a, _ in spans if c == x[0] and a > x[1]), default=None))) for x in peaks)
+
+
 def test_unscored_chart_has_quality_zero(spark):
     metrics_ = spark.createDataFrame([(1, 1.0, 0.5), (2, 9.0, 0.5), (3, 1.0, None)], "chart_id long, star_rating double, kiai_ratio double")
     bands_ = spark.createDataFrame([("Easy", "kiai_ratio", 0.0, 1.0)], "bucket string, metric string, p10 double, p90 double")
