@@ -612,7 +612,10 @@ def _(spark, d):
 def _(spark, d):
     charts = views.charts(spark, d).selectExpr("*", "'a.mp3' as audio_filename", "'t' as title", "'a' as artist", "'c' as creator", "'v' as version", "5.0D as hp", "8.0D as od", "9.0D as ar")
     e = timed(spark, d)
-    return charts_io.export_text(charts, e, views.control_points(spark, d), edit.breaks(e)).select("chart_id", F.length("text").alias("characters"), F.md5("text").alias("md5"))
+    folder = shared_folder(charts)
+    charts_io.export_charts(charts, e, views.control_points(spark, d), edit.breaks(e), folder.removeprefix("file://") if folder.startswith("file:///") else folder)
+    files = spark.read.text(f"{folder}/*.txt", wholetext=True)
+    return files.select(F.regexp_extract("_metadata.file_name", r"^([0-9]+)\.txt$", 1).cast("long").alias("chart_id"), F.length("value").alias("characters"), F.md5("value").alias("md5"))
 
 
 @query("W8_U2_recover_gaps")

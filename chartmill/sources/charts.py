@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.ship import ship
+from .line_files import LineFiles
+
 #: Header keys, their column, type and default.
 HEADER = {
     "AudioFilename": ("audio_filename", "string", ""), "Mode": ("mode", "int", 0), "Title": ("title", "string", ""), "Artist": ("artist", "string", ""), "Creator": ("creator", "string", ""), "Version": ("version", "string", ""),
@@ -93,8 +96,8 @@ def read_charts(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, D
     return files.drop("text").join(header_table(lines), "chart_id"), control_point_table(lines), event_table(lines)
 
 
-def export_text(charts: DataFrame, events: DataFrame, points: DataFrame, breaks: DataFrame) -> DataFrame:
-    """(chart_id, text): each chart as a file's text; a chart's lines are gathered, never more than one chart's."""
+def export_lines(charts: DataFrame, events: DataFrame, points: DataFrame, breaks: DataFrame) -> DataFrame:
+    """(chart_id, part, o, line): the lines of each chart's file, whose order is that of part and o."""
     number = lambda c: F.format_string("%s", F.regexp_replace(F.col(c).cast("string"), r"\.0$", ""))
     row = lambda df, part, order, line: df.select("chart_id", F.lit(part).alias("part"), F.struct(*order).cast("struct<a:double,b:double,c:double>").alias("o"), line.alias("line"))
     zero = F.lit(0.0)
@@ -115,10 +118,17 @@ def export_text(charts: DataFrame, events: DataFrame, points: DataFrame, breaks:
     all_rows = rows[0]
     for r in rows[1:]:
         all_rows = all_rows.unionByName(r)
-    gathered = all_rows.groupBy("chart_id").agg(F.array_sort(F.collect_list(F.struct("part", "o", "line"))).alias("rows"))
-    return gathered.select("chart_id", F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("text"))
+    return all_rows
+
 
+def export_charts(charts: DataFrame, events: DataFrame, points: DataFrame, breaks: DataFrame, out: str, suffix: str = ".txt") -> None:
+    """Write each chart as one file under out, named by its chart_id.
 
-def export_charts(charts: DataFrame, events: DataFrame, points: DataFrame, breaks: DataFrame, out: str) -> None:
-    """Write each chart's text under out, a folder for each chart."""
-    export_text(charts, events, points, breaks).write.partitionBy("chart_id").text(out)
+    Lines are dealt by chart, sorted and streamed into the chart's file, so a chart may have any number of lines.  Files
+    appear when all are written; existing ones of the same name are replaced.  out is a path that pyarrow can write from
+    the executors: of a shared file system, hdfs:// or s3://.
+    """
+    ship(charts.sparkSession)
+    charts.sparkSession.dataSource.register(LineFiles)
+    laid = export_lines(charts, events, points, breaks).repartition("chart_id").sortWithinPartitions("chart_id", "part", "o")
+    laid.select(F.col("chart_id").cast("string").alias("name"), "line").write.format("linefiles").option("path", out).option("suffix", suffix).mode("append").save()

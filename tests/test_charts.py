@@ -3,8 +3,10 @@
 import math
 import random
 import statistics
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,7 +88,7 @@ def test_export_round_trip(spark, sample, tmp_path):
     timed = timing.with_timing(events, pts, charts)
     none = spark.createDataFrame([], "chart_id long, start long, end long")
     io.export_charts(charts, timed, pts, none, str(tmp_path / "out"))
-    _, pts2, events2 = (df for df in io.read_charts(spark, str(tmp_path / "out")))  # Spark names the files
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == [f"{r.chart_id}.txt".replace("/", "%2F").replace(":", "%3A") for r in charts.collect()]
     again = io.section_lines(io.chart_scan(spark, str(tmp_path / "out"), "*.txt"))
     key = ["time", "x", "y", "length", "slides", "curve_points"]
     want = sorted(tuple(r) for r in events.where("line_no < 25").select(*key).where("length > 0 or (type & 2) = 0").collect())
@@ -610,6 +612,37 @@ def test_points_and_spans(spark):
     assert sorted(map(repr, map(tuple, frames.with_next_begin(p, s, "spin").collect()))) == sorted(repr((*x, min((a for c, a, _ in spans if c == x[0] and a > x[1]), default=None))) for x in peaks)
 
 
+def test_export_writes_one_file_a_chart(spark, tmp_path):
+    """Many lines of one chart are streamed; a failed write leaves nothing."""
+    from chartmill.sources.line_files import LineFiles, LineWriter
+
+    out = str(tmp_path / "files")
+    spark.dataSource.register(LineFiles)
+    lines = spark.range(200_000).selectExpr("if(id % 3 = 0, 'b/1', 'a') as name", "id").repartition("name").sortWithinPartitions("name", "id").selectExpr("name", "concat('line ', id) as line")
+    for _ in range(2):  # a second write replaces the files
+        lines.write.format("linefiles").option("path", out).mode("append").save()
+    assert sorted(p.name for p in (tmp_path / "files").iterdir()) == ["a.txt", "b%2F1.txt"]
+    assert (tmp_path / "files/b%2F1.txt").read_text().split("\n") == [f"line {i}" for i in range(0, 200_000, 3)]
+    with pytest.raises(Exception, match="nothing to divide|DIVIDE_BY_ZERO|Division by zero"):
+        lines.selectExpr("name", "cast(1 div (length(line) - 6) as string) as line").write.format("linefiles").option("path", str(tmp_path / "failed")).mode("append").save()
+    assert not [p for p in (tmp_path / "failed").rglob("*") if p.is_file() and p.parent == tmp_path / "failed"]
+
+    # memory doesn't grow with a chart's lines: the writer takes batches as they come
+    def batches():
+        batch = pa.RecordBatch.from_arrays([pa.array(["big"] * 10_000), pa.array(["x" * 40] * 10_000)], names=["name", "line"])
+        for _ in range(100):
+            yield batch
+
+    writer = LineWriter(str(tmp_path / "big"), ".chart")
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    message = writer.write(batches())
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000 and pa.total_allocated_bytes() - before < 20_000_000
+    tracemalloc.stop()
+    writer.commit([message, None])
+    assert (tmp_path / "big/big.chart").stat().st_size == 41_000_000 - 1 and len(list((tmp_path / "big").iterdir())) == 1
+
+
 def test_unscored_chart_has_quality_zero(spark):
     metrics_ = spark.createDataFrame([(1, 1.0, 0.5), (2, 9.0, 0.5), (3, 1.0, None)], "chart_id long, star_rating double, kiai_ratio double")
     bands_ = spark.createDataFrame([("Easy", "kiai_ratio", 0.0, 1.0)], "bucket string, metric string, p10 double, p90 double")
