@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,11 +34,15 @@ def nearest_rank(values: DataFrame, by: list[str], value: str = "value", at: tup
 
     Values are counted first, so a group's window holds its distinct values only.
     """
-    counted = values.groupBy(*by, value).agg(F.count("*").alias("_k"))
+    return ranked(values.groupBy(*by, value).agg(F.count("*").alias("_k")), by, value, at)
+
+
+def ranked(counted: DataFrame, by: list[str], value: str, at: tuple[float, ...]) -> DataFrame:
+    """Nearest ranks of distinct values with their counts (_k)."""
     upto = F.sum("_k").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumns({"_upto": upto, "_n": F.sum("_k").over(Window.partitionBy(*by))})
+    placed = counted.withColumns({"_upto": upto, "_n": F.sum("_k").over(Window.partitionBy(*by))})
     picks = [F.min(F.when(F.col("_upto") > F.floor(F.lit(q) * (F.col("_n") - 1)), F.col(value))).alias(f"p{round(100 * q)}") for q in at]
-    return ranked.groupBy(*by).agg(*picks)
+    return placed.groupBy(*by).agg(*picks)
 
 
 #: Parts into which a column is cut before its quantiles are looked up.
@@ -86,6 +91,35 @@ def corpus_bands(metrics: DataFrame) -> DataFrame:
     return moments.join(ranks, ["bucket", "metric"])
 
 
+STATE = ["bucket", "metric", "value"]
+
+
+def band_state(metrics: DataFrame) -> DataFrame:
+    """(bucket, metric, value, count): all that bands need of charts, a row for each distinct value.
+
+    States add up: merged states of two sets of charts are the state of both together.
+    """
+    long = melt(metrics.where("n_objects >= 2").withColumn("bucket", sr_bucket(F.col("star_rating"))), ["bucket"])
+    return long.groupBy(*STATE).agg(F.count("*").alias("count"))
+
+
+def merge_states(state: DataFrame, *deltas: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """state with further states added, and that of charts which are gone taken away."""
+    rows = reduce(DataFrame.unionByName, [state, *deltas, *([gone.withColumn("count", -F.col("count"))] if gone is not None else [])])
+    return rows.groupBy(*STATE).agg(F.sum("count").alias("count")).where("count != 0")
+
+
+def bands_of(state: DataFrame) -> DataFrame:
+    """(bucket, metric, n, mean, std, p10, p90), as corpus_bands has them, from a state."""
+    by = ["bucket", "metric"]
+    total = F.sum(F.col("value").cast("decimal(20,6)") * F.col("count")).cast("double")
+    means = state.groupBy(*by).agg(F.sum("count").alias("n"), F.bround(total / F.sum("count"), 12).alias("middle"))
+    away = F.col("count") * F.pow(F.col("value") - F.col("middle"), 2)
+    spread = state.join(F.broadcast(means), by).groupBy(*by).agg(F.first("n").alias("n"), F.bround(F.first("middle"), 3).alias("mean"), F.bround(F.sqrt(F.sum(away) / F.first("n")), 3).alias("std"))  # a row for each band
+    ranks = ranked(state.withColumnRenamed("count", "_k"), by, "value", (0.1, 0.9)).select(*by, F.bround("p10", 3).alias("p10"), F.bround("p90", 3).alias("p90"))
+    return spread.join(ranks, by)
+
+
 def distribution_summary(values: DataFrame, value: str) -> DataFrame:
     """One row: n, mean, median, p10, p90, min and max of a column, 4 digits; quantiles by nearest rank."""
     p10, median, p90 = (F.lit(v).cast("double") for v in quantiles(values, value, (0.1, 0.5, 0.9)))

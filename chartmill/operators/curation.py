@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, stored, unused_name
 from .components import components
 
 
@@ -40,12 +44,19 @@ def ingest_counters(gated: DataFrame) -> DataFrame:
     return gated.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("charts"))
 
 
+#: What a manifest row that lacks a field, or has none, counts as.
+MISSING = {"star_rating": 0.0, "ar": 5.0, "od": 5.0, "hp": 5.0, "cs": 4.0, "n_objects": 0, "duration_s": 1.0, "aim": 0.0}
+
+
 def context(items: DataFrame) -> DataFrame:
-    """items with ctx: sr/10, ar/10, od/10, hp/10, cs/7, density/12 and aim, each within [0, 1.5]."""
-    bound = lambda e: f"least(1.5D, greatest(0.0D, {e}))"
-    density = "n_objects / greatest(1e-6D, duration_s)"
-    parts = ["star_rating / 10", "ar / 10", "od / 10", "hp / 10", "cs / 7", f"({density}) / 12", "aim"]
-    return items.withColumn("ctx", F.expr(f"array({', '.join(bound(p) for p in parts)})"))
+    """items with ctx: sr/10, ar/10, od/10, hp/10, cs/7, density/12 and aim, each within [0, 1.5].
+
+    A null field, or one that items lack, counts as its value in MISSING.
+    """
+    told = {c: F.coalesce(F.col(c), F.lit(v)) if c in items.columns else F.lit(v) for c, v in MISSING.items()}
+    density = told["n_objects"] / F.greatest(F.lit(1e-6), told["duration_s"])
+    parts = [told["star_rating"] / 10, told["ar"] / 10, told["od"] / 10, told["hp"] / 10, told["cs"] / 7, density / 12, told["aim"]]
+    return items.withColumn("ctx", F.array(*[F.least(F.lit(1.5), F.greatest(F.lit(0.0), p)) for p in parts]))
 
 
 def target_settings(targets: DataFrame, sr: str = "sr", overrides: dict[str, str] | None = None) -> DataFrame:
@@ -66,9 +77,54 @@ def item_key(folder: Column, version: Column, path: Column) -> Column:
     return F.concat_ws("__", F.replace(F.substring(name, 1, 120), F.lit(" "), F.lit("_")), F.substring(F.sha1(F.lower(path)), 1, 8))
 
 
-def usable_limit(charts: DataFrame, usable: DataFrame, n: int, key: str = "chart_id") -> DataFrame:
-    """The first n charts, in the order of their key, that are among the usable ones."""
-    return charts.join(usable.select(key).distinct(), key, "left_semi").orderBy(key).limit(n)
+def usable_limit(charts: DataFrame, measure: Callable[[DataFrame], DataFrame], n: int, key: str = "chart_id", growth: int = 4) -> tuple[DataFrame, int]:
+    """The first n charts, in the order of their key, that measure keeps, and how many charts it was given.
+
+    measure(charts) returns the rows, with the key, of those that are usable.  It gets growing slices of the key order,
+    the first of twice n charts, and no more once n are usable, so a small n measures few charts of a large library.
+    Charts of one key go together; null keys are left out.
+    """
+    if n <= 0:
+        return charts.limit(0), 0
+    good, below, found, given, size = [], None, 0, 0, 2 * n
+    while found < n:
+        rest = charts.where(F.col(key).isNotNull() if below is None else F.col(key) > F.lit(below))
+        keys = rest.select(key).distinct().orderBy(key).limit(size)
+        last, there = keys.agg(F.max(key), F.count("*")).first()
+        if not there:
+            break
+        some = rest.where(F.col(key) <= F.lit(last))
+        usable, _ = stored(measure(some).select(key).distinct())
+        good.append(usable)
+        given, found, below, size = given + some.count(), found + usable.count(), last, size * growth
+    if not good:
+        return charts.limit(0), given
+    usable = reduce(DataFrame.union, good)
+    return charts.join(usable, key, "left_semi").orderBy(key).limit(n), given
+
+
+#: Hex digits by which an edge is narrowed at a time, and the rows that one task may order at it.
+DIGITS, EDGE = 3, 20_000
+
+
+def hash_edge(hashed: DataFrame, weight: Column, target: float) -> tuple[str, int]:
+    """(prefix, before): the slice of the hash column h in whose order the running weight reaches the target, and the
+    weight of all that comes before the slice.
+
+    Slices are counted by more and more leading digits, within the slice that has the edge, until it has at most EDGE
+    rows.  If all the weight is less than the target, the prefix is "g", beyond every hash.
+    """
+    prefix, before, rows = "", 0, None
+    while rows is None or rows > EDGE and len(prefix) < 32:
+        inside = hashed.where(F.col("h").startswith(prefix)).groupBy(F.substring("h", 1, len(prefix) + DIGITS).alias("p"))
+        for r in sorted(inside.agg(F.sum(weight).alias("w"), F.count("*").alias("n")).collect()):
+            if before + r.w >= target:
+                prefix, rows = r.p, r.n
+                break
+            before += r.w
+        else:
+            return "g", before
+    return prefix, before
 
 
 def song_key(title: Column, item: Column, artist: Column | None = None) -> Column:
@@ -91,18 +147,18 @@ def song_groups(manifest: DataFrame) -> DataFrame:
 def grouped_split(groups: DataFrame, fraction: float = 0.1, seed: int = 1234) -> DataFrame:
     """groups with side (val or train): whole groups, in the order of a seeded hash, go to val until it has its share.
 
-    The running total is taken in two steps: totals of the hash's first two hex digits, then within each such slice, so
-    no task orders all groups.
+    Counts by leading digits of the hash tell where val ends; groups before that slice are val, those after it train, and
+    only the slice's own are put in order.
     """
-    sizes = groups.groupBy("group").agg(F.count("*").alias("size")).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("group").cast("string")))).withColumn("slice", F.substring("h", 1, 2))
-    slices = sizes.groupBy("slice").agg(F.sum("size").alias("slice_size"))
-    before = F.coalesce(F.sum("slice_size").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 256 rows at most
-    offsets = slices.select("slice", before.alias("offset"), F.sum("slice_size").over(Window.partitionBy(F.lit(1))).alias("n"))
-    inner = F.coalesce(F.sum("size").over(Window.partitionBy("slice").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    target = F.greatest(F.lit(1.0), F.bround(F.col("n") * fraction, 0))
-    placed = sizes.withColumn("inner", inner).join(F.broadcast(offsets), "slice")
-    sides = placed.select("group", F.when((F.col("offset") + F.col("inner") < target) & F.lit(fraction > 0), "val").otherwise("train").alias("side"))
-    return groups.join(sides, "group")
+    sizes = cut(groups.groupBy("group").agg(F.count("*").alias("size")).withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("group").cast("string")))))
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    target = max(1, round(total * fraction)) if fraction > 0 else 0
+    prefix, before = hash_edge(sizes, F.col("size"), target) if target else ("", 0)
+    here = F.col("h").startswith(prefix)
+    inner = F.coalesce(F.sum("size").over(Window.partitionBy(F.lit(1)).orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # EDGE rows, or those of one hash
+    edge = sizes.where(here).withColumn("inner", inner).select("group", F.when(F.col("inner") + before < target, "val").otherwise("train").alias("side"))
+    clear = sizes.where(~here).select("group", F.when(F.col("h") < prefix, "val").otherwise("train").alias("side"))
+    return groups.join(clear.union(edge) if target else sizes.select("group", F.lit("train").alias("side")), "group")
 
 
 def leaks(manifest: DataFrame, split: DataFrame) -> DataFrame:
@@ -124,9 +180,19 @@ def dedupe_audio(manifest: DataFrame) -> DataFrame:
 
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """n rows in the order of a seeded hash of the key, the same for any layout; 0 gives all."""
-    ordered = rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key)
-    return ordered.limit(n) if n else rows
+    """n rows in the order of a seeded hash of the key, the same for any layout; 0 gives all.
+
+    Counts by leading digits of the hash tell in which slice the n-th row is; rows before it are taken by a filter, and
+    only the slice's own are put in order, so no task holds n rows.
+    """
+    if not n:
+        return rows
+    name = unused_name(rows, "_hash")
+    hashed = rows.withColumn(name, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    prefix, before = hash_edge(hashed.select(F.col(name).alias("h")), F.lit(1), n)
+    sure = hashed.where(~F.col(name).startswith(prefix) & (F.col(name) < prefix))
+    edge = hashed.where(F.col(name).startswith(prefix)).orderBy(name, key).limit(max(0, n - before))
+    return sure.union(edge).drop(name)
 
 
 def first_per_audio(manifest: DataFrame, limit: int = 0) -> DataFrame:

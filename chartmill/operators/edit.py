@@ -109,6 +109,14 @@ def clamp_playfield(events: DataFrame, w: int = 512, h: int = 384) -> DataFrame:
     return rows.withColumns({"end_time": end, "length": length}).drop("slider", "poly_len", "a", "b", "dx", "dy", "norm", "new_len")
 
 
+def heads_moved(events: DataFrame, w: int = 512, h: int = 384) -> DataFrame:
+    """(chart_id, moved, reshaped): how many heads of each chart clamp_playfield moves, and how many sliders it changes."""
+    kept = clamp_playfield(events.withColumns({"_x": F.col("x"), "_y": F.col("y"), "_length": F.col("length"), "_points": F.col("curve_points")}), w, h)
+    moved = F.expr("x != _x or y != _y")
+    slider = F.expr("(type & 2) != 0 and size(_points) > 0 and _length > 0")
+    return kept.groupBy(CHART).agg(F.count_if(moved).alias("moved"), F.count_if(slider & (moved | F.expr("length != _length or curve_points != _points"))).alias("reshaped"))
+
+
 def merge_green(base: DataFrame, kiai: DataFrame, sections: DataFrame) -> DataFrame:
     """(chart_id, time, beat_length, effects) of the green points that carry both velocity sections and kiai spans.
 

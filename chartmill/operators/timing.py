@@ -90,12 +90,19 @@ def octave_fold(bpm: str, low: float = 89.0, high: float = 205.0) -> Column:
     return F.expr(f"case when {bpm} <= 0 then 0.0D when {bpm} < {low}D then {up} when {bpm} >= {high}D then {down} else {bpm} end")
 
 
-def tempo_estimate(beats: DataFrame, key: str = "song_id") -> DataFrame:
-    """(key, bpm, offset_ms) from the median time between beats, folded; fewer than two beats give 0 and 0."""
+def tempo_estimate(beats: DataFrame, key: str = "song_id", given: DataFrame | None = None) -> DataFrame:
+    """(key, bpm, offset_ms) from the median time between beats, folded.
+
+    Fewer than two beats, or a median of 0, give the tempo of given (key, bpm), folded too, or 0 without one, and two
+    beats at least the offset of the first, else 0.  Songs of given without any beat are told as well.
+    """
     gaps = beats.withColumn("gap", F.col("beat_ms") - F.lag("beat_ms").over(Window.partitionBy(key).orderBy("beat_ms", "line_no")))
     found = gaps.groupBy(key).agg(F.count("*").alias("n"), F.expr("percentile(gap, 0.5D)").alias("gap"), F.min("beat_ms").alias("first"))
-    raw = found.withColumn("raw", F.expr("case when n < 2 or gap <= 0 then 0.0D else 60000.0D / gap end"))
-    return raw.select(key, F.bround(octave_fold("raw"), 3).alias("bpm"), F.expr("case when n < 2 then 0.0D else bround(first, 1) end").alias("offset_ms"))
+    if given is not None:
+        found = found.join(given.groupBy(key).agg(F.max(F.col("bpm").cast("double")).alias("told")), key, "full")
+    told = "coalesce(told, 0.0D)" if given is not None else "0.0D"
+    raw = found.withColumn("raw", F.expr(f"case when coalesce(n, 0) < 2 or gap <= 0 then {told} else 60000.0D / gap end"))
+    return raw.select(key, F.bround(octave_fold("raw"), 3).alias("bpm"), F.expr("case when coalesce(n, 0) < 2 then 0.0D else bround(first, 1) end").alias("offset_ms"))
 
 
 def tempo_eval(pred: DataFrame, tolerance: float = 0.1) -> DataFrame:

@@ -49,6 +49,26 @@ def forget(df: DataFrame, path: str) -> None:
     where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def exists(df: DataFrame, path: str) -> bool:
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(where)
+
+
+def replace_partitions(kept: DataFrame, path: str, column: str, touched: list) -> None:
+    """Make the folders of the touched values of a column in a Parquet table hold kept's rows, and leave the others.
+
+    The rows are written to the shared folder first, so they may come from the table itself; Spark moves the new files of
+    a folder in when all are written.
+    """
+    rows, folder = stored(kept)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    full = {r[0] for r in rows.select(column).distinct().collect()}
+    for value in touched:
+        if value not in full and exists(kept, f"{path}/{column}={value}"):
+            forget(kept, f"{path}/{column}={value}")
+    forget(rows, folder)
+
+
 def unused_name(df: DataFrame, name: str) -> str:
     """The name, lengthened until no column of df has it."""
     taken = {c.lower() for c in df.columns}

@@ -793,9 +793,54 @@ def _(spark, d):
     return views.charts(spark, d).select("chart_id", curation.audio_key(F.concat_ws("/", F.lit("Songs"), "folder", F.col("audio_id").cast("string"))).alias("audio_key"), curation.item_key(F.col("folder"), version, path).alias("item_id"))
 
 
-@query("T6_usable_limit", "select chart_id from mb where n_objects >= 35 order by chart_id limit 25")
+@query("T6_usable_limit", """, us as (select chart_id, coalesce(n_objects, 0) >= 35 ok, row_number() over (order by chart_id) r from ch left join mb using (chart_id)),
+  given as (select least(total, coalesce(min(size), total)) measured from (select count(*) total from us), (select unnest([50, 250, 1050, 4250, 17050, 68250]) size) where (select count_if(ok and r <= size) from us) >= 25 group by total)
+  select chart_id, (select measured from given) measured from us where ok order by chart_id limit 25""")
 def _(spark, d):
-    return curation.usable_limit(views.charts(spark, d), chart_metrics(spark, d).where("n_objects >= 35"), 25).select("chart_id")
+    """The first charts that are large enough; only slices of the library are timed and measured until there are 25."""
+    points, e = views.control_points(spark, d), views.events(spark, d)
+
+    def large(charts: DataFrame) -> DataFrame:
+        mine = lambda df: df.join(charts.select("chart_id"), "chart_id", "left_semi")
+        return metrics.chart_metrics(cut(timing.with_timing(mine(e), mine(points), charts)), mine(points), charts).where("n_objects >= 35")
+
+    first, measured = curation.usable_limit(views.charts(spark, d), large, 25)
+    return first.select("chart_id", F.lit(measured).cast("long").alias("measured"))
+
+
+@query("A2_band_state", "select bucket, metric, n, mean, std, p10, p90 from bd")
+def _(spark, d):
+    """Bands of all charts from the stored states of three parts of them, one of which was counted twice and taken away."""
+    m = chart_metrics(spark, d)
+    states = [stored(bands.band_state(m.where(F.col("chart_id") % 3 == r)))[0] for r in range(3)]
+    return bands.bands_of(bands.merge_states(states[0], states[1], states[2], states[1], gone=states[1]))
+
+
+@query("P7_missing_settings", """select chart_id, round_even(least(1.5::double, coalesce(sr, 0) / 10), 6) c1, round_even(coalesce(ar, 5) / 10, 6) c2, 0.5::double c3, 0.5::double c4, round_even(coalesce(cs, 4) / 7, 6) c5,
+  round_even(least(1.5::double, coalesce(n_objects, 0) / greatest(1e-6::double, coalesce(dur, 1)) / 12), 6) c6, 0.0::double c7
+  from (select chart_id, case when chart_id % 3 <> 0 then star_rating end sr, case when chart_id % 4 <> 0 then 9.0::double end ar, case when chart_id % 5 <> 0 then cs end cs, case when chart_id % 6 <> 0 then n_objects end n_objects, case when chart_id % 7 <> 0 then duration_s end dur from mb join (select chart_id, cs from ch) using (chart_id))""")
+def _(spark, d):
+    """Settings that rows lack: some null, od, hp and aim no columns at all."""
+    less = lambda c, k: F.when(F.col("chart_id") % k != 0, c)
+    rows = chart_metrics(spark, d).join(views.charts(spark, d).select("chart_id", "cs"), "chart_id")
+    items = rows.select("chart_id", less(F.col("star_rating"), 3).alias("star_rating"), less(F.lit(9.0), 4).alias("ar"), less(F.col("cs"), 5).alias("cs"), less(F.col("n_objects"), 6).alias("n_objects"), less(F.col("duration_s"), 7).alias("duration_s"))
+    return curation.context(items).select("chart_id", *[F.bround(F.col("ctx")[i], 6).alias(f"c{i + 1}") for i in range(7)])
+
+
+@query("A12_given_tempo", """select song_id, round_even(case when raw <= 0 then 0 when raw < 89 then raw * 2.0::double ** ceil(log2(89 / raw)) when raw >= 205 then raw / 2.0::double ** (floor(log2(raw / 205)) + 1) else raw end, 3) bpm,
+  case when coalesce(n, 0) < 2 then 0 else round_even(first, 1) end offset_ms from (select coalesce(g.song_id, t.song_id) song_id, n, first, case when coalesce(n, 0) < 2 or gap <= 0 then coalesce(told, 0) else 60000.0::double / gap end raw from (
+    select song_id, count(*) n, quantile_cont(g, 0.5) gap, min(beat_ms) first from (select *, beat_ms - lag(beat_ms) over (partition by song_id order by beat_ms, line_no) g from bt where kind = 'ref' and (song_id % 3 <> 0 or line_no % 97 = 0)) group by song_id) g
+    full join (select chart_id song_id, 60.0::double + chart_id told from ch where chart_id % 2 = 0) t using (song_id))""")
+def _(spark, d):
+    beats = views.beats(spark, d).where("kind = 'ref' and (song_id % 3 != 0 or line_no % 97 = 0)")
+    given = views.charts(spark, d).where("chart_id % 2 = 0").select(F.col("chart_id").alias("song_id"), (F.col("chart_id") + 60.0).alias("bpm"))
+    return timing.tempo_estimate(beats, given=given)
+
+
+@query("P13_heads_moved", """select chart_id, count_if(hx < 0 or hx > 512) moved from (select chart_id, x * 2 - 256 hx from ev) group by chart_id""")
+def _(spark, d):
+    """Heads that a stretched playfield moves out, clamped."""
+    return edit.heads_moved(timed(spark, d).withColumn("x", F.col("x") * 2 - 256)).select("chart_id", "moved")
 
 
 @query("P8_overrides", "select chart_id, case when chart_id % 3 = 0 then cs else least(10.0::double, 7.75::double + 0.25::double * star_rating) end ar, round_even(least(10.0::double, 4 + 0.7::double * star_rating), 9) od, cs, greatest(0.8::double, 0.8::double * star_rating) density from ch")
@@ -926,6 +971,23 @@ def _(spark, d):
     return spark.read.parquet(folder).select("chart_id", F.col("bucket").cast("string"), "frames", "n_objects", "audio_key", "item_id", "bpm", "n_timing_points", "n_uninherited", "has_kiai", "aim_intensity")
 
 
+@query("R7_refresh", f"""select chart_id, bucket, cast(least(floor(240000 / {FR}), floor(last_end / {FR}) + 1) as int) frames, n_objects,
+  regexp_replace(folder || '__' || filename, '[^\\p{{L}}\\p{{N}}._ -]', '', 'g') || '__' || substr(sha1(lower(folder || '/' || filename)), 1, 8) item_id, aim aim_intensity,
+  case when chart_id % 7 = 0 then 2 else 1 end build, (select count(*) from ch where chart_id % 7 = 0) measured, 0::bigint gone
+  from ({KEPT}) join (select chart_id, max(end_time) last_end from ev group by 1) using (chart_id) join (select chart_id // 3 audio_id, round_even(greatest(0.0::double, least(1.0::double, avg(value) / max(value) / 0.35::double)), 4) aim from lg group by 1) using (audio_id)""")
+def _(spark, d):
+    """A data set of six charts in seven, then of all: build tells in which of the two a row was made."""
+    charts, points, e, status = views.charts(spark, d), views.control_points(spark, d), views.events(spark, d), views.chart_status(spark, d)
+    folder = shared_folder(charts)
+    some = charts.where("chart_id % 7 != 0")
+    options = {"gates": {"max_red": 13, "min_objects": 35}, "onsets": views.onset_frames(spark, d), "with_frames": False}
+    dataset.refresh(some, points.where("chart_id % 7 != 0"), e.where("chart_id % 7 != 0"), status, folder, **options)
+    first = cut(spark.read.parquet(f"{folder}/manifest").select("chart_id", F.lit(1).alias("build")))
+    measured, gone = dataset.refresh(charts, points, e, status, folder, **options)
+    whole = spark.read.parquet(f"{folder}/manifest").join(first, "chart_id", "left")
+    return whole.select("chart_id", F.col("bucket").cast("string"), "frames", "n_objects", "item_id", "aim_intensity", F.coalesce("build", F.lit(2)).alias("build"), F.lit(measured).cast("long").alias("measured"), F.lit(gone).cast("long").alias("gone"))
+
+
 @query("S5_S11_frames", f"""select chart_id, cast(least(floor(240000 / {FR}), floor(last_end / {FR}) + 1) as bigint) frames from ({KEPT}) join (select chart_id, max(end_time) last_end from ev group by 1) using (chart_id)""")
 def _(spark, d):
     manifest = built(spark, d)

@@ -15,10 +15,14 @@ def write_manifest(items: DataFrame, path: str, bucket: str = "bucket") -> None:
     items.write.mode("overwrite").partitionBy(bucket).parquet(path)
 
 
+def in_parts(rows: DataFrame, folders: int = 64) -> DataFrame:
+    """rows with the part in which their chart's frames lie."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("chart_id"), F.lit(folders)).cast("int"))
+
+
 def write_frames(frames: DataFrame, path: str, folders: int = 64) -> None:
     """Frame tables as Parquet in folders by a hash of their chart, so that a chart's frames are read from one."""
-    keyed = frames.withColumn("part", F.pmod(F.xxhash64("chart_id"), F.lit(folders)).cast("int"))
-    keyed.repartition("part").sortWithinPartitions("part", "chart_id", "frame").write.mode("overwrite").partitionBy("part").parquet(path)
+    in_parts(frames, folders).repartition("part").sortWithinPartitions("part", "chart_id", "frame").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

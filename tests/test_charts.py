@@ -1,5 +1,6 @@
 """Chart operators on small inputs with known results."""
 
+import hashlib
 import math
 import random
 import statistics
@@ -643,6 +644,92 @@ def test_export_writes_one_file_a_chart(spark, tmp_path):
     assert (tmp_path / "big/big.chart").stat().st_size == 41_000_000 - 1 and len(list((tmp_path / "big").iterdir())) == 1
 
 
+def test_refresh_measures_what_changed(spark, tmp_path, monkeypatch):
+    from chartmill.plans import dataset
+
+    folder, ids = str(tmp_path / "set"), range(1, 8)
+    charts = spark.createDataFrame([(c, "Set", f"map {c}", c, 0, 4.0, 1.4, 3.0 if c != 4 else 7.0) for c in ids], "chart_id long, folder string, filename string, audio_id long, mode int, cs double, slider_multiplier double, star_rating double")
+    rows = [(c, i, 500 * i, 100 + 30 * (i % 5), 100, 1, 2 * (c != 6), None, [], 1, 0.0, 500 * i) for c in ids for i in range(55)]
+    points = spark.createDataFrame([(c, 0, 0.0, 500.0, 4, True, 1) for c in ids], POINTS)
+    status = charts.select("folder", "filename", F.lit(4).alias("status"), "mode")
+    given, build = [], dataset.build
+    monkeypatch.setattr(dataset, "build", lambda c, *a: given.append({r.chart_id for r in c.collect()}) or build(c, *a))
+
+    def run(charts, rows, status=status):
+        given.clear()
+        told = dataset.refresh(charts, points, spark.createDataFrame(rows, EVENTS), status, folder)
+        kept = {r.chart_id: r for r in spark.read.parquet(f"{folder}/manifest").collect()}
+        sizes = {r.chart_id: r["count"] for r in spark.read.parquet(f"{folder}/frames").groupBy("chart_id").count().collect()}
+        assert sizes == {c: r.frames for c, r in kept.items()}
+        return told, list(given), kept
+
+    told, measured, kept = run(charts, rows)
+    assert told == (7, 0) and measured == [set(ids)] and set(kept) == set(ids) - {6}  # 6 has no hitsounds
+    files = sorted(p.name for p in (tmp_path / "set/manifest").rglob("*.parquet"))
+    told, measured, _ = run(charts, rows)
+    assert told == (0, 0) and measured == [] and files == sorted(p.name for p in (tmp_path / "set/manifest").rglob("*.parquet"))
+    more = [(*r[:6], 2, *r[7:]) if r[0] == 6 else r for r in rows if r[0] != 2] + [r for r in rows if r[0] == 2][:52]
+    told, measured, kept = run(charts, more[::-1])
+    assert told == (2, 0) and measured == [{2, 6}] and set(kept) == set(ids) and kept[2].n_objects == 52
+    assert {p.name for p in (tmp_path / "set/manifest/bucket=Expert+").glob("*.parquet")} <= set(files)  # not written anew
+    told, measured, kept = run(charts.where("chart_id != 4"), [r for r in more if r[0] != 4], status.where("filename != 'map 3'"))
+    assert told == (1, 1) and measured == [{3}] and set(kept) == {1, 2, 5, 6, 7} and not (tmp_path / "set/manifest/bucket=Expert+").exists()
+
+
+def test_band_states_add_up(spark):
+    r = random.Random(7)
+    rows = spark.createDataFrame([(i, r.choice((1, 60)), round(r.uniform(0, 8), 2), round(r.uniform(0, 3), 1) if r.random() < 0.9 else None) for i in range(300)], "chart_id long, n_objects int, star_rating double, mean_spacing_px double")
+    states = [bands.band_state(rows.where(f"chart_id % 3 = {k}")) for k in range(3)]
+    want = sorted(map(tuple, bands.corpus_bands(rows).select("bucket", "metric", "n", "mean", "std", "p10", "p90").collect()))
+    assert sorted(map(tuple, bands.bands_of(bands.merge_states(*states)).select("bucket", "metric", "n", "mean", "std", "p10", "p90").collect())) == want
+    two = bands.merge_states(bands.merge_states(*states), gone=states[2])
+    assert sorted(map(tuple, two.collect())) == sorted(map(tuple, bands.merge_states(*states[:2]).select(two.columns).collect()))
+
+
+def test_limit_measures_slices(spark):
+    charts = spark.range(5000).selectExpr("id as chart_id").union(spark.createDataFrame([(None,)], "chart_id long"))
+    given = []
+
+    def even(some):
+        given.append(some.count())
+        return some.where("chart_id % 2 = 0")
+
+    first, measured = curation.usable_limit(charts, even, 10)
+    assert [x.chart_id for x in first.collect()] == list(range(0, 20, 2)) and measured == 20 and given == [20]
+    given.clear()
+    first, measured = curation.usable_limit(charts, lambda some: even(some).where("chart_id % 100 = 98"), 10)
+    assert [x.chart_id for x in first.collect()] == list(range(98, 1000, 100)) and measured == sum(given) == 20 + 80 + 320 + 1280
+    assert curation.usable_limit(charts, lambda some: some, 9000)[0].count() == 5000 and curation.usable_limit(charts, even, 0)[0].count() == 0
+    assert curation.usable_limit(charts.limit(0), even, 3)[0].count() == 0
+
+
+@pytest.mark.parametrize("edge", [1, 20, 20_000])
+def test_hash_order_without_sorting_all(spark, monkeypatch, edge):
+    monkeypatch.setattr(curation, "EDGE", edge)
+    md5 = lambda seed, v: hashlib.md5(f"{seed}:{v}".encode()).hexdigest()
+    rows = spark.range(3000).selectExpr("id as item_id", "'x' as _hash")
+    order = sorted(range(3000), key=lambda v: md5(7, v))
+    for n in (1, 17, 2999, 3000, 4000):
+        assert {r.item_id for r in curation.seeded_sample(rows, "item_id", n, 7).collect()} == set(order[:n])
+    groups = rows.selectExpr("item_id", "item_id div 5 as group")
+    for fraction in (0.001, 0.1, 0.5, 1.0):
+        want, taken = set(), 0
+        for group in sorted(range(600), key=lambda v: md5(1234, v)):
+            if taken < max(1, round(3000 * fraction)):
+                want.add(group)
+            taken += 5
+        got = curation.grouped_split(groups, fraction)
+        assert {r.group for r in got.where("side = 'val'").collect()} == want and got.count() == 3000
+
+
+def test_heads_moved_and_given_tempo(spark):
+    e = spark.createDataFrame([(1, 0, 0, -5, 10, 1, 0, None, [], 1, 0.0, 0), (1, 1, 10, 5, 10, 1, 0, None, [], 1, 0.0, 10), (1, 2, 20, 500, 200, 2, 0, "L", [(520, 200)], 1, 300.0, 1000), (2, 0, 0, 512, 384, 1, 0, None, [], 1, 0.0, 0)], EVENTS)
+    assert {r.chart_id: (r.moved, r.reshaped) for r in edit.heads_moved(e).collect()} == {1: (1, 1), 2: (0, 0)}
+    beats = spark.createDataFrame([(1, 0, 100.0), (2, 0, 0.0), (2, 1, 500.0), (3, 0, 7.0)], "song_id long, line_no long, beat_ms double")
+    given = spark.createDataFrame([(1, 50.0), (2, 99.0), (4, 410.0)], "song_id long, bpm double")
+    assert {r.song_id: (r.bpm, r.offset_ms) for r in timing.tempo_estimate(beats, given=given).collect()} == {1: (100.0, 0.0), 2: (120.0, 0.0), 3: (0.0, 0.0), 4: (102.5, 0.0)}
+
+
 def test_unscored_chart_has_quality_zero(spark):
     metrics_ = spark.createDataFrame([(1, 1.0, 0.5), (2, 9.0, 0.5), (3, 1.0, None)], "chart_id long, star_rating double, kiai_ratio double")
     bands_ = spark.createDataFrame([("Easy", "kiai_ratio", 0.0, 1.0)], "bucket string, metric string, p10 double, p90 double")
