@@ -151,6 +151,39 @@ def calibration_report(scored: DataFrame, defects: list[str] | None = None) -> D
     return stats.join(ranks, ["dim", "key"]).select("dim", "key", "n", *[F.bround(c, 4).alias(n) for c, n in names.items()])
 
 
+def nested_report(report: DataFrame, scored: DataFrame, bottom: int = 20) -> DataFrame:
+    """One row, as an audit is written: n_scored, overall, playability, per_bucket, per_family, per_metric, per_defect and
+    bottom_n with the charts of the least rewards and their worst family.
+
+    report is calibration_report's, of some hundred rows whatever the corpus; its statistics become structs in maps.
+    """
+    told = report.withColumn("s", F.struct("n", "mean", "median", "p10", "p90", "min", "max"))
+    of = lambda dim, value: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("dim") == dim, F.struct("key", value))))).alias
+    one = told.groupBy().agg(
+        of("overall", F.col("s"))("overall"), F.first(F.when(F.col("dim") == "playability", F.col("s")), True).alias("playability"),
+        of("bucket_reward", F.col("s"))("r"), of("bucket_quality", F.col("s"))("q"), of("family", F.col("s"))("per_family"), of("metric", F.col("mean"))("per_metric"), of("defect", F.col("mean"))("per_defect"),
+    )
+    worst = F.element_at(F.sort_array(F.transform(F.map_entries("family"), lambda e: F.struct(e["value"].alias("value"), e["key"].alias("key")))), 1)["key"]
+    tail = scored.orderBy("reward", "chart_id").limit(bottom).select(F.struct("reward", "chart_id", worst.alias("worst_family")).alias("c"))
+    tail = tail.groupBy().agg(F.sort_array(F.collect_list("c")).alias("bottom_n"))
+    per_bucket = F.map_zip_with("r", "q", lambda _, r, q: F.struct(r.alias("reward"), q.alias("quality"))).alias("per_bucket")
+    sizes = scored.agg(F.count("*").alias("n_scored"))
+    whole = sizes.join(one, F.lit(True)).join(tail, F.lit(True))  # one row each
+    return whole.select("n_scored", "overall", "playability", per_bucket, "per_family", "per_metric", "per_defect", "bottom_n")
+
+
+def probe_mean(scored: DataFrame, charts: DataFrame, by: str = "audio_id", value: str = "reward") -> DataFrame:
+    """One row: the mean value of the first chart of each audio file, 6 digits, and how many there are; songs without a
+    scored first chart are left out."""
+    first = charts.groupBy(by).agg(F.min("chart_id").alias("chart_id"))
+    return scored.join(first, "chart_id", "left_semi").agg(F.bround(F.avg(value), 6).alias("probe"), F.count(value).alias("probes"))
+
+
+def lever_sweep(rows: DataFrame, lever: Column, metrics: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """(knob, by, names): mean of each metric, 6 digits, for every value of a lever; metrics names columns of rows."""
+    return rows.groupBy(lever.alias("knob"), *by or []).agg(*[F.bround(F.avg(c), 6).alias(n) for n, c in metrics.items()])
+
+
 def best_of_n_report(candidates: DataFrame, aborted: DataFrame | None = None) -> DataFrame:
     """One row a job: winner, reward_mean, reward_max, n_completed, n_aborted, steps_saved and the rows of the candidates
     that completed, by index; aborted is early_abort's result, whose aborted candidates take no part.

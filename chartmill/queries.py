@@ -646,17 +646,15 @@ def _(spark, d):
     return charts.select("chart_id").join(q, "chart_id", "left").select("chart_id", F.bround(F.coalesce("quality", F.lit(0.0)), 4).alias("quality"))
 
 
-@query("A23_probe_mean", """select round_even(avg(reward), 6) probe from (select reward, row_number() over (partition by set_id order by chart_id) r from rw join ch using (chart_id)) where r = 1""")
+@query("A23_probe_mean", """select round_even(avg(reward), 6) probe, count(*) probes from (select reward, row_number() over (partition by set_id order by chart_id) r from rw join ch using (chart_id)) where r = 1""")
 def _(spark, d):
-    first = views.charts(spark, d).groupBy("audio_id").agg(F.min("chart_id").alias("chart_id"))
-    return scored(spark, d).join(first, "chart_id", "left_semi").agg(F.bround(F.avg("reward"), 6).alias("probe"))
+    return score.probe_mean(scored(spark, d), views.charts(spark, d))
 
 
 @query("A24_lever_sweep", """select chart_id % 4 knob, bucket, round_even(avg(density_per_s), 6) density, round_even(avg(mean_spacing_px), 6) spacing, round_even(avg(jump_ratio), 6) jump, round_even(avg(stream_ratio), 6) stream from mb group by all""")
 def _(spark, d):
-    names = {"density": "density_per_s", "spacing": "mean_spacing_px", "jump": "jump_ratio", "stream": "stream_ratio"}
-    rows = chart_metrics(spark, d).select((F.col("chart_id") % 4).alias("knob"), bands.sr_bucket(F.col("star_rating")).alias("bucket"), *names.values())
-    return rows.groupBy("knob", "bucket").agg(*[F.bround(F.avg(v), 6).alias(k) for k, v in names.items()])
+    rows = chart_metrics(spark, d).withColumn("bucket", bands.sr_bucket(F.col("star_rating")))
+    return score.lever_sweep(rows, F.col("chart_id") % 4, {"density": "density_per_s", "spacing": "mean_spacing_px", "jump": "jump_ratio", "stream": "stream_ratio"}, ["bucket"])
 
 
 @query("F6_simplify")
@@ -897,6 +895,47 @@ def _(spark, d):
     return score.calibration_report(calibrated(spark, d), ["unhittable"])
 
 
+@query("S8_nested_report", """, st as (select dim, "key", count(*) n, cast(round_even(cast(cast(sum(cast(v as decimal(20, 6))) as double) / count(*) as decimal(30, 12)), 4) as double) mean, round_even(list_sort(list(v))[cast(floor(0.9::double * (count(*) - 1)) as bigint) + 1], 4) p90 from cal group by 1, 2)
+  select dim part, "key" as name, case when dim not in ('metric', 'defect') then n end n, case when dim not in ('metric', 'defect') then p90 end p90, mean from st
+  union all select 'bottom', chart_id::varchar, row_number() over (order by reward, chart_id), null, reward from (select * from rw order by reward, chart_id limit 20) union all select 'all', 'scored', count(*), null, null from rw""")
+def _(spark, d):
+    """The audit as one JSON document, written, read and taken apart again."""
+    rows = cut(calibrated(spark, d))
+    report = score.nested_report(cut(score.calibration_report(rows, ["unhittable"])), rows)
+    folder = shared_folder(rows)
+    stores.write_document(report, folder)
+    told = spark.read.schema(report.schema).json(folder)
+    part = lambda name, key, n, p90, mean: F.struct(F.lit(name).alias("part"), key.cast("string").alias("name"), n.cast("long").alias("n"), p90.cast("double").alias("p90"), mean.cast("double").alias("mean"))
+    stat = lambda name, key, s: part(name, key, s["n"], s["p90"], s["mean"])
+    each = lambda column, make: F.transform(F.map_entries(column), lambda e: make(e["key"], e["value"]))
+    none = F.lit(None)
+    parts = [
+        each("overall", lambda k, s: stat("overall", k, s)), F.array(stat("playability", F.lit("all"), F.col("playability"))), each("per_bucket", lambda k, s: stat("bucket_reward", k, s["reward"])), each("per_bucket", lambda k, s: stat("bucket_quality", k, s["quality"])),
+        each("per_family", lambda k, s: stat("family", k, s)), each("per_metric", lambda k, v: part("metric", k, none, none, v)), each("per_defect", lambda k, v: part("defect", k, none, none, v)),
+        F.transform("bottom_n", lambda c, i: part("bottom", c["chart_id"], i + 1, none, c["reward"])), F.array(part("all", F.lit("scored"), F.col("n_scored"), none, none)),
+    ]
+    return told.select(F.explode(F.concat(*parts)).alias("p")).select("p.*")
+
+
+@query("S3_status_table", """select chart_id, folder, filename from ch where "mode" = 0 and chart_id % 17 <> 0 and chart_id % 8 in (4, 5, 7)""")
+def _(spark, d):
+    """Wanted charts by a status table in CSV, under other column names."""
+    status = views.chart_status(spark, d)
+    folder = f"{shared_folder(status)}.csv"
+    status.select(F.col("folder").alias("Set_Folder"), F.col("filename").alias("file"), F.col("status").alias("ranked_status"), F.col("mode").alias("MODE")).write.option("header", True).csv(folder)
+    return curation.ranked_join(views.charts(spark, d), stores.read_status(spark, folder)).select("chart_id", "folder", "filename")
+
+
+@query("S4_audio_frames", """select audio_id, frames, round_even(case when top > 0 then greatest(0.0::double, least(1.0::double, mean / top / 0.35::double)) else 0 end, 4) aim from (select chart_id // 3 audio_id, count(*) frames, avg(value) mean, max(value) top from lg group by 1)""")
+def _(spark, d):
+    """Aim from a stored table of onset strengths."""
+    rows = views.onset_frames(spark, d)
+    folder = shared_folder(rows)
+    rows.write.parquet(folder)
+    read = stores.read_onsets(spark, folder)
+    return metrics.aim_intensity(read).join(read.groupBy("audio_id").agg(F.count("*").alias("frames")), "audio_id")
+
+
 CTES["abx"] = "select a.job_id, a.cand, count_if(step_k < abort_k) saved from (" + " union all ".join(f"select * from ab{_c}" for _c in range(5)) + ") a join tr t on t.job_id = a.job_id and t.cand = a.cand where abort_k is not null group by 1, 2"
 
 

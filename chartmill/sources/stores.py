@@ -74,6 +74,38 @@ def write_report(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def write_document(report: DataFrame, path: str) -> None:
+    """A report of one row as one JSON document, in one file of the folder."""
+    report.coalesce(1).write.mode("overwrite").json(path)
+
+
+#: Columns of a status table, and further names that they go by.
+STATUS = {"folder": ("string", "set_folder"), "filename": ("string", "file"), "status": ("int", "ranked_status"), "mode": ("int", "ruleset"), "set_id": ("long", "beatmapset_id"), "chart_no": ("long", "beatmap_id")}
+
+
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, filename, status, mode, set_id, chart_no) of Parquet, or of CSV with a header (*.csv or a folder of them).
+
+    Columns may go by their further names, in any case; what is missing or no number is null.  Rows without folder,
+    filename or status are left out, and a missing mode is 0.
+    """
+    table = spark.read.option("header", True).csv(path) if path.rstrip("/").endswith("csv") else spark.read.parquet(path)
+    have = {c.lower(): c for c in table.columns}
+    found = {c: next((have[n] for n in (c, other) if n in have), None) for c, (_, other) in STATUS.items()}
+    cell = lambda c, t: (F.col(f"`{found[c]}`").cast("string").try_cast(t) if found[c] else F.lit(None).cast(t)).alias(c)
+    rows = table.select(*[cell(c, t) for c, (t, _) in STATUS.items()])
+    return rows.withColumn("mode", F.coalesce("mode", F.lit(0))).where("folder is not null and filename is not null and status is not null")
+
+
+def read_onsets(spark: SparkSession, path: str) -> DataFrame:
+    """(audio_id, frame, strength) of Parquet that has a row for each frame, or for each audio file an array of strengths."""
+    table = spark.read.parquet(path)
+    kind = table.schema["strength"].dataType.simpleString()
+    if kind.startswith("array"):
+        return table.select("audio_id", F.posexplode("strength").alias("frame", "strength")).withColumn("strength", F.col("strength").cast("double"))
+    return table.select("audio_id", F.col("frame").cast("int").alias("frame"), F.col("strength").cast("double").alias("strength"))
+
+
 def read_training_log(spark: SparkSession, path: str) -> DataFrame:
     """(run, epoch, train_loss, val_loss, val_loss_ema) of CSV logs with a header; a column that a log lacks is null."""
     columns = {"run": "string", "epoch": "int", "train_loss": "double", "val_loss": "double", "val_loss_ema": "double"}

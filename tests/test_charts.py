@@ -730,6 +730,18 @@ def test_heads_moved_and_given_tempo(spark):
     assert {r.song_id: (r.bpm, r.offset_ms) for r in timing.tempo_estimate(beats, given=given).collect()} == {1: (100.0, 0.0), 2: (120.0, 0.0), 3: (0.0, 0.0), 4: (102.5, 0.0)}
 
 
+def test_readers_of_status_and_onsets(spark, tmp_path):
+    from chartmill.sources import stores
+
+    (tmp_path / "status.csv").write_text("Set_Folder,file,Status,beatmap_id,other\n17 A,a,4,99,x\n17 A,b,x,1,x\n,c,4,1,x\n18 B,d,5,,x\n")
+    got = stores.read_status(spark, str(tmp_path / "status.csv")).orderBy("filename").collect()
+    assert [tuple(r) for r in got] == [("17 A", "a", 4, 0, None, 99), ("18 B", "d", 5, 0, None, None)]
+    spark.createDataFrame([("f", "g", 7, 3)], "folder string, filename string, status int, ruleset int").write.parquet(str(tmp_path / "p"))
+    assert stores.read_status(spark, str(tmp_path / "p")).first().mode == 3
+    spark.createDataFrame([(1, [0.5, 1.0]), (2, [])], "audio_id long, strength array<float>").write.parquet(str(tmp_path / "o"))
+    assert sorted(map(tuple, stores.read_onsets(spark, str(tmp_path / "o")).collect())) == [(1, 0, 0.5), (1, 1, 1.0)]
+
+
 def test_unscored_chart_has_quality_zero(spark):
     metrics_ = spark.createDataFrame([(1, 1.0, 0.5), (2, 9.0, 0.5), (3, 1.0, None)], "chart_id long, star_rating double, kiai_ratio double")
     bands_ = spark.createDataFrame([("Easy", "kiai_ratio", 0.0, 1.0)], "bucket string, metric string, p10 double, p90 double")
