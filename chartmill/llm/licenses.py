@@ -1,10 +1,11 @@
 """License scans with a positional index of each template's rarest words.
 
-A word's rarity falls with its document frequency, counted over all documents, and is never 0.  The index lists the
-(template, position) postings of the rarest word of every mandatory phrase, however frequent that word is: without
-one of its phrases no template counts, so each alignment (template, place - position) that can count starts from a
-posting.  There the phrase is verified, and all words of the template are compared; an alignment that holds enough
-of the template's rarity counts.
+A word's rarity falls with its document frequency, counted over all documents, and is never 0.  A template is found where
+words that hold at least MATCH of its rarity stand at their places relative to one another, up to SLACK inserted or lost
+words, and one of its mandatory phrases stands there whole.  Such a place can lack little of the rarity, so it has at
+least two of the template's rarest words, as many of them as hold more than the rest may lack.  The index has the
+(template, position) postings of those words alone: a file's words are looked up, postings are intersected by relative
+position, and what has two of them is compared word by word, and its phrases are verified.
 
 Documents are scanned where they are, twice: once to count the few licence words, once to look them up.
 """
@@ -45,8 +46,19 @@ TEMPLATES = {
     "cc0": [("released under the cc0 public domain dedication", ["cc0"]), ("to the extent possible under law the author has waived all copyright and related rights", ["waived all copyright and related"])],
     "unlicense": [("this is free and unencumbered software released into the public domain", ["released into the public domain"]), ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ["anyone is free to copy modify publish use compile sell or distribute"])],
 }
-#: An alignment counts from this share of its template's rarity.
-MATCH = 0.6
+#: Short names of public licences, as words; each is looked for as an SPDX tag and as the title after it.
+NAMES = {
+    "mit": ("mit", "mit license"), "apache-2.0": ("apache 2 0", "apache license"), "gpl": ("gpl", "gnu general public license"), "lgpl": ("lgpl", "gnu lesser general public license"), "agpl": ("agpl", "gnu affero general public license"),
+    "bsd": ("bsd", "bsd license"), "isc": ("isc", "isc license"), "zlib": ("zlib", "zlib license"), "bsl-1.0": ("bsl 1 0", "boost software license"), "mpl-2.0": ("mpl 2 0", "mozilla public license"), "epl-2.0": ("epl 2 0", "eclipse public license"),
+    "ofl-1.1": ("ofl 1 1", "sil open font license"), "cc-by-4.0": ("cc by 4 0", "creative commons attribution 4 0"), "cc-by-nc": ("cc by nc", "creative commons attribution noncommercial"), "cc-by-sa": ("cc by sa", "creative commons attribution sharealike"),
+    "cc-by-nd": ("cc by nd", "creative commons attribution noderivatives"), "cc0": ("cc0 1 0", "creative commons zero"), "unlicense": ("unlicense", "the unlicense"),
+}
+#: Titles that differ in more than a word.
+TITLES = {"bsd": ["bsd 2 clause license", "bsd 3 clause license", "2 clause bsd license", "3 clause bsd license", "simplified bsd license", "new bsd license"], "lgpl": ["gnu library general public license"]}
+for _label, (_tag, _title) in NAMES.items():
+    TEMPLATES[_label] = TEMPLATES[_label] + [(x, [x]) for x in (f"spdx license identifier {_tag}", _title, *TITLES.get(_label, []))]
+#: An alignment counts from this share of its template's rarity, and may have so many words more or fewer between two.
+MATCH, SLACK = 0.6, 3
 
 
 class Index:
@@ -65,8 +77,16 @@ class Index:
         self.texts = [np.array([self.code[w] for w in text], np.int64) for _, text, _ in self.rows]
         # the first place of each mandatory phrase in its template, and its length
         self.phrases = [[(next(i for i in range(len(text)) if text[i : i + len(p)] == p), len(p)) for p in phrases] for _, text, phrases in self.rows]
-        anchors = [(t, k + int(np.argmax(self.rarity[self.texts[t][k : k + m]]))) for t, places in enumerate(self.phrases) for k, m in places]
-        self.posting = np.array(sorted({(int(self.texts[t][p]), t, p) for t, p in anchors}), np.int64).reshape(-1, 3)
+        self.rarest, self.least = [], []
+        for words in self.texts:
+            order = np.argsort(-self.rarity[words], kind="stable")
+            held = np.cumsum(self.rarity[words][order])
+            spare = (1 - MATCH) * held[-1] * (1 + 1e-9)
+            # more than may lack stands in all but one of these, so two are there; else in one
+            two = np.flatnonzero(held - held[0] > spare)
+            self.least.append(2 if len(two) else 1)
+            self.rarest.append(order[: (two[0] if len(two) else np.flatnonzero(held > spare)[0]) + 1])
+        self.posting = np.array(sorted({(int(self.texts[t][p]), t, int(p)) for t, places in enumerate(self.rarest) for p in places}), np.int64).reshape(-1, 3)
         self.first = np.searchsorted(self.posting[:, 0], np.arange(len(self.words) + 1))
         return self
 
@@ -84,7 +104,8 @@ class Index:
         return out
 
     def alignments(self, code: np.ndarray, owner: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(row, template, place of the template's first word, share of its rarity) of verified alignments."""
+        """(row, template, start, share of its rarity) of verified alignments: the words that count, and a phrase, are at
+        their place from start, or up to SLACK words after it."""
         at = np.flatnonzero(code >= 0)
         sizes = self.first[code[at] + 1] - self.first[code[at]]
         which = np.repeat(self.first[code[at]] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
@@ -92,17 +113,26 @@ class Index:
         _, template, position = self.posting[which].T
         out = []
         for t in np.unique(template).tolist():
-            here = template == t
-            row, start = np.unique(np.stack([owner[at[here]], at[here] - position[here]]), axis=1)  # start may lie before the text
-            held, gain, mass = [], np.zeros(len(row)), 0.0
-            for p, w in enumerate(self.texts[t].tolist()):
-                place = start + p
-                held.append((place >= first[row]) & (place < first[row + 1]))
-                held[-1][held[-1]] = code[place[held[-1]]] == w
-                gain, mass = gain + self.rarity[w] * held[-1], mass + self.rarity[w]
-            stands = np.any([np.all(held[k : k + m], axis=0) for k, m in self.phrases[t]], axis=0)
-            for i in np.flatnonzero(stands & (gain / mass >= MATCH)).tolist():
-                out.append((int(row[i]), t, int(start[i] - first[row[i]]), float(gain[i] / mass)))
+            here, words = template == t, self.texts[t]
+            starts = (at[here] - position[here])[:, None] - np.arange(SLACK + 1)
+            row, start = np.unique(np.stack([np.repeat(owner[at[here]], SLACK + 1), starts.ravel()]), axis=1)  # start may lie before the text
+
+            def stands(p: int, shift: int) -> np.ndarray:
+                place = start + p + shift  # noqa: B023
+                inside = (place >= first[row]) & (place < first[row + 1])  # noqa: B023
+                inside[inside] = code[place[inside]] == words[p]  # noqa: B023
+                return inside
+
+            shifts = range(SLACK + 1)
+            found = {int(p): np.any([stands(int(p), d) for d in shifts], axis=0) for p in self.rarest[t]}
+            enough = sum(x.astype(int) for x in found.values()) >= self.least[t]
+            row, start, found = row[enough], start[enough], {p: x[enough] for p, x in found.items()}
+            if not len(row):
+                continue
+            found |= {p: np.any([stands(p, d) for d in shifts], axis=0) for p in range(len(words)) if p not in found}
+            share = sum(self.rarity[words[p]] * found[p] for p in range(len(words))) / self.rarity[words].sum()
+            whole = np.any([np.all([stands(p, d) for p in range(k, k + m)], axis=0) for k, m in self.phrases[t] for d in shifts], axis=0)
+            out += [(int(row[i]), t, int(start[i] - first[row[i]]), float(share[i])) for i in np.flatnonzero(whole & (share >= MATCH)).tolist()]
         return out
 
 
@@ -133,8 +163,8 @@ def scan(df: DataFrame, text: str = "text", templates: dict | None = None, base:
     base phrases; first_word and last_word are the least and greatest start among them, from 0, else null.  labels
     are the base labels and those of verified templates; both lists are distinct, sorted and comma-joined.  score is
     the best share of a template's rarity at a verified place, 1 if a base phrase stands alone, 0 without a label.
-    Null and empty texts have no words and no label; very long texts are scanned whole.  Of equally rare words of a
-    phrase the first is its anchor, which changes no result.  Repeated rows count in the frequencies and are scanned
+    Null and empty texts have no words and no label; very long texts are scanned whole.  Equally rare words are
+    looked up in their order, which changes no result.  Repeated rows count in the frequencies and are scanned
     each.  No rows in, no rows out.  Columns with a result's name, in any case, are replaced.
     """
     index = Index(TEMPLATES if templates is None else templates, BASE if base is None else base)

@@ -264,15 +264,30 @@ def plain_alignments(words, index):
     out = {}
     for t, (label, text, phrases) in enumerate(index.rows):
         weight = [index.rarity[index.code[w]] for w in text]
-        for s in range(-len(text), len(words)):
-            held = [0 <= s + p < len(words) and words[s + p] == w for p, w in enumerate(text)]
-            stands = any(all(held[k : k + len(p)]) for p in phrases for k in [next(i for i in range(len(text)) if text[i : i + len(p)] == p)])
-            share = sum(w for w, h in zip(weight, held) if h) / sum(weight)
+        at = lambda s, p: 0 <= s + p < len(words) and words[s + p] == text[p]  # noqa: B023, E731
+        for s in range(-len(text) - licenses.SLACK, len(words)):
+            held = [any(at(s + d, p) for d in range(licenses.SLACK + 1)) for p in range(len(text))]
+            places = [(next(i for i in range(len(text)) if text[i : i + len(p)] == p), len(p)) for p in phrases]
+            stands = any(all(at(s + d, p) for p in range(k, k + m)) for k, m in places for d in range(licenses.SLACK + 1))
+            share = sum(w for w, h in zip(weight, held, strict=True) if h) / sum(weight)
             if stands and share >= licenses.MATCH:
                 out[t, s] = share
     return out
 
 
+def test_license_tags_titles_and_inserted_words(spark):
+    lines = {
+        "SPDX-License-Identifier: MIT": "mit", "// SPDX-License-Identifier: GPL-3.0-or-later": "gpl", "MIT License\n\nCopyright (c) someone": "mit", "BSD 3-Clause License": "bsd", "under the terms of the MIT License": "mit",
+        "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "The Unlicense": "unlicense", "Mozilla Public License Version 2.0": "mpl-2.0", "ISC License": "isc",
+        "Permission is hereby granted, free of charge, to any person who is obtaining a copy of this software and its associated documentation files (the Software), to deal in the Software without any restriction": "mit",
+        "Redistribution and use in source and binary forms, with or without any modification, are permitted provided that all the following conditions are met": "bsd",
+        "a permit, a licence; an identifier of free persons who deal in software": "", "spdx identifier mit": "", "we license the public and the mit": "",
+    }
+    rows = [(i, f"{t}\nand the file goes on with other words") for i, t in enumerate(lines)]
+    got = {r.doc_id: r.labels for r in licenses.scan(frame(spark, rows)).collect()}
+    assert {t: got[i] for i, t in enumerate(lines)} == lines
+
+
 @pytest.mark.parametrize("documents", [1, 100_000])
 def test_license_alignments(documents):
     r = rng(6)
@@ -282,6 +297,9 @@ def test_license_alignments(documents):
     for _ in range(120):
         _, text, _ = index.rows[r.integers(len(index.rows))]
         kept = [w if r.random() > 0.08 else "other" for w in text]
+        if r.random() < 0.5 and len(kept) > 4:  # inserted words
+            for _ in range(int(r.integers(1, 5))):
+                kept.insert(int(r.integers(1, len(kept))), "other")
         bodies.append(["word"] * int(r.integers(0, 3)) + kept[int(r.integers(0, 3)) :] + kept[: int(r.integers(0, 9))])
     bodies += [[], ["license"] * 5]
     got = {}
