@@ -138,7 +138,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", buck
 
     fingerprint is 16 lowercase hex digits; component_id is the least key among the rows that are linked to this
     one, directly or through others, itself included (null keys don't count; if there are no others it is null).
-    Repeated rows and keys stay as they are.  Null and empty texts have fingerprint zero and link like any other.
+    Repeated rows and keys stay as they are.  Null and empty texts have fingerprint zero and link like any other; very
+    long ones are fingerprinted whole.  An empty table gives no rows.  Only the key and the text are read, so df's other
+    columns can't clash.
     """
     rows = cut(with_fingerprint(df.select(F.col(key).alias("key"), F.col(text).alias("body")), "body").select("key", "fingerprint"))
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")

@@ -660,3 +660,14 @@ def test_urls(spark, monkeypatch, block):
     rows = [(i, u, "c") for i, u in enumerate(made)]
     got = urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, VERDICT string"), spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
     assert {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in got} == {i: plain_judge(u, rules) for i, u, _ in rows}
+
+
+def test_classes_by_exact_magnitude(spark):
+    """One rule for the bits of a count, in Spark, in numpy and in Python."""
+    counts = [0, 1, 2, 3, 4, 7, 8, *[2**k + d for k in (29, 31, 39, 47) for d in (-1, 0, 1)]]
+    words = pa.array([f"w{i}" for i in range(len(counts))])
+    code, _ = hmm.classes_of(words, np.array(counts), pa.array([], pa.string()), np.ones(64))
+    from pyspark.sql import functions as F
+
+    told = [r.m for r in spark.createDataFrame([(i, c) for i, c in enumerate(counts)], "i int, c long").select("i", F.when(F.col("c") > 0, F.length(F.bin("c"))).otherwise(0).alias("m")).orderBy("i").collect()]
+    assert code.tolist() == told == [c.bit_length() for c in counts]
