@@ -19,10 +19,11 @@ of all characters it saw, it passes its kind's test and it doesn't touch a base
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ RESPELLED = 20
 STEPS = 700
 SURE = 0.9
 DECODE = 512
+#: Windows of a text that are decoded and reconciled at a time, and those that two such stretches share.
+STRETCH, OVERLAP = 4096, 64
 
 #: The base patterns.  Possessive repeats only spare vain retries, the matches are the same.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -322,6 +325,55 @@ def acceptable(kind: str, found: str) -> bool:
     return bool(re.fullmatch(r"[0-9](?:[ .-]?[0-9])+", found)) and passes(kind, found)
 
 
+def stretches(starts: list[int]) -> Iterator[tuple[list[int], float, float]]:
+    """Windows to decode together, and the places from and to which the spans that begin there are theirs.
+
+    Neighbouring stretches share OVERLAP windows, so all that cover a place, and a span from it, are together.
+    """
+    for i in range(0, len(starts), STRETCH):
+        own = starts[i] if i else -math.inf, starts[i + STRETCH] if i + STRETCH < len(starts) else math.inf
+        yield starts[max(0, i - OVERLAP) : i + STRETCH + OVERLAP], *own
+
+
+def windows_of(text: str, starts: list[int]) -> np.ndarray:
+    """The windows at these sorted starts, from the stretch of text around them alone."""
+    a, b = max(0, starts[0]), min(len(text), starts[-1] + WINDOW)
+    low = max(0, a - 8)  # a spelled at isn't longer
+    return cut(shapes_of(text[low : b + 8])[a - low : b - low], [s - a for s in starts])
+
+
+def tagged(jobs: list[tuple[str, list[int]]], model: Tagger) -> Iterator[tuple[int, int, int, int, float]]:
+    """(job, kind, start, end, certainty) of all spans that the tagger finds in the jobs' texts, in order.
+
+    However long a text is, the windows of one stretch, or of some short texts, are held at a time.
+    """
+    held: list[tuple[int, list[int], float, float]] = []
+
+    def flush() -> Iterator[tuple[int, int, int, int, float]]:
+        windows = np.concatenate([windows_of(jobs[j][0], s) for j, s, _, _ in held])
+        done = [model.decode(windows[k : k + DECODE]) for k in range(0, len(windows), DECODE)]
+        tags, sure = (np.concatenate([d[i] for d in done]) for i in (0, 1))
+        at = 0
+        for j, s, low, high in held:
+            rows = slice(at, at + len(s))
+            at += len(s)
+            for k, a, b, certain in reconcile(s, tags[rows], sure[rows], len(jobs[j][0])):
+                if low <= a < high:
+                    yield j, k, a, b, certain
+
+    size = 0
+    for j, (_, starts) in enumerate(jobs):
+        for stretch in stretches(starts):
+            held.append((j, *stretch))
+            size += len(stretch[0])
+            if size >= STRETCH:
+                yield from flush()
+                held.clear()
+                size = 0
+    if held:
+        yield from flush()
+
+
 def find_spans(texts: list[str], model: Tagger | None) -> list[tuple[list, list]]:
     """Base spans and all spans of each text."""
     base = [base_spans(t) if EVIDENCE.search(t) else [] for t in texts]
@@ -331,27 +383,24 @@ def find_spans(texts: list[str], model: Tagger | None) -> list[tuple[list, list]
     # long local parts first: where the tagger sees their begin
     looks = [(i, view(t, p), p) for i, t in enumerate(texts) if (p := without_middles(t)) is not None] + [(i, t, None) for i, t in enumerate(texts)]
     jobs = [(i, t, p, s) for i, t, p in looks if (s := window_starts(t))]
-    windows = np.concatenate([cut(shapes_of(t), s) for _, t, _, s in jobs]) if jobs else np.zeros((0, WINDOW), np.int64)
-    done = [model.decode(windows[k : k + DECODE]) for k in range(0, len(windows), DECODE)]
-    at = 0
-    tags, sure = (np.concatenate([d[j] for d in done]) if done else None for j in (0, 1))
-    for i, seen, places, starts in jobs:
-        rows = slice(at, at + len(starts))
-        at += len(starts)
-        taken = np.zeros(len(texts[i]), bool)
+    taken = {}
+    for i in {job[0] for job in jobs}:
+        taken[i] = np.zeros(len(texts[i]), bool)
         for _, a, b in every[i]:
-            taken[a:b] = True
-        for k, a, b, certain in reconcile(starts, tags[rows], sure[rows], len(seen)):
-            if certain < SURE or (places is not None and KINDS[k] != "email"):
-                continue
-            if places is not None:
-                a, b = int(places[a]), int(places[b - 1]) + 1
-            if KINDS[k] == "email":
-                a, b = whole_address(texts[i], a, b)
-            if not taken[a:b].any() and acceptable(KINDS[k], texts[i][a:b]):
-                every[i].append((k, a, b))
-                taken[a:b] = True
-        every[i].sort()
+            taken[i][a:b] = True
+    for j, k, a, b, certain in tagged([(t, s) for _, t, _, s in jobs], model):
+        i, _, places, _ = jobs[j]
+        if certain < SURE or (places is not None and KINDS[k] != "email"):
+            continue
+        if places is not None:
+            a, b = int(places[a]), int(places[b - 1]) + 1
+        if KINDS[k] == "email":
+            a, b = whole_address(texts[i], a, b)
+        if not taken[i][a:b].any() and acceptable(KINDS[k], texts[i][a:b]):
+            every[i].append((k, a, b))
+            taken[i][a:b] = True
+    for spans in every:
+        spans.sort()
     return list(zip(base, every, strict=True))
 
 
@@ -389,7 +438,8 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     The counts and base_sha256 are of the base spans, spans has all: kind:start:end in code points, end exclusive, by
     kind, then start, comma-joined.  redacted is the text with every span replaced by its kind in brackets; where base
     spans overlap (their kinds are found apart), the one that begins first, then the longer one, gives the kind.  Null
-    and empty texts have no spans.  Very long texts are scanned whole, window by window.  Repeated rows get the same
+    and empty texts have no spans.  Very long texts are scanned whole, some windows at a
+    time.  Repeated rows get the same
     result each; a tagger sees their windows once.  An empty table, or one without a digit or at sign, needs no tagger.
     Columns with a result's name, in any case, are replaced, others stay.
     """

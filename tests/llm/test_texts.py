@@ -671,3 +671,19 @@ def test_classes_by_exact_magnitude(spark):
 
     told = [r.m for r in spark.createDataFrame([(i, c) for i, c in enumerate(counts)], "i int, c long").select("i", F.when(F.col("c") > 0, F.length(F.bin("c"))).otherwise(0).alias("m")).orderBy("i").collect()]
     assert code.tolist() == told == [c.bit_length() for c in counts]
+
+
+def test_pii_in_stretches(spark, monkeypatch):
+    """A long text's windows are decoded some at a time, with the same spans."""
+    r = rng(14)
+    forms = ["anna.b @ mail.example.org", "bob[at]site3.example.net", "10.0[.]3[.]7", "user7@mail1.example.org", "(555) 123-4567", "4242 4242 4242 4242", "17", "at noon"]
+    text = " ".join(str(r.choice(forms)) + " " + "word " * int(r.integers(0, 12)) for _ in range(600))
+    rows = [(i, f"some user{i}@mail{i % 7}.example.org words +1 ({r.integers(100, 999)}) 555-{r.integers(1000, 9999)} and 10.0.{i}.{i} here") for i in range(60)]
+    model = pii.trained(frame(spark, rows), "text")
+    want = pii.find_spans([text, "x", text[5000:9000]], model)
+    assert len(want[0][1]) > len(want[0][0]) > 100
+    seen, decode = [], model.decode
+    monkeypatch.setattr(model, "decode", lambda w: seen.append(len(w)) or decode(w))
+    monkeypatch.setattr(pii, "STRETCH", 16)
+    assert pii.find_spans([text, "x", text[5000:9000]], model) == want
+    assert max(seen) <= 2 * pii.OVERLAP + 2 * 16
