@@ -9,6 +9,7 @@ from ..functions import geometry as g
 from .metrics import in_time
 
 CHART = "chart_id"
+#: Fixed values are the defaults of the functions below: gaps and lengths in ms, shares, and the playfield's size in px.
 
 
 def breaks(events: DataFrame, min_gap: float = 3500, lead_out: float = 200, lead_in: float = 400, min_len: float = 800) -> DataFrame:

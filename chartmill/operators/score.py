@@ -163,7 +163,7 @@ def nested_report(report: DataFrame, scored: DataFrame, bottom: int = 20) -> Dat
         of("overall", F.col("s"))("overall"), F.first(F.when(F.col("dim") == "playability", F.col("s")), True).alias("playability"),
         of("bucket_reward", F.col("s"))("r"), of("bucket_quality", F.col("s"))("q"), of("family", F.col("s"))("per_family"), of("metric", F.col("mean"))("per_metric"), of("defect", F.col("mean"))("per_defect"),
     )
-    worst = F.element_at(F.sort_array(F.transform(F.map_entries("family"), lambda e: F.struct(e["value"].alias("value"), e["key"].alias("key")))), 1)["key"]
+    worst = F.get(F.sort_array(F.transform(F.map_entries("family"), lambda e: F.struct(e["value"].alias("value"), e["key"].alias("key")))), F.lit(0))["key"]
     tail = scored.orderBy("reward", "chart_id").limit(bottom).select(F.struct("reward", "chart_id", worst.alias("worst_family")).alias("c"))
     tail = tail.groupBy().agg(F.sort_array(F.collect_list("c")).alias("bottom_n"))
     per_bucket = F.map_zip_with("r", "q", lambda _, r, q: F.struct(r.alias("reward"), q.alias("quality"))).alias("per_bucket")

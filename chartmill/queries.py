@@ -125,9 +125,14 @@ def timed(spark: SparkSession, d: str) -> DataFrame:
     return timing.with_timing(views.events(spark, d), views.control_points(spark, d), views.charts(spark, d))
 
 
-def chart_metrics(spark: SparkSession, d: str) -> DataFrame:
+def timed_once(spark: SparkSession, d: str) -> DataFrame:
+    """Timed events in a table of their own, of which each reader takes its columns."""
+    return stored(timed(spark, d))[0]
+
+
+def chart_metrics(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
     """Metrics and star rating of each chart, computed once: bands, scores and joins read the one row a chart has."""
-    got = metrics.chart_metrics(cut(timed(spark, d)), views.control_points(spark, d), views.charts(spark, d))
+    got = metrics.chart_metrics(timed_once(spark, d) if events is None else events, views.control_points(spark, d), views.charts(spark, d))
     return cut(got.join(views.charts(spark, d).select("chart_id", "star_rating"), "chart_id").where("n_objects >= 2"))
 
 
@@ -250,9 +255,10 @@ def _(spark, d):
 
 def scored(spark, d):
     """Quality and playability of each chart, with the whole star below its rating as its target."""
-    m = chart_metrics(spark, d)
+    events = timed_once(spark, d)
+    m = chart_metrics(spark, d, events)
     q = score.quality(m, bands.corpus_bands(m), score.family_weights(spark))
-    joined = q.join(m.select("chart_id", "star_rating"), "chart_id").join(score.playability(timed(spark, d)), "chart_id")
+    joined = q.join(m.select("chart_id", "star_rating"), "chart_id").join(score.playability(events), "chart_id")
     return score.reward(joined.withColumns({"achieved_sr": F.col("star_rating"), "target_sr": F.floor("star_rating"), "bucket": bands.sr_bucket(F.col("star_rating"))}))
 
 
@@ -792,7 +798,8 @@ def _(spark, d):
 
 
 @query("T6_usable_limit", """, us as (select chart_id, coalesce(n_objects, 0) >= 35 ok, row_number() over (order by chart_id) r from ch left join mb using (chart_id)),
-  given as (select least(total, coalesce(min(size), total)) measured from (select count(*) total from us), (select unnest([50, 250, 1050, 4250, 17050, 68250]) size) where (select count_if(ok and r <= size) from us) >= 25 group by total)
+  sizes as (select size, count_if(ok and r <= size) found from us, (select unnest([50, 250, 1050, 4250, 17050, 68250]) size) group by size),
+  given as (select least(total, coalesce((select min(size) from sizes where found >= 25), total)) measured from (select count(*) total from us))
   select chart_id, (select measured from given) measured from us where ok order by chart_id limit 25""")
 def _(spark, d):
     """The first charts that are large enough; only slices of the library are timed and measured until there are 25."""
@@ -876,9 +883,10 @@ def _(spark, d):
 
 
 def calibrated(spark, d):
-    m = chart_metrics(spark, d)
+    events = timed_once(spark, d)
+    m = chart_metrics(spark, d, events)
     q = score.quality(m, bands.corpus_bands(m), score.family_weights(spark))
-    joined = q.join(m.select("chart_id", "star_rating"), "chart_id").join(score.playability(timed(spark, d)), "chart_id")
+    joined = q.join(m.select("chart_id", "star_rating"), "chart_id").join(score.playability(events), "chart_id")
     got = score.reward(joined.withColumns({"achieved_sr": F.col("star_rating"), "target_sr": F.floor("star_rating"), "bucket": bands.sr_bucket(F.col("star_rating"))}))
     return got.withColumns({"unhittable": F.bround("penalty", 4), "playability": F.bround("playability", 4)})
 
