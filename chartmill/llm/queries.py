@@ -116,7 +116,7 @@ from d left join hits using (doc_id) left join items using (doc_id)
 FLOOR_SQL = "(s - ((s % n) + n) % n) // n"
 
 
-def op12_sql(rounds: int = 10) -> str:
+def centroids_sql(rounds: int = 10) -> str:
     steps = []
     for t in range(rounds + 1):
         steps.append(f"""
@@ -140,7 +140,7 @@ from kept left join a{rounds} using (r) left join sums using (c) left join diges
 """
 
 
-def op13_sql(rounds: int = 2) -> str:
+def vector_codes_sql(rounds: int = 2) -> str:
     steps = []
     for t in range(rounds + 1):
         steps.append(f"""
@@ -166,4 +166,4 @@ from coded join sums on coded.label is not distinct from sums.label
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL, "op12_centroids": op12_sql(), "op13_vector_codes": op13_sql()}
+    return {"op1_url_filters": OP1_SQL, "op4_decontamination": OP4_SQL, "op12_centroids": centroids_sql(), "op13_vector_codes": vector_codes_sql()}

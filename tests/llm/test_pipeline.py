@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force and against what their operators say, and its query."""
 
 import hashlib
+import re
 
 import corpus_pipeline as P
 import public_tokenizers
@@ -8,7 +9,7 @@ import pytest
 from test_texts import plain_classes, plain_contamination, plain_fingerprint, plain_quality, plain_spans
 from tokenizers import Tokenizer
 
-from chartmill.llm import pii
+from chartmill.llm import pii, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -100,3 +101,10 @@ def test_run(spark):
     out = P.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
     assert out.where("size(ids) != n_tokens").count() == 0
+
+
+def test_registered_names():
+    names = set(queries.queries())
+    assert all(re.fullmatch(r"op[0-9]+_[a-z_]+", n) and not n.endswith("_sql") for n in names)
+    assert sorted(int(n[2 : n.index("_")]) for n in names) == list(range(1, 14))
+    assert set(queries.oracle_sql()) < names
