@@ -2,7 +2,9 @@
 
 The tagger (bidirectional LSTM with CRF transitions) learns from windows whose spans the base patterns label, and
 from respelled copies of their surroundings (a phone number without its country code, an address with a spelled or
-spaced @, an ip with bracketed dots, a card with dots), so that it finds spans that the patterns can't.  It is trained
+spaced @ and spelled dots, an ip with bracketed or spelled dots, a card with dots or strokes), so that it finds spans that
+the patterns can't.  It sees shapes: brackets of all sorts are alike, as are dashes and blanks of all sorts, a spelled at
+has the shape of @ and a spelled dot that of a dot, so it also knows spellings that it never saw.  It is trained
 for a fixed number of steps on at most GROUP distinct windows of each kind and form and PLAIN windows without a span,
 chosen by hash among those of a sample of documents, and on a few made lines, so that it knows each form in a table of
 any size.  A window with an unlabelled at, or an unlabelled number as long as a phone's, teaches nothing: it may well
@@ -41,7 +43,7 @@ GROUP, PLAIN = 150, 600
 #: Documents that are looked at for training windows, on average at most.
 TRAIN_DOCUMENTS = 30_000
 #: Respelled copies of each labelled span, and the characters around it that they keep.
-COPIES, AROUND = 6, 96
+COPIES, AROUND = 8, 96
 #: Spans of one document that are respelled.
 RESPELLED = 20
 STEPS = 700
@@ -57,11 +59,21 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]+")
-EVIDENCE = re.compile(r"[0-9@]|[\[(][aA][tT][\])]")
-AT = re.compile(r" ?(?:@|[\[(][aA][tT][\])])")
-DOMAIN_REST = re.compile(r"[A-Za-z0-9-]*(?:\.[A-Za-z0-9-]+)*")
+OPEN, SHUT, LABEL = r"[\[({<]", r"[\])}>]", "[A-Za-z0-9-]{1,63}"
+#: A spelled at, which may go without brackets before a domain whose dots are spelled without them, and a spelled dot; in
+#: "at the dot" the dot is a dot.
+BARE_AT = f" [aA][tT] (?!(?:an?|the|this|that|each|every|one) )(?={LABEL} [dD][oO][tT] [A-Za-z0-9])"
+BRACKETED_AT = f"{OPEN} ?(?:@|[aA][tT]) ?{SHUT}"
+SPELLED_DOT = f"(?: ?{OPEN} ?(?:\\.|[dD][oO][tT]) ?{SHUT} ?| [dD][oO][tT] )"
+EVIDENCE = re.compile(f"[0-9@]|{BRACKETED_AT}|{BARE_AT}")
+AT = re.compile(f" ?(?:@|{BRACKETED_AT})|{BARE_AT}")
+DOT = re.compile(SPELLED_DOT)
+DOMAIN_REST = re.compile(rf"[A-Za-z0-9-]*(?:(?:\.|{SPELLED_DOT})[A-Za-z0-9-]+)*")
+ADDRESS = re.compile(rf"[A-Za-z0-9._%+-]+(?: ?(?:@|{BRACKETED_AT}) ?|{BARE_AT})[A-Za-z0-9-]+(?:(?:\.|{SPELLED_DOT})[A-Za-z0-9-]+)+")
+#: No spelled at or dot, with the characters that it needs to follow, is longer.
+SPELLED = 96
 #: Numbers that may be personal data in a spelling of their own.
-NUMBER = re.compile(r"[0-9]++(?:[ ().\[\]-]{1,3}[0-9]++)+")
+NUMBER = re.compile(rf"[0-9]++(?:(?:{SPELLED_DOT}|[ ().\[\]-]{{1,3}})[0-9]++)+")
 #: Of a longer local part, the tagger sees so many characters at its begin and end.
 HEAD, TAIL = 4, 8
 
@@ -97,20 +109,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def shape_table() -> np.ndarray:
-    """Shape of each code point below 128; all others have the shape of a letter."""
-    own = {c: i + 6 for i, c in enumerate("@.-+()[]_%:/,\"=")}
-    return np.array([own.get(chr(c), 1 if chr(c).isdigit() else 2 if chr(c).islower() else 3 if chr(c).isupper() else 4 if c in (9, 10, 11, 12, 13, 32) else 5) for c in range(128)])
+    """Shape of each code point below TABLE; all others have the shape of a letter."""
+    own = {c: i + 6 for i, c in enumerate("@.-+()_%:/,\"=")}
+    own |= dict.fromkeys("[{<", own["("]) | dict.fromkeys("]}>", own[")"])
+    own |= dict.fromkeys(map(chr, range(0x2010, 0x2016)), own["-"])
+    blank = {9, 10, 11, 12, 13, 32, 0xA0, *range(0x2000, 0x200B), 0x202F}
+    return np.array([own.get(chr(c), 1 if 48 <= c < 58 else 3 if 65 <= c < 91 else 4 if c in blank else 2 if 97 <= c < 123 or c >= 128 else 5) for c in range(TABLE)])
 
 
+TABLE = 0x2030
 SHAPES = shape_table()
 N_SHAPES = int(SHAPES.max()) + 1  # 0 is beyond the text
 TAGS = 1 + 2 * len(KINDS)
 
 
 def shapes_of(text: str) -> np.ndarray:
-    """Shape of each character; a spelled at has the same shapes in any case."""
-    code = np.frombuffer(AT.sub(lambda m: m[0].lower(), text).encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(code < 128, SHAPES[np.minimum(code, 127)], 2)
+    """Shape of each character; the letters of a spelled at or dot have the shape of what they spell."""
+    text = AT.sub(lambda m: re.sub("[A-Za-z]", "@", m[0]), text)
+    text = DOT.sub(lambda m: re.sub("[A-Za-z]", ".", m[0]), text)
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(code < TABLE, SHAPES[np.minimum(code, TABLE - 1)], 2)
 
 
 def window_starts(text: str) -> list[int]:
@@ -154,7 +172,10 @@ def view(text: str, places: np.ndarray) -> str:
 
 def whole_address(text: str, a: int, b: int) -> tuple[int, int]:
     """A span with the local characters left of it and the rest of its domain, if it has an at."""
-    return (local_start(text, a), DOMAIN_REST.match(text, b).end()) if AT.search(text, a, b) else (a, b)
+    at = AT.search(text, a, b + SPELLED)
+    if not at or at.end() > b:
+        return a, b
+    return local_start(text, min(a, at.start())), DOMAIN_REST.match(text, at.end() + (text[at.end() : at.end() + 1] == " ")).end()
 
 
 def cut(shapes: np.ndarray, starts: list[int]) -> np.ndarray:
@@ -180,9 +201,11 @@ def word(r: random.Random, low: int = 2, high: int = 9) -> str:
     return "".join(r.choice("aeinorstlu") for _ in range(r.randint(low, high)))
 
 
-#: How people write an address's at, and what stands between the groups of a number.
-SPELLED_AT = (" @ ", " [at] ", "(at)", "[at]", " (at) ")
+#: How people write an address's at and dots, and what stands between the groups of a number.
+SPELLED_AT = ((" @ ", "."), (" [at] ", "."), ("(at)", "."), ("[at]", "[dot]"), (" (at) ", " (dot) "), (" at ", " dot "), (" [ at ] ", "."), (" at ", " dot "))
+SPELLED_IP = ("[.]", "[.]", "[dot]", " dot ", " [.] ")
 PARTED = (" ", "-", ") ", ".")
+CARD_PARTED = (".", "/", " - ", "  ", "-")
 
 
 def respelled(kind: str, form: str, turn: int, r: random.Random) -> str:
@@ -192,14 +215,16 @@ def respelled(kind: str, form: str, turn: int, r: random.Random) -> str:
         if turn % 2:
             local = r.choice((word(r), word(r) + str(r.randrange(1000)), f"{word(r)}.{word(r)}", f"{word(r)}_{word(r)}{r.randrange(100)}", f"{word(r, 1, 1)}.{word(r)}-{word(r)}"))
             domain = r.choice((domain, f"{word(r)}{r.randrange(30)}.{word(r)}.{word(r, 2, 3)}", f"{word(r)}.{word(r, 2, 3)}", f"{word(r)}-{word(r)}.{word(r, 2, 3)}"))
-        return local + SPELLED_AT[turn % len(SPELLED_AT)] + domain
+        at, dot = SPELLED_AT[turn % len(SPELLED_AT)]
+        return local + at + domain.replace(".", dot)
     if kind == "ip":
-        return (".", "[.]")[turn > 0].join(str(r.randrange(256)) for _ in range(3)) + f"[.]{r.randrange(256)}"
+        dot = SPELLED_IP[turn % len(SPELLED_IP)]
+        return (dot if turn else ".").join(str(r.randrange(256)) for _ in range(3)) + f"{dot}{r.randrange(256)}"
     if kind == "card":
-        return digits_like(".".join(re.findall("[0-9]{4}", DIGITS.sub("", form))), r)
+        return digits_like(CARD_PARTED[turn % len(CARD_PARTED)].join(re.findall("[0-9]{4}", DIGITS.sub("", form))), r)
     gap = PARTED[turn % len(PARTED)]
     head, mid, tail = (str(r.randrange(10 ** (n - 1), 10**n)) for n in (r.choice((3, 3, 4)), r.choice((3, 3, 4)), 4))
-    return f"{'(' * (gap == ') ')}{head}{gap}{mid}{r.choice((' ', '-')) if gap in ('.', ') ') else gap}{tail}"
+    return f"{'(' * (gap == ') ')}{head}{gap}{mid}{r.choice((' ', '-', '.')) if gap == ') ' else gap}{tail}"
 
 
 def copies(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, list[tuple[int, int, int]]]]:
@@ -236,7 +261,7 @@ def doubtful(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
     for m in AT.finditer(text):
         out[max(0, m.start() - 1) : m.end() + 1] = True
     for m in NUMBER.finditer(text):
-        out[m.start() : m.end()] |= 10 <= len(DIGITS.sub("", m[0])) <= 19 or "[.]" in m[0]
+        out[m.start() : m.end()] |= 10 <= len(DIGITS.sub("", m[0])) <= 19 or bool(DOT.search(m[0]))
     for _, a, b in spans:
         out[a:b] = False
     return out
@@ -272,7 +297,7 @@ def training_windows(df: DataFrame, text: str, group: int = GROUP, plain: int =
         return work
 
     share = min(1.0, TRAIN_DOCUMENTS / max(1, df.count()))
-    chosen = df.select(F.col(text).alias("body")).where(F.pmod(F.xxhash64("body"), F.lit(1_000_000)) < share * 1_000_000).where(F.col("body").rlike(r"[0-9@]|[\[(][aA][tT][\])]"))
+    chosen = df.select(F.col(text).alias("body")).where(F.pmod(F.xxhash64("body"), F.lit(1_000_000)) < share * 1_000_000).where(F.col("body").rlike(EVIDENCE.pattern))
     windows = emit(chosen, ["body"], "body", "form string, w binary", kernel).distinct()
     order = Window.partitionBy("form").orderBy(F.xxhash64("w"), "w")
     taken = windows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("form") == "", plain).otherwise(group))
@@ -283,7 +308,7 @@ def training_windows(df: DataFrame, text: str, group: int = GROUP, plain: int =
 
 def trained(df: DataFrame, text: str) -> Tagger | None:
     """A tagger trained on the documents' windows; None if no document has a character of evidence."""
-    if df.where(F.col(text).rlike(r"[0-9@]|[\[(][aA][tT][\])]")).isEmpty():
+    if df.where(F.col(text).rlike(EVIDENCE.pattern)).isEmpty():
         return None
     model = Tagger(N_SHAPES, TAGS)
     model.train(*training_windows(df, text), steps=STEPS)
@@ -312,17 +337,21 @@ def reconcile(starts: list[int], tags: np.ndarray, sure: np.ndarray, length: int
 
 
 def acceptable(kind: str, found: str) -> bool:
-    """The test of an added span: as strict as the base pattern where that has a checksum or a range."""
+    """The test of an added span: that of its kind (digits, range, checksum), on what an address, a number or four
+    numbers are in any spelling; whether it is personal data is for the tagger to say."""
     if found != found.strip() or "\n" in found:
         return False
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+ ?(?:@|[\[(][aA][tT][\])]) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", found))
-    if kind == "phone":
-        parted = re.fullmatch(r"\(?[0-9]{2,5}\)?(?:[ .-]{0,2}\(?[0-9]{2,8}\)?){1,3}", found) and re.search("[ ()-]", found)
-        return bool(parted) and 10 <= len(DIGITS.sub("", found)) <= 15
+        return bool(ADDRESS.fullmatch(found))
     if kind == "ip":
-        return bool(re.fullmatch(r"[0-9]+(?:(?:\.|\[\.\])[0-9]+){3}", found)) and passes(kind, found.replace("[.]", "."))
-    return bool(re.fullmatch(r"[0-9](?:[ .-]?[0-9])+", found)) and passes(kind, found)
+        parts = re.split(rf"{SPELLED_DOT}|\.", found)
+        return len(parts) == 4 and all(re.fullmatch("[0-9]+", p) for p in parts) and passes(kind, ".".join(parts))
+    groups = re.split(r"[^0-9A-Za-z]{1,3}", found.strip("()[]{}<>"))
+    if not all(re.fullmatch("[0-9]+", g) for g in groups):
+        return False
+    if kind == "phone":
+        return 2 <= len(groups) <= 5 and all(2 <= len(g) <= 8 for g in groups) and 10 <= sum(map(len, groups)) <= 15
+    return passes(kind, found)
 
 
 def stretches(starts: list[int]) -> Iterator[tuple[list[int], float, float]]:
@@ -338,8 +367,8 @@ def stretches(starts: list[int]) -> Iterator[tuple[list[int], float, float]]:
 def windows_of(text: str, starts: list[int]) -> np.ndarray:
     """The windows at these sorted starts, from the stretch of text around them alone."""
     a, b = max(0, starts[0]), min(len(text), starts[-1] + WINDOW)
-    low = max(0, a - 8)  # a spelled at isn't longer
-    return cut(shapes_of(text[low : b + 8])[a - low : b - low], [s - a for s in starts])
+    low = max(0, a - SPELLED)
+    return cut(shapes_of(text[low : b + SPELLED])[a - low : b - low], [s - a for s in starts])
 
 
 def tagged(jobs: list[tuple[str, list[int]]], model: Tagger) -> Iterator[tuple[int, int, int, int, float]]:

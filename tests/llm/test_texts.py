@@ -687,3 +687,35 @@ def test_pii_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(pii, "STRETCH", 16)
     assert pii.find_spans([text, "x", text[5000:9000]], model) == want
     assert max(seen) <= 2 * pii.OVERLAP + 2 * 16
+
+
+def test_pii_spellings_that_it_never_saw(spark):
+    """Spans in spellings that no training window has; text that only looks like some stays clean."""
+    r = rng(14)
+    words = "the of and with house river paper great small line world never about".split()
+    some = lambda: " ".join(r.choice(words, int(r.integers(3, 12))))
+    three, four, byte = (lambda n=n, m=m: int(r.integers(n, m)) for n, m in ((200, 999), (1000, 9999), (0, 256)))
+    forms = [
+        (0, lambda i: f"anna.k{i}{{at}}mail.example.org"), (0, lambda i: f"peter{i} <at> firm.co.uk"), (0, lambda i: f"jane{i} AT web DOT de"),
+        (0, lambda i: f"j_doe{i}[AT]host{{dot}}net"), (0, lambda i: f"first.last{i}(@)host.com"),
+        (1, lambda i: f"{byte()}(.){byte()}(.){byte()}(.){byte()}"), (1, lambda i: f"{byte()} DOT {byte()} DOT {byte()} DOT {byte()}"), (1, lambda i: f"{byte()}{{dot}}{byte()}{{dot}}{byte()}{{dot}}{byte()}"),
+        (2, lambda i: "4242–4242–4242–4242"), (3, lambda i: f"{three()}–{three()}–{four()}"), (3, lambda i: f"[{three()}] {three()}-{four()}"),
+    ]
+    planted = [(k, f"{some()} ", form(i), f" {some()}") for i in range(30) for k, form in forms]
+    clean = ["isbn 978-3-16-148410-0", "on 2024/01/02 at 10:30:00 we met", "sum 1,234,567.89 of 2,345,678.90", "look at the dot on page 3", "we met at noon and dot org fell", "see [1] and {2} or <3>", "2024-01-02 2024-03-04 2025-05-06"]
+    rows = [(i, f"{some()} user{i}@mail{i % 7}.example.org {some()} +1 ({three()}) 555-{four()} {some()} 10.0.{i}.{i} {some()} 4242 4242 4242 4242") for i in range(40)]
+    model = pii.trained(frame(spark, rows), "text")
+    found = [every for _, every in pii.find_spans(["".join(p[1:]) for p in planted], model)]
+    assert sum(spans == [(k, len(a), len(a + b))] for (k, a, b, _), spans in zip(planted, found, strict=True)) >= 0.9 * len(planted)
+    assert not any(every for _, every in pii.find_spans(clean, model))
+
+
+def test_pii_spelled_at_and_dot():
+    assert pii.ADDRESS.fullmatch("a at b dot c") and not pii.ADDRESS.fullmatch("a at b.c")  # a bare at needs spelled dots
+    assert pii.whole_address("to x at host dot example dot org now", 3, 12) == (3, 32)
+    assert pii.shapes_of("[At] (dot)").tolist() == pii.shapes_of("{@@} <...>").tolist()
+    assert pii.acceptable("ip", "10[.]0 dot 3(dot)7") and not pii.acceptable("ip", "10[.]0[.]3[.]700")
+    assert pii.acceptable("phone", "555.123.4567") and not pii.acceptable("phone", "978-3-16-148410-0")
+    text = "pad " * 30 + "ann at " + "b" * 60 + " dot org " + "pad " * 30
+    starts = pii.window_starts(text)
+    assert (pii.windows_of(text, starts) == pii.cut(pii.shapes_of(text), starts)).all()
