@@ -662,6 +662,16 @@ def test_urls(spark, monkeypatch, block):
     assert {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in got} == {i: plain_judge(u, rules) for i, u, _ in rows}
 
 
+def test_url_rules_of_the_contract(spark, tmp_path):
+    """The query's rules and verdicts, word by word: two of example.org are blocked within org, which is allowed."""
+    from chartmill.llm import queries
+
+    told = {"http://a.org/x": ("org/", "allow"), "http://a.example.org/es/x": ("example.org/es/", "block"), "http://example.org/en/17": ("example.org/en/1", "block"), "http://example.org/en/2": ("org/", "allow"), "http://b.com/fr/": ("com/fr/", "allow"), "http://b.com/de/x": ("com/de/", "block"), "http://b.net/": (None, "allow")}
+    spark.createDataFrame(list(enumerate(told)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = queries.op1_url_filters(spark, str(tmp_path)).collect()
+    assert [(x.rule, x.verdict) for x in sorted(got, key=lambda x: x.page_id)] == list(told.values())
+
+
 def test_classes_by_exact_magnitude(spark):
     """One rule for the bits of a count, in Spark, in numpy and in Python."""
     counts = [0, 1, 2, 3, 4, 7, 8, *[2**k + d for k in (29, 31, 39, 47) for d in (-1, 0, 1)]]
