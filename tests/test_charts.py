@@ -580,6 +580,34 @@ def test_medians_and_sections(spark):
     assert sequences.rolling_median(table.limit(0), "sv", 3).collect() == sequences.sv_sections(table.limit(0)).collect() == []
 
 
+def shuffled_rows(spark, rows):
+    """The rows that a job shuffles, with sort-merge joins as on large tables."""
+    sc, joins = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
+    none, was = sc._gateway.new_array(sc._jvm.double, 0), spark.conf.get(joins)
+
+    def stages():
+        seen = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList()).iterator()
+        while seen.hasNext():
+            s = seen.next()
+            yield s.stageId(), s.shuffleWriteRecords()
+
+    spark.conf.set(joins, "-1")
+    try:
+        before = dict(stages())
+        rows.write.format("noop").mode("overwrite").save()
+        return sum(n for i, n in stages() if i not in before)
+    finally:
+        spark.conf.set(joins, was)
+
+
+def test_overlap_shuffles_few_rows_a_slider(spark):
+    """A slider goes to the tiles of its body, not to each cell around each of its points."""
+    r = random.Random(6)
+    rows = [(c, i, 10 * i, r.randrange(513), r.randrange(385), 2, 0, "L", [(r.randrange(513), r.randrange(385))], 1, 9.0, 10 * i) for c in range(20) for i in range(50)]
+    charts = spark.createDataFrame([(c, 4.0) for c in range(20)], "chart_id long, cs double")
+    assert shuffled_rows(spark, metrics.slider_overlap(spark.createDataFrame(rows, EVENTS), charts)) < 12 * len(rows)
+
+
 def test_overlap_with_many_heads_at_one_place(spark):
     r = random.Random(5)
     rows = [(1, i, 10 * i, 256, 192, 1, 0, None, [], 1, 0.0, 10 * i) for i in range(1500)]
