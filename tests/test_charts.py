@@ -580,6 +580,22 @@ def test_medians_and_sections(spark):
     assert sequences.rolling_median(table.limit(0), "sv", 3).collect() == sequences.sv_sections(table.limit(0)).collect() == []
 
 
+def test_z_scores_equal_their_sql_near_ties(spark):
+    """Quotients that are a tie but for their last bit are rounded alike by the query and its SQL."""
+    import duckdb
+
+    from chartmill.queries import Z_SQL
+
+    rows = [(i, 1.0, v, m, s) for i, (v, m, s) in enumerate(((0.621, 0.503, 0.08), (0.436, 0.502, 0.08), (0.385, 0.503, 0.08), (0.7, 0.585, 0.2), (0.3, 0.3, 0.0), (0.301, 0.3, 0.0), (0.625, 0.5, 1.0), (0.1, 0.9, 0.3)))]
+    m = spark.createDataFrame([(i, sr, v) for i, sr, v, _, _ in rows], "chart_id long, star_rating double, kiai_ratio double")
+    z = {}
+    for i, _, _, mean, std in rows:
+        band = spark.createDataFrame([("Easy", "kiai_ratio", mean, std, 0.0, 1.0)], "bucket string, metric string, mean double, std double, p10 double, p90 double")
+        z[i] = bands.z_scores(m.where(F.col("chart_id") == i), band).first().z
+    told = ", ".join(f"({i}, {v!r}::double, {mean!r}::double, {std!r}::double)" for i, _, v, mean, std in rows)
+    assert z == dict(duckdb.sql(f"select i, {Z_SQL} from (values {told}) t(i, value, mean, std)").fetchall())
+
+
 def shuffled_rows(spark, rows):
     """The rows that a job shuffles, with sort-merge joins as on large tables."""
     sc, joins = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
