@@ -596,8 +596,8 @@ def test_z_scores_equal_their_sql_near_ties(spark):
     assert z == dict(duckdb.sql(f"select i, {Z_SQL} from (values {told}) t(i, value, mean, std)").fetchall())
 
 
-def shuffled_rows(spark, rows):
-    """The rows that a job shuffles, with sort-merge joins as on large tables."""
+def shuffled_rows(spark, build):
+    """The rows that building and running a job shuffles, with sort-merge joins as on large tables."""
     sc, joins = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
     none, was = sc._gateway.new_array(sc._jvm.double, 0), spark.conf.get(joins)
 
@@ -610,7 +610,7 @@ def shuffled_rows(spark, rows):
     spark.conf.set(joins, "-1")
     try:
         before = dict(stages())
-        rows.write.format("noop").mode("overwrite").save()
+        build().write.format("noop").mode("overwrite").save()
         return sum(n for i, n in stages() if i not in before)
     finally:
         spark.conf.set(joins, was)
@@ -621,7 +621,18 @@ def test_overlap_shuffles_few_rows_a_slider(spark):
     r = random.Random(6)
     rows = [(c, i, 10 * i, r.randrange(513), r.randrange(385), 2, 0, "L", [(r.randrange(513), r.randrange(385))], 1, 9.0, 10 * i) for c in range(20) for i in range(50)]
     charts = spark.createDataFrame([(c, 4.0) for c in range(20)], "chart_id long, cs double")
-    assert shuffled_rows(spark, metrics.slider_overlap(spark.createDataFrame(rows, EVENTS), charts)) < 12 * len(rows)
+    assert shuffled_rows(spark, lambda: metrics.slider_overlap(spark.createDataFrame(rows, EVENTS), charts)) < 12 * len(rows)
+
+
+def test_decoding_shuffles_less_than_the_frames(spark):
+    """Only frames with an onset or a hold move, not those between."""
+    from chartmill.plans.lineage import cut
+
+    rows = [(c, i, 1000 * i, 50 * i % 500, 100, 2 if i % 4 == 0 else 1, 0, "L" if i % 4 == 0 else None, [(200, 200)] if i % 4 == 0 else [], 1, 50.0, 1000 * i + (200 if i % 4 == 0 else 0)) for c in (1, 2) for i in range(100)]
+    e = spark.createDataFrame(rows, EVENTS)
+    table = cut(frames.rasterise(e, points(spark, [(0, 500, True, 0)]), frames.chart_sizes(e)))
+    assert frames.decode_events(table).count() == 200
+    assert shuffled_rows(spark, lambda: frames.decode_events(table)) < table.count()
 
 
 def test_overlap_with_many_heads_at_one_place(spark):
