@@ -596,8 +596,8 @@ def test_z_scores_equal_their_sql_near_ties(spark):
     assert z == dict(duckdb.sql(f"select i, {Z_SQL} from (values {told}) t(i, value, mean, std)").fetchall())
 
 
-def shuffled_rows(spark, build):
-    """The rows that building and running a job shuffles, with sort-merge joins as on large tables."""
+def shuffled_rows(spark, build, of="shuffleWriteRecords"):
+    """The rows (or bytes) that building and running a job shuffles, with sort-merge joins as on large tables."""
     sc, joins = spark.sparkContext, "spark.sql.autoBroadcastJoinThreshold"
     none, was = sc._gateway.new_array(sc._jvm.double, 0), spark.conf.get(joins)
 
@@ -605,7 +605,7 @@ def shuffled_rows(spark, build):
         seen = sc._jsc.sc().statusStore().stageList(None, False, False, none, sc._jvm.java.util.ArrayList()).iterator()
         while seen.hasNext():
             s = seen.next()
-            yield s.stageId(), s.shuffleWriteRecords()
+            yield s.stageId(), getattr(s, of)()
 
     spark.conf.set(joins, "-1")
     try:
@@ -635,6 +635,24 @@ def test_decoding_shuffles_less_than_the_frames(spark):
     assert shuffled_rows(spark, lambda: frames.decode_events(table)) < table.count()
 
 
+def test_overlap_shuffles_no_neighbours(spark):
+    """A slider's parts carry its rank, not where its neighbours stand; a place knows its first and last head."""
+    r = random.Random(8)
+    rows = [(c, i, 10 * i, r.randrange(0, 513, 40), r.randrange(0, 385, 40), r.choice((1, 2)), 0, "L", [(r.randrange(513), r.randrange(385))], 1, 9.0, 10 * i) for c in range(40) for i in range(60)]
+    charts, e = spark.createDataFrame([(c, 4.0) for c in range(40)], "chart_id long, cs double"), spark.createDataFrame(rows, EVENTS)
+    per_row = shuffled_rows(spark, lambda: metrics.slider_overlap(e, charts), "shuffleWriteBytes") / len(rows)
+    assert per_row < 205
+    got, want = {x.chart_id: (x.sliders, x.overlapping) for x in metrics.slider_overlap(e, charts).collect()}, {}
+    for c in range(40):
+        mine, hits = [x for x in rows if x[0] == c], []
+        for i, x in enumerate(mine):
+            if x[5] == 2:
+                (ax, ay), (bx, by) = (x[3], x[4]), x[8][0]
+                hits.append(any(abs(i - k) > 1 and math.hypot(ax + (bx - ax) * q / 12 - h[3], ay + (by - ay) * q / 12 - h[4]) <= 36.48 for k, h in enumerate(mine) for q in range(13)))
+        want[c] = (len(hits), sum(hits))
+    assert got == want
+
+
 def test_overlap_with_many_heads_at_one_place(spark):
     r = random.Random(5)
     rows = [(1, i, 10 * i, 256, 192, 1, 0, None, [], 1, 0.0, 10 * i) for i in range(1500)]
