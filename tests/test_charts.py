@@ -653,6 +653,14 @@ def test_overlap_shuffles_no_neighbours(spark):
     assert got == want
 
 
+def test_overlap_gathers_no_places(spark):
+    """Places are joined as they are; lists of them by tile were sorted twice, which spilled on large tables."""
+    e = spark.createDataFrame([(1, i, 10 * i, 100, 100, 2, 0, "L", [(200, 200)], 1, 9.0, 10 * i) for i in range(4)], EVENTS)
+    found = metrics.slider_overlap(e, spark.createDataFrame([(1, 4.0)], "chart_id long, cs double"))
+    assert "collect_list" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(x) for x in found.collect()] == [(1, 4, 4)]
+
+
 def test_overlap_with_many_heads_at_one_place(spark):
     r = random.Random(5)
     rows = [(1, i, 10 * i, 256, 192, 1, 0, None, [], 1, 0.0, 10 * i) for i in range(1500)]
