@@ -616,6 +616,43 @@ def shuffled_rows(spark, build, of="shuffleWriteRecords"):
         spark.conf.set(joins, was)
 
 
+def test_span_means_and_runs_shuffle_stretches(spark):
+    """Means over spans and runs equal plain loops for any layout of frames, and frames themselves aren't shuffled."""
+    r = random.Random(19)
+    held = {}
+    for chart, size in ((1, 24_000), (2, 300), (3, 1), (4, 40)):
+        held[chart] = []
+        while len(held[chart]) < size:
+            held[chart] += [(r.choice((-1.0, 1.0)), r.choice((0.0, 0.25, 0.5, 1.2)))] * r.randint(1, 60)
+        del held[chart][size:]
+    rows = [(c, f, *v) for c, vs in held.items() for f, v in enumerate(vs)]
+    spans = []
+    for i in range(200):
+        chart = r.choice((1, 1, 2, 4))
+        a, b = sorted(r.randint(0, len(held[chart]) + 3) for _ in range(2))
+        spans.append((chart, a, b, i % 90))
+    spans += [(3, 0, 0, 7), (3, 0, 0, 7), (9, 0, 3, 1), (1, 9_990, 10_010, 5)]
+    schema = "chart_id long, frame int, slider_hold float, spacing float"
+    asked = spark.createDataFrame(spans, "chart_id long, first int, last int, tag long")
+    expected = sorted((c, a, b, t, round(sum(float(np.float32(v[1])) for v in held[c][a : b + 1]) / (b - a + 1), 9)) for c, a, b, t in spans if b < len(held.get(c, [])))
+    runs = []
+    for c, vs in held.items():
+        edges = [f for f in range(len(vs) + 1) if (vs[f][0] > 0 if f < len(vs) else False) != (vs[f - 1][0] > 0 if f else False)]
+        runs += [(c, a, b - 1, float(b - a)) for a, b in zip(edges[::2], [*edges[1::2], len(vs)])]
+    for layout in (rows, r.sample(rows, len(rows))):
+        for parts in (1, 5):
+            table = spark.createDataFrame(layout, schema).repartition(parts) if parts > 1 else spark.createDataFrame(layout, schema).coalesce(1)
+            got = frames.span_mean(table, asked, "spacing")
+            assert sorted((x.chart_id, x.first, x.last, x.tag, round(x["mean"], 9)) for x in got.collect()) == expected
+            assert sorted(tuple(x) for x in frames.active_runs(table, "slider_hold").select("chart_id", "first", "last", "total").collect()) == sorted(runs)
+    none = spark.createDataFrame([], schema)
+    assert frames.span_mean(none, asked, "spacing").collect() == frames.active_runs(none, "slider_hold").collect() == []
+    table = spark.createDataFrame(rows, schema).coalesce(1).cache()
+    table.count()
+    assert shuffled_rows(spark, lambda: frames.span_mean(table, asked, "spacing")) < len(rows) / 8
+    assert shuffled_rows(spark, lambda: frames.active_runs(table, "slider_hold")) < len(rows) / 8
+
+
 def test_overlap_shuffles_few_rows_a_slider(spark):
     """A slider goes to the tiles of its body, not to each cell around each of its points."""
     r = random.Random(6)
