@@ -384,6 +384,47 @@ def test_hmm_base_and_recursion(spark, monkeypatch, hot):
     assert hmm.score(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("hot", [50_000, 0])
+def test_hmm_learns_each_word(spark, monkeypatch, hot):
+    """Words without a name have emissions of their own, those that one table of all words gives in the last round."""
+    monkeypatch.setattr(hmm, "HOT", hot)
+    r = rng(31)
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    rows = []
+    for i in range(240):
+        side = "xy"[i % 2]
+        rows.append((i, " ".join(w for _ in range(int(r.integers(1, 12))) for w in (side, f"{side}{r.integers(0, 40)}"))))
+    probes = [i for i in range(1000, 1100) if held(i)][:2]
+    rows += [(probes[0], "x x1 x x2 x x3"), (probes[1], "x y1 x y2 x y3"), (probes[0] + 10_000, None)]
+    got = {x.doc_id: x.score for x in hmm.score(frame(spark, rows).repartition(4), classes=3, rounds=3).collect()}
+
+    tokens = {i: [*(t or "").split(), ""] for i, t in rows}
+    count = Counter(w for i, ws in tokens.items() if not held(i) for w in ws)
+    every = sorted(count, key=lambda w: (-count[w], w))
+    total, v = sum(count.values()), len(count)
+    named = every[:3]
+    number = {w: k for k, w in enumerate(every)}
+    codes = {i: np.array([number.get(w, v) for w in ws]) for i, ws in tokens.items()}
+    train = [codes[i] for i in codes if not held(i)]
+    flat, lengths = np.concatenate(train), np.array([len(c) for c in train])
+    unigram = np.array([*((count[w] + 0.5) / (total + 0.5 * (v + 1)) for w in every), 0.5 / (total + 0.5 * (v + 1))])
+    tied = np.array([*range(len(named)), *[len(named)] * (v - len(named)), len(named) + 1])
+    few = np.bincount(tied, weights=unigram)
+    model = hmm.Model.initial(few)
+    for last in (False, False, True):
+        wide = hmm.Model(model.start, model.move, model.emit[tied])
+        counts = hmm.forward_backward(wide, flat, lengths, True)[1]
+        if last:
+            model = hmm.improved(wide, counts, unigram, np.arange(v + 1) == v)
+        else:
+            emitted = np.stack([np.bincount(tied, weights=c) for c in counts[21:].reshape(-1, 4).T], axis=1)
+            model = hmm.improved(model, np.concatenate([counts[:21], emitted.ravel()]), few, np.arange(len(few)) == len(few) - 1)
+    want = {i: hmm.forward_backward(model, c, np.array([len(c)]), False)[0][0] / np.log(10) for i, c in codes.items()}
+    assert np.allclose(model.emit.sum(axis=0), 1)
+    assert hot or all(np.isclose(got[i], want[i], atol=1e-3) for i in want)
+    assert got[probes[0]] > got[probes[1]] + 0.5
+
+
 def test_hmm_is_exact():
     r = rng(5)
     model = hmm.Model.initial(r.dirichlet(np.ones(6)), 3)
