@@ -580,6 +580,13 @@ def test_medians_and_sections(spark):
     assert sequences.rolling_median(table.limit(0), "sv", 3).collect() == sequences.sv_sections(table.limit(0)).collect() == []
 
 
+def test_velocity_structure_without_times(spark):
+    """Green points without a time or a line come last, as in the SQL."""
+    rows = [(1, 1, 0.0, -100.0, 4, False, 0), (1, 2, None, -50.0, 4, False, 0), (1, 3, 10.0, -50.0, 4, False, 0), (2, None, 5.0, -100.0, 4, False, 0), (2, 4, 5.0, -50.0, 4, False, 0), (2, 5, 6.0, -100.0, 4, False, 0)]
+    got = metrics.sv_structure(spark.createDataFrame(rows, POINTS)).orderBy("chart_id").collect()
+    assert [tuple(r) for r in got] == [(1, 3, 2, 1, 1.0, 2.0), (2, 3, 2, 1, 1.0, 2.0)]
+
+
 def test_z_scores_equal_their_sql_near_ties(spark):
     """Quotients that are a tie but for their last bit are rounded alike by the query and its SQL."""
     import duckdb
