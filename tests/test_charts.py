@@ -587,6 +587,16 @@ def test_velocity_structure_without_times(spark):
     assert [tuple(r) for r in got] == [(1, 3, 2, 1, 1.0, 2.0), (2, 3, 2, 1, 1.0, 2.0)]
 
 
+def test_sections_with_points_without_a_time(spark):
+    """A point without a time is in force at no event; as in the SQL, its velocity is drawn over the whole chart."""
+    points = spark.createDataFrame([(1, 1, None, -50.0, 4, False, 0), (1, 2, 1000.0, -100.0, 4, False, 0), (1, 3, None, 300.0, 4, True, 0), (1, 4, 2000.0, 400.0, 4, True, 0)], POINTS)
+    events = spark.createDataFrame([(1, 5, 500, 0, 0, 2, 0, "L", [(140, 0)], 1, 140.0, 0), (1, 6, 9000, 0, 0, 1, 0, None, [], 1, 0.0, 9000)], EVENTS)
+    e = timing.with_timing(events, points, spark.createDataFrame([(1, 1.4)], "chart_id long, slider_multiplier double"))
+    assert [(r.line_no, r.beat_length, r.sv, r.end_time) for r in e.orderBy("line_no").collect()] == [(5, 400.0, 1.0, 900), (6, 400.0, 1.0, 9000)]
+    table = frames.rasterise(e, points, frames.chart_sizes(e))
+    assert [tuple(r) for r in sequences.sv_sections(table).collect()] == [(1, 0, 2.0)]
+
+
 def test_z_scores_equal_their_sql_near_ties(spark):
     """Quotients that are a tie but for their last bit are rounded alike by the query and its SQL."""
     import duckdb
